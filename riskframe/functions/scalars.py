@@ -12,7 +12,7 @@ __all__ = [
     "hour_of_day", "day_of_week", "risk_band", "anomaly_flag_to_probability",
     "threshold_classify", "minmax_normalise", "weighted_score", "safe_ratio",
     "merchant_status", "drift_severity", "fmt4", "fmt_pct2", "default_tx_id",
-    "iso_now", "category_text", "round3", "round6", "col_",
+    "iso_now", "category_text", "round3", "round6", "col_", "exact_sum", "exact_avg",
 ]
 
 
@@ -132,3 +132,16 @@ def round3(x) -> Column:
 
 def round6(x) -> Column:
     return F.round(col_(x), 6)
+
+
+def exact_sum(x, scale: int = 2) -> Column:
+    """Sum of a fixed-scale quantity (money: 2 decimals, scores: 6) as an
+    exact decimal, returned as double. Order-independent, so every engine
+    and every partitioning gives the same bits."""
+    return F.sum(col_(x).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def exact_avg(x, scale: int = 2) -> Column:
+    """Mean from :func:`exact_sum` (null for no values)."""
+    c = col_(x)
+    return exact_sum(c, scale) / F.count(c)

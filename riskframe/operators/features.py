@@ -15,10 +15,14 @@ def time_features(df: DataFrame, time_col: str = "Time", unit: str = "seconds")
                            "day_of_week": X.day_of_week(time_col, unit)})
 
 
-def customer_profile(df: DataFrame, key: str = "customer_id", amount: str = "Amount") -> DataFrame:
+def customer_profile(df: DataFrame, key: str = "customer_id", amount: str = "Amount",
+                     scale: int | None = 2) -> DataFrame:
     """A3: per-customer mean amount and row count. A hash aggregate with a
-    map-side partial step, so a hot customer is combined before the shuffle."""
-    return df.groupBy(key).agg(F.avg(amount).alias("avg_amount_per_customer"),
+    map-side partial step, so a hot customer is combined before the shuffle.
+    ``scale``: amounts are money, summed exactly as decimals (None: plain
+    double mean)."""
+    mean = X.exact_avg(amount, scale) if scale is not None else F.avg(amount)
+    return df.groupBy(key).agg(mean.alias("avg_amount_per_customer"),
                                F.count(F.lit(1)).alias("tx_count"))
 
 
@@ -73,7 +77,7 @@ def fill_feature_nulls(df: DataFrame, amount: str = "Amount", mean_source: DataF
     """P5: merchant rate -> 0, customer average -> global mean Amount
     (a scalar subquery), frequency -> 1."""
     src = mean_source if mean_source is not None else df
-    g = src.agg(F.avg(amount)).scalar()
+    g = src.agg(X.exact_avg(amount, 2)).scalar()
     out = df
     if "merchant_fraud_rate" in df.columns:
         out = out.withColumn("merchant_fraud_rate", F.coalesce("merchant_fraud_rate", F.lit(0.0)))
@@ -108,7 +112,7 @@ def engineer_features(df: DataFrame, unit: str = "seconds", freq: str = "trailin
         if freq != "reference":
             out = trailing_count(out)
     else:
-        out = out.withColumns({"avg_amount_per_customer": fit.agg(F.avg("Amount")).scalar(),
+        out = out.withColumns({"avg_amount_per_customer": fit.agg(X.exact_avg("Amount", 2)).scalar(),
                                "tx_freq_24h": F.lit(1).cast("long")})
     if "merchant_id" in df.columns and label in fit.columns:
         out = attach(out, merchant_profile(fit, label=label), "merchant_id")

@@ -36,9 +36,9 @@ def _features(spark, sf_dir, unit, freq):
     df = V.tx(spark, sf_dir).drop("ts")
     out = FE.engineer_features(df, unit=unit, freq=freq)
     return out.select("transaction_id", "hour_of_day", "day_of_week",
-                      F.round("avg_amount_per_customer", 6).alias("avg_amount_per_customer"),
+                      "avg_amount_per_customer",
                       "tx_freq_24h",
-                      F.round("merchant_fraud_rate", 6).alias("merchant_fraud_rate"))
+                      "merchant_fraud_rate")
 
 
 _FEAT_SQL = """f AS (
@@ -49,14 +49,14 @@ _FEAT_SQL = """f AS (
          {freq} AS tx_freq_24h,
          mp.merchant_fraud_rate
   FROM tx t
-  LEFT JOIN (SELECT customer_id, avg("Amount") AS avg_amount_per_customer, count(*) AS n
+  LEFT JOIN (SELECT customer_id, CAST(sum(CAST("Amount" AS DECIMAL(38,2))) AS DOUBLE) / count("Amount") AS avg_amount_per_customer, count(*) AS n
              FROM tx GROUP BY customer_id) cp ON t.customer_id = cp.customer_id
   LEFT JOIN (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS merchant_fraud_rate
              FROM tx GROUP BY merchant_id) mp ON t.merchant_id = mp.merchant_id)"""
 _FEAT_BODY = """SELECT transaction_id, hour_of_day, day_of_week,
-       round(coalesce(avg_amount_per_customer, (SELECT avg("Amount") FROM tx)), 6) AS avg_amount_per_customer,
+       coalesce(avg_amount_per_customer, (SELECT CAST(sum(CAST("Amount" AS DECIMAL(38,2))) AS DOUBLE) / count("Amount") FROM tx)) AS avg_amount_per_customer,
        coalesce(tx_freq_24h, 1) AS tx_freq_24h,
-       round(coalesce(merchant_fraud_rate, 0.0), 6) AS merchant_fraud_rate
+       coalesce(merchant_fraud_rate, 0.0) AS merchant_fraud_rate
 FROM f"""
 _TRAIL = """(SELECT count(*) FROM tx u WHERE u.customer_id = t.customer_id
             AND u."Time" BETWEEN t."Time" - 86400.0 AND t."Time")"""
