@@ -55,13 +55,19 @@ def _local_scan(names, ops):
 
 def running(df: DataFrame, order: list, values: Mapping[str, Column | str],
             ops: Mapping[str, str] | None = None, partitions: int | None = None,
-            keep_value_columns: bool = False) -> DataFrame:
+            keep_value_columns: bool = False, by: list[str] | None = None) -> DataFrame:
     """Add one column per entry of ``values``: the inclusive running
     ``sum``/``min``/``max`` of that expression over the global ``order``.
 
     ``order`` must be a total order (add a unique id as last key); a row's
     result then does not depend on partitioning. Results are doubles.
+
+    ``by``: restart the running sums per group. Rows are still ranged over
+    (by, order) globally, so a hot group spans many tasks; each group's
+    starting offset comes from the running sum of the per-group totals.
     """
+    if by:
+        return _running_by(df, list(by), order, values, ops, partitions)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ops = dict(ops or {})
@@ -127,3 +133,17 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", partitions: int
     ``row_number()`` without a single-partition window)."""
     out = running(df, order, {name: F.lit(1.0)}, partitions=partitions)
     return out.withColumn(name, F.col(name).cast("long"))
+
+
+def _running_by(df, by, order, values, ops, partitions):
+    if any(op != "sum" for op in (ops or {}).values()):
+        raise ValueError("per-group running aggregates support 'sum' only")
+    vals = {n: (F.col(v) if isinstance(v, str) else v).cast("double") for n, v in values.items()}
+    glob = running(df, [*by, *order], vals, partitions=partitions)
+    totals = df.groupBy(*by).agg(*[F.sum(F.coalesce(e, F.lit(0.0))).alias(f"_gt_{n}") for n, e in vals.items()])
+    starts = running(totals, list(by), {f"_gc_{n}": F.col(f"_gt_{n}") for n in vals}, partitions=partitions)
+    starts = starts.select(*by, *[(F.col(f"_gc_{n}") - F.col(f"_gt_{n}")).alias(f"_gs_{n}") for n in vals])
+    out = glob.join(starts, by, "left")
+    for n in vals:
+        out = out.withColumn(n, F.col(n) - F.col(f"_gs_{n}"))
+    return out.drop(*[f"_gs_{n}" for n in vals])

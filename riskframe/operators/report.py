@@ -27,7 +27,7 @@ def batch_summary(banded: DataFrame, by: str | None = "batch_id", band: str = "r
             F.count_if(b == "Medium").alias("medium_risk_count"),
             F.count_if(b == "Low").alias("low_risk_count")]
     g = banded.groupBy(by).agg(*aggs) if by else banded.agg(*aggs)
-    return g.withColumn("fraud_rate", F.round(X.safe_ratio("high_risk_count", "total_transactions"), 6))
+    return g.withColumn("fraud_rate", X.safe_ratio("high_risk_count", "total_transactions"))
 
 
 def rollup_batches(summary: DataFrame) -> DataFrame:
@@ -37,12 +37,12 @@ def rollup_batches(summary: DataFrame) -> DataFrame:
                     F.sum("high_risk_count").alias("high_risk_count"),
                     F.sum("medium_risk_count").alias("medium_risk_count"),
                     F.sum("low_risk_count").alias("low_risk_count"))
-    return g.withColumn("fraud_rate", F.round(X.safe_ratio("high_risk_count", "total_transactions"), 6))
+    return g.withColumn("fraud_rate", X.safe_ratio("high_risk_count", "total_transactions"))
 
 
 def risk_by(df: DataFrame, dim: str, p: str = "fraud_probability", label: str = "Class") -> DataFrame:
     """Mean risk score and fraud count per ``dim``."""
-    return df.groupBy(dim).agg(F.round(F.avg(p), 6).alias("avg_risk_score"),
+    return df.groupBy(dim).agg(X.exact_avg(p, 6).alias("avg_risk_score"),
                                F.sum(F.col(label).cast("long")).alias("fraud_count"))
 
 
@@ -51,7 +51,7 @@ def kpis(df: DataFrame, leaderboard: DataFrame | None = None, label: str = "Clas
     (K4 over the leaderboard; the reference's 0.90/0.85 placeholders are used
     only when no leaderboard is given)."""
     base = df.agg(F.count(F.lit(1)).alias("total_transactions"),
-                  F.round(X.safe_ratio(F.sum(label), F.count(F.lit(1))) * 100.0, 6).alias("fraud_rate_pct"))
+                  (X.safe_ratio(F.sum(label), F.count(F.lit(1))) * 100.0).alias("fraud_rate_pct"))
     if leaderboard is None:
         return base.withColumns({"precision": F.lit(0.90), "recall": F.lit(0.85)})
     best = best_model(leaderboard)
@@ -85,9 +85,9 @@ def activity_counts(df: DataFrame, dims=("hour_of_day", "day_of_week", "transact
 def merchant_risk(df: DataFrame, p: str = "fraud_probability", label: str = "Class",
                   review: float = 0.7, monitor: float = 0.6) -> DataFrame:
     """Per merchant mean score, transactions, fraud rate and status."""
-    g = df.groupBy("merchant_id").agg(F.round(F.avg(p), 6).alias("risk_score"),
+    g = df.groupBy("merchant_id").agg(X.exact_avg(p, 6).alias("risk_score"),
                                       F.count(F.lit(1)).alias("transactions"),
-                                      F.round(F.avg(F.col(label).cast("double")), 6).alias("fraud_rate"))
+                                      F.avg(F.col(label).cast("double")).alias("fraud_rate"))
     return g.withColumn("status", X.merchant_status("risk_score", review, monitor))
 
 
@@ -98,6 +98,7 @@ def merchant_overview(merchants: DataFrame, high: float = 0.7) -> DataFrame:
                          F.round(F.avg("risk_score"), 6).alias("avg_risk_score"))
 
 
+
 def top_risk_merchants(merchants: DataFrame, k: int = 5) -> DataFrame:
     """K6: top-k merchants by risk score (ties by id)."""
     return merchants.orderBy(F.col("risk_score").desc(), F.col("merchant_id")).limit(k)
@@ -107,15 +108,16 @@ def daily_volume(df: DataFrame, p: str = "fraud_probability", threshold: float =
     """Per day volume, average amount, peak hour (most transactions,
     earliest hour on ties) and blocked amount (sum of predicted-fraud
     amounts)."""
-    day = F.to_date("ts")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    money = F.col("Amount").cast("decimal(38,2)")
     hourly = df.groupBy(day.alias("day"), F.hour("ts").alias("hour")).agg(
-        F.count(F.lit(1)).alias("hn"), F.sum("Amount").alias("ha"),
-        F.sum(F.when(F.col(p) >= threshold, F.col("Amount")).otherwise(0.0)).alias("hb"))
+        F.count(F.lit(1)).alias("hn"), F.sum(money).alias("ha"),
+        F.sum(F.when(F.col(p) >= threshold, money).otherwise(F.lit(0).cast("decimal(38,2)"))).alias("hb"))
     return hourly.groupBy("day").agg(
         F.sum("hn").alias("volume"),
-        F.round(F.sum("ha") / F.sum("hn"), 6).alias("avg_amount"),
+        (F.sum("ha").cast("double") / F.sum("hn")).alias("avg_amount"),
         F.min_by("hour", F.struct(-F.col("hn"), F.col("hour"))).alias("peak_hour"),
-        F.round(F.sum("hb"), 6).alias("blocked_amount"))
+        F.sum("hb").cast("double").alias("blocked_amount"))
 
 
 def running_totals(df: DataFrame, pred: str = "prediction") -> DataFrame:

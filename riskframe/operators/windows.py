@@ -37,19 +37,30 @@ def chunk_by_position(df: DataFrame, batch_size: int = 1000, order=("transaction
             .drop("_pos"))
 
 
-def cumulative_mean(df: DataFrame, value, order: list, name: str = "cumulative_mean") -> DataFrame:
+def cumulative_mean(df: DataFrame, value, order: list, name: str = "cumulative_mean",
+                    scale: int | None = None) -> DataFrame:
     """Running mean of ``value`` over a global order, via distributed
-    prefix sums (no single-partition window)."""
+    prefix sums (no single-partition window). ``scale``: the value has that
+    many decimals (money 2): it is summed as an exact integer of units."""
     v = F.col(value) if isinstance(value, str) else value
-    out = prefix.running(df, order, {"_s": v, "_n": F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))})
-    return out.withColumn(name, F.col("_s") / F.col("_n")).drop("_s", "_n")
+    units = F.round(v * (10 ** scale)).cast("long") if scale is not None else v
+    out = prefix.running(df, order, {"_s": units, "_n": F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))})
+    mean = F.col("_s") / F.col("_n")
+    if scale is not None:
+        mean = mean / float(10 ** scale)
+    return out.withColumn(name, mean).drop("_s", "_n")
 
 
-def quartile_labels(df: DataFrame, p: str = "fraud_probability", name: str = "risk_quartile") -> DataFrame:
+def quartile_labels(df: DataFrame, p: str = "fraud_probability", name: str = "risk_quartile",
+                    tiebreak: str | None = "transaction_id") -> DataFrame:
     """Low/Medium/High/Critical by exact quartiles, right-closed edges
     (``p <= q1`` Low, ``<= q2`` Medium, ``<= q3`` High, else Critical).
-    The quartiles are one scalar subquery (three numbers)."""
-    q = df.agg(F.percentile(F.col(p), [0.25, 0.5, 0.75])).scalar()
+    The quartiles are exact and distributed (three numbers, scalar
+    subqueries)."""
+    from riskframe.operators import stats
+
+    q = stats.exact_quantiles(df, p, [0.25, 0.5, 0.75], tiebreak=tiebreak)
+    q1, q2, q3 = (q.select(c).scalar() for c in ("q_25", "q_50", "q_75"))
     c = F.col(p)
-    return df.withColumn(name, F.when(c <= q[0], "Low").when(c <= q[1], "Medium")
-                         .when(c <= q[2], "High").otherwise("Critical"))
+    return df.withColumn(name, F.when(c <= q1, "Low").when(c <= q2, "Medium")
+                         .when(c <= q3, "High").otherwise("Critical"))

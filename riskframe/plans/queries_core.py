@@ -28,7 +28,7 @@ register("C5_score_history", sql(
        count(*) FILTER (WHERE risk_level = 'High') AS high_risk_count,
        count(*) FILTER (WHERE risk_level = 'Medium') AS medium_risk_count,
        count(*) FILTER (WHERE risk_level = 'Low') AS low_risk_count,
-       round(count(*) FILTER (WHERE risk_level = 'High') / count(*), 6) AS fraud_rate
+       count(*) FILTER (WHERE risk_level = 'High') / count(*) AS fraud_rate
 FROM b GROUP BY batch_id"""))(score_history)
 
 
