@@ -21,4 +21,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from riskframe.plans import queries_core, queries_profile, queries_report  # noqa: F401
+    from riskframe.plans import queries_core, queries_ml, queries_profile, queries_report  # noqa: F401

@@ -26,6 +26,9 @@ def get_session(master: str | None = None, app: str = "riskframe",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster
+            b = b.config("spark.driver.memory", "16g")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
