@@ -98,13 +98,15 @@ def drift_severity(change, high: float = S.DRIFT_HIGH) -> Column:
 
 
 def fmt4(x) -> Column:
-    """F11. Four decimals."""
-    return F.format_string("%.4f", col_(x))
+    """F11. Four decimals. Rounded as an exact decimal (half up), so the
+    text does not depend on the binary error of the double."""
+    return F.round(col_(x).cast("decimal(38,10)"), 4).cast("decimal(38,4)").cast("string")
 
 
 def fmt_pct2(x) -> Column:
     """F11. A fraction as percent with two decimals, e.g. 0.1234 -> 12.34%."""
-    return F.concat(F.format_string("%.2f", col_(x) * 100.0), F.lit("%"))
+    return F.concat(F.round((col_(x) * 100.0).cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string"),
+                    F.lit("%"))
 
 
 def default_tx_id(id_col, position=None) -> Column:

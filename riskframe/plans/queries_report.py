@@ -341,7 +341,7 @@ register("D2_page_hinkley", sql("scored", """a AS (SELECT transaction_id,
   round(ph_down, 6) AS ph_down, (t >= 30 AND (ph_up > 50.0 OR ph_down > 50.0)) AS drift FROM mm"""))(_ph)
 
 _DRIFT_BODY = """SELECT type, CASE WHEN chg > 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
-  what || ' changed by ' || printf('%.2f', chg * 100.0) || '%' AS message, old_value, new_value FROM (
+  what || ' changed by ' || CAST(CAST(round(CAST(chg * 100.0 AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS VARCHAR) || '%' AS message, old_value, new_value FROM (
   SELECT 'Fraud Rate Drift' AS type, 'Fraud rate' AS what, abs(r1 - r0) AS chg, r0 AS old_value, r1 AS new_value FROM fl
   UNION ALL
   SELECT 'Probability Drift', 'Average probability', abs(p1 - p0), p0, p1 FROM fl) WHERE chg > 0.1"""
