@@ -21,4 +21,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from riskframe.plans import queries_core, queries_ml, queries_profile, queries_report, queries_stream  # noqa: F401
+    from riskframe.plans import (queries_core, queries_misc, queries_ml, queries_profile,  # noqa: F401
+                                 queries_report, queries_stream)
