@@ -65,7 +65,7 @@ def adwin_alert(df: DataFrame, value: str = "Amount", time_col: str = "Time", bu
     first = cuts.filter("drift").orderBy("bucket").limit(1)
     return first.select(F.lit("ADWIN").alias("type"), F.lit("High").alias("severity"),
                         F.lit("Significant drift detected in feature distribution").alias("message"),
-                        F.round("mu0", 6).alias("old_value"), F.round("mu1", 6).alias("new_value"),
+                        F.col("mu0").alias("old_value"), F.col("mu1").alias("new_value"),
                         ((F.col("bucket") + 1) * bucket_seconds).alias("cut_time"))
 
 

@@ -124,8 +124,13 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson correlation of every pair in one aggregate, long format
     (col_a, col_b, corr) including the diagonal and both orders."""
     cols = list(cols)
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
-            for a, b in combinations(cols, 2)]
+    # covariance over the product of deviations; try_divide gives null for
+    # a constant column (ANSI-mode ``corr`` raises a division by zero there)
+    def pearson(a, b):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    aggs = [pearson(a, b).alias(f"{a}__{b}") for a, b in combinations(cols, 2)]
     wide = df.agg(*aggs)
     rows = []
     for a in cols:

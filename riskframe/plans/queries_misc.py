@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.functions import scalars as X
 from riskframe.models import classifiers as CL
@@ -67,7 +68,7 @@ JOIN (SELECT transaction_id, "Class" FROM tx WHERE transaction_type <> 'click')
         V.tx(spark, d).filter(F.col("transaction_type") != "click").select("transaction_id", "Class")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _amount_scorer(amount: pd.Series) -> pd.Series:
     """A vectorised (Arrow batch) scorer, registered through X1."""
     return pd.Series(np.round(1.0 - np.exp(-amount.to_numpy(dtype="float64") / 50.0), 6))

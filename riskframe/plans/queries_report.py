@@ -307,14 +307,14 @@ _ADWIN_SQL = ["""bk AS (SELECT floor("Time" / 3600.0) AS bucket, count(*) AS n,
   FROM cc WHERE n0 >= 5 AND n1 >= 5)"""]
 
 register("D1_adwin_cuts", sql("tx", *_ADWIN_SQL, body="""SELECT CAST(bucket AS BIGINT) AS bucket, CAST(n0 AS BIGINT) AS n0,
-  CAST(n1 AS BIGINT) AS n1, round(mu0, 6) AS mu0, round(mu1, 6) AS mu1, round(eps, 6) AS eps,
+  CAST(n1 AS BIGINT) AS n1, mu0, mu1, round(eps, 6) AS eps,
   abs(mu0 - mu1) > eps AS drift FROM cuts"""))(
     lambda spark, d: DR.adwin_cuts(DR.adwin_buckets(V.tx(spark, d))).select(
         F.col("bucket").cast("long").alias("bucket"), F.col("n0").cast("long").alias("n0"),
-        F.col("n1").cast("long").alias("n1"), *[F.round(c, 6).alias(c) for c in ("mu0", "mu1", "eps")], "drift"))
+        F.col("n1").cast("long").alias("n1"), "mu0", "mu1", F.round("eps", 6).alias("eps"), "drift"))
 
 register("D1_adwin_alert", sql("tx", *_ADWIN_SQL, body="""SELECT 'ADWIN' AS type, 'High' AS severity,
-  'Significant drift detected in feature distribution' AS message, round(mu0, 6) AS old_value, round(mu1, 6) AS new_value,
+  'Significant drift detected in feature distribution' AS message, mu0 AS old_value, mu1 AS new_value,
   (bucket + 1) * 3600.0 AS cut_time FROM cuts WHERE abs(mu0 - mu1) > eps ORDER BY bucket LIMIT 1"""))(
     lambda spark, d: DR.adwin_alert(V.tx(spark, d)))
 
