@@ -72,3 +72,23 @@ register("C3_features_reference", sql(
     "tx", _FEAT_SQL.format(hour='CAST(floor("Time") % 24 AS INTEGER)',
                            dow='CAST(floor("Time" / 24.0) % 7 AS INTEGER)', freq="cp.n"),
     body=_FEAT_BODY))(lambda spark, d: _features(spark, d, "reference", "reference"))
+
+
+def merchant_profiles_big(spark, sf_dir):
+    """A3 + A4 at scale on ``tx_big`` (lineitem + orders): per merchant
+    (supplier) rows, mean amount and label rate, and per customer rows and
+    mean amount, as one long table."""
+    t = V.tx_big(spark, sf_dir)
+    m = t.groupBy(F.col("merchant_id").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("Amount"), 6).alias("avg_amount"),
+        F.avg(F.col("Class").cast("double")).alias("label_rate")).withColumn("kind", F.lit("merchant"))
+    c = t.groupBy(F.col("customer_id").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("Amount"), 6).alias("avg_amount"),
+        F.avg(F.col("Class").cast("double")).alias("label_rate")).withColumn("kind", F.lit("customer"))
+    return m.unionByName(c)
+
+
+register("A3_A4_profiles_tx_big", sql("tx_big", body="""SELECT merchant_id AS key, count(*) AS n, round(avg("Amount"), 6) AS avg_amount,
+  avg(CAST("Class" AS DOUBLE)) AS label_rate, 'merchant' AS kind FROM tx_big GROUP BY 1
+UNION ALL SELECT customer_id, count(*), round(avg("Amount"), 6), avg(CAST("Class" AS DOUBLE)), 'customer' FROM tx_big GROUP BY 1"""))(
+    merchant_profiles_big)
