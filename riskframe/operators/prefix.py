@@ -130,9 +130,28 @@ def running(df: DataFrame, order: list, values: Mapping[str, Column | str],
 
 def global_rank(df: DataFrame, order: list, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """1-based position of each row in a total ``order`` (a distributed
-    ``row_number()`` without a single-partition window)."""
-    out = running(df, order, {name: F.lit(1.0)}, partitions=partitions)
-    return out.withColumn(name, F.col(name).cast("long"))
+    ``row_number()`` without a single-partition window).
+
+    JVM only: after the range exchange and the in-partition sort,
+    ``monotonically_increasing_id`` holds the partition index (high bits) and
+    the row's index inside its partition (low 33 bits). The write to the
+    shared checkpoint folder pins both; per-partition counts (a table of at
+    most ``partitions`` rows) become broadcast offsets."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ordered = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    mid = F.monotonically_increasing_id()
+    local = ordered.withColumns({"_pid": F.shiftright(mid, 33).cast("int"),
+                                 "_loc": mid.bitwiseAND(F.lit((1 << 33) - 1))})
+    path = scratch_path(spark, "rank")
+    local.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    counts = stored.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    return (stored.join(F.broadcast(offsets), "_pid", "left")
+            .withColumn(name, (F.col("_off") + F.col("_loc") + 1).cast("long")).drop("_pid", "_loc", "_off"))
 
 
 def _running_by(df, by, order, values, ops, partitions):
