@@ -92,3 +92,23 @@ register("A3_A4_profiles_tx_big", sql("tx_big", body="""SELECT merchant_id AS ke
   avg(CAST("Class" AS DOUBLE)) AS label_rate, 'merchant' AS kind FROM tx_big GROUP BY 1
 UNION ALL SELECT customer_id, count(*), round(avg("Amount"), 6), avg(CAST("Class" AS DOUBLE)), 'customer' FROM tx_big GROUP BY 1"""))(
     merchant_profiles_big)
+
+
+register("W2_trailing_24h_count", sql("tx", body="""SELECT transaction_id,
+  count(*) OVER (PARTITION BY customer_id ORDER BY "Time" RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS tx_freq_24h
+FROM tx"""))(lambda spark, d: FE.trailing_count(V.tx(spark, d).select("transaction_id", "customer_id", "Time"))
+             .select("transaction_id", "tx_freq_24h"))
+
+
+def _profiles_join(spark, d):
+    t = V.tx(spark, d).select("transaction_id", "customer_id", "merchant_id", "Amount", "Class")
+    j = FE.attach(FE.attach(t, FE.customer_profile(t), "customer_id"), FE.merchant_profile(t), "merchant_id")
+    return j.select("transaction_id", "avg_amount_per_customer", "tx_count", "merchant_fraud_rate")
+
+
+register("J1_J2_profile_joins", sql("tx", body="""SELECT t.transaction_id, cp.a AS avg_amount_per_customer, cp.n AS tx_count,
+  mp.r AS merchant_fraud_rate FROM tx t
+LEFT JOIN (SELECT customer_id, CAST(sum(CAST("Amount" AS DECIMAL(38,2))) AS DOUBLE) / count("Amount") AS a, count(*) AS n
+           FROM tx GROUP BY 1) cp ON t.customer_id = cp.customer_id
+LEFT JOIN (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS r FROM tx GROUP BY 1) mp ON t.merchant_id = mp.merchant_id"""))(
+    _profiles_join)

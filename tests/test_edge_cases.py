@@ -236,3 +236,25 @@ def test_sources(spark, tmp_path):
     assert TB.read_scored(spark, empty) is None
     rec = TB.from_records(spark, [{"Time": 1000.0, "Amount": 149.62, "transaction_id": "t1"}])
     assert rec.first().Amount == 149.62 and rec.first().region is None
+
+
+def test_model_registry_round_trip(spark, sf_dir, tmp_path):
+    from riskframe.models import registry as RG
+    from riskframe.models import recon as RCN
+    from riskframe.plans import views as V
+
+    ml = V.ml(spark, sf_dir)
+    pm = PP.fit_preprocessor(ml, S.V_COLUMNS[:6], categorical=[])
+    train = PP.with_weights(pm.transform(ml))
+    lr = CL.train_logit(train, "logit", max_iter=20)
+    rec = RCN.fit(ml, S.V_COLUMNS[:6], k=2)
+    iso = IF.fit(ml, S.V_COLUMNS[:6], trees=5)
+    lb = spark.createDataFrame([("logit", 0.7, 0.5)], "model string, threshold double, precision double")
+    RG.save_models(spark, str(tmp_path / "m"), {"pre": pm, "logit": lr, "recon": rec, "iforest": iso}, lb)
+    models, lb2 = RG.load_models(spark, str(tmp_path / "m"))
+    assert set(models) == {"pre", "logit", "recon", "iforest"}
+    assert RG.thresholds(lb2) == {"logit": 0.7}
+    a = lr.transform(train).select("prob_logit").collect()
+    b = models["logit"].transform(train).select("prob_logit").collect()
+    assert a == b
+    assert models["recon"].components == rec.components
