@@ -134,7 +134,17 @@ def _detector(spark, d):
                            keys=["merchant_id"])
 
 
-register("X2_stream_detector")(_detector)
+register("X2_stream_detector", sql("scored", """a AS (SELECT merchant_id, fraud_probability AS x,
+  row_number() OVER (PARTITION BY merchant_id ORDER BY transaction_id) AS t,
+  avg(fraud_probability) OVER (PARTITION BY merchant_id ORDER BY transaction_id ROWS UNBOUNDED PRECEDING) AS mean
+  FROM scored)""", """b AS (SELECT *,
+  sum(x - mean - 0.005::DOUBLE) OVER (PARTITION BY merchant_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS m,
+  sum(mean - x - 0.005::DOUBLE) OVER (PARTITION BY merchant_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS u FROM a)""",
+                                    """c AS (SELECT *, m - min(m) OVER (PARTITION BY merchant_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS up,
+  u - min(u) OVER (PARTITION BY merchant_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS down FROM b)""",
+                                    body="""SELECT merchant_id, count(*) AS n,
+  count(*) FILTER (WHERE t >= 30 AND (up > 50.0 OR down > 50.0)) AS detections,
+  min(t) FILTER (WHERE t >= 30 AND (up > 50.0 OR down > 50.0)) AS first_at FROM c GROUP BY merchant_id"""))(_detector)
 
 
 def _c6(spark, d):
