@@ -35,10 +35,11 @@ def curve(scores: DataFrame) -> DataFrame:
             .join(tot, "model", "left"))
 
 
-def pr_curve(scores: DataFrame) -> DataFrame:
+def pr_curve(scores: DataFrame, c: DataFrame | None = None) -> DataFrame:
     """Precision and recall at every distinct threshold (predict positive
-    when score >= threshold). Recall is 1 when there are no positives."""
-    c = curve(scores)
+    when score >= threshold). Recall is 1 when there are no positives.
+    ``c``: a precomputed :func:`curve` to share."""
+    c = c if c is not None else curve(scores)
     prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
     rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(1.0))
     return c.select("model", F.col("score").alias("threshold"), "tp", "fp",
@@ -53,12 +54,12 @@ def roc_curve(scores: DataFrame) -> DataFrame:
                     F.when(F.col("P") > 0, F.col("tp") / F.col("P")).alias("tpr"))
 
 
-def auc(scores: DataFrame) -> DataFrame:
+def auc(scores: DataFrame, c: DataFrame | None = None) -> DataFrame:
     """Exact ROC AUC per model (ties count one half), as the rank-sum
     statistic. The numerator is an exact integer, so the result does not
     depend on summation order. Equals Spark ML's
     ``BinaryClassificationEvaluator`` with ``numBins=0``."""
-    c = curve(scores)
+    c = c if c is not None else curve(scores)
     num = F.sum(F.lit(2) * F.col("pos") * (F.col("N") - F.col("fp")) + F.col("pos") * F.col("neg"))
     g = c.groupBy("model").agg(num.alias("_num"), F.first("P").alias("P"), F.first("N").alias("N"))
     return g.select("model", F.when((F.col("P") > 0) & (F.col("N") > 0),
@@ -141,11 +142,12 @@ def leaderboard(df: DataFrame, models: dict, label: str = "Class", target: float
     accuracy (E5) and AUC (E3), with the listing order kept in
     ``model_order`` for K4's tie rule."""
     s = long_scores(df, models, label).cache()
-    thr = threshold_for_precision(pr_curve(s), target, mode)
+    c = curve(s).cache()
+    thr = threshold_for_precision(pr_curve(s, c), target, mode)
     conf = confusion(s, thr)
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     p, r = _div(tp, tp + fp), _div(tp, tp + fn)
     m = conf.select("model", "threshold", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1_score"),
                     _div(tp + tn, tp + fp + fn + tn).alias("accuracy"))
     order = F.create_map(*[x for i, k in enumerate(models) for x in (F.lit(k), F.lit(i))])
-    return m.join(auc(s), "model", "left").withColumn("model_order", order[F.col("model")])
+    return m.join(auc(s, c), "model", "left").withColumn("model_order", order[F.col("model")])

@@ -154,13 +154,22 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", partitions: int
             .withColumn(name, (F.col("_off") + F.col("_loc") + 1).cast("long")).drop("_pid", "_loc", "_off"))
 
 
+SMALL_GROUP_TABLE = 100_000
+
+
 def _running_by(df, by, order, values, ops, partitions):
     if any(op != "sum" for op in (ops or {}).values()):
         raise ValueError("per-group running aggregates support 'sum' only")
     vals = {n: (F.col(v) if isinstance(v, str) else v).cast("double") for n, v in values.items()}
     glob = running(df, [*by, *order], vals, partitions=partitions)
     totals = df.groupBy(*by).agg(*[F.sum(F.coalesce(e, F.lit(0.0))).alias(f"_gt_{n}") for n, e in vals.items()])
-    starts = running(totals, list(by), {f"_gc_{n}": F.col(f"_gt_{n}") for n in vals}, partitions=partitions)
+    if totals.count() <= SMALL_GROUP_TABLE:
+        # checked bound: a plain window over at most SMALL_GROUP_TABLE rows
+        w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        starts = totals.select(*by, *[F.col(f"_gt_{n}") for n in vals],
+                               *[F.sum(f"_gt_{n}").over(w).alias(f"_gc_{n}") for n in vals])
+    else:
+        starts = running(totals, list(by), {f"_gc_{n}": F.col(f"_gt_{n}") for n in vals}, partitions=partitions)
     starts = starts.select(*by, *[(F.col(f"_gc_{n}") - F.col(f"_gt_{n}")).alias(f"_gs_{n}") for n in vals])
     out = glob.join(starts, by, "left")
     for n in vals:
