@@ -10,6 +10,7 @@ import argparse
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -41,7 +42,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        r = round(v, 6)
+        r = v if os.environ.get("ORACLE_STRICT") else round(v, 6)
         return 0.0 if r == 0 else r
     if isinstance(v, decimal.Decimal):
         return _norm(float(v))
