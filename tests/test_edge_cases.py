@@ -258,3 +258,16 @@ def test_model_registry_round_trip(spark, sf_dir, tmp_path):
     b = models["logit"].transform(train).select("prob_logit").collect()
     assert a == b
     assert models["recon"].components == rec.components
+
+
+def test_prepare_job_fits_on_train_only(spark, sf_dir):
+    from riskframe.plans import jobs as J
+    from riskframe.plans import views as V
+
+    t = V.tx(spark, sf_dir).drop("ts")
+    train, test, pm = J.prepare(t)
+    n_tr, n_te = train.count(), test.count()
+    assert n_tr + n_te == t.count() and n_te > 0
+    assert "features" in train.columns and len(train.first().features) >= 6
+    ids = train.select("transaction_id").intersect(test.select("transaction_id")).count()
+    assert ids == 0
