@@ -25,6 +25,14 @@ from riskframe.session import ensure_checkpoint_dir, scratch_path
 _OPS = ("sum", "min", "max")
 
 
+def _ranged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
+    """Range exchange on the order, sorted inside each partition. Without an
+    explicit count AQE may coalesce adjacent (small) ranges; coalescing keeps
+    the ranges in order, so partition indices stay monotone in the order."""
+    r = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return r.sortWithinPartitions(*order)
+
+
 def _local_scan(names, ops):
     def run(batches):
         from pyspark import TaskContext
@@ -76,12 +84,11 @@ def running(df: DataFrame, order: list, values: Mapping[str, Column | str],
     for op in op_list:
         if op not in _OPS:
             raise ValueError(f"unsupported running op {op!r}")
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     prep = df
     for n in names:
         v = values[n]
         prep = prep.withColumn(f"_pv_{n}", (F.col(v) if isinstance(v, str) else v).cast("double"))
-    ordered = prep.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    ordered = _ranged(prep, order, partitions)
     out_schema = T.StructType(
         list(prep.schema.fields)
         + [T.StructField(f"_pl_{n}", T.DoubleType(), True) for n in names]
@@ -139,8 +146,7 @@ def global_rank(df: DataFrame, order: list, name: str = "rank", partitions: int
     most ``partitions`` rows) become broadcast offsets."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ordered = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    ordered = _ranged(df, order, partitions)
     mid = F.monotonically_increasing_id()
     local = ordered.withColumns({"_pid": F.shiftright(mid, 33).cast("int"),
                                  "_loc": mid.bitwiseAND(F.lit((1 << 33) - 1))})

@@ -46,7 +46,8 @@ def last_n_buffer(scored: DataFrame, key: str = "merchant_id", n: int = 1000, n_
         new = [b.rename(columns={order: "i", "fraud_probability": "p", "prediction": "y"})[["i", "p", "y"]]
                for b in batches]
         seen += sum(len(b) for b in new)
-        buf = pd.concat([old, *new]).sort_values("i").tail(n)
+        parts = [x for x in (old, *new) if len(x)]
+        buf = (pd.concat(parts) if parts else old).sort_values("i").tail(n)
         state.update((buf["i"].astype("int64").tolist(), buf["p"].astype("float64").tolist(),
                       buf["y"].astype("int32").tolist(), int(seen)))
         y = buf["y"].to_numpy(dtype="float64")

@@ -149,11 +149,18 @@ def checkpoint_dir(spark: SparkSession, name: str) -> str:
 
 
 def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = None, mode: str = "append",
-          trigger: dict | None = None, foreach_batch=None) -> tuple[StreamingQuery, str]:
+          trigger: dict | None = None, foreach_batch=None,
+          state_partitions: int | None = None) -> tuple[StreamingQuery, str]:
     """Start a query with its checkpoint under the shared folder. ``trigger``
     e.g. ``{"processingTime": "100 milliseconds"}`` (T1) or
-    ``{"availableNow": True}``. Returns (query, output path)."""
+    ``{"availableNow": True}``. Returns (query, output path).
+
+    A stateful query fixes its number of state partitions at its first start
+    (kept in the checkpoint). ``state_partitions`` (default: the cluster's
+    parallelism) sets it for this query only."""
     spark = df.sparkSession
+    if state_partitions is None:
+        state_partitions = spark.sparkContext.defaultParallelism
     out = path or scratch_path(spark, f"sink-{name}")
     w = df.writeStream.queryName(f"{name}_{abs(hash(out)) % 100000}").outputMode(mode).option(
         "checkpointLocation", checkpoint_dir(spark, name))
@@ -162,7 +169,14 @@ def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = No
         w = w.foreachBatch(lambda b, i: foreach_batch(b, i, out))
     else:
         w = w.format(sink).option("path", out)
-    return w.start(), out
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        q = w.start()
+    finally:
+        spark.conf.set(key, before)
+    return q, out
 
 
 def overwrite_batch(b: DataFrame, epoch: int, out: str) -> None:
