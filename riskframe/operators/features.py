@@ -53,18 +53,33 @@ def group_stats_to_rows(df: DataFrame, key: str, aggs: dict) -> DataFrame:
 
 
 def trailing_count(df: DataFrame, key: str = "customer_id", time_col: str = "Time",
-                   seconds: int = 86400, name: str = "tx_freq_24h") -> DataFrame:
+                   seconds: int = 86400, name: str = "tx_freq_24h", method: str = "auto",
+                   id_col: str = "transaction_id", max_bucket_rows: int = 5_000_000) -> DataFrame:
     """Rows of the same key with time in ``[t - seconds, t]`` (inclusive,
     equal times included), i.e. ``COUNT(*) OVER (PARTITION BY key ORDER BY t
     RANGE BETWEEN seconds PRECEDING AND CURRENT ROW)``.
 
-    A per-key window would put a hot key into one task. Instead time is cut
-    into buckets of ``seconds``; each row also sends a slim copy (key, time)
-    to the next bucket, so every frame lies inside one (key, bucket)
-    partition, which holds at most two buckets of one key.
+    A per-key window would put a hot key into one task. Two plans:
+
+    * ``bucket``: time is cut into buckets of ``seconds``; each row also sends
+      a slim copy (key, time) to the next bucket, so every frame lies inside
+      one (key, bucket) partition, which holds at most two buckets of one
+      key. One shuffle.
+    * ``ranked``: no group is ever held by one task. Each row emits a marker
+      at ``t - seconds`` (sorting before rows at that time) and one at ``t``
+      (after rows at that time); a global running count of real rows over
+      (key, time, kind, id), range-partitioned, gives
+      ``count = cum(marker t) - cum(marker t - seconds)``.
+    * ``auto``: ``bucket`` unless the largest (key, bucket) group exceeds
+      ``max_bucket_rows`` (one partial-aggregate pass to check).
     """
     t = F.col(time_col)
     bucket = F.floor(t / float(seconds))
+    if method == "auto":
+        biggest = df.groupBy(key, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        method = "ranked" if (biggest or 0) > max_bucket_rows and id_col in df.columns else "bucket"
+    if method == "ranked":
+        return _trailing_count_ranked(df, key, time_col, seconds, name, id_col)
     real = df.withColumns({"_bkt": bucket, "_real": F.lit(True)})
     ghost = df.select(key, time_col).withColumns({"_bkt": bucket + 1, "_real": F.lit(False)})
     u = real.unionByName(ghost, allowMissingColumns=True)
@@ -73,6 +88,22 @@ def trailing_count(df: DataFrame, key: str = "customer_id", time_col: str = "Tim
             .filter(F.col("_real")).drop("_bkt", "_real"))
 
 
+def _trailing_count_ranked(df, key, time_col, seconds, name, id_col):
+    from riskframe.operators import prefix
+
+    base = df.select(F.col(key).alias("_key"), F.col(time_col).cast("double").alias("_t"), F.col(id_col).alias("_id"))
+    real = base.withColumns({"_kind": F.lit(1), "_w": F.lit(1.0)})
+    lo = base.select("_key", (F.col("_t") - float(seconds)).alias("_t"), "_id",
+                     F.lit(0).alias("_kind"), F.lit(0.0).alias("_w"))
+    hi = base.select("_key", "_t", "_id", F.lit(2).alias("_kind"), F.lit(0.0).alias("_w"))
+    marks = prefix.running(real.unionByName(lo).unionByName(hi), ["_key", "_t", "_kind", "_id"], {"_c": "_w"})
+    marks = marks.filter(F.col("_kind") != 1)
+    cnt = marks.groupBy("_id").agg(
+        (F.max(F.when(F.col("_kind") == 2, F.col("_c"))) - F.max(F.when(F.col("_kind") == 0, F.col("_c"))))
+        .cast("long").alias(name))
+    return df.join(cnt, df[id_col] == cnt["_id"], "left").drop("_id")
+
+
 def fill_feature_nulls(df: DataFrame, amount: str = "Amount", mean_source: DataFrame | None = None) -> DataFrame:
     """P5: merchant rate -> 0, customer average -> global mean Amount
     (a scalar subquery), frequency -> 1."""

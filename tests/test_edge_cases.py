@@ -271,3 +271,24 @@ def test_prepare_job_fits_on_train_only(spark, sf_dir):
     assert "features" in train.columns and len(train.first().features) >= 6
     ids = train.select("transaction_id").intersect(test.select("transaction_id")).count()
     assert ids == 0
+
+
+def test_trailing_count_ranked_equals_bucketed_with_a_hot_key(spark):
+    rng = np.random.default_rng(3)
+    n = 3000
+    cust = np.where(rng.random(n) < 0.4, 7, rng.integers(0, 30, n))   # one customer holds ~40 %
+    t = np.round(rng.random(n) * 5 * 86400, 0)
+    t[:50] = 86400.0 * 2   # equal times, and exactly one day apart from others
+    t[50:80] = 86400.0
+    pdf = pd.DataFrame({"transaction_id": np.arange(n), "customer_id": cust, "Time": t})
+    df = spark.createDataFrame(pdf)
+    a = {r.transaction_id: r.tx_freq_24h for r in FE.trailing_count(df, method="bucket").collect()}
+    b = {r.transaction_id: r.tx_freq_24h for r in FE.trailing_count(df, method="ranked").collect()}
+    assert a == b
+    g = pdf.groupby("customer_id")
+    exp = {}
+    for _, sub in g:
+        tt = sub["Time"].to_numpy()
+        for i, ti in zip(sub["transaction_id"], tt):
+            exp[i] = int(((tt >= ti - 86400) & (tt <= ti)).sum())
+    assert a == exp
