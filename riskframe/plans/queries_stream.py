@@ -147,6 +147,16 @@ register("X2_stream_detector", sql("scored", """a AS (SELECT merchant_id, fraud_
   min(t) FILTER (WHERE t >= 30 AND (up > 50.0 OR down > 50.0)) AS first_at FROM c GROUP BY merchant_id"""))(_detector)
 
 
+def _stream_adwin(spark, d):
+    """D1 keyed and exact: ADWIN per merchant over the streamed amounts."""
+    s = SS.tx_stream(spark, d)
+    return SS.run_to_table(ST.fold_detector(s, "merchant_id", "Amount", factory=ST.AdwinDetector), "adwin",
+                           mode="update", keys=["merchant_id"])
+
+
+register("D1_stream_adwin")(_stream_adwin)
+
+
 def _c6(spark, d):
     qs = SS.start_scoring(spark, d)
     for q, _ in qs.values():

@@ -292,3 +292,39 @@ def test_trailing_count_ranked_equals_bucketed_with_a_hot_key(spark):
         for i, ti in zip(sub["transaction_id"], tt):
             exp[i] = int(((tt >= ti - 86400) & (tt <= ti)).sum())
     assert a == exp
+
+
+def test_page_hinkley_detector_matches_batch_statistic_and_detects_shift(spark):
+    from riskframe.operators import drift as DRF
+    from riskframe.streaming.state import PageHinkleyDetector
+
+    xs = [0.1] * 400 + [0.9] * 400
+    d, flags = PageHinkleyDetector(threshold=20.0), []
+    for x in xs:
+        d.update(x)
+        flags.append(d.drift_detected)
+    first = flags.index(True) + 1
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "transaction_id long, x double")
+    ph = DRF.page_hinkley(df, "x", ["transaction_id"], threshold=20.0)
+    assert ph.filter("drift").agg(F.min("t")).first()[0] == first
+    assert 400 < first < 500
+    forgetful = PageHinkleyDetector(threshold=20.0, alpha=0.9)
+    for x in xs:
+        forgetful.update(x)
+    assert abs(forgetful.m) < 10  # sums decay instead of growing without bound
+
+
+def test_stream_adwin_detector_finds_step_change():
+    from riskframe.streaming.state import AdwinDetector
+
+    rng = np.random.default_rng(1)
+    d, hits = AdwinDetector(), []
+    for i, x in enumerate(np.r_[rng.normal(10, 1, 500), rng.normal(20, 1, 500)]):
+        d.update(x)
+        if d.drift_detected:
+            hits.append(i)
+    assert hits and 500 <= hits[0] < 560
+    flat = AdwinDetector()
+    for x in rng.normal(10, 1, 1000):
+        flat.update(x)
+        assert not flat.drift_detected
