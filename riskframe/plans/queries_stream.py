@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskframe.functions import scalars as X
 from riskframe.operators import features as FE
 from riskframe.plans import views as V
 from riskframe.plans.catalog import register

@@ -118,7 +118,8 @@ def windowed_rates(scored: DataFrame, window: str = "1 day", watermark: str = "1
 
 
 def sessions(scored: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Session windows per customer (delivery plumbing for T4/T7)."""
+    """Session windows per customer (delivery plumbing for T4/T7); append
+    mode: a session is emitted once the watermark passes its end."""
     return (scored.withWatermark("ts", watermark).groupBy("customer_id", F.session_window("ts", gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("n"), F.max("fraud_probability").alias("max_probability")))
 

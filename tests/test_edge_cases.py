@@ -1,7 +1,6 @@
 """Hand-made edge cases (FIXTURES.md section 7)."""
 
 import datetime as dt
-import math
 
 import numpy as np
 import pandas as pd
@@ -328,3 +327,50 @@ def test_stream_adwin_detector_finds_step_change():
     for x in rng.normal(10, 1, 1000):
         flat.update(x)
         assert not flat.drift_detected
+
+
+def _event_files(spark, tmp_path, rows):
+    schema = "transaction_id long, customer_id long, ts timestamp, fraud_probability double, prediction int"
+    for i, chunk in enumerate(rows):
+        spark.createDataFrame(chunk, schema).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    return T._parse_datatype_string(schema)
+
+
+def test_stream_sessions_and_sliding_windows(spark, tmp_path):
+    from riskframe.streaming import stream as SS
+
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    m = dt.timedelta(minutes=1)
+    rows = [[(1, 1, t0, 0.2, 0), (2, 1, t0 + 10 * m, 0.9, 1), (3, 2, t0 + 5 * m, 0.4, 0)],
+            [(4, 1, t0 + 100 * m, 0.3, 0), (5, 2, t0 + 300 * m, 0.1, 0)]]
+    schema = _event_files(spark, tmp_path, rows)
+    src = SS.file_stream(spark, str(tmp_path / "in") + "/*", schema, max_files_per_trigger=1)
+    out = SS.run_to_table(SS.sessions(src), "sess", mode="append").collect()
+    # sessions are emitted once the watermark (latest event - 1 h) passes their end:
+    # customer 1 has a two-row session (10 min apart, gap 30 min) and a later one;
+    # customer 2's last session is still open
+    c1 = sorted((r.n, r.max_probability) for r in out if r.customer_id == 1)
+    assert c1 == [(1, 0.3), (2, 0.9)]
+    assert [r.n for r in out if r.customer_id == 2] == [1]
+    src2 = SS.file_stream(spark, str(tmp_path / "in") + "/*", schema, max_files_per_trigger=1)
+    slid = SS.run_to_table(SS.windowed_rates(src2, window="1 hour", slide="30 minutes"), "slide",
+                           mode="update", keys=["window_start"]).collect()
+    by_start = {r.window_start: r.n for r in slid}
+    assert by_start["2024-01-01 09:30:00"] == 3 and by_start["2024-01-01 10:00:00"] == 3
+
+
+def test_processing_time_trigger_loop(spark, tmp_path):
+    from riskframe.streaming import stream as SS
+
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    rows = [[(i, 1, t0, 0.9, 1)] for i in range(4)]
+    schema = _event_files(spark, tmp_path, rows)
+    src = SS.file_stream(spark, str(tmp_path / "in") + "/*", schema, max_files_per_trigger=1)
+    q, out = SS.start(SS.alerts(src), "loop", trigger={"processingTime": "100 milliseconds"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(out)
+    assert got.count() == 4 and got.first().message == "High-risk transaction detected: 0.9000"
+    assert SS.read_predictions(spark, out, limit=2).count() == 2
