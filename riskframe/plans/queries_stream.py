@@ -110,8 +110,7 @@ register("T9_update_messages")(_updates)
 def _replay(spark, d):
     """The events table replayed as 10 ordered files, consumed two
     files per micro-batch; one row per micro-batch."""
-    land = scratch_path(spark, "landing")
-    V.table(spark, d, "events").repartitionByRange(10, "event_id").write.parquet(land)
+    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 10, scratch_path(spark, "landing"))
     s = SS.score_stream(SS.tx_stream(spark, d, max_files_per_trigger=2, events_dir=land, events_glob="*.parquet"))
     out = scratch_path(spark, "sink-batches")
 
@@ -127,6 +126,21 @@ def _replay(spark, d):
 register("T1_micro_batches")(_replay)
 
 
+def _live(spark, d):
+    """T5 kept current: the events replayed as 10 ordered files, two per
+    micro-batch; each row carries its customer's count and mean amount over
+    all strictly earlier transactions."""
+    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 10, scratch_path(spark, "landing-live"))
+    s = SS.tx_stream(spark, d, max_files_per_trigger=2, events_dir=land, events_glob="*.parquet")
+    return SS.run_to_table(SS.live_profiles(s), "live")
+
+
+register("T5_live_profiles", sql("tx", body="""SELECT customer_id, transaction_id,
+  count(*) OVER w AS profile_tx_count,
+  CAST(sum(CAST(round("Amount" * 100) AS BIGINT)) OVER w AS DOUBLE) / count(*) OVER w / 100.0::DOUBLE AS avg_amount_per_customer
+FROM tx WINDOW w AS (PARTITION BY customer_id ORDER BY transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))(_live)
+
+
 def _detector(spark, d):
     s = _scored_stream(spark, d)
     return SS.run_to_table(ST.fold_detector(s, "merchant_id", "fraud_probability"), "detector", mode="update",

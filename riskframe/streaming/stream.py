@@ -33,6 +33,23 @@ def file_stream(spark: SparkSession, directory: str, schema, fmt: str = "parquet
     return r.load(directory)
 
 
+def land_in_order(df: DataFrame, order: str, n_files: int, path: str) -> str:
+    """Replay helper: land a table as ``n_files`` files, one per consecutive
+    range of ``order``, written one after another so the file source (which
+    takes files oldest first) replays them in order. Range bounds come from
+    ``approxQuantile`` (n_files - 1 numbers)."""
+    bounds = df.approxQuantile(order, [i / n_files for i in range(1, n_files)], 0.0001)
+    edges = [None, *sorted(set(bounds)), None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col(order) > lo)
+        if hi is not None:
+            cond = cond & (F.col(order) <= hi)
+        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after checking the row count; larger tables
     keep a shuffle join (AQE does not re-plan streaming micro-batches)."""
@@ -219,19 +236,66 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: list[str]
     return spark.read.parquet(out)
 
 
+def live_profiles(stream: DataFrame, key: str = "customer_id", amount: str = "Amount",
+                  order: str = "transaction_id") -> DataFrame:
+    """T5 with profiles kept current: each row gets its key's count and mean
+    amount over all strictly earlier rows (by ``order``), from per-key state
+    (a count and an exact sum of cents, two numbers per key) plus an
+    in-batch prefix. No profile table is rewritten per micro-batch, and the
+    result does not depend on where micro-batches are cut (rows are assumed
+    to arrive in ``order`` per key; a late row sees the state at arrival).
+    Append mode: one output row per input row."""
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out = T.StructType([T.StructField(key, T.LongType()), T.StructField(order, T.LongType()),
+                        T.StructField("profile_tx_count", T.LongType()),
+                        T.StructField("avg_amount_per_customer", T.DoubleType())])
+    st = T.StructType([T.StructField("n", T.LongType()), T.StructField("cents", T.LongType())])
+
+    def fold(k, batches, state):
+        import numpy as np
+        import pandas as pd
+
+        n, c = state.get if state.exists else (0, 0)
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        pdf = pd.concat(parts).sort_values(order)
+        cents = np.round(pdf[amount].to_numpy(dtype="float64") * 100.0).astype("int64")
+        prior_n = n + np.arange(len(pdf), dtype="int64")
+        prior_c = c + np.cumsum(cents) - cents
+        with np.errstate(invalid="ignore", divide="ignore"):
+            avg = np.where(prior_n > 0, prior_c / prior_n / 100.0, np.nan)
+        state.update((int(n + len(pdf)), int(c + cents.sum())))
+        yield pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(),
+                            "profile_tx_count": prior_n, "avg_amount_per_customer": avg})
+
+    return stream.select(key, order, amount).groupBy(key).applyInPandasWithState(
+        fold, out, st, "append", GroupStateTimeout.NoTimeout)
+
+
 def read_predictions(spark: SparkSession, path: str, limit: int = 100, order: str = "transaction_id") -> DataFrame:
     """Consume up to ``limit`` results in order."""
     return spark.read.parquet(path).orderBy(order).limit(limit)
 
 
 def start_scoring(spark: SparkSession, sf_dir: str, scorer=None, name: str = "model",
-                  trigger: dict | None = None, max_files_per_trigger: int | None = None) -> dict:
-    """One source, three sinks: predictions (append), alerts (append)
-    and running metrics (complete). Returns the queries and their paths."""
+                  trigger: dict | None = None, max_files_per_trigger: int | None = None,
+                  buffer_key: str | None = "merchant_id", buffer_size: int = 1000) -> dict:
+    """One source, four sinks: predictions (append), alerts (append),
+    running metrics (complete) and the bounded last-N buffer per
+    ``buffer_key`` (update). Returns the queries and their paths."""
+    from riskframe.streaming.state import last_n_buffer
+
     scored = score_stream(tx_stream(spark, sf_dir, max_files_per_trigger), scorer, name)
     preds = scored.select("transaction_id", "fraud_probability", "risk_level", "prediction")
     qp, pp = start(preds, "predictions", trigger=trigger)
     qa, pa = start(alerts(scored), "alerts", trigger=trigger)
     qm, pm = start(running_metrics(scored), "metrics", mode="complete", trigger=trigger,
                    foreach_batch=overwrite_batch)
-    return {"predictions": (qp, pp), "alerts": (qa, pa), "metrics": (qm, pm)}
+    out = {"predictions": (qp, pp), "alerts": (qa, pa), "metrics": (qm, pm)}
+    if buffer_key:
+        out["buffer"] = start(last_n_buffer(scored, buffer_key, n=buffer_size), "buffer", mode="update",
+                              trigger=trigger, foreach_batch=append_versioned)
+    return out

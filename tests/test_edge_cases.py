@@ -374,3 +374,21 @@ def test_processing_time_trigger_loop(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == 4 and got.first().message == "High-risk transaction detected: 0.9000"
     assert SS.read_predictions(spark, out, limit=2).count() == 2
+
+
+def test_live_profiles_use_only_earlier_rows(spark, sf_dir):
+    from riskframe.plans.catalog import QUERIES, load_all
+    from riskframe.plans import views as V
+
+    load_all()
+    got = QUERIES["T5_live_profiles"](spark, sf_dir).toPandas().set_index("transaction_id").sort_index()
+    tx = V.tx(spark, sf_dir).select("transaction_id", "customer_id", "Amount").toPandas()
+    tx = tx.sort_values("transaction_id")
+    tx["cents"] = (tx.Amount * 100).round().astype("int64")
+    g = tx.groupby("customer_id")
+    tx["n"] = g.cumcount()
+    tx["c"] = g["cents"].cumsum() - tx["cents"]
+    tx = tx.set_index("transaction_id").sort_index()
+    assert (got["profile_tx_count"] == tx["n"]).all()
+    exp = (tx["c"] / tx["n"].where(tx["n"] > 0)) / 100.0
+    assert np.allclose(got["avg_amount_per_customer"], exp, equal_nan=True)
