@@ -195,3 +195,40 @@ LEFT JOIN (SELECT customer_id, CAST(sum(CAST("Amount" AS DECIMAL(38,2))) AS DOUB
   ON nw.customer_id = cp.customer_id
 LEFT JOIN (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS r FROM tr GROUP BY merchant_id) mp
   ON nw.merchant_id = mp.merchant_id"""))(_enrich)
+
+
+def _hist_sql_over(view: str, src: str, col: str, bins: int, extra=()) -> str:
+    return sql(view, *extra, f"""hv AS (SELECT {col} AS v FROM {src})""",
+               """mm AS (SELECT min(v) AS lo, max(v) AS hi FROM hv)""",
+               f"""h AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) * ({bins}.0 / (hi - lo))), {bins - 1}) END AS INTEGER) AS bin, lo, hi
+        FROM hv, mm WHERE v IS NOT NULL)""",
+               body=f"""SELECT bin, round(lo + bin * ((hi - lo) / {bins}.0), 6) AS lower,
+  round(lo + (bin + 1) * ((hi - lo) / {bins}.0), 6) AS upper, count(*) AS n
+FROM h GROUP BY bin, lo, hi""")
+
+
+register("A11_histogram_v1", _hist_sql_over("ml", "ml", '"V1"', 50))(
+    lambda spark, d: PR.histogram(V.ml(spark, d), "V1", 50))
+register("A11_histogram_score", _hist_sql_over("scored", "scored", "fraud_probability", 30))(
+    lambda spark, d: PR.histogram(V.scored(spark, d), "fraud_probability", 30))
+register("A11_histogram_activity", _hist_sql_over(
+    "tx", "act", "CAST(n AS DOUBLE)", 50, extra=("""act AS (SELECT customer_id, count(*) AS n FROM tx GROUP BY 1)""",)))(
+    lambda spark, d: PR.histogram(V.tx(spark, d).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")), "n", 50))
+
+
+def _box_rate(spark, d):
+    t = V.tx(spark, d).select("transaction_id", "merchant_id", "Class")
+    f = FE.attach(t, FE.merchant_profile(t), "merchant_id")
+    return PR.box_stats(f, "merchant_fraud_rate", "Class")
+
+
+register("A12_box_merchant_rate_by_class", sql(
+    "tx", """f AS (SELECT t.transaction_id, t."Class", mp.r AS v FROM tx t
+  LEFT JOIN (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS r FROM tx GROUP BY 1) mp ON t.merchant_id = mp.merchant_id)""",
+    """q AS (SELECT "Class", quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) AS q3
+  FROM f GROUP BY "Class")""",
+    body="""SELECT f."Class", round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
+  round(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
+  round(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+  count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
+FROM f JOIN q ON f."Class" = q."Class" GROUP BY f."Class", q1, med, q3"""))(_box_rate)

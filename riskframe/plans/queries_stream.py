@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import features as FE
+from riskframe.operators import windows as WN
 from riskframe.plans import views as V
 from riskframe.plans.catalog import register
 from riskframe.plans.oracle import sql
@@ -190,3 +191,9 @@ def _sink_predictions(spark, d):
                                                       "prediction"), "s8")
     q.awaitTermination()
     return out
+
+
+register("W3_last_alerts", sql("scored", body="""SELECT transaction_id, fraud_probability, 'HIGH' AS severity
+FROM scored WHERE fraud_probability > 0.8 ORDER BY transaction_id DESC LIMIT 100"""))(
+    lambda spark, d: WN.last_n(SS.alerts(SS.score_stream(V.scored(spark, d).drop("fraud_probability")))
+                               .drop("message"), 100))
