@@ -98,7 +98,7 @@ def _updates(spark, d):
     out = scratch_path(spark, "sink-updates")
 
     def each(b, epoch, _):
-        SS.update_message(b).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(out)
+        SS.update_message(b).write.mode("overwrite").parquet(SS.epoch_dir(out, epoch, "epoch"))
 
     q, _ = SS.start(_scored_stream(spark, d), "updates", foreach_batch=each)
     q.awaitTermination()
@@ -109,15 +109,15 @@ register("T9_update_messages")(_updates)
 
 
 def _replay(spark, d):
-    """The events table replayed as 10 ordered files, consumed two
-    files per micro-batch; one row per micro-batch."""
-    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 10, scratch_path(spark, "landing"))
-    s = SS.score_stream(SS.tx_stream(spark, d, max_files_per_trigger=2, events_dir=land, events_glob="*.parquet"))
+    """The events table replayed as 5 ordered files, one file per
+    micro-batch (``maxFilesPerTrigger``); one row per micro-batch."""
+    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 5, scratch_path(spark, "landing"))
+    s = SS.score_stream(SS.tx_stream(spark, d, max_files_per_trigger=1, events_dir=land, events_glob="*.parquet"))
     out = scratch_path(spark, "sink-batches")
 
     def each(b, epoch, _):
-        b.agg(F.count(F.lit(1)).alias("rows"), F.min("transaction_id").alias("first_id")).withColumn(
-            "batch", F.lit(epoch).cast("long")).write.mode("append").parquet(out)
+        b.agg(F.count(F.lit(1)).alias("rows"), F.min("transaction_id").alias("first_id")).write.mode(
+            "overwrite").parquet(SS.epoch_dir(out, epoch, "batch"))
 
     q, _ = SS.start(s, "replay", foreach_batch=each)
     q.awaitTermination()
@@ -128,11 +128,11 @@ register("T1_micro_batches")(_replay)
 
 
 def _live(spark, d):
-    """T5 kept current: the events replayed as 10 ordered files, two per
+    """T5 kept current: the events replayed as 5 ordered files, one per
     micro-batch; each row carries its customer's count and mean amount over
     all strictly earlier transactions."""
-    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 10, scratch_path(spark, "landing-live"))
-    s = SS.tx_stream(spark, d, max_files_per_trigger=2, events_dir=land, events_glob="*.parquet")
+    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 5, scratch_path(spark, "landing-live"))
+    s = SS.tx_stream(spark, d, max_files_per_trigger=1, events_dir=land, events_glob="*.parquet")
     return SS.run_to_table(SS.live_profiles(s), "live")
 
 

@@ -202,15 +202,22 @@ def overwrite_batch(b: DataFrame, epoch: int, out: str) -> None:
     b.write.mode("overwrite").parquet(out)
 
 
+def epoch_dir(out: str, epoch: int, name: str = "_epoch") -> str:
+    """One folder per micro-batch: a retried epoch overwrites its own
+    output, so foreachBatch writes are idempotent."""
+    return f"{out}/{name}={epoch}"
+
+
 def append_versioned(b: DataFrame, epoch: int, out: str) -> None:
-    """foreachBatch sink for update-mode results: append with the epoch, so
-    the newest row per key is the current value."""
-    b.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(out)
+    """foreachBatch sink for update-mode results: each epoch in its own
+    folder (the ``_epoch`` column on read), so the newest row per key is the
+    current value and a retried epoch replaces itself."""
+    b.write.mode("overwrite").parquet(epoch_dir(out, epoch))
 
 
 def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """Read an ``append_versioned`` table: newest row per key."""
-    t = spark.read.parquet(out)
+    t = spark.read.parquet(out).withColumn("_epoch", F.col("_epoch").cast("long"))
     cols = [c for c in t.columns if c not in keys and c != "_epoch"]
     g = t.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_epoch").alias("_v"))
     return g.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
