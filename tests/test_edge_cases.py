@@ -194,8 +194,8 @@ def test_stream_dedupe_and_late_events(spark, tmp_path):
     src = tmp_path / "in"
     schema = "transaction_id long, ts timestamp, Amount double"
     spark.createDataFrame([(1, dt.datetime.fromisoformat("2024-01-01 10:00"), 5.0), (1, dt.datetime.fromisoformat("2024-01-01 10:01"), 5.0),
-                           (2, dt.datetime.fromisoformat("2024-01-01 12:00"), 7.0)], schema).write.parquet(str(src / "a"))
-    spark.createDataFrame([(3, dt.datetime.fromisoformat("2024-01-01 08:00"), 9.0)], schema).write.parquet(str(src / "b"))
+                           (2, dt.datetime.fromisoformat("2024-01-01 12:00"), 7.0)], schema).coalesce(1).write.parquet(str(src / "a"))
+    spark.createDataFrame([(3, dt.datetime.fromisoformat("2024-01-01 08:00"), 9.0)], schema).coalesce(1).write.parquet(str(src / "b"))
     s = SS.file_stream(spark, str(src) + "/*", T._parse_datatype_string(schema), max_files_per_trigger=1)
     d = SS.run_to_table(SS.dedupe(s), "dedupe")
     ids = sorted(r.transaction_id for r in d.collect())
@@ -332,7 +332,8 @@ def test_stream_adwin_detector_finds_step_change():
 def _event_files(spark, tmp_path, rows):
     schema = "transaction_id long, customer_id long, ts timestamp, fraud_probability double, prediction int"
     for i, chunk in enumerate(rows):
-        spark.createDataFrame(chunk, schema).write.parquet(str(tmp_path / "in" / f"f{i}"))
+        # one file per chunk: the file source takes files oldest first
+        spark.createDataFrame(chunk, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
     return T._parse_datatype_string(schema)
 
 
