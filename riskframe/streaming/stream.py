@@ -142,7 +142,10 @@ def sessions(scored: DataFrame, gap: str = "30 minutes", watermark: str = "1 hou
 
 
 def dedupe(stream: DataFrame, key: str = "transaction_id", watermark: str = "1 hour") -> DataFrame:
-    """Drop repeated ids within the watermark (bounded state)."""
+    """Drop repeated ids within the watermark (bounded state). Rows older
+    than the watermark are dropped as late; Spark filters late rows with the
+    watermark carried from the previous micro-batch, so a row becomes late
+    one batch after the watermark has passed it."""
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 

@@ -193,14 +193,18 @@ def test_stream_dedupe_and_late_events(spark, tmp_path):
 
     src = tmp_path / "in"
     schema = "transaction_id long, ts timestamp, Amount double"
-    spark.createDataFrame([(1, dt.datetime.fromisoformat("2024-01-01 10:00"), 5.0), (1, dt.datetime.fromisoformat("2024-01-01 10:01"), 5.0),
-                           (2, dt.datetime.fromisoformat("2024-01-01 12:00"), 7.0)], schema).coalesce(1).write.parquet(str(src / "a"))
-    spark.createDataFrame([(3, dt.datetime.fromisoformat("2024-01-01 08:00"), 9.0)], schema).coalesce(1).write.parquet(str(src / "b"))
+    ts = dt.datetime.fromisoformat
+    files = [[(1, ts("2024-01-01 10:00"), 5.0), (1, ts("2024-01-01 10:01"), 5.0), (2, ts("2024-01-01 12:00"), 7.0)],
+             [(4, ts("2024-01-01 12:30"), 6.0)],
+             [(3, ts("2024-01-01 08:00"), 9.0)]]
+    for i, rows in enumerate(files):   # one file each, consumed oldest first
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"f{i}"))
     s = SS.file_stream(spark, str(src) + "/*", T._parse_datatype_string(schema), max_files_per_trigger=1)
     d = SS.run_to_table(SS.dedupe(s), "dedupe")
     ids = sorted(r.transaction_id for r in d.collect())
-    # id 1 repeated -> kept once; id 3 arrives after the watermark (12:00 - 1h) -> dropped
-    assert ids == [1, 2]
+    # id 1 repeated -> kept once; id 3 (08:00) arrives after the watermark
+    # (12:00 - 1 h) was established in an earlier batch -> dropped as late
+    assert ids == [1, 2, 4]
 
 
 def test_save_load_round_trips(spark, sf_dir, tmp_path):
