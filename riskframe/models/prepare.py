@@ -110,15 +110,25 @@ def split_key(id_col: str = "transaction_id", seed: int = 42):
 def stratified_split(df: DataFrame, label: str = "Class", test_size: float = 0.2, seed: int = 42,
                      id_col: str = "transaction_id") -> DataFrame:
     """M4: per class, the ``ceil(test_size * n_c)`` rows with the smallest
-    md5 keys are ``test``, the rest ``train``. Stable under repartitioning and
-    re-runs; the per-class rank is the distributed prefix count, so the big
-    class is not ranked in one task."""
+    md5 keys (ties by id) are ``test``, the rest ``train``. Stable under
+    repartitioning and re-runs.
+
+    Only a narrow (class, key, id) projection is ranked (distributed prefix
+    count, so the big class is not ranked in one task); the rank gives one
+    cut-off (key, id) per class, a table bounded by the number of classes
+    that is broadcast, and the wide rows are labelled in place by comparing
+    against it: they are never shuffled."""
     keyed = df.withColumn("_key", split_key(id_col, seed))
-    ranked = prefix.running(keyed, ["_key", id_col], {"_r": F.lit(1.0)}, by=[label])
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    j = ranked.join(F.broadcast(counts), label, "left")
-    return j.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_nc") * test_size), "test")
-                        .otherwise("train")).drop("_key", "_r", "_nc")
+    narrow = keyed.select(label, "_key", id_col)
+    counts = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    ranked = prefix.running(narrow, ["_key", id_col], {"_r": F.lit(1.0)}, by=[label])
+    cut = (ranked.join(F.broadcast(counts), label, "inner")
+           .filter(F.col("_r") == F.ceil(F.col("_nc") * test_size))
+           .select(label, F.col("_key").alias("_ck"), F.col(id_col).alias("_cid")))
+    j = keyed.join(F.broadcast(cut), label, "left")
+    is_test = (F.col("_key") < F.col("_ck")) | ((F.col("_key") == F.col("_ck")) & (F.col(id_col) <= F.col("_cid")))
+    return j.withColumn("split", F.when(F.coalesce(is_test, F.lit(False)), "test").otherwise("train")).drop(
+        "_key", "_ck", "_cid")
 
 
 def save_preprocessor(model: PipelineModel, path: str) -> None:
