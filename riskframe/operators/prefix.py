@@ -25,12 +25,30 @@ from riskframe.session import ensure_checkpoint_dir, scratch_path
 _OPS = ("sum", "min", "max")
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def auto_partitions(df: DataFrame) -> int:
+    """Range partitions for ``df``: Catalyst's size estimate / 128 MiB, at
+    least twice the cluster's core count (every core busy, with slack for
+    uneven ranges) and at most ``spark.sql.shuffle.partitions`` (the
+    cluster's own shuffle sizing; also bounds the per-partition offsets
+    table)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no JVM plan access (e.g. Spark Connect): use the cap
+        return max(cores, cap)
+    want = -(-size // TARGET_PARTITION_BYTES)
+    return max(2 * cores, min(cap, want))
+
+
 def _ranged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
-    """Range exchange on the order, sorted inside each partition. Without an
-    explicit count AQE may coalesce adjacent (small) ranges; coalescing keeps
-    the ranges in order, so partition indices stay monotone in the order."""
-    r = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    return r.sortWithinPartitions(*order)
+    """Range exchange on the order, sorted inside each partition."""
+    n = partitions or auto_partitions(df)
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def _local_scan(names, ops):
