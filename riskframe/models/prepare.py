@@ -115,20 +115,21 @@ def stratified_split(df: DataFrame, label: str = "Class", test_size: float = 0.2
 
     Only a narrow (class, key, id) projection is ranked (distributed prefix
     count, so the big class is not ranked in one task); the rank gives one
-    cut-off (key, id) per class, a table bounded by the number of classes
-    that is broadcast, and the wide rows are labelled in place by comparing
-    against it: they are never shuffled."""
+    cut-off (key, id) per class, a table bounded by the number of classes,
+    whose values become literals of one ``CASE`` expression: the wide rows
+    are labelled in place, never shuffled or joined."""
     keyed = df.withColumn("_key", split_key(id_col, seed))
     narrow = keyed.select(label, "_key", id_col)
     counts = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     ranked = prefix.running(narrow, ["_key", id_col], {"_r": F.lit(1.0)}, by=[label])
-    cut = (ranked.join(F.broadcast(counts), label, "inner")
-           .filter(F.col("_r") == F.ceil(F.col("_nc") * test_size))
-           .select(label, F.col("_key").alias("_ck"), F.col(id_col).alias("_cid")))
-    j = keyed.join(F.broadcast(cut), label, "left")
-    is_test = (F.col("_key") < F.col("_ck")) | ((F.col("_key") == F.col("_ck")) & (F.col(id_col) <= F.col("_cid")))
-    return j.withColumn("split", F.when(F.coalesce(is_test, F.lit(False)), "test").otherwise("train")).drop(
-        "_key", "_ck", "_cid")
+    cuts = (ranked.join(F.broadcast(counts), label, "inner")
+            .filter(F.col("_r") == F.ceil(F.col("_nc") * test_size))
+            .select(label, "_key", id_col).collect())   # one row per class
+    is_test = F.lit(False)
+    for cls, ck, cid in cuts:
+        below = (F.col("_key") < F.lit(ck)) | ((F.col("_key") == F.lit(ck)) & (F.col(id_col) <= F.lit(cid)))
+        is_test = F.when(F.col(label) == F.lit(cls), below).otherwise(is_test)
+    return keyed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_key")
 
 
 def save_preprocessor(model: PipelineModel, path: str) -> None:
