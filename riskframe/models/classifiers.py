@@ -102,8 +102,16 @@ def register_scorer(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     SCORERS[name] = fn
 
 
-def model_scorer(name: str, model) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: positive_probability(model.transform(df), name)
+def model_scorer(name: str, model, preprocessor=None,
+                 prepare_fn: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Wrap a fitted classifier. ``prepare_fn`` (e.g. feature engineering
+    with stored profiles) and ``preprocessor`` (the fitted ``PipelineModel``)
+    run inside the scorer, so validation (P3) sees the raw columns."""
+    def score(df: DataFrame) -> DataFrame:
+        d = prepare_fn(df) if prepare_fn else df
+        d = preprocessor.transform(d) if preprocessor is not None else d
+        return positive_probability(model.transform(d), name)
+    return score
 
 
 def flag_scorer(name: str, flag_fn: Callable[[DataFrame], DataFrame], flag_col: str = "anomaly_flag"):

@@ -397,3 +397,17 @@ def test_live_profiles_use_only_earlier_rows(spark, sf_dir):
     assert (got["profile_tx_count"] == tx["n"]).all()
     exp = (tx["c"] / tx["n"].where(tx["n"] > 0)) / 100.0
     assert np.allclose(got["avg_amount_per_customer"], exp, equal_nan=True)
+
+
+def test_scoring_raw_rows_through_preprocessing_scorer(spark, sf_dir):
+    from riskframe.plans import views as V
+
+    tx = V.tx(spark, sf_dir).drop("ts")
+    feats = FE.engineer_features(tx)
+    pm = PP.fit_preprocessor(feats, ["Amount", "Time", "avg_amount_per_customer"])
+    lr = CL.train_logit(PP.with_weights(pm.transform(feats)), "lr", max_iter=20)
+    scorer = CL.model_scorer("lr", lr, preprocessor=pm, prepare_fn=lambda d: FE.engineer_features(d, fit_df=tx))
+    preds = CL.score_batch(tx, scorer, name="lr")
+    s = R.batch_summary(preds, by=None).first()
+    assert s.total_transactions == tx.count()
+    assert s.high_risk_count + s.medium_risk_count + s.low_risk_count == s.total_transactions
