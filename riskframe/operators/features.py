@@ -154,6 +154,23 @@ def engineer_features(df: DataFrame, unit: str = "seconds", freq: str = "trailin
     return fill_feature_nulls(out, mean_source=fit)
 
 
+def profile_features(df: DataFrame, fit_df: DataFrame, unit: str = "seconds", label: str = "Class") -> DataFrame:
+    """Features for scoring, batch or streaming: time parts, and per-customer
+    and per-merchant profiles fitted on ``fit_df`` (history) attached by
+    left joins (stream-static joins on a stream). ``tx_freq_24h`` is the
+    customer's history count here (velocity over live traffic comes from
+    ``streaming.stream.live_profiles``). Fill values are literals computed
+    once from the history (two numbers), so the plan has no subquery."""
+    cp = customer_profile(fit_df).withColumnRenamed("tx_count", "tx_freq_24h")
+    mp = merchant_profile(fit_df, label=label)
+    mean_amount, = fit_df.agg(X.exact_avg("Amount", 2)).first()
+    out = attach(attach(time_features(df, unit=unit), cp, "customer_id"), mp, "merchant_id")
+    return out.withColumns({
+        "avg_amount_per_customer": F.coalesce("avg_amount_per_customer", F.lit(mean_amount)),
+        "tx_freq_24h": F.coalesce("tx_freq_24h", F.lit(1).cast("long")),
+        "merchant_fraud_rate": F.coalesce("merchant_fraud_rate", F.lit(0.0))})
+
+
 def align_on_id(left: DataFrame, right: DataFrame, key: str = "transaction_id") -> DataFrame:
     """Pair predictions with labels/values by id (the reference zips by
     position, which a distributed table does not have)."""
