@@ -69,19 +69,27 @@ def adwin_alert(df: DataFrame, value: str = "Amount", time_col: str = "Time", bu
 
 
 def page_hinkley(df: DataFrame, x, order: list, delta: float = 0.005, threshold: float = 50.0,
-                 min_instances: int = 30) -> DataFrame:
+                 min_instances: int = 30, alpha: float = 1.0) -> DataFrame:
     """Page-Hinkley statistics per row of a global order.
 
-    ``m_t = sum_{i<=t} (x_i - mean_i - delta)`` (increase) and
-    ``u_t = sum (mean_i - x_i - delta)`` (decrease); the statistic is the
-    distance from their running minimum; drift when it exceeds
-    ``threshold`` after ``min_instances`` rows."""
+    ``m_t = alpha * m_{t-1} + (x_t - mean_t - delta)`` (increase) and
+    ``u_t = alpha * u_{t-1} + (mean_t - x_t - delta)`` (decrease), with
+    ``mean_t`` the running mean; the statistic is the distance from their
+    running minimum; drift when it exceeds ``threshold`` after
+    ``min_instances`` rows. ``alpha < 1`` is the forgetting factor (an
+    affine scan, :func:`prefix.decayed_running`); ``alpha = 1`` uses plain
+    prefix sums."""
     xv = F.col(x) if isinstance(x, str) else x
     a = prefix.running(df.withColumn("_x", xv.cast("double")), order, {"_t": F.lit(1.0), "_sx": F.col("_x")})
     a = a.withColumn("_xbar", F.col("_sx") / F.col("_t"))
-    b = prefix.running(a, order, {"_sxbar": F.col("_xbar")})
-    b = b.withColumns({"ph_m": F.col("_sx") - F.col("_sxbar") - F.lit(delta) * F.col("_t"),
-                       "ph_u": F.col("_sxbar") - F.col("_sx") - F.lit(delta) * F.col("_t")})
+    if alpha != 1.0:
+        d_up = F.col("_x") - F.col("_xbar") - F.lit(delta)
+        d_dn = F.col("_xbar") - F.col("_x") - F.lit(delta)
+        b = prefix.decayed_running(a, order, {"ph_m": d_up, "ph_u": d_dn}, alpha).withColumn("_sxbar", F.lit(0.0))
+    else:
+        b = prefix.running(a, order, {"_sxbar": F.col("_xbar")})
+        b = b.withColumns({"ph_m": F.col("_sx") - F.col("_sxbar") - F.lit(delta) * F.col("_t"),
+                           "ph_u": F.col("_sxbar") - F.col("_sx") - F.lit(delta) * F.col("_t")})
     c = prefix.running(b, order, {"_minm": F.col("ph_m"), "_minu": F.col("ph_u")},
                        ops={"_minm": "min", "_minu": "min"})
     stat_up = F.col("ph_m") - F.col("_minm")

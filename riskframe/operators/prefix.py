@@ -199,3 +199,79 @@ def _running_by(df, by, order, values, ops, partitions):
     for n in vals:
         out = out.withColumn(n, F.col(n) - F.col(f"_gs_{n}"))
     return out.drop(*[f"_gs_{n}" for n in vals])
+
+
+def _decayed_local(v: np.ndarray, alpha: float) -> np.ndarray:
+    """L_k = alpha * L_{k-1} + v_k from L_0 = 0, vectorised in blocks short
+    enough that alpha^-k stays far from overflow."""
+    if alpha == 1.0:
+        return np.cumsum(v)
+    out = np.empty(len(v))
+    step = max(1, int(50.0 / -np.log(alpha)))
+    prev = 0.0
+    for s in range(0, len(v), step):
+        blk = v[s:s + step]
+        k = np.arange(1, len(blk) + 1, dtype="float64")
+        out[s:s + len(blk)] = alpha ** k * (prev + np.cumsum(blk * alpha ** (-k)))
+        prev = out[s + len(blk) - 1]
+    return out
+
+
+def decayed_running(df: DataFrame, order: list, values: Mapping[str, Column | str], alpha: float,
+                    partitions: int | None = None) -> DataFrame:
+    """Running sums with a forgetting factor over a global order:
+    ``m_t = alpha * m_{t-1} + v_t`` (``alpha = 1``: plain running sum).
+
+    The recurrence is an affine scan: each range partition computes its local
+    decayed sums from zero (vectorised), the per-partition table (length,
+    last local value; one row per partition, a bounded table) gives the
+    carry into each partition by ``C_{p+1} = alpha^len_p * C_p + L_p``, and
+    ``m_t = alpha^k * C_p + L_t`` for the k-th row of partition p."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    names = list(values)
+    prep = df
+    for n in names:
+        v = values[n]
+        prep = prep.withColumn(f"_dv_{n}", (F.col(v) if isinstance(v, str) else v).cast("double"))
+    ordered = _ranged(prep, order, partitions)
+    schema = T.StructType(list(prep.schema.fields)
+                          + [T.StructField(f"_dl_{n}", T.DoubleType(), True) for n in names]
+                          + [T.StructField("_k", T.LongType(), False), T.StructField("_pid", T.IntegerType(), False)])
+
+    def scan(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        seen, carry = 0, {n: 0.0 for n in names}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            k = np.arange(1, len(pdf) + 1, dtype="int64")
+            for n in names:
+                v = np.nan_to_num(pd.to_numeric(pdf[f"_dv_{n}"], errors="coerce").to_numpy(dtype="float64"))
+                loc = _decayed_local(v, alpha) + carry[n] * alpha ** k.astype("float64")
+                carry[n] = loc[-1]
+                pdf[f"_dl_{n}"] = loc
+            pdf["_k"] = k + seen
+            seen += len(pdf)
+            pdf["_pid"] = pid
+            yield pdf
+
+    path = scratch_path(spark, "decayed")
+    ordered.mapInPandas(scan, schema).write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    last = stored.groupBy("_pid").agg(F.max("_k").alias("_len"),
+                                      *[F.max_by(f"_dl_{n}", "_k").alias(f"_last_{n}") for n in names])
+    rows = sorted(last.collect())            # one row per range partition
+    carries, c = [], {n: 0.0 for n in names}
+    for r in rows:
+        carries.append((r["_pid"], *[c[n] for n in names]))
+        c = {n: alpha ** r["_len"] * c[n] + r[f"_last_{n}"] for n in names}
+    cdf = spark.createDataFrame(carries, T.StructType(
+        [T.StructField("_pid", T.IntegerType())] + [T.StructField(f"_c_{n}", T.DoubleType()) for n in names]))
+    res = stored.join(F.broadcast(cdf), "_pid", "left")
+    for n in names:
+        res = res.withColumn(n, F.pow(F.lit(alpha), F.col("_k").cast("double")) * F.col(f"_c_{n}") + F.col(f"_dl_{n}"))
+    return res.drop(*[f"_dv_{n}" for n in names], *[f"_dl_{n}" for n in names],
+                    *[f"_c_{n}" for n in names], "_k", "_pid")

@@ -433,3 +433,31 @@ def test_trained_model_scores_a_stream(spark, sf_dir):
     ss = {int(r.transaction_id): r.fraud_probability for r in streamed.collect()}
     assert sb.keys() == ss.keys()
     assert max(abs(sb[k] - ss[k]) for k in sb) < 1e-12   # stream replay equals batch
+
+
+def test_page_hinkley_with_forgetting_matches_stream_detector(spark):
+    from riskframe.operators import drift as DRF
+    from riskframe.operators import prefix as PF
+    from riskframe.streaming.state import PageHinkleyDetector
+
+    rng = np.random.default_rng(5)
+    xs = np.r_[rng.normal(0.2, 0.05, 1500), rng.normal(0.8, 0.05, 1500)]
+    alpha = 0.999
+    d, ms, flags = PageHinkleyDetector(threshold=5.0, alpha=alpha), [], []
+    for x in xs:
+        d.update(float(x))
+        ms.append(d.m)
+        flags.append(d.drift_detected)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "transaction_id long, x double")
+    ph = DRF.page_hinkley(df, "x", ["transaction_id"], threshold=5.0, alpha=alpha).orderBy("t").toPandas()
+    assert np.allclose(ph["ph_m"].to_numpy(), ms, atol=1e-9)
+    assert ph["drift"].tolist() == flags
+    # the affine scan equals a sequential loop across many range partitions
+    v = rng.normal(size=5000)
+    vd = spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "id long, v double")
+    got = PF.decayed_running(vd, ["id"], {"m": "v"}, 0.9, partitions=7).orderBy("id").toPandas()["m"].to_numpy()
+    exp, m = [], 0.0
+    for a in v:
+        m = 0.9 * m + a
+        exp.append(m)
+    assert np.allclose(got, exp, atol=1e-9)
