@@ -358,6 +358,29 @@ register("D2_page_hinkley_alert", sql("scored", """a AS (SELECT transaction_id,
 WHERE t >= 30 AND (ph_up > 50.0 OR ph_down > 50.0) ORDER BY t LIMIT 1"""))(
     lambda spark, d: DR.page_hinkley_alert(_ph_stats(spark, d)))
 
+def _ph_forgetting(spark, d):
+    s = V.scored(spark, d).select("transaction_id", ((F.col("fraud_probability") > 0.5) == (F.col("Class") == 1))
+                                  .cast("int").alias("correct"))
+    acc = WN.cumulative_mean(s, "correct", ["transaction_id"], name="accuracy")
+    ph = DR.page_hinkley(acc, "accuracy", ["transaction_id"], alpha=0.999)
+    return ph.select("transaction_id", "t", F.round("ph_up", 6).alias("ph_up"),
+                     F.round("ph_down", 6).alias("ph_down"), "drift")
+
+
+register("D2_page_hinkley_forgetting", sql("scored", """a AS (SELECT transaction_id,
+  row_number() OVER (ORDER BY transaction_id) AS t,
+  sum(CAST((fraud_probability > 0.5) = ("Class" = 1) AS INTEGER)) OVER (ORDER BY transaction_id ROWS UNBOUNDED PRECEDING)
+    / row_number() OVER (ORDER BY transaction_id) AS x FROM scored)""",
+                                           """b AS (SELECT *, sum(x) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) / t AS xbar FROM a)""",
+                                           """m AS (SELECT *,
+  pow(0.999::DOUBLE, t) * sum(pow(0.999::DOUBLE, -t) * (x - xbar - 0.005::DOUBLE)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pm,
+  pow(0.999::DOUBLE, t) * sum(pow(0.999::DOUBLE, -t) * (xbar - x - 0.005::DOUBLE)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pu
+  FROM b)""",
+                                           """mm AS (SELECT *, pm - min(pm) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_up,
+  pu - min(pu) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_down FROM m)""",
+                                           body="""SELECT transaction_id, t, round(ph_up, 6) AS ph_up, round(ph_down, 6) AS ph_down,
+  (t >= 30 AND (ph_up > 50.0 OR ph_down > 50.0)) AS drift FROM mm"""))(_ph_forgetting)
+
 _DRIFT_BODY = """SELECT type, CASE WHEN chg > 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
   what || ' changed by ' || CAST(CAST(round(CAST(chg * 100.0 AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS VARCHAR) || '%' AS message, old_value, new_value FROM (
   SELECT 'Fraud Rate Drift' AS type, 'Fraud rate' AS what, abs(r1 - r0) AS chg, r0 AS old_value, r1 AS new_value FROM fl
