@@ -4,9 +4,12 @@ checkpoint folder from the cluster configuration."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -44,14 +47,18 @@ def get_session(master: str | None = None, app: str = "riskframe",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and points at shared storage;
-    we only invent one (a fresh temporary folder) when it is unset, which is
-    the case in unit tests on a laptop.
+    On a cluster the deployment sets it to shared storage. Only a local master
+    (tests, a laptop), where driver and executors are one process, may fall
+    back to a fresh temporary folder; anywhere else an unset value is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
+                               f"(master {master})")
         d = tempfile.mkdtemp(prefix="riskframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -67,16 +74,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint root for written tables."""
+    """A new sub-folder of the shared checkpoint root for one written table.
+    Application id and a uuid keep drivers apart that share the folder."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/riskframe/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{root}/riskframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table (through the file system the path names)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_counter = _count()
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: pins the rows, cuts
+    the lineage and survives lost executors. Returns the frame and its path
+    (``drop_path`` once nothing reads it any more)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per
+    application, so that tasks can import it from any working folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="riskframe-ship-"), "riskframe_pkg.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("riskframe", os.path.relpath(full, here)))
+    sc.addPyFile(archive)
+
+
+_shipped: set[str] = set()
