@@ -36,3 +36,45 @@ def op10(spark, sf_dir):
     from riskframe.llm.simhash_ball import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def _byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    from riskframe.llm.ga_packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), _byte_bpe())
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark, sf_dir):
+    from riskframe.llm.template_decontam import contaminated
+
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    bad = contaminated(docs, bench)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    out = ids.join(bad, ids["doc_id"].eqNullSafe(bad["doc_id"]), "left")
+    return out.select(ids["doc_id"], F.col("item_ids").isNotNull().alias("contaminated"), "item_ids",
+                      F.coalesce("n_windows", F.lit(0)).alias("n_windows"))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    from riskframe.llm.common import crc_bucket
+    from riskframe.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket("doc_id", 3) == 1)
+    model = fit(docs.where(~F.col("held_out")))
+    return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf_dir):
+    from riskframe.llm.cdc_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "removed_words", "removed_spans", "text")
