@@ -78,3 +78,56 @@ def op8(spark, sf_dir):
     from riskframe.llm.cdc_dedup import dedup_substrings
 
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "removed_words", "removed_spans", "text")
+
+
+@query("op1_sharding")
+def op1(spark, sf_dir):
+    from riskframe.llm.sharding import shard_rows
+
+    out = shard_rows(table(spark, sf_dir, "documents"), n_shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    from riskframe.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_lm_scoring")
+def op4(spark, sf_dir):
+    from riskframe.llm.deleted_interpolation import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_embedding_near_dedup")
+def op9(spark, sf_dir):
+    from riskframe.llm.rabitq_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_chat_formatting")
+def op3(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from riskframe.llm.reply_trees import format_trees, read_loss, read_turns
+
+    hard = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)],
+                                                  "conv_id long, turn long, role string, text string"))
+    # rows by turn: each row answers the one before
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    tree = rows.select("conv_id", place.alias("node"), (place - 1).alias("parent"), "role", "text")
+    out = format_trees(tree, tree="conv_id", score=None)
+    turns = F.array_join(F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = read_loss(F.col("formatted"), F.col("loss"))
+    return out.select(F.col("tree").alias("conv_id"), F.size(read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+                      F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+                      F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
