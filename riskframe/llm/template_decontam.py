@@ -6,12 +6,13 @@ a unit of measure ``<unit>``; other words stay, in lower case. Benchmark items
 are cut into windows of ``window`` template words (a shorter item is one
 window). A window is looked up by its anchor, its longest plain word: the
 documents' words are hash-joined with the anchors, and around each match the
-document's window must have the same template hash. Then its slots must be
-filled consistently: two slots of the document hold the same word exactly where
-the benchmark's do. A window whose words are literally the same, but for case,
-needs no such check. Windows with fewer than ``min_plain`` plain words are too
-vague for the template path and must match literally; a window without any
-plain word has no anchor and is left out (an item of names and numbers only).
+document's window must have the same template hash. The windows that a document
+shares with an item at one offset then must be filled consistently: the item's
+words and the document's words in the slots map one to one. A window whose words
+are literally the same, but for case, needs no such check. Windows with fewer
+than ``min_plain`` plain words are too vague for the template path and must match
+literally; a window without any plain word has no anchor and is left out (an
+item of names and numbers only).
 
 Null and empty texts hold nothing; items that are null, empty or without plain
 words match nothing. Everything is DataFrame functions; documents are never
@@ -52,10 +53,9 @@ def template(ws: Column) -> Column:
     return F.transform(ws, canonical)
 
 
-def fillings(ws: Column) -> Column:
-    """Which slots hold equal words: for each slot the place of its word's first use."""
-    slots = F.transform(F.filter(ws, lambda w: kind(w).isNotNull()), F.lower)
-    return F.transform(slots, lambda w: F.array_position(slots, w))
+def slots(ws: Column) -> Column:
+    """Words in the placeholders, in order."""
+    return F.transform(F.filter(ws, lambda w: kind(w).isNotNull()), F.lower)
 
 
 def lower_all(ws: Column) -> Column:
@@ -63,20 +63,20 @@ def lower_all(ws: Column) -> Column:
 
 
 def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """All windows of the benchmark with an anchor: (item_id, n, anchor, before
-    (words before the anchor), template, literal, filled, plain)."""
+    """All windows of the benchmark with an anchor: (item_id, at (place in the
+    item), n, anchor, before (words before the anchor), template, literal, filled, plain)."""
     ws = bench.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - window + 1))
     win = ws.select("item_id", "ws", F.explode(starts).alias("at")).select(
-        "item_id", F.slice("ws", F.col("at"), window).alias("w"))
+        "item_id", "at", F.slice("ws", F.col("at"), window).alias("w"))
     plain = F.filter(F.transform("w", lambda x, i: F.struct(F.length(x).alias("size"), F.lower(x).alias("word"),
                                                             (-i).alias("i"), kind(x).isNull().alias("plain"))),
                      lambda s: s["plain"])
-    win = win.select("item_id", "w", plain.alias("p")).where(F.size("p") > 0)
+    win = win.select("item_id", "at", "w", plain.alias("p")).where(F.size("p") > 0)
     best = F.array_max("p")
-    return win.select("item_id", F.size("w").alias("n"), best["word"].alias("anchor"), (-best["i"]).alias("before"),
+    return win.select("item_id", "at", F.size("w").alias("n"), best["word"].alias("anchor"), (-best["i"]).alias("before"),
                       F.xxhash64(template(F.col("w"))).alias("template"), F.xxhash64(lower_all(F.col("w"))).alias("literal"),
-                      fillings(F.col("w")).alias("filled"), F.size("p").alias("plain")).distinct()
+                      slots(F.col("w")).alias("filled"), F.size("p").alias("plain")).distinct()
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -85,18 +85,28 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     benchmark window in it; n_windows counts matches, over rows that repeat the
     id. A null id stands for all rows without one."""
     win = windows(bench, window=window)
-    tok = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("ws"))
-    tok = tok.select("doc_id", "ws", F.posexplode("ws").alias("pos", "word"))
-    tok = tok.withColumn("anchor", F.when(kind(F.col("word")).isNull(), F.lower("word")))
+    tok = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+                      words(F.col(text_col)).alias("ws"))
+    tok = tok.select("doc_id", "row", "ws", F.posexplode("ws").alias("pos", "word")).withColumn("anchor", F.lower("word"))
     if win.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         win = F.broadcast(win)
     near = tok.join(win, "anchor").where("pos >= before and pos - before + n <= size(ws)")
     own = near.withColumn("w", F.slice("ws", F.col("pos") - F.col("before") + 1, F.col("n")))
-    same = (F.xxhash64(lower_all(F.col("w"))) == F.col("literal")) | (
-        (F.col("plain") >= min_plain) & (F.xxhash64(template(F.col("w"))) == F.col("template"))
-        & (fillings(F.col("w")) == F.col("filled")))
-    return (own.where(same).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("n").alias("n_windows")))
+    own = own.withColumn("same", F.xxhash64(lower_all(F.col("w"))) == F.col("literal")).where(
+        F.col("same") | ((F.col("plain") >= min_plain) & (F.xxhash64(template(F.col("w"))) == F.col("template"))))
+    # a literal match has no slots to check (its case may differ, and with it its placeholders)
+    pairs = F.when(F.col("same"), F.array().cast("array<struct<b:string,d:string>>")).otherwise(
+        F.zip_with("filled", slots(F.col("w")), lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
+    found = own.select("doc_id", "row", "item_id", (F.col("pos") - F.col("before") - F.col("at")).alias("offset"), "at", "same",
+                       pairs.alias("pairs"))
+    # what one place of one document shares with one item: bounded by the item's length
+    place = found.groupBy("doc_id", "row", "item_id", "offset").agg(
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.count(F.lit(1)).alias("n"),
+        F.count_if("same").alias("n_same"))
+    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs")) & (
+        F.size(F.array_distinct(F.transform("pairs", lambda x: x["d"]))) == F.size("pairs"))
+    hits = place.withColumn("n", F.when(one_to_one, F.col("n")).otherwise(F.col("n_same"))).where("n > 0")
+    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("n").alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
