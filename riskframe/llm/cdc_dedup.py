@@ -109,10 +109,13 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def later_occurrences(ch: DataFrame) -> DataFrame:
     """(doc_id, dups): for each document the chunks that occurred before, as
     structs (start, length, digest, first_doc); a document's own share only.
-    ``ch`` is used twice; a digest's rows are never gathered."""
+    ``ch`` is used twice; a digest's rows are never gathered. The repeated
+    digests are written, so that the join stands alone in its stage and the
+    adaptive skew join can split a digest that very many documents share."""
     first = (ch.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
              .where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc"),
                                     F.col("first.start").alias("first_start")))
+    first, _ = materialize(first, "cdc-first")
     dup = ch.join(first, "digest").where("doc_id <> first_doc or start <> first_start")
     return dup.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "digest", "first_doc")).alias("dups"))
 
