@@ -91,13 +91,16 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     if win.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         win = F.broadcast(win)
     near = tok.join(win, "anchor").where("pos >= before and pos - before + n <= size(ws)")
-    own = near.withColumn("w", F.slice("ws", F.col("pos") - F.col("before") + 1, F.col("n")))
+    # a generated column keeps the checks below out of the join: with their lambdas in its condition the join could
+    # not be compiled together with the explode, and every word's row would carry a copy of its text
+    own = near.select("doc_id", "row", "item_id", "at", "pos", "before", "template", "literal", "filled", "plain",
+                      F.explode(F.array(F.slice("ws", F.col("pos") - F.col("before") + 1, F.col("n")))).alias("w"))
     own = own.withColumn("same", F.xxhash64(lower_all(F.col("w"))) == F.col("literal")).where(
         F.col("same") | ((F.col("plain") >= min_plain) & (F.xxhash64(template(F.col("w"))) == F.col("template"))))
     # a literal match has no slots to check (its case may differ, and with it its placeholders)
     pairs = F.when(F.col("same"), F.array().cast("array<struct<b:string,d:string>>")).otherwise(
         F.zip_with("filled", slots(F.col("w")), lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
-    found = own.select("doc_id", "row", "item_id", (F.col("pos") - F.col("before") - F.col("at")).alias("offset"), "at", "same",
+    found = own.select("doc_id", "row", "item_id", (F.col("pos") - F.col("before") - F.col("at")).alias("offset"), "same",
                        pairs.alias("pairs"))
     # what one place of one document shares with one item: bounded by the item's length
     place = found.groupBy("doc_id", "row", "item_id", "offset").agg(
