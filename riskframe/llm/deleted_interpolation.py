@@ -39,14 +39,14 @@ from riskframe.llm.common import crc_bucket, parts_for, text_bytes
 from riskframe.session import materialize
 
 #: text bytes of a block, and text bytes for each bucket of the hash space
-BLOCK_TEXT, BUCKET_TEXT = 16_000_000, 12_000_000
+BLOCK_TEXT, BUCKET_TEXT = 10_000_000, 12_000_000
 #: which of the ten parts is held out from the counts to learn the weights, and which is never learned from
 DELETED, HELD_OUT = 1, 0
 #: hash of the end token: no word has it but by chance
 END = np.uint64(0x2545F4914F6CDD1D)
 PAIR_BITS = 56
 #: context-frequency classes (0: never seen; else one for each doubling), and steps of a doubling in the held-out table
-CLASSES, STEPS = 32, 8
+CLASSES, STEPS = 32, 4
 WORD, PAIR, TOKENS, STATS = 0, 1, 2, 3
 
 
@@ -109,6 +109,7 @@ class Block:
         and kind, and one with the tokens."""
         length = np.array([len(w) for w in self.words], np.uint32)
         word = np.concatenate(self.words)
+        self.words = []
         start = np.cumsum(length) - length
         learn = np.repeat(np.array(self.learn), length)
         distinct, code = np.unique(word, return_inverse=True)

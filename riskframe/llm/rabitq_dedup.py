@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import local_forest
 from riskframe.llm.components import connected_components
 from riskframe.session import materialize
 
@@ -226,6 +227,18 @@ def exact_links(pairs: DataFrame, classes: DataFrame, dim: int, threshold: float
     return joined.mapInArrow(run, "a long, b long, cosine double")
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) that connect the same classes: a spanning forest of
+    each Arrow batch, so a clique goes on as few links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, root = local_forest(b.column(0).to_numpy(), b.column(1).to_numpy())
+            keep = node != root
+            yield pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(node[keep])], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of ``table``."""
@@ -250,7 +263,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     copies = classes.select(F.col("rid").alias("other"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(copies, both["b"] == copies["other"]).groupBy(F.col("a").alias("rid")).agg(F.sum("copies").alias("outer"))
-    roots = connected_components(links, "a", "b").select(F.col("node").alias("rid"), "root")
+    roots = connected_components(spanning(links), "a", "b").select(F.col("node").alias("rid"), "root")
     named = classes.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     info = (named.join(low, "root").join(degree, "rid", "left")
