@@ -39,11 +39,10 @@ def day_of_week(time_col="Time", unit: str = "seconds") -> Column:
 
 
 def risk_band(p="fraud_probability", high: float = S.HIGH_CUT, medium: float = S.MEDIUM_CUT) -> Column:
-    """F3. Strict cut-offs: > high -> High, > medium -> Medium, else Low.
-    NaN and null are not scores: callers divert them first (M15); here they
-    fall to Low only if they reach the band at all."""
+    """F3. Strict cut-offs: > high -> High, > medium -> Medium, else Low. NaN
+    and null are not scores: their band is ``Error`` (M15)."""
     p = col_(p)
-    return (F.when(F.isnan(p) | p.isNull(), F.lit("Low"))
+    return (F.when(F.isnan(p) | p.isNull(), F.lit("Error"))
             .when(p > high, F.lit("High"))
             .when(p > medium, F.lit("Medium"))
             .otherwise(F.lit("Low")))
@@ -136,14 +135,17 @@ def round6(x) -> Column:
     return F.round(col_(x), 6)
 
 
-def exact_sum(x, scale: int = 2) -> Column:
-    """Sum of a fixed-scale quantity (money: 2 decimals, scores: 6) as an
-    exact decimal, returned as double. Order-independent, so every engine
-    and every partitioning gives the same bits."""
-    return F.sum(col_(x).cast(f"decimal(38,{scale})")).cast("double")
+#: wide enough that a double of ordinary size (below 1e20) keeps its digits
+EXACT = "decimal(38,18)"
 
 
-def exact_avg(x, scale: int = 2) -> Column:
+def exact_sum(x) -> Column:
+    """Sum over an 18-decimal fixed point, returned as double: independent of
+    order and partitioning, and no coarser than the doubles it sums."""
+    return F.sum(col_(x).cast(EXACT)).cast("double")
+
+
+def exact_avg(x) -> Column:
     """Mean from :func:`exact_sum` (null for no values)."""
     c = col_(x)
-    return exact_sum(c, scale) / F.count(c)
+    return exact_sum(c) / F.count(c)

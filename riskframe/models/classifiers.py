@@ -29,8 +29,10 @@ def _named(est, name):
 def train_gbt(train: DataFrame, name: str = "gbt", features: str = "features", label: str = "Class",
               weight: str | None = "weight", max_iter: int = 1000, max_depth: int = 6, step: float = 0.1,
               subsample: float = 0.9, feature_subset: str = "0.9", min_instances: int = 3,
-              checkpoint_interval: int = 10, seed: int = 42):
-    """M5: boosted trees. ``checkpointInterval`` cuts the lineage of the
+              checkpoint_interval: int = 10, seed: int = 42, validation: str | None = None):
+    """M5: boosted trees, up to ``max_iter`` rounds. ``validation``: a boolean
+    column; boosting stops once the error on its rows no longer falls (the rows
+    are not trained on). ``checkpointInterval`` cuts the lineage of the
     per-round predictions (to the shared checkpoint folder)."""
     est = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=feature_subset,
@@ -39,6 +41,8 @@ def train_gbt(train: DataFrame, name: str = "gbt", features: str = "features", l
     _named(est, name)
     if weight:
         est.setWeightCol(weight)
+    if validation:
+        est.setValidationIndicatorCol(validation)
     return est.fit(train)
 
 
@@ -124,23 +128,32 @@ def udf_scorer(name: str, pandas_fn, cols: list[str]):
 
 
 def score_batch(df: DataFrame, scorer: str | Callable, name: str | None = None,
-                required=("Time", "Amount"), id_col: str = "transaction_id") -> DataFrame:
-    """M13 + M15: validate (P3), score valid rows, band them (F3); invalid
-    rows get probability 0.0, band ``Error`` and the reasons, and rejoin by
-    union (no row loop, no join)."""
+                required=S.REQUIRED_COLUMNS, id_col: str = "transaction_id", one_pass: bool = True) -> DataFrame:
+    """M13 + M15: validate every required column (P3), score, band (F3). Invalid
+    rows get probability 0.0, band ``Error`` and the reasons; so does a row that
+    the model gives no score. Rows without an id are named by their place.
+
+    One pass over the source: all rows go through the scorer, the required
+    columns of invalid rows as nulls. A scorer that fails on nulls or drops rows
+    needs ``one_pass=False``: then valid rows alone are scored and the others
+    rejoin by a union."""
     fn = SCORERS[scorer] if isinstance(scorer, str) else scorer
     name = name or (scorer if isinstance(scorer, str) else "model")
+    p, at = F.col(f"p_{name}"), F.monotonically_increasing_id()
     v = VA.with_violations(df, required=required)
-    good = fn(v.filter(F.size("violations") == 0))
-    good = good.select(X.default_tx_id(id_col).alias("transaction_id"),
-                       F.col(f"p_{name}").alias("fraud_probability"),
-                       X.risk_band(f"p_{name}").alias("risk_level"), F.lit(name).alias("model_used"),
-                       F.lit(None).cast("string").alias("error"))
-    bad = v.filter(F.size("violations") > 0).select(
-        X.default_tx_id(id_col).alias("transaction_id"), F.lit(0.0).alias("fraud_probability"),
-        F.lit("Error").alias("risk_level"), F.lit(name).alias("model_used"),
-        F.array_join("violations", "; ").alias("error"))
-    return good.unionByName(bad)
+    v = v.withColumns({id_col: X.default_tx_id(id_col, at)} if id_col in df.columns else {id_col: X.default_tx_id(F.lit(None), at)})
+    bad = F.size("violations") > 0
+    if one_pass:
+        present = [c for c in required if c in df.columns]
+        rows = fn(v.withColumns({c: F.when(~bad, F.col(c)) for c in present}))
+    else:
+        rows = fn(v.where(~bad)).unionByName(v.where(bad), allowMissingColumns=True)
+    none = p.isNull() | F.isnan(p)
+    return rows.select(
+        F.col(id_col).alias("transaction_id"), F.when(bad | none, F.lit(0.0)).otherwise(p).alias("fraud_probability"),
+        F.when(bad, F.lit("Error")).otherwise(X.risk_band(p)).alias("risk_level"), F.lit(name).alias("model_used"),
+        F.when(bad, F.array_join("violations", "; ")).when(none, F.lit("no score")).alias("error"),
+        X.iso_now().alias("prediction_time"))
 
 
 def multi_model(df: DataFrame, names: list[str], thresholds: dict[str, float] | None = None,

@@ -1,8 +1,8 @@
 """Isolation forest (M9; Liu, Ting & Zhou 2008).
 
-* Sampling: every row of a hash-sampled pool (about ``trees * max_samples``
-  rows, a bound fixed by the parameters) is assigned to trees by a hash of
-  (id, replica); each tree keeps at most ``max_samples`` rows.
+* Sampling: from a pool of ``trees * max_samples`` rows with the smallest hash
+  (all rows where there are fewer), every tree takes exactly ``max_samples``
+  distinct rows, those with the smallest hash of (id, tree).
 * Fitting: ``groupBy(tree).applyInPandas`` grows one tree per group (groups
   are bounded by ``max_samples`` rows) and emits its nodes.
 * Scoring: the node table (at most ``trees * (2 * max_samples - 1)`` rows)
@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.operators import stats
+from riskframe.session import materialize
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = T.StructType([T.StructField(n, t, False) for n, t in [
@@ -120,23 +121,26 @@ def fit(df: DataFrame, features: list[str], trees: int = 200, max_samples: int =
     training scores (exact, distributed)."""
     n = df.count()
     psi = int(min(max_samples, max(n, 1)))
-    want = trees * psi
-    frac = min(1.0, want / max(n, 1))
-    reps = max(1, math.ceil(want / max(n, 1)))
+    size = min(n, trees * psi)
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000_007))
-    pool = df.filter(h < F.lit(int(frac * 1_000_000_007) + 1)) if frac < 1.0 else df
-    rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-    assigned = pool.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(id_col),
-                           rep.alias("_rep"))
-    assigned = assigned.select(*features, F.pmod(F.xxhash64(id_col, "_rep", F.lit(seed)), F.lit(trees))
-                               .cast("int").alias("tree"),
-                               F.xxhash64(id_col, "_rep", F.lit(seed + 1)).alias("_order"))
+    pool = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(id_col), h.alias("_h"))
+    if size < n:  # a hash filter first, with room to spare; then exactly ``size`` rows
+        share = (size + 8 * math.sqrt(size) + 8) / n
+        pool = pool.where(F.col("_h") < F.lit(int(min(1.0, share) * 1_000_000_007) + 1))
+    pool, _ = materialize(pool.orderBy("_h", id_col).limit(size), "iforest-pool")  # trees * psi rows at most
+    # a tree's candidates by a hash filter, then its psi smallest
+    room = 1.0 if size <= 4 * psi else min(1.0, (psi + 8 * math.sqrt(psi) + 8) / size)
+    pick = F.pmod(F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed + 1)), F.lit(1_000_000_007))
+    each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_order", pick)
+    each = each.where(F.col("_order") <= F.lit(int(room * 1_000_000_007)))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_order", id_col))
+    assigned = each.withColumn("_rank", rank).where(F.col("_rank") <= psi).select(*features, "tree", "_order")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     feats = list(features)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("_order").head(psi)
+        pdf = pdf.sort_values("_order")
         rng = np.random.default_rng([seed, t])
         feat, thr, left, right, size = _grow(pdf[feats].to_numpy(dtype="float64"), rng, max_depth)
         return pd.DataFrame({"tree": t, "node": np.arange(len(feat), dtype="int32"), "feature": feat,

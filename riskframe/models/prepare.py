@@ -19,6 +19,10 @@ from riskframe.functions import scalars as X
 from riskframe.operators import prefix
 
 
+#: classes of a label at most, for what is kept as literals
+MAX_CLASSES = 100
+
+
 def fit_label_encoders(df: DataFrame, cols=S.CATEGORICAL_COLUMNS, handle_invalid: str = "keep"):
     """M1: one ``StringIndexerModel`` per present categorical column; codes
     follow sorted value order. ``handle_invalid``: ``error`` raises on an
@@ -96,10 +100,10 @@ def class_weights(df: DataFrame, label: str = "Class") -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str = "Class", name: str = "weight") -> DataFrame:
-    """M3 as a weight column (joined from the class table: one row per
-    class, a fixed-size broadcast)."""
+    """M3 as a weight column, joined from the class table (one row per class;
+    no hint: Spark broadcasts it as long as it is small)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(w, label, "left")
 
 
 def split_key(id_col: str = "transaction_id", seed: int = 42):
@@ -113,22 +117,26 @@ def stratified_split(df: DataFrame, label: str = "Class", test_size: float = 0.2
     md5 keys (ties by id) are ``test``, the rest ``train``. Stable under
     repartitioning and re-runs.
 
+    Rows without a label are a class of their own.
+
     Only a narrow (class, key, id) projection is ranked (distributed prefix
     count, so the big class is not ranked in one task); the rank gives one
-    cut-off (key, id) per class, a table bounded by the number of classes,
-    whose values become literals of one ``CASE`` expression: the wide rows
-    are labelled in place, never shuffled or joined."""
+    cut-off (key, id) per class, whose values become literals of one ``CASE``
+    expression: the wide rows are labelled in place, never shuffled or joined.
+    A label with more than MAX_CLASSES values is an error."""
     keyed = df.withColumn("_key", split_key(id_col, seed))
     narrow = keyed.select(label, "_key", id_col)
-    counts = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    counts = narrow.groupBy(F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("_nc"))
+    if counts.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
     ranked = prefix.running(narrow, ["_key", id_col], {"_r": F.lit(1.0)}, by=[label])
-    cuts = (ranked.join(F.broadcast(counts), label, "inner")
+    cuts = (ranked.join(F.broadcast(counts), ranked[label].eqNullSafe(counts["_c"]), "inner")
             .filter(F.col("_r") == F.ceil(F.col("_nc") * test_size))
             .select(label, "_key", id_col).collect())   # one row per class
     is_test = F.lit(False)
     for cls, ck, cid in cuts:
         below = (F.col("_key") < F.lit(ck)) | ((F.col("_key") == F.lit(ck)) & (F.col(id_col) <= F.lit(cid)))
-        is_test = F.when(F.col(label) == F.lit(cls), below).otherwise(is_test)
+        is_test = F.when(F.col(label).eqNullSafe(F.lit(cls)), below).otherwise(is_test)
     return keyed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_key")
 
 

@@ -39,8 +39,8 @@ def save_models(spark: SparkSession, model_dir: str, models: dict, leaderboard:
         if kind == "iforest":
             IF.save(m, spark, path)
         elif kind == "recon":
-            spark.createDataFrame([(m.features, m.components, m.lo, m.hi)],
-                                  "features array<string>, components array<array<double>>, lo double, hi double"
+            spark.createDataFrame([(m.features, m.components, m.means, m.lo, m.hi)],
+                                  "features array<string>, components array<array<double>>, means array<double>, lo double, hi double"
                                   ).write.mode("overwrite").parquet(path)
         else:
             m.write().overwrite().save(path)
@@ -58,14 +58,12 @@ def load_models(spark: SparkSession, model_dir: str) -> tuple[dict, DataFrame |
             models[name] = IF.load(spark, path)
         elif kind == "recon":
             r = spark.read.parquet(path).first()
-            models[name] = RC.ReconModel(list(r.features), [list(x) for x in r.components], r.lo, r.hi)
+            models[name] = RC.ReconModel(list(r.features), [list(x) for x in r.components], list(r.means), r.lo, r.hi)
         else:
             models[name] = _ML[kind].load(path)
-    try:
-        lb = spark.read.parquet(f"{model_dir}/leaderboard")
-    except Exception:  # saved without metrics
-        lb = None
-    return models, lb
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{model_dir}/leaderboard")
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # a folder may be saved without metrics
+    return models, spark.read.parquet(f"{model_dir}/leaderboard") if there else None
 
 
 def thresholds(leaderboard: DataFrame) -> dict[str, float]:

@@ -1,10 +1,10 @@
 """Drift detection.
 
-* D1 ADWIN, bucketed: per time bucket keep n, sum x, sum x^2 (exact
-  decimals), then test every cut between buckets with the ADWIN bound
-  (Bifet & Gavalda 2007). Buckets bound the state, not the data.
-* D2 Page-Hinkley (Page 1954) over the cumulative accuracy, without
-  forgetting, as chained distributed prefix sums/mins.
+* D1 ADWIN over time buckets: each bucket keeps n, sum x, sum x^2; at the end of
+  every bucket all cuts of what has arrived so far are tested with the ADWIN
+  bound (Bifet & Gavalda 2007). The buckets bound the work, not the data; the
+  streaming form with an exponential histogram is in ``streaming.state``.
+* D2 Page-Hinkley (Page 1954) with a forgetting factor, over one set of ranges.
 * D3/D4 rate and mean-probability drift between the first and last of ten
   windows over the most recent N predictions.
 * D5 an alert log is a union of alert tables.
@@ -12,99 +12,106 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import scalars as X
-from riskframe.operators import prefix
 from riskframe.operators import windows as WN
+from riskframe.operators.prefix import Ranges
+
+#: time buckets at most, whatever the table's span
+MAX_BUCKETS = 1024
 
 
 def adwin_buckets(df: DataFrame, value: str = "Amount", time_col: str = "Time",
-                  bucket_seconds: float = 3600.0, scale: int = 2) -> DataFrame:
-    """Per time bucket: n, sum and sum of squares (exact for fixed-scale
-    values)."""
-    v = F.col(value).cast(f"decimal(38,{scale})")
-    return df.filter(F.col(value).isNotNull()).groupBy(
-        F.floor(F.col(time_col) / bucket_seconds).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
+                  bucket_seconds: float = 3600.0, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Per time bucket: its number, end, n, sum and sum of squares. Buckets are
+    ``bucket_seconds`` wide, or wider where the span would make more than
+    ``max_buckets`` of them. Rows without a time or value don't count."""
+    v, t = F.col(value).cast("double"), F.col(time_col).cast("double")
+    rows = df.filter(v.isNotNull() & ~F.isnan(v) & t.isNotNull())
+    span = rows.agg(F.max(t) - F.min(t)).scalar()
+    width = F.greatest(F.lit(float(bucket_seconds)), span / float(max_buckets - 1))
+    keyed = rows.select(F.floor(t / width).alias("bucket"), v.alias("_v"), width.alias("_w"))
+    return keyed.groupBy("bucket").agg(F.first("_w").alias("width"), F.count(F.lit(1)).alias("n"), X.exact_sum("_v").alias("s"),
+                                       X.exact_sum(F.col("_v") * F.col("_v")).alias("ss"))
 
 
 def adwin_cuts(buckets: DataFrame, delta: float = 0.002, min_window: int = 5) -> DataFrame:
-    """Every cut between consecutive buckets with both sides' means and the
-    ADWIN test: drift when |mu0 - mu1| > eps, with
-    ``eps = sqrt(2 m v d) + 2/3 d m``, ``m = 1/n0 + 1/n1``, ``d = ln(2 ln(n)/delta)``
-    and v the variance of the whole window. The bucket table is bounded by
-    span / bucket width, so a plain window over it is cheap."""
-    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    c = buckets.select("bucket", F.sum("n").over(w).alias("n0"), F.sum("s").over(w).alias("s0"))
-    tot = buckets.agg(F.sum("n").alias("nt"), F.sum("s").alias("st"), F.sum("ss").alias("sst"))
-    nt, st, sst = (tot.select(x).scalar() for x in ("nt", "st", "sst"))
-    n0, s0 = F.col("n0"), F.col("s0")
-    n1, s1 = nt - n0, st - s0
-    mu0 = s0.cast("double") / n0
-    mu1 = s1.cast("double") / n1
-    var = (sst.cast("double") - st.cast("double") * st.cast("double") / nt) / nt
+    """Every cut of every prefix: for each bucket ``end`` and each earlier
+    bucket ``cut``, the means of [first..cut] and [cut+1..end] and the test
+    |mu0 - mu1| > eps, with ``eps = sqrt(2 m v d) + 2/3 d m``, ``m = 1/n0 + 1/n1``,
+    ``d = ln(2 ln(n)/delta)`` and v the variance of the prefix. Nothing after
+    ``end`` is used. At most MAX_BUCKETS buckets, so the window without
+    partitions and the pairs are bounded whatever the table holds."""
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    cum = buckets.select("bucket", "width", F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("s"),
+                         F.sum("ss").over(upto).alias("ss"))
+    past = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.struct(F.col("bucket").alias("cut"), F.col("n").alias("n0"), F.col("s").alias("s0"))
+    ends = cum.withColumn("cuts", F.collect_list(cut).over(past)).select(
+        F.col("bucket").alias("end"), "width", F.col("n").alias("nt"), F.col("s").alias("st"), F.col("ss").alias("sst"),
+        F.explode("cuts").alias("c")).select("end", "width", "nt", "st", "sst", "c.*")
+    n0, n1 = F.col("n0"), F.col("nt") - F.col("n0")
+    mu0, mu1 = F.col("s0") / n0, (F.col("st") - F.col("s0")) / n1
+    var = F.greatest(F.lit(0.0), (F.col("sst") - F.col("st") * F.col("st") / F.col("nt")) / F.col("nt"))
     m = F.lit(1.0) / n0 + F.lit(1.0) / n1
-    d = F.log(F.lit(2.0) * F.log(nt.cast("double")) / F.lit(delta))
+    d = F.log(F.lit(2.0) * F.log(F.col("nt").cast("double")) / F.lit(delta))
     eps = F.sqrt(F.lit(2.0) * m * var * d) + F.lit(2.0 / 3.0) * d * m
-    out = c.select("bucket", n0.alias("n0"), n1.alias("n1"), mu0.alias("mu0"), mu1.alias("mu1"),
-                   eps.alias("eps"))
-    return out.filter((F.col("n0") >= min_window) & (F.col("n1") >= min_window)).withColumn(
-        "drift", F.abs(F.col("mu0") - F.col("mu1")) > F.col("eps"))
+    out = ends.where((n0 >= min_window) & (n1 >= min_window)).select(
+        "end", "cut", "width", n0.alias("n0"), n1.alias("n1"), mu0.alias("mu0"), mu1.alias("mu1"), eps.alias("eps"))
+    return out.withColumn("drift", F.abs(F.col("mu0") - F.col("mu1")) > F.col("eps"))
 
 
 def adwin_alert(df: DataFrame, value: str = "Amount", time_col: str = "Time", bucket_seconds: float = 3600.0,
-                delta: float = 0.002, min_window: int = 5, scale: int = 2) -> DataFrame:
-    """At most one alert, at the first cut that drifts (the reference
-    stops at its first detection per batch)."""
-    cuts = adwin_cuts(adwin_buckets(df, value, time_col, bucket_seconds, scale), delta, min_window)
-    first = cuts.filter("drift").orderBy("bucket").limit(1)
+                delta: float = 0.002, min_window: int = 5) -> DataFrame:
+    """At most one alert, at the first bucket whose prefix has a cut that
+    drifts (the reference stops at its first detection per batch); the oldest
+    such cut is reported."""
+    cuts = adwin_cuts(adwin_buckets(df, value, time_col, bucket_seconds), delta, min_window)
+    first = cuts.filter("drift").orderBy("end", "cut").limit(1)
     return first.select(F.lit("ADWIN").alias("type"), F.lit("High").alias("severity"),
-                        F.lit("Significant drift detected in feature distribution").alias("message"),
-                        F.col("mu0").alias("old_value"), F.col("mu1").alias("new_value"),
-                        ((F.col("bucket") + 1) * bucket_seconds).alias("cut_time"))
+                        F.lit(S.ADWIN_MESSAGE).alias("message"), F.col("mu0").alias("old_value"), F.col("mu1").alias("new_value"),
+                        ((F.col("cut") + 1) * F.col("width")).alias("cut_time"),
+                        ((F.col("end") + 1) * F.col("width")).alias("detected_time"))
 
 
 def page_hinkley(df: DataFrame, x, order: list, delta: float = 0.005, threshold: float = 50.0,
-                 min_instances: int = 30, alpha: float = 1.0) -> DataFrame:
-    """Page-Hinkley statistics per row of a global order.
+                 min_instances: int = 30, alpha: float = S.PH_ALPHA) -> DataFrame:
+    """Page-Hinkley statistics per row of a global order, up to the first
+    detection and beyond (no reset; :func:`page_hinkley_alert` takes the first,
+    where the reference stops).
 
     ``m_t = alpha * m_{t-1} + (x_t - mean_t - delta)`` (increase) and
     ``u_t = alpha * u_{t-1} + (mean_t - x_t - delta)`` (decrease), with
     ``mean_t`` the running mean; the statistic is the distance from their
     running minimum; drift when it exceeds ``threshold`` after
-    ``min_instances`` rows. ``alpha < 1`` is the forgetting factor (an
-    affine scan, :func:`prefix.decayed_running`); ``alpha = 1`` uses plain
-    prefix sums."""
+    ``min_instances`` rows. All passes share one set of ranges: select the order
+    and value columns first."""
     xv = F.col(x) if isinstance(x, str) else x
-    a = prefix.running(df.withColumn("_x", xv.cast("double")), order, {"_t": F.lit(1.0), "_sx": F.col("_x")})
+    r = Ranges(df.withColumn("_x", xv.cast("double")), order)
+    a = r.running(r.rows, {"_t": F.lit(1.0), "_sx": F.col("_x")}, exact=True)
     a = a.withColumn("_xbar", F.col("_sx") / F.col("_t"))
-    if alpha != 1.0:
-        d_up = F.col("_x") - F.col("_xbar") - F.lit(delta)
-        d_dn = F.col("_xbar") - F.col("_x") - F.lit(delta)
-        b = prefix.decayed_running(a, order, {"ph_m": d_up, "ph_u": d_dn}, alpha).withColumn("_sxbar", F.lit(0.0))
+    up, down = F.col("_x") - F.col("_xbar") - F.lit(delta), F.col("_xbar") - F.col("_x") - F.lit(delta)
+    if alpha == 1.0:
+        b = r.running(a, {"ph_m": up, "ph_u": down})
     else:
-        b = prefix.running(a, order, {"_sxbar": F.col("_xbar")})
-        b = b.withColumns({"ph_m": F.col("_sx") - F.col("_sxbar") - F.lit(delta) * F.col("_t"),
-                           "ph_u": F.col("_sxbar") - F.col("_sx") - F.lit(delta) * F.col("_t")})
-    c = prefix.running(b, order, {"_minm": F.col("ph_m"), "_minu": F.col("ph_u")},
-                       ops={"_minm": "min", "_minu": "min"})
+        b = r.decayed(a, {"ph_m": up, "ph_u": down}, alpha)
+    c = r.running(b, {"_minm": F.col("ph_m"), "_minu": F.col("ph_u")}, ops={"_minm": "min", "_minu": "min"})
     stat_up = F.col("ph_m") - F.col("_minm")
     stat_down = F.col("ph_u") - F.col("_minu")
     return c.withColumns({
         "t": F.col("_t").cast("long"), "ph_up": stat_up, "ph_down": stat_down,
         "drift": (F.col("_t") >= min_instances) & ((stat_up > threshold) | (stat_down > threshold)),
-    }).drop("_t", "_sx", "_xbar", "_sxbar", "_minm", "_minu", "_x")
+    }).drop("_t", "_sx", "_xbar", "_minm", "_minu", "_x", "_pid", "_loc")
 
 
 def page_hinkley_alert(ph: DataFrame) -> DataFrame:
     """D2 alert: the first row that drifts."""
     first = ph.filter("drift").orderBy("t").limit(1)
     return first.select(F.lit("PageHinkley").alias("type"), F.lit("Medium").alias("severity"),
-                        F.lit("Model performance degradation detected").alias("message"),
+                        F.lit(S.PH_MESSAGE).alias("message"),
                         F.lit(None).cast("double").alias("old_value"), F.lit(None).cast("double").alias("new_value"),
                         "t")
 
@@ -118,7 +125,7 @@ def window_stats(df: DataFrame, n: int = 1000, n_windows: int = 10, order: str =
     wins = WN.split_windows(recent.filter(enough), n_windows, order)
     return wins.groupBy("window_id").agg(
         F.avg((F.col(pred) == 1).cast("double")).alias("fraud_rate"),
-        X.exact_avg(prob, 6).alias("avg_probability"), F.count(F.lit(1)).alias("n"))
+        X.exact_avg(prob).alias("avg_probability"), F.count(F.lit(1)).alias("n"))
 
 
 def window_drift(stats: DataFrame, change: float = S.DRIFT_CHANGE) -> DataFrame:

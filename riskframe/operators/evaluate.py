@@ -7,19 +7,20 @@ distributed prefix sums, so no step sorts all rows in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators import prefix
+from riskframe.session import materialize
 
 
 def long_scores(df: DataFrame, models: dict, label: str = "Class") -> DataFrame:
-    """(model, score, label) rows from one column (or expression) per model."""
-    parts = [df.select(F.lit(m).alias("model"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("score"),
-                       F.col(label).cast("int").alias("label")) for m, c in models.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """(model, score, label) rows from one column (or expression) per model:
+    one scan, each row unpivoted."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("score"))
+                      for m, c in models.items()])
+    return (df.select(F.col(label).cast("int").alias("label"), F.explode(pairs).alias("x"))
+            .select("x.model", "x.score", "label"))
 
 
 def curve(scores: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def curve(scores: DataFrame) -> DataFrame:
             .join(tot, "model", "left"))
 
 
-def pr_curve(scores: DataFrame, c: DataFrame | None = None) -> DataFrame:
+def pr_curve(scores: DataFrame | None, c: DataFrame | None = None) -> DataFrame:
     """Precision and recall at every distinct threshold (predict positive
     when score >= threshold). Recall is 1 when there are no positives.
     ``c``: a precomputed :func:`curve` to share."""
@@ -54,7 +55,7 @@ def roc_curve(scores: DataFrame) -> DataFrame:
                     F.when(F.col("P") > 0, F.col("tp") / F.col("P")).alias("tpr"))
 
 
-def auc(scores: DataFrame, c: DataFrame | None = None) -> DataFrame:
+def auc(scores: DataFrame | None, c: DataFrame | None = None) -> DataFrame:
     """Exact ROC AUC per model (ties count one half), as the rank-sum
     statistic. The numerator is an exact integer, so the result does not
     depend on summation order. Equals Spark ML's
@@ -102,6 +103,18 @@ def confusion(scores: DataFrame, thresholds: DataFrame, strict: bool = False) ->
         F.count_if(~pred & y).alias("fn"), F.count_if(~pred & ~y).alias("tn"))
 
 
+def confusion_at(c: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """The same counts read off the :func:`curve` (rows with a score), without
+    another pass over the rows."""
+    j = c.join(thresholds, "model", "inner")
+    up = F.col("score") >= F.col("threshold")
+    g = j.groupBy("model", "threshold").agg(
+        F.coalesce(F.sum(F.when(up, F.col("pos"))), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(up, F.col("neg"))), F.lit(0)).alias("fp"),
+        F.first("P").alias("P"), F.first("N").alias("N"))
+    return g.select("model", "threshold", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"))
+
+
 def _div(a, b):
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -131,23 +144,23 @@ def classification_report(conf: DataFrame) -> DataFrame:
          _div(F.col("r0") * F.col("s0") + F.col("r1") * F.col("s1"), F.col("n")),
          _div(f1_0 * F.col("s0") + f1_1 * F.col("s1"), F.col("n")), F.col("n")),
     ]
-    parts = [base.select("model", F.lit(k).alias("class_label"), p.alias("precision"), r.alias("recall"),
-                         f.alias("f1_score"), s.cast("long").alias("support")) for k, p, r, f, s in rows]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    lines = F.array(*[F.struct(F.lit(k).alias("class_label"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+                               f.cast("double").alias("f1_score"), s.cast("long").alias("support")) for k, p, r, f, s in rows])
+    return base.select("model", F.explode(lines).alias("x")).select("model", "x.*")
 
 
 def leaderboard(df: DataFrame, models: dict, label: str = "Class", target: float = 0.90,
                 mode: str = "exact") -> DataFrame:
     """Per model threshold (E2), precision, recall, F1 of class 1,
-    accuracy (E5) and AUC (E3), with the listing order kept in
-    ``model_order`` for K4's tie rule."""
-    s = long_scores(df, models, label).cache()
-    c = curve(s).cache()
-    thr = threshold_for_precision(pr_curve(s, c), target, mode)
-    conf = confusion(s, thr)
+    accuracy (E5) and AUC (E3) over the rows that have a score, with the
+    listing order kept in ``model_order`` for K4's tie rule."""
+    # one row per model and distinct score, written once; everything below reads that
+    c, _ = materialize(curve(long_scores(df, models, label)), "leaderboard-curve")
+    thr = threshold_for_precision(pr_curve(None, c), target, mode)
+    conf = confusion_at(c, thr)
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     p, r = _div(tp, tp + fp), _div(tp, tp + fn)
     m = conf.select("model", "threshold", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1_score"),
                     _div(tp + tn, tp + fp + fn + tn).alias("accuracy"))
     order = F.create_map(*[x for i, k in enumerate(models) for x in (F.lit(k), F.lit(i))])
-    return m.join(auc(s, c), "model", "left").withColumn("model_order", order[F.col("model")])
+    return m.join(auc(None, c), "model", "left").withColumn("model_order", order[F.col("model")])

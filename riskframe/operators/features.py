@@ -3,10 +3,11 @@ velocity, null filling (F1-F2, A3-A4, J1-J4, W1-W2, P5-P6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import scalars as X
+from riskframe.operators import prefix
 
 
 def time_features(df: DataFrame, time_col: str = "Time", unit: str = "seconds") -> DataFrame:
@@ -15,14 +16,10 @@ def time_features(df: DataFrame, time_col: str = "Time", unit: str = "seconds")
                            "day_of_week": X.day_of_week(time_col, unit)})
 
 
-def customer_profile(df: DataFrame, key: str = "customer_id", amount: str = "Amount",
-                     scale: int | None = 2) -> DataFrame:
+def customer_profile(df: DataFrame, key: str = "customer_id", amount: str = "Amount") -> DataFrame:
     """A3: per-customer mean amount and row count. A hash aggregate with a
-    map-side partial step, so a hot customer is combined before the shuffle.
-    ``scale``: amounts are money, summed exactly as decimals (None: plain
-    double mean)."""
-    mean = X.exact_avg(amount, scale) if scale is not None else F.avg(amount)
-    return df.groupBy(key).agg(mean.alias("avg_amount_per_customer"),
+    map-side partial step, so a hot customer is combined before the shuffle."""
+    return df.groupBy(key).agg(X.exact_avg(amount).alias("avg_amount_per_customer"),
                                F.count(F.lit(1)).alias("tx_count"))
 
 
@@ -53,62 +50,35 @@ def group_stats_to_rows(df: DataFrame, key: str, aggs: dict) -> DataFrame:
 
 
 def trailing_count(df: DataFrame, key: str = "customer_id", time_col: str = "Time",
-                   seconds: int = 86400, name: str = "tx_freq_24h", method: str = "auto",
-                   id_col: str = "transaction_id", max_bucket_rows: int = 5_000_000) -> DataFrame:
+                   seconds: int = 86400, name: str = "tx_freq_24h") -> DataFrame:
     """Rows of the same key with time in ``[t - seconds, t]`` (inclusive,
     equal times included), i.e. ``COUNT(*) OVER (PARTITION BY key ORDER BY t
-    RANGE BETWEEN seconds PRECEDING AND CURRENT ROW)``.
-
-    A per-key window would put a hot key into one task. Two plans:
-
-    * ``bucket``: time is cut into buckets of ``seconds``; each row also sends
-      a slim copy (key, time) to the next bucket, so every frame lies inside
-      one (key, bucket) partition, which holds at most two buckets of one
-      key. One shuffle.
-    * ``ranked``: no group is ever held by one task. Each row emits a marker
-      at ``t - seconds`` (sorting before rows at that time) and one at ``t``
-      (after rows at that time); a global running count of real rows over
-      (key, time, kind, id), range-partitioned, gives
-      ``count = cum(marker t) - cum(marker t - seconds)``.
-    * ``auto``: ``bucket`` unless the largest (key, bucket) group exceeds
-      ``max_bucket_rows`` (one partial-aggregate pass to check).
-    """
-    t = F.col(time_col)
-    bucket = F.floor(t / float(seconds))
-    if method == "auto":
-        biggest = df.groupBy(key, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-        method = "ranked" if (biggest or 0) > max_bucket_rows and id_col in df.columns else "bucket"
-    if method == "ranked":
-        return _trailing_count_ranked(df, key, time_col, seconds, name, id_col)
-    real = df.withColumns({"_bkt": bucket, "_real": F.lit(True)})
-    ghost = df.select(key, time_col).withColumns({"_bkt": bucket + 1, "_real": F.lit(False)})
-    u = real.unionByName(ghost, allowMissingColumns=True)
-    w = Window.partitionBy(key, "_bkt").orderBy(t).rangeBetween(-int(seconds), 0)
-    return (u.withColumn(name, F.count(F.lit(1)).over(w))
-            .filter(F.col("_real")).drop("_bkt", "_real"))
-
-
-def _trailing_count_ranked(df, key, time_col, seconds, name, id_col):
-    from riskframe.operators import prefix
-
-    base = df.select(F.col(key).alias("_key"), F.col(time_col).cast("double").alias("_t"), F.col(id_col).alias("_id"))
-    real = base.withColumns({"_kind": F.lit(1), "_w": F.lit(1.0)})
-    lo = base.select("_key", (F.col("_t") - float(seconds)).alias("_t"), "_id",
-                     F.lit(0).alias("_kind"), F.lit(0.0).alias("_w"))
-    hi = base.select("_key", "_t", "_id", F.lit(2).alias("_kind"), F.lit(0.0).alias("_w"))
-    marks = prefix.running(real.unionByName(lo).unionByName(hi), ["_key", "_t", "_kind", "_id"], {"_c": "_w"})
-    marks = marks.filter(F.col("_kind") != 1)
-    cnt = marks.groupBy("_id").agg(
-        (F.max(F.when(F.col("_kind") == 2, F.col("_c"))) - F.max(F.when(F.col("_kind") == 0, F.col("_c"))))
-        .cast("long").alias(name))
-    return df.join(cnt, df[id_col] == cnt["_id"], "left").drop("_id")
+    RANGE BETWEEN seconds PRECEDING AND CURRENT ROW)``: rows without a time
+    count the rows of their key without one.
+
+    A window per key would put a hot key into one task. The count depends on
+    (key, time) only, so the rows are first counted by these (combined
+    map-side); each pair then marks its end ``t`` with its count and its start
+    ``t - seconds`` with nothing, and a distributed running sum over (key, time,
+    start before end) gives ``cum(end) - cum(start)``. That narrow table is
+    joined back; the wide rows are shuffled for that join only, and a hot
+    key's rows are spread over its times."""
+    pairs = df.groupBy(F.col(key).alias("_k"), F.col(time_col).cast("double").alias("_t")).agg(F.count(F.lit(1)).alias("_w"))
+    known = pairs.where("_t is not null")
+    ends = known.select("_k", F.col("_t").alias("_at"), F.lit(1).alias("_end"), "_w", "_t")
+    starts = known.select("_k", (F.col("_t") - float(seconds)).alias("_at"), F.lit(0).alias("_end"), F.lit(0).cast("long").alias("_w"), "_t")
+    marks = prefix.running(ends.unionByName(starts), ["_k", "_at", "_end", "_t"], {"_c": "_w"})
+    count = marks.groupBy("_k", "_t").agg(F.sum(F.when(F.col("_end") == 1, F.col("_c")).otherwise(-F.col("_c"))).cast("long").alias(name))
+    count = count.unionByName(pairs.where("_t is null").select("_k", "_t", F.col("_w").alias(name)))
+    same = df[key].eqNullSafe(count["_k"]) & df[time_col].cast("double").eqNullSafe(count["_t"])
+    return df.join(count, same, "left").drop("_k", "_t")
 
 
 def fill_feature_nulls(df: DataFrame, amount: str = "Amount", mean_source: DataFrame | None = None) -> DataFrame:
     """P5: merchant rate -> 0, customer average -> global mean Amount
     (a scalar subquery), frequency -> 1."""
     src = mean_source if mean_source is not None else df
-    g = src.agg(X.exact_avg(amount, 2)).scalar()
+    g = src.agg(X.exact_avg(amount)).scalar()
     out = df
     if "merchant_fraud_rate" in df.columns:
         out = out.withColumn("merchant_fraud_rate", F.coalesce("merchant_fraud_rate", F.lit(0.0)))
@@ -143,7 +113,7 @@ def engineer_features(df: DataFrame, unit: str = "seconds", freq: str = "trailin
         if freq != "reference":
             out = trailing_count(out)
     else:
-        out = out.withColumns({"avg_amount_per_customer": fit.agg(X.exact_avg("Amount", 2)).scalar(),
+        out = out.withColumns({"avg_amount_per_customer": fit.agg(X.exact_avg("Amount")).scalar(),
                                "tx_freq_24h": F.lit(1).cast("long")})
     if "merchant_id" in df.columns and label in fit.columns:
         out = attach(out, merchant_profile(fit, label=label), "merchant_id")
@@ -163,7 +133,7 @@ def profile_features(df: DataFrame, fit_df: DataFrame, unit: str = "seconds", la
     once from the history (two numbers), so the plan has no subquery."""
     cp = customer_profile(fit_df).withColumnRenamed("tx_count", "tx_freq_24h")
     mp = merchant_profile(fit_df, label=label)
-    mean_amount, = fit_df.agg(X.exact_avg("Amount", 2)).first()
+    mean_amount, = fit_df.agg(X.exact_avg("Amount")).first()
     out = attach(attach(time_features(df, unit=unit), cp, "customer_id"), mp, "merchant_id")
     return out.withColumns({
         "avg_amount_per_customer": F.coalesce("avg_amount_per_customer", F.lit(mean_amount)),

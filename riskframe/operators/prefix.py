@@ -1,13 +1,17 @@
 """Global running aggregates without a single-partition window.
 
-A window with an ``ORDER BY`` and no ``PARTITION BY`` moves every row into
-one task. Here the rows are range-partitioned on the (total) order instead,
-so a hot value is split across tasks like any other range; each task runs a
-vectorised cumulative sum/min/max over its sorted Arrow batches; the local
-results are written to the shared checkpoint folder (this fixes the range
-assignment, cuts lineage and survives executor loss); and the per-partition
-totals (one row per range partition, a bounded table) become offsets that
-are broadcast back.
+A window with an ``ORDER BY`` and no ``PARTITION BY`` moves every row into one
+task. Here the rows are range-partitioned on the (total) order instead, so a
+hot value is split across tasks like any other range, sorted, and written once
+to the shared checkpoint folder together with the range's number (``_pid``) and
+the row's place in it (``_loc``). That fixes the ranges, cuts the lineage and
+survives executor loss. Running sums and extremes are then ordinary windows
+over ``_pid`` on the JVM, and one row per range (a bounded table: input size
+over 128 MiB) carries the offsets. Several passes share one set of ranges.
+
+Only the columns of the frame that is passed in are moved: callers select the
+order, an id and the values, not whole rows. Building a :class:`Ranges` runs a
+job (the write).
 """
 
 from __future__ import annotations
@@ -20,258 +24,159 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.session import ensure_checkpoint_dir, scratch_path
-
-_OPS = ("sum", "min", "max")
-
+from riskframe.functions.scalars import EXACT
+from riskframe.session import ensure_checkpoint_dir, materialize
 
+_OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 
 def auto_partitions(df: DataFrame) -> int:
-    """Range partitions for ``df``: Catalyst's size estimate / 128 MiB, at
-    least twice the cluster's core count (every core busy, with slack for
-    uneven ranges) and at most ``spark.sql.shuffle.partitions`` (the
-    cluster's own shuffle sizing; also bounds the per-partition offsets
-    table)."""
+    """Range partitions for ``df``: the size of the tables it reads (leaves of
+    the optimised plan; a join's own estimate is a product and useless here)
+    over 128 MiB. Where a leaf has no estimate, the session's shuffle partitions."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no JVM plan access (e.g. Spark Connect): use the cap
-        return max(cores, cap)
-    want = -(-size // TARGET_PARTITION_BYTES)
-    return max(2 * cores, min(cap, want))
-
-
-def _ranged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
-    """Range exchange on the order, sorted inside each partition."""
-    n = partitions or auto_partitions(df)
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-
-
-def _local_scan(names, ops):
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry = [None] * len(names)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            for i, (n, op) in enumerate(zip(names, ops)):
-                v = pd.to_numeric(pdf[f"_pv_{n}"], errors="coerce").to_numpy(dtype="float64")
-                if op == "sum":
-                    c = np.cumsum(np.nan_to_num(v, nan=0.0))
-                    if carry[i] is not None:
-                        c = c + carry[i]
-                else:
-                    fill = np.inf if op == "min" else -np.inf
-                    acc = np.minimum if op == "min" else np.maximum
-                    c = acc.accumulate(np.where(np.isnan(v), fill, v))
-                    if carry[i] is not None:
-                        c = acc(c, carry[i])
-                carry[i] = c[-1]
-                pdf[f"_pl_{n}"] = c
-            pdf["_pid"] = pid
-            yield pdf
-    return run
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = 0
+    for i in range(leaves.size()):
+        one = int(str(leaves.apply(i).stats().sizeInBytes()))
+        if one >= 1 << 60:  # no statistics
+            return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        size += one
+    return max(1, -(-size // TARGET_PARTITION_BYTES))
+
+
+class Ranges:
+    """``df`` in ranges of a total ``order``, written once. ``rows`` has its
+    columns plus ``_pid`` and ``_loc``."""
+
+    def __init__(self, df: DataFrame, order: list, partitions: int | None = None):
+        ensure_checkpoint_dir(df.sparkSession)
+        ordered = df.repartitionByRange(partitions or auto_partitions(df), *order).sortWithinPartitions(*order)
+        # partition number in the high bits, place in the partition in the low 33
+        mid = F.monotonically_increasing_id()
+        self.rows, self.path = materialize(
+            ordered.withColumns({"_pid": F.shiftright(mid, 33).cast("int"),
+                                 "_loc": mid.bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
+
+    @staticmethod
+    def running(rows: DataFrame, values: Mapping[str, Column | str], ops: Mapping[str, str] | None = None,
+                exact: bool = False) -> DataFrame:
+        """Add the inclusive running sum (or min, max) of each value over the
+        order. ``rows``: :attr:`rows`, perhaps with columns added by an earlier
+        pass. A null adds nothing; sums start at 0, extremes at null. ``exact``:
+        sum as 18-decimal fixed point, so the ranges' ends leave no trace."""
+        ops = dict(ops or {})
+        for op in ops.values():
+            if op not in _OPS:
+                raise ValueError(f"unsupported running op {op!r}")
+        exprs = {n: (F.col(v) if isinstance(v, str) else v).cast("double") for n, v in values.items()}
+        exprs = {n: F.coalesce(e, F.lit(0.0)) if ops.get(n, "sum") == "sum" else e for n, e in exprs.items()}
+        if exact:
+            exprs = {n: e.cast(EXACT) if ops.get(n, "sum") == "sum" else e for n, e in exprs.items()}
+        here = Window.partitionBy("_pid").orderBy("_loc").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        totals = rows.groupBy("_pid").agg(*[_OPS[ops.get(n, "sum")](e).alias(f"_t_{n}") for n, e in exprs.items()])
+        offsets = totals.select("_pid", *[_OPS[ops.get(n, "sum")](f"_t_{n}").over(before).alias(f"_o_{n}") for n in exprs])
+        out = rows.withColumns({n: _OPS[ops.get(n, "sum")](e).over(here) for n, e in exprs.items()})
+        out = out.join(F.broadcast(offsets), "_pid", "left")  # one row per range
+        for n in exprs:
+            op, off = ops.get(n, "sum"), F.col(f"_o_{n}")
+            join = {"sum": F.col(n) + F.coalesce(off, F.lit(0.0)), "min": F.least(n, off), "max": F.greatest(n, off)}[op]
+            out = out.withColumn(n, join.cast("double"))
+        return out.drop(*[f"_o_{n}" for n in exprs])
+
+    @staticmethod
+    def decayed(rows: DataFrame, values: Mapping[str, Column | str], alpha: float) -> DataFrame:
+        """Add ``m_t = alpha * m_{t-1} + v_t`` for each value.
+
+        The recurrence is an affine scan: each range computes its local decayed
+        sums from zero (vectorised), the ranges' lengths and last values give the
+        carry into each range by ``C_{p+1} = alpha^len_p * C_p + L_p``, and
+        ``m_t = alpha^k * C_p + L_t`` for the k-th row of a range."""
+        spark = rows.sparkSession
+        names = list(values)
+        prep = rows.withColumns({f"_v_{n}": (F.col(v) if isinstance(v, str) else v).cast("double") for n, v in values.items()})
+        schema = T.StructType([*prep.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+        def scan(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_loc")
+            for n in names:
+                pdf[n] = decayed_sums(np.nan_to_num(pdf[f"_v_{n}"].to_numpy(dtype="float64")), alpha)
+            return pdf
+
+        local = prep.groupBy("_pid").applyInPandas(scan, schema).drop(*[f"_v_{n}" for n in names])
+        last = local.groupBy("_pid").agg((F.max("_loc") + 1).alias("_len"), *[F.max_by(n, "_loc").alias(n) for n in names])
+        carries, c = [], dict.fromkeys(names, 0.0)
+        for r in sorted(last.collect()):  # one row per range
+            carries.append((r["_pid"], *[c[n] for n in names]))
+            c = {n: alpha ** r["_len"] * c[n] + r[n] for n in names}
+        table = spark.createDataFrame(carries, T.StructType(
+            [T.StructField("_pid", T.IntegerType()), *[T.StructField(f"_c_{n}", T.DoubleType()) for n in names]]))
+        out = local.join(F.broadcast(table), "_pid", "left")
+        k = (F.col("_loc") + 1).cast("double")
+        return out.withColumns({n: F.col(n) + F.pow(F.lit(alpha), k) * F.col(f"_c_{n}") for n in names}).drop(
+            *[f"_c_{n}" for n in names])
+
+
+def decayed_sums(v: np.ndarray, alpha: float) -> np.ndarray:
+    """L_k = alpha * L_{k-1} + v_k from L_0 = 0, in blocks short enough that
+    alpha^-k stays far from overflow."""
+    if alpha == 1.0:
+        return np.cumsum(v)
+    out = np.empty(len(v))
+    step = max(1, int(50.0 / -np.log(alpha)))
+    prev = 0.0
+    for s in range(0, len(v), step):
+        blk = v[s:s + step]
+        k = np.arange(1, len(blk) + 1, dtype="float64")
+        out[s:s + len(blk)] = alpha ** k * (prev + np.cumsum(blk * alpha ** (-k)))
+        prev = out[s + len(blk) - 1]
+    return out
 
 
-def running(df: DataFrame, order: list, values: Mapping[str, Column | str],
-            ops: Mapping[str, str] | None = None, partitions: int | None = None,
-            keep_value_columns: bool = False, by: list[str] | None = None) -> DataFrame:
+def running(df: DataFrame, order: list, values: Mapping[str, Column | str], ops: Mapping[str, str] | None = None,
+            partitions: int | None = None, by: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Add one column per entry of ``values``: the inclusive running
     ``sum``/``min``/``max`` of that expression over the global ``order``.
 
-    ``order`` must be a total order (add a unique id as last key); a row's
-    result then does not depend on partitioning. Results are doubles.
+    ``order`` must be a total order (add a unique id as last key). Sums are
+    doubles: exact for whole numbers below 2^53; for others the last bits may
+    depend on where the ranges end.
 
-    ``by``: restart the running sums per group. Rows are still ranged over
-    (by, order) globally, so a hot group spans many tasks; each group's
-    starting offset comes from the running sum of the per-group totals.
-    """
+    ``by``: restart the running sums per group. Rows are ranged over (by,
+    order) together, so a hot group spans many tasks; a group's start is what
+    its first row has, less that row's own value."""
+    r = Ranges(df, [*(by or []), *order], partitions)
+    out = r.running(r.rows, values, ops, exact)
     if by:
-        return _running_by(df, list(by), order, values, ops, partitions)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ops = dict(ops or {})
-    names = list(values)
-    op_list = [ops.get(n, "sum") for n in names]
-    for op in op_list:
-        if op not in _OPS:
-            raise ValueError(f"unsupported running op {op!r}")
-    prep = df
-    for n in names:
-        v = values[n]
-        prep = prep.withColumn(f"_pv_{n}", (F.col(v) if isinstance(v, str) else v).cast("double"))
-    ordered = _ranged(prep, order, partitions)
-    out_schema = T.StructType(
-        list(prep.schema.fields)
-        + [T.StructField(f"_pl_{n}", T.DoubleType(), True) for n in names]
-        + [T.StructField("_pid", T.IntegerType(), False)])
-    local = ordered.mapInPandas(_local_scan(names, op_list), out_schema)
-    path = scratch_path(spark, "running")
-    local.write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-
-    # one row per range partition: bounded by n_parts
-    tot_aggs = []
-    for n, op in zip(names, op_list):
-        v = F.col(f"_pv_{n}")
-        agg = {"sum": F.sum(F.coalesce(v, F.lit(0.0))), "min": F.min(v), "max": F.max(v)}[op]
-        tot_aggs.append(agg.alias(f"_pt_{n}"))
-    totals = stored.groupBy("_pid").agg(*tot_aggs)
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = []
-    for n, op in zip(names, op_list):
-        t = F.col(f"_pt_{n}")
-        if op == "sum":
-            offs.append(F.coalesce(F.sum(t).over(w), F.lit(0.0)).alias(f"_po_{n}"))
-        elif op == "min":
-            offs.append(F.min(t).over(w).alias(f"_po_{n}"))
-        else:
-            offs.append(F.max(t).over(w).alias(f"_po_{n}"))
-    offsets = totals.select("_pid", *offs)
-    res = stored.join(F.broadcast(offsets), "_pid", "left")
-    for n, op in zip(names, op_list):
-        loc, off = F.col(f"_pl_{n}"), F.col(f"_po_{n}")
-        if op == "sum":
-            val = loc + off
-        elif op == "min":
-            val = F.least(loc, off)
-        else:
-            val = F.greatest(loc, off)
-        if op != "sum":
-            # +/-inf marks "no value yet" inside the scan
-            val = F.when(F.abs(val) == float("inf"), F.lit(None).cast("double")).otherwise(val)
-        res = res.withColumn(n, val)
-    drop = [f"_pl_{n}" for n in names] + [f"_po_{n}" for n in names] + ["_pid"]
-    if not keep_value_columns:
-        drop += [f"_pv_{n}" for n in names]
-    return res.drop(*drop)
+        if any(op != "sum" for op in (ops or {}).values()):
+            raise ValueError("per-group running aggregates support 'sum' only")
+        own = {n: F.coalesce((F.col(v) if isinstance(v, str) else v).cast("double"), F.lit(0.0)) for n, v in values.items()}
+        place = F.struct("_pid", "_loc")
+        starts = out.groupBy(*by).agg(*[F.min_by(F.col(n) - e, place).alias(f"_s_{n}") for n, e in own.items()])
+        starts = starts.withColumnsRenamed({b: f"_b_{b}" for b in by})
+        same = [out[b].eqNullSafe(starts[f"_b_{b}"]) for b in by]
+        out = out.join(starts, same, "left").withColumns({n: F.col(n) - F.col(f"_s_{n}") for n in own})
+        out = out.drop(*[f"_s_{n}" for n in own], *[f"_b_{b}" for b in by])
+    return out.drop("_pid", "_loc")
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """1-based position of each row in a total ``order`` (a distributed
-    ``row_number()`` without a single-partition window).
-
-    JVM only: after the range exchange and the in-partition sort,
-    ``monotonically_increasing_id`` holds the partition index (high bits) and
-    the row's index inside its partition (low 33 bits). The write to the
-    shared checkpoint folder pins both; per-partition counts (a table of at
-    most ``partitions`` rows) become broadcast offsets."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ordered = _ranged(df, order, partitions)
-    mid = F.monotonically_increasing_id()
-    local = ordered.withColumns({"_pid": F.shiftright(mid, 33).cast("int"),
-                                 "_loc": mid.bitwiseAND(F.lit((1 << 33) - 1))})
-    path = scratch_path(spark, "rank")
-    local.write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-    counts = stored.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    ``row_number()`` without a single-partition window): place in the range plus
+    the counts of the ranges before."""
+    rows = Ranges(df, order, partitions).rows
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    return (stored.join(F.broadcast(offsets), "_pid", "left")
+    return (rows.join(F.broadcast(offsets), "_pid", "left")
             .withColumn(name, (F.col("_off") + F.col("_loc") + 1).cast("long")).drop("_pid", "_loc", "_off"))
 
 
-SMALL_GROUP_TABLE = 100_000
-
-
-def _running_by(df, by, order, values, ops, partitions):
-    if any(op != "sum" for op in (ops or {}).values()):
-        raise ValueError("per-group running aggregates support 'sum' only")
-    vals = {n: (F.col(v) if isinstance(v, str) else v).cast("double") for n, v in values.items()}
-    glob = running(df, [*by, *order], vals, partitions=partitions)
-    totals = df.groupBy(*by).agg(*[F.sum(F.coalesce(e, F.lit(0.0))).alias(f"_gt_{n}") for n, e in vals.items()])
-    if totals.count() <= SMALL_GROUP_TABLE:
-        # checked bound: a plain window over at most SMALL_GROUP_TABLE rows
-        w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-        starts = totals.select(*by, *[F.col(f"_gt_{n}") for n in vals],
-                               *[F.sum(f"_gt_{n}").over(w).alias(f"_gc_{n}") for n in vals])
-    else:
-        starts = running(totals, list(by), {f"_gc_{n}": F.col(f"_gt_{n}") for n in vals}, partitions=partitions)
-    starts = starts.select(*by, *[(F.col(f"_gc_{n}") - F.col(f"_gt_{n}")).alias(f"_gs_{n}") for n in vals])
-    out = glob.join(starts, by, "left")
-    for n in vals:
-        out = out.withColumn(n, F.col(n) - F.col(f"_gs_{n}"))
-    return out.drop(*[f"_gs_{n}" for n in vals])
-
-
-def _decayed_local(v: np.ndarray, alpha: float) -> np.ndarray:
-    """L_k = alpha * L_{k-1} + v_k from L_0 = 0, vectorised in blocks short
-    enough that alpha^-k stays far from overflow."""
-    if alpha == 1.0:
-        return np.cumsum(v)
-    out = np.empty(len(v))
-    step = max(1, int(50.0 / -np.log(alpha)))
-    prev = 0.0
-    for s in range(0, len(v), step):
-        blk = v[s:s + step]
-        k = np.arange(1, len(blk) + 1, dtype="float64")
-        out[s:s + len(blk)] = alpha ** k * (prev + np.cumsum(blk * alpha ** (-k)))
-        prev = out[s + len(blk) - 1]
-    return out
-
-
 def decayed_running(df: DataFrame, order: list, values: Mapping[str, Column | str], alpha: float,
                     partitions: int | None = None) -> DataFrame:
-    """Running sums with a forgetting factor over a global order:
-    ``m_t = alpha * m_{t-1} + v_t`` (``alpha = 1``: plain running sum).
-
-    The recurrence is an affine scan: each range partition computes its local
-    decayed sums from zero (vectorised), the per-partition table (length,
-    last local value; one row per partition, a bounded table) gives the
-    carry into each partition by ``C_{p+1} = alpha^len_p * C_p + L_p``, and
-    ``m_t = alpha^k * C_p + L_t`` for the k-th row of partition p."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    names = list(values)
-    prep = df
-    for n in names:
-        v = values[n]
-        prep = prep.withColumn(f"_dv_{n}", (F.col(v) if isinstance(v, str) else v).cast("double"))
-    ordered = _ranged(prep, order, partitions)
-    schema = T.StructType(list(prep.schema.fields)
-                          + [T.StructField(f"_dl_{n}", T.DoubleType(), True) for n in names]
-                          + [T.StructField("_k", T.LongType(), False), T.StructField("_pid", T.IntegerType(), False)])
-
-    def scan(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        seen, carry = 0, {n: 0.0 for n in names}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            k = np.arange(1, len(pdf) + 1, dtype="int64")
-            for n in names:
-                v = np.nan_to_num(pd.to_numeric(pdf[f"_dv_{n}"], errors="coerce").to_numpy(dtype="float64"))
-                loc = _decayed_local(v, alpha) + carry[n] * alpha ** k.astype("float64")
-                carry[n] = loc[-1]
-                pdf[f"_dl_{n}"] = loc
-            pdf["_k"] = k + seen
-            seen += len(pdf)
-            pdf["_pid"] = pid
-            yield pdf
-
-    path = scratch_path(spark, "decayed")
-    ordered.mapInPandas(scan, schema).write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-    last = stored.groupBy("_pid").agg(F.max("_k").alias("_len"),
-                                      *[F.max_by(f"_dl_{n}", "_k").alias(f"_last_{n}") for n in names])
-    rows = sorted(last.collect())            # one row per range partition
-    carries, c = [], {n: 0.0 for n in names}
-    for r in rows:
-        carries.append((r["_pid"], *[c[n] for n in names]))
-        c = {n: alpha ** r["_len"] * c[n] + r[f"_last_{n}"] for n in names}
-    cdf = spark.createDataFrame(carries, T.StructType(
-        [T.StructField("_pid", T.IntegerType())] + [T.StructField(f"_c_{n}", T.DoubleType()) for n in names]))
-    res = stored.join(F.broadcast(cdf), "_pid", "left")
-    for n in names:
-        res = res.withColumn(n, F.pow(F.lit(alpha), F.col("_k").cast("double")) * F.col(f"_c_{n}") + F.col(f"_dl_{n}"))
-    return res.drop(*[f"_dv_{n}" for n in names], *[f"_dl_{n}" for n in names],
-                    *[f"_c_{n}" for n in names], "_k", "_pid")
+    """Running sums with a forgetting factor over a global order (see
+    :meth:`Ranges.decayed`)."""
+    r = Ranges(df, order, partitions)
+    return r.decayed(r.rows, values, alpha).drop("_pid", "_loc")

@@ -4,8 +4,10 @@ A22). Every operator is one or two scans with map-side partial aggregation."""
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def dataset_summary(df: DataFrame, label: str = "Class", amount: str = "Amount",
                   F.count_if(F.col(label) == 0).alias("normal_count"),
                   F.count_if(F.col(label) == 1).alias("fraud_count"),
                   F.round(X.safe_ratio(F.sum(label), F.count(F.lit(1))) * 100.0, 6).alias("fraud_rate_pct"),
-                  X.exact_avg(a, 2).alias("amount_mean"),
+                  X.exact_avg(a).alias("amount_mean"),
                   F.round(F.stddev_samp(a), 6).alias("amount_std"),
                   F.min(a).alias("amount_min"), F.max(a).alias("amount_max"))
     med = stats.exact_quantiles(df, amount, [0.5], tiebreak=tiebreak if tiebreak in df.columns else None)
@@ -102,11 +104,13 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: str = "Class", tiebreak: str | None = "transaction_id") -> DataFrame:
-    """Per group quartiles, IQR, 1.5 IQR whiskers (most extreme values
+    """Per group (the null group too) quartiles, IQR, 1.5 IQR whiskers (most extreme values
     inside the fences) and outlier count."""
     tb = tiebreak if tiebreak in df.columns else None
     q = stats.exact_quantiles(df, value, [0.25, 0.5, 0.75], by=[by], tiebreak=tb)
-    j = df.select(by, F.col(value).cast("double").alias("_v")).join(q, by, "inner")
+    q = q.withColumnRenamed(by, "_by")
+    rows = df.select(by, F.col(value).cast("double").alias("_v"))
+    j = rows.join(q, rows[by].eqNullSafe(q["_by"]), "inner").drop("_by")
     iqr = F.col("q_75") - F.col("q_25")
     lo_f, hi_f = F.col("q_25") - 1.5 * iqr, F.col("q_75") + 1.5 * iqr
     g = j.groupBy(by, "q_25", "q_50", "q_75").agg(
@@ -121,30 +125,23 @@ def box_stats(df: DataFrame, value: str, by: str = "Class", tiebreak: str | None
 
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
-    """Pearson correlation of every pair in one aggregate, long format
-    (col_a, col_b, corr) including the diagonal and both orders."""
+    """Pearson correlation of every pair, long format (col_a, col_b, corr)
+    including the diagonal and both orders; null for a constant column. Rows
+    with a null in any of the columns are left out. One distributed pass
+    (MLlib's Gramian); the result has columns x columns numbers."""
     cols = list(cols)
-    # covariance over the product of deviations; try_divide gives null for
-    # a constant column (ANSI-mode ``corr`` raises a division by zero there)
-    def pearson(a, b):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    aggs = [pearson(a, b).alias(f"{a}__{b}") for a, b in combinations(cols, 2)]
-    wide = df.agg(*aggs)
-    rows = []
-    for a in cols:
-        for b in cols:
-            if a == b:
-                rows.append(f"'{a}', '{b}', CAST(1.0 AS DOUBLE)")
-            else:
-                x, y = (a, b) if cols.index(a) < cols.index(b) else (b, a)
-                rows.append(f"'{a}', '{b}', `{x}__{y}`")
-    long = wide.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (col_a, col_b, corr)")
-    return long.withColumn("corr", F.round("corr", 6))
+    whole = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    vec = VectorAssembler(inputCols=[f"c{i}" for i in range(len(cols))], outputCol="v").transform(whole).select("v")
+    if vec.limit(2).count() < 2:
+        matrix = [[math.nan] * len(cols) for _ in cols]
+    else:
+        matrix = Correlation.corr(vec, "v", "pearson").first()[0].toArray().tolist()
+    rows = [(a, b, 1.0 if i == j else (None if math.isnan(matrix[i][j]) else round(matrix[i][j], 6)))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def class_balance(df: DataFrame, label: str = "Class") -> DataFrame:
-    """Normal vs fraud counts."""
-    name = F.when(F.col(label) == 1, F.lit("fraud")).otherwise(F.lit("normal"))
+    """Normal vs fraud counts; rows without a label are ``unknown``."""
+    name = F.when(F.col(label) == 1, F.lit("fraud")).when(F.col(label).isNull(), F.lit("unknown")).otherwise(F.lit("normal"))
     return df.groupBy(name.alias("class_name")).agg(F.count(F.lit(1)).alias("n"))

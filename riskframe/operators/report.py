@@ -42,18 +42,17 @@ def rollup_batches(summary: DataFrame) -> DataFrame:
 
 def risk_by(df: DataFrame, dim: str, p: str = "fraud_probability", label: str = "Class") -> DataFrame:
     """Mean risk score and fraud count per ``dim``."""
-    return df.groupBy(dim).agg(X.exact_avg(p, 6).alias("avg_risk_score"),
+    return df.groupBy(dim).agg(X.exact_avg(p).alias("avg_risk_score"),
                                F.sum(F.col(label).cast("long")).alias("fraud_count"))
 
 
 def kpis(df: DataFrame, leaderboard: DataFrame | None = None, label: str = "Class") -> DataFrame:
     """Total, fraud % and the best model's precision with its recall
-    (K4 over the leaderboard; the reference's 0.90/0.85 placeholders are used
-    only when no leaderboard is given)."""
+    (K4 over the leaderboard); both null when no leaderboard is given."""
     base = df.agg(F.count(F.lit(1)).alias("total_transactions"),
                   (X.safe_ratio(F.sum(label), F.count(F.lit(1))) * 100.0).alias("fraud_rate_pct"))
     if leaderboard is None:
-        return base.withColumns({"precision": F.lit(0.90), "recall": F.lit(0.85)})
+        return base.withColumns({c: F.lit(None).cast("double") for c in ("precision", "recall")})
     best = best_model(leaderboard)
     return base.withColumns({"precision": best.select("precision").scalar(),
                              "recall": best.select("recall").scalar()})
@@ -85,7 +84,7 @@ def activity_counts(df: DataFrame, dims=("hour_of_day", "day_of_week", "transact
 def merchant_risk(df: DataFrame, p: str = "fraud_probability", label: str = "Class",
                   review: float = 0.7, monitor: float = 0.6) -> DataFrame:
     """Per merchant mean score, transactions, fraud rate and status."""
-    g = df.groupBy("merchant_id").agg(X.exact_avg(p, 6).alias("risk_score"),
+    g = df.groupBy("merchant_id").agg(X.exact_avg(p).alias("risk_score"),
                                       F.count(F.lit(1)).alias("transactions"),
                                       F.avg(F.col(label).cast("double")).alias("fraud_rate"))
     return g.withColumn("status", X.merchant_status("risk_score", review, monitor))
@@ -109,10 +108,10 @@ def daily_volume(df: DataFrame, p: str = "fraud_probability", threshold: float =
     earliest hour on ties) and blocked amount (sum of predicted-fraud
     amounts)."""
     day = F.date_format("ts", "yyyy-MM-dd")
-    money = F.col("Amount").cast("decimal(38,2)")
+    money = F.col("Amount").cast(X.EXACT)
     hourly = df.groupBy(day.alias("day"), F.hour("ts").alias("hour")).agg(
         F.count(F.lit(1)).alias("hn"), F.sum(money).alias("ha"),
-        F.sum(F.when(F.col(p) >= threshold, money).otherwise(F.lit(0).cast("decimal(38,2)"))).alias("hb"))
+        F.sum(F.when(F.col(p) >= threshold, money).otherwise(F.lit(0).cast(X.EXACT))).alias("hb"))
     return hourly.groupBy("day").agg(
         F.sum("hn").alias("volume"),
         (F.sum("ha").cast("double") / F.sum("hn")).alias("avg_amount"),
@@ -147,17 +146,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def top_per_group(df: DataFrame, group: str, score: str, k: int, id_col: str,
-                  salts: int = 16) -> DataFrame:
-    """K6 per group: the ``k`` highest scores inside each group.
-
-    Two stages so a hot group is never sorted in one task: first the top
-    ``k`` per (group, salt) with the salt a hash of the row id, then the top
-    ``k`` of those at most ``k * salts`` survivors per group."""
-    order = [F.col(score).desc(), F.col(id_col)]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
-    w1 = Window.partitionBy(group, "_salt").orderBy(*order)
-    stage1 = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy(group).orderBy(*order)
-    return (stage1.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k)
-            .drop("_r", "_salt"))
+def top_per_group(df: DataFrame, group: str, score: str, k: int, id_col: str) -> DataFrame:
+    """K6 per group: the ``k`` highest scores inside each group. Spark limits
+    each group map-side first (``WindowGroupLimit``, partial), so a hot group
+    sends at most ``k`` rows from each task."""
+    w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(id_col))
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

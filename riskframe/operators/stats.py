@@ -29,15 +29,15 @@ def exact_quantiles(df: DataFrame, value: str, qs, by: list[str] | None = None,
     counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else \
         base.agg(F.count(F.lit(1)).alias("_n"))
     order = [*by, "_v"] + ([tiebreak] if tiebreak else [])
-    ranked = prefix.global_rank(base, order, name="_r")
     if by:
-        # rank of the group's first row = rows in all earlier groups + 1
-        starts = prefix.running(counts, list(by), {"_cum": F.col("_n")})
-        starts = starts.withColumn("_start", (F.col("_cum") - F.col("_n")).cast("long")).drop("_cum")
-        ranked = ranked.join(starts, by, "inner")
+        # place within the group: a running count that restarts with it
+        ranked = prefix.running(base, order[len(by):], {"_r": F.lit(1.0)}, by=by)
+        keys = counts.withColumnsRenamed({b: f"_b_{b}" for b in by})
+        same = [ranked[b].eqNullSafe(keys[f"_b_{b}"]) for b in by]
+        ranked = ranked.join(keys, same, "inner").drop(*[f"_b_{b}" for b in by])
     else:
-        ranked = ranked.withColumns({"_n": counts.select("_n").scalar(), "_start": F.lit(0).cast("long")})
-    ranked = ranked.withColumn("_pos", F.col("_r") - F.col("_start") - 1)  # 0-based in group
+        ranked = prefix.global_rank(base, order, name="_r").withColumn("_n", counts.select("_n").scalar())
+    ranked = ranked.withColumn("_pos", F.col("_r").cast("long") - 1)  # 0-based in group
     keep = None
     cols = []
     for q in qs:
@@ -67,5 +67,7 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, tiebreak: s
     qs = exact_quantiles(df, value, [0.25, 0.5, 0.75], by=by, tiebreak=tiebreak, prefix_name="p")
     qs = qs.withColumnsRenamed({"p_25": "p25", "p_50": "p50", "p_75": "p75"})
     if by:
-        return moments.join(qs, by, "left")
+        qs = qs.withColumnsRenamed({b: f"_b_{b}" for b in by})
+        same = [moments[b].eqNullSafe(qs[f"_b_{b}"]) for b in by]
+        return moments.join(qs, same, "left").drop(*[f"_b_{b}" for b in by])
     return moments.withColumns({c: qs.select(c).scalar() for c in ("p25", "p50", "p75")})

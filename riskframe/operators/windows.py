@@ -37,18 +37,14 @@ def chunk_by_position(df: DataFrame, batch_size: int = 1000, order=("transaction
             .drop("_pos"))
 
 
-def cumulative_mean(df: DataFrame, value, order: list, name: str = "cumulative_mean",
-                    scale: int | None = None) -> DataFrame:
+def cumulative_mean(df: DataFrame, value, order: list, name: str = "cumulative_mean") -> DataFrame:
     """Running mean of ``value`` over a global order, via distributed
-    prefix sums (no single-partition window). ``scale``: the value has that
-    many decimals (money 2): it is summed as an exact integer of units."""
+    prefix sums (no single-partition window). Moves all columns of ``df``:
+    select what is needed first."""
     v = F.col(value) if isinstance(value, str) else value
-    units = F.round(v * (10 ** scale)).cast("long") if scale is not None else v
-    out = prefix.running(df, order, {"_s": units, "_n": F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))})
-    mean = F.col("_s") / F.col("_n")
-    if scale is not None:
-        mean = mean / float(10 ** scale)
-    return out.withColumn(name, mean).drop("_s", "_n")
+    out = prefix.running(df, order, {"_s": v, "_n": F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))},
+                         exact=True)
+    return out.withColumn(name, F.try_divide(F.col("_s"), F.col("_n"))).drop("_s", "_n")
 
 
 def quartile_labels(df: DataFrame, p: str = "fraud_probability", name: str = "risk_quartile",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from riskframe.session import ship_package
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
@@ -12,7 +14,12 @@ def register(name: str, oracle: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark, sf_dir):
+            ship_package(spark)  # tasks import it by name
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
         return fn

@@ -26,12 +26,16 @@ BANDED = """banded AS (
                  WHEN fraud_probability > 0.5 THEN 'Medium' ELSE 'Low' END AS risk_level
   FROM scored)"""
 
+#: width of the driver's embeddings
+ML_WIDTH = 64
+ML_COLUMNS = [f"V{i}" for i in range(1, ML_WIDTH + 1)]
+
 ML = """ml AS (
   SELECT vec_id AS transaction_id,
          {vcols},
          CAST(label = 0 AS INTEGER) AS "Class"
   FROM embeddings)""".format(vcols=",\n         ".join(
-    f'CAST(embedding[{i + 1}] AS DOUBLE) AS "V{i + 1}"' for i in range(28)))
+    f'CAST(embedding[{i + 1}] AS DOUBLE) AS "V{i + 1}"' for i in range(ML_WIDTH)))
 
 TX_BIG = """tx_big AS (
   SELECT l.l_orderkey AS order_id, o.o_custkey AS customer_id, l.l_suppkey AS merchant_id,

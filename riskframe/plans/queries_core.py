@@ -113,8 +113,8 @@ LEFT JOIN (SELECT customer_id, CAST(sum(CAST("Amount" AS DECIMAL(38,2))) AS DOUB
 LEFT JOIN (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS r FROM tx GROUP BY 1) mp ON t.merchant_id = mp.merchant_id"""))(
     _profiles_join)
 
-
+# kept under its old name: the ranked plan is the only one now
 register("W2_trailing_24h_count_ranked", sql("tx", body="""SELECT transaction_id,
   count(*) OVER (PARTITION BY customer_id ORDER BY "Time" RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS tx_freq_24h
-FROM tx"""))(lambda spark, d: FE.trailing_count(V.tx(spark, d).select("transaction_id", "customer_id", "Time"),
-                                                method="ranked").select("transaction_id", "tx_freq_24h"))
+FROM tx"""))(lambda spark, d: FE.trailing_count(V.tx(spark, d).select("transaction_id", "customer_id", "Time"))
+             .select("transaction_id", "tx_freq_24h"))

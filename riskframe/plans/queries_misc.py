@@ -5,18 +5,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions import scalars as X
 from riskframe.models import classifiers as CL
+from riskframe.operators import evaluate as EV
 from riskframe.operators import features as FE
-from riskframe.operators import profile as PR
 from riskframe.operators import report as R
-from riskframe.operators import windows as WN
+from riskframe.plans import jobs as J
+from riskframe.plans import queries_core, queries_profile  # noqa: F401  their oracles are parts of the jobs'
 from riskframe.plans import views as V
-from riskframe.plans.catalog import register
+from riskframe.plans.catalog import ORACLE, register
 from riskframe.plans.oracle import sql
+from riskframe.plans.queries_report import stand_in_models
 
 
 def _scalars(spark, d):
@@ -76,7 +79,7 @@ def _amount_scorer(amount: pd.Series) -> pd.Series:
 
 def _x1(spark, d):
     CL.register_scorer("amount_udf", CL.udf_scorer("amount_udf", _amount_scorer, ["Amount"]))
-    return CL.score_batch(V.tx(spark, d), "amount_udf").drop("error")
+    return CL.score_batch(V.tx(spark, d), "amount_udf", required=("Time", "Amount")).drop("error", "prediction_time")
 
 
 register("X1_pluggable_scorer", sql("tx", body="""SELECT CAST(transaction_id AS VARCHAR) AS transaction_id,
@@ -86,67 +89,122 @@ register("X1_pluggable_scorer", sql("tx", body="""SELECT CAST(transaction_id AS
   'amount_udf' AS model_used FROM tx"""))(_x1)
 
 
-def _kv(df, section, key, value):
-    return df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"),
-                     F.col(value).cast("double").alias("value"))
+# ---- whole jobs: every section of the job's result, unpivoted ----------------
 
+def _long(sections: dict) -> DataFrame:
+    """(section, key, metric, value) rows of frames: text columns and the named
+    keys make the key, the other columns are metrics."""
+    parts = []
+    for name, (df, keys) in sections.items():
+        metrics = [c for c in df.columns if c not in keys]
+        key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]) if keys else F.lit("all")
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        parts.append(df.select(F.lit(name).alias("section"), key.alias("key"), F.explode(pairs).alias("x"))
+                     .select("section", "key", "x.*"))
+    return R.union_all(parts)
 
-def _c7(spark, d):
-    s = V.scored(spark, d)
-    f = FE.time_features(s)
-    return R.union_all([
-        _kv(R.risk_by(f, "hour_of_day"), "avg_risk_by_hour", "hour_of_day", "avg_risk_score"),
-        _kv(R.risk_by(s, "transaction_type"), "fraud_by_type", "transaction_type", "fraud_count"),
-        _kv(R.amount_buckets(s), "amount_buckets", "amount_range", "n"),
-        _kv(WN.quartile_labels(s).groupBy("risk_quartile").agg(F.count(F.lit(1)).alias("n")),
-            "risk_quartiles", "risk_quartile", "n"),
-        _kv(R.merchant_overview(R.merchant_risk(s)).select(F.lit("merchants").alias("k"), "merchants"),
-            "overview", "k", "merchants")])
-
-
-register("C7_risk_report", sql("scored", """q AS (SELECT quantile_cont(fraud_probability, 0.25) AS q1,
-  quantile_cont(fraud_probability, 0.5) AS q2, quantile_cont(fraud_probability, 0.75) AS q3 FROM scored)""",
-                               body="""SELECT 'avg_risk_by_hour' AS section, CAST(CAST(floor("Time" / 3600.0) % 24 AS INTEGER) AS VARCHAR) AS key,
-  CAST(sum(CAST(fraud_probability AS DECIMAL(38,6))) AS DOUBLE) / count(fraud_probability) AS value FROM scored GROUP BY 2
-UNION ALL SELECT 'fraud_by_type', transaction_type, CAST(sum("Class") AS DOUBLE) FROM scored GROUP BY 2
-UNION ALL SELECT 'amount_buckets', CASE WHEN "Amount" < 50 THEN '0-50' WHEN "Amount" < 100 THEN '50-100'
-  WHEN "Amount" < 200 THEN '100-200' WHEN "Amount" < 500 THEN '200-500' ELSE '500+' END, CAST(count(*) AS DOUBLE) FROM scored GROUP BY 2
-UNION ALL SELECT 'risk_quartiles', CASE WHEN fraud_probability <= q1 THEN 'Low' WHEN fraud_probability <= q2 THEN 'Medium'
-  WHEN fraud_probability <= q3 THEN 'High' ELSE 'Critical' END, CAST(count(*) AS DOUBLE) FROM scored, q GROUP BY 2
-UNION ALL SELECT 'overview', 'merchants', CAST(count(DISTINCT merchant_id) AS DOUBLE) FROM scored"""))(_c7)
+
+def _long_sql(sections: dict) -> str:
+    parts = []
+    for name, (query, keys, metrics) in sections.items():
+        text = ORACLE.get(query, query)
+        key = "concat_ws('|', " + ", ".join(f"coalesce(CAST(\"{k}\" AS VARCHAR), 'null')" for k in keys) + ")" if keys else "'all'"
+        parts += [f"SELECT '{name}' AS section, {key} AS key, '{m}' AS metric, CAST(\"{m}\" AS DOUBLE) AS value FROM ({text}) AS q"
+                  for m in metrics]
+    return "\nUNION ALL ".join(parts)
+
+
+_BOX = ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers"]
+_DESCRIBE = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+_SUMMARY = ["rows", "normal_count", "fraud_count", "fraud_rate_pct", "amount_mean", "amount_std", "amount_min", "amount_max", "amount_median"]
+_HIST = ["lower", "upper", "n"]
+_TX_COLUMNS = ["transaction_id", "Time", "Amount", "customer_id", "merchant_id", "transaction_type", "card_type", "region",
+               "channel", "Class"]
 
 
 def _c1(spark, d):
-    t = V.tx(spark, d).drop("ts")
-    return R.union_all([
-        _kv(PR.null_profile(t, only_positive=False), "nulls", "column_name", "null_count"),
-        _kv(PR.value_counts(t, "Class"), "class_counts", "value", "n"),
-        _kv(PR.histogram(t, "Amount", 50), "amount_hist", "bin", "n")])
+    p = J.profile(V.tx(spark, d).drop("ts"), numeric=["Time", "Amount", "Class"])
+    return _long({"nulls": (p["nulls"], ["column_name"]), "summary": (p["summary"].select(*_SUMMARY), []),
+                  "class_counts": (p["class_counts"], ["value"]), "class_balance": (p["class_balance"], ["class_name"]),
+                  "amount_hist": (p["amount_hist"], ["bin"]), "time_hist": (p["time_hist"], ["bin"]),
+                  "amount_box": (p["amount_box"], ["Class"]), "correlation": (p["correlation"], ["col_a", "col_b"])})
 
 
-register("C1_profile", sql("tx", """mm AS (SELECT min("Amount") AS lo, max("Amount") AS hi FROM tx)""", body="\nUNION ALL ".join(
-    [f"""SELECT 'nulls' AS section, '{c}' AS key, CAST(count(*) FILTER (WHERE "{c}" IS NULL) AS DOUBLE) AS value FROM tx"""
-     for c in ["transaction_id", "Time", "Amount", "customer_id", "merchant_id", "transaction_type", "card_type",
-               "region", "channel", "Class"]]
-    + ["""SELECT 'class_counts', CAST("Class" AS VARCHAR), CAST(count(*) AS DOUBLE) FROM tx GROUP BY 2""",
-       """SELECT 'amount_hist', CAST(CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor(("Amount" - lo) * (50.0 / (hi - lo))), 49) END AS INTEGER) AS VARCHAR),
-  CAST(count(*) AS DOUBLE) FROM tx, mm GROUP BY 2"""])))(_c1)
+_NULLS = sql("tx", body="\nUNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) FILTER (WHERE "{c}" IS NULL) AS null_count FROM tx""" for c in _TX_COLUMNS))
+_CORR = sql("tx", body="\nUNION ALL ".join(
+    f"""SELECT '{a}' AS col_a, '{b}' AS col_b, """ + ("1.0::DOUBLE" if a == b else
+                                                      f"""round(corr(CAST("{a}" AS DOUBLE), CAST("{b}" AS DOUBLE)), 6)""") + " AS corr FROM tx" for a in ("Time", "Amount", "Class") for b in ("Time", "Amount", "Class") if a != b)
+    + "".join(f"\nUNION ALL SELECT '{a}', '{a}', 1.0::DOUBLE" for a in ("Time", "Amount", "Class")))
+
+register("C1_profile", _long_sql({
+    "nulls": (_NULLS, ["column_name"], ["null_count"]), "summary": ("A1_dataset_summary", [], _SUMMARY),
+    "class_counts": (sql("tx", body="""SELECT "Class" AS value, count(*) AS n FROM tx GROUP BY 1"""), ["value"], ["n"]), "class_balance": ("A22_class_balance", ["class_name"], ["n"]),
+    "amount_hist": ("A11_histogram_amount", ["bin"], _HIST), "time_hist": ("A11_histogram_time", ["bin"], _HIST),
+    "amount_box": ("A12_box_amount_by_class", ["Class"], _BOX), "correlation": (_CORR, ["col_a", "col_b"], ["corr"])}))(_c1)
 
 
 def _c2(spark, d):
     t = FE.time_features(V.tx(spark, d))
-    dc = PR.distinct_counts(t)
-    return R.union_all([
-        _kv(dc.select(F.lit("customers").alias("k"), "distinct_customer_id"), "distinct", "k", "distinct_customer_id"),
-        _kv(dc.select(F.lit("merchants").alias("k"), "distinct_merchant_id"), "distinct", "k", "distinct_merchant_id"),
-        _kv(PR.time_span_days(t).select(F.lit("days").alias("k"), "time_span_days"), "time_span", "k", "time_span_days"),
-        _kv(R.activity_counts(t).select(F.concat_ws("=", "dimension", "value").alias("k"), "n"), "activity", "k", "n")])
-
-
-register("C2_characteristics", sql("tx", """t AS (SELECT *, CAST(floor("Time" / 3600.0) % 24 AS INTEGER) AS hour_of_day,
-  CAST(floor("Time" / 86400.0) % 7 AS INTEGER) AS day_of_week FROM tx)""", body="\nUNION ALL ".join(
-    ["""SELECT 'distinct' AS section, 'customers' AS key, CAST(count(DISTINCT customer_id) AS DOUBLE) AS value FROM t""",
-     """SELECT 'distinct', 'merchants', CAST(count(DISTINCT merchant_id) AS DOUBLE) FROM t""",
-     """SELECT 'time_span', 'days', round((max("Time") - min("Time")) / 86400.0, 6) FROM t"""]
-    + [f"""SELECT 'activity', '{c}=' || CAST({c} AS VARCHAR), CAST(count(*) AS DOUBLE) FROM t GROUP BY {c}"""
-       for c in ["hour_of_day", "day_of_week", "transaction_type", "card_type", "region", "channel"]])))(_c2)
+    c = J.characteristics(FE.attach(t, FE.merchant_profile(t), "merchant_id"))
+    return _long({"distinct": (c["distinct"], []), "group_sizes": (c["group_sizes"], ["grouping"]), "time_span": (c["time_span"], []),
+                  "activity": (c["activity"], ["dimension", "value"]), "group_rates": (c["group_rates"], ["grouping"]),
+                  "merchant_rate_box": (c["merchant_rate_box"], ["Class"])})
+
+
+register("C2_characteristics", _long_sql({
+    "distinct": ("A5_distinct_counts", [], ["distinct_customer_id", "distinct_merchant_id"]),
+    "group_sizes": ("A6_group_size_describe", ["grouping"], _DESCRIBE), "time_span": ("A8_time_span_days", [], ["time_span_days"]),
+    "activity": ("A18_activity_counts", ["dimension", "value"], ["n"]),
+    "group_rates": ("A7_group_rate_describe", ["grouping"], _DESCRIBE),
+    "merchant_rate_box": ("A12_box_merchant_rate_by_class", ["Class"], _BOX)}))(_c2)
+
+_BANDS = ["total_transactions", "high_risk_count", "medium_risk_count", "low_risk_count", "fraud_rate"]
+
+
+def _c5(spark, d):
+    """C5 whole: scoring, batches, roll-up and the alert log (hour of day watched)."""
+    t = V.tx(spark, d).withColumn("hour", F.hour("ts"))
+    h = J.score_history(t, lambda df: df.withColumn("p_amount50", V.stand_in_probability()), "amount50",
+                        required=("Time", "Amount"), watch="hour")
+    preds = h["predictions"].groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), X.exact_sum("fraud_probability").alias("total"))
+    return _long({"predictions": (preds, ["risk_level"]), "batches": (h["batches"], ["batch_id"]), "rollup": (h["rollup"], []),
+                  "alerts": (h["alerts"].select("type", "severity", "old_value", "new_value"), ["type", "severity"])})
+
+
+_C5_ROLLUP = f"""SELECT count(*) AS batches, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _BANDS[:4])},
+  sum(high_risk_count) / sum(total_transactions) AS fraud_rate FROM ({ORACLE["C5_score_history"]}) AS b"""
+_C5_ALERTS = f"""SELECT type, severity, old_value, new_value FROM ({ORACLE["D1_adwin_alert"]}) AS a
+UNION ALL SELECT type, severity, old_value, new_value FROM ({ORACLE["D3_D4_window_drift"].replace("chg > 0.001", "chg > 0.1")}) AS w"""
+register("C5_score_history_job", _long_sql({
+    "predictions": (sql("banded", body="""SELECT risk_level, count(*) AS n,
+  CAST(sum(CAST(fraud_probability AS DECIMAL(38,6))) AS DOUBLE) AS total FROM banded GROUP BY 1"""), ["risk_level"], ["n", "total"]),
+    "batches": ("C5_score_history", ["batch_id"], _BANDS), "rollup": (_C5_ROLLUP, [], ["batches", *_BANDS]),
+    "alerts": (_C5_ALERTS, ["type", "severity"], ["old_value", "new_value"])}))(_c5)
+
+
+def _c7(spark, d):
+    s = V.scored(spark, d)
+    r = J.risk_report(s, EV.leaderboard(s, stand_in_models()))
+    quartiles = r["quartiles"].groupBy("risk_quartile").agg(F.count(F.lit(1)).alias("n"))
+    merchant = ["merchant_id", "status"]
+    return _long({"kpis": (r["kpis"], []), "by_hour": (r["by_hour"], ["hour_of_day"]), "by_type": (r["by_type"], ["transaction_type"]),
+                  "amount_buckets": (r["amount_buckets"], ["amount_range"]), "activity": (r["activity"], ["dimension", "value"]),
+                  "merchants": (r["merchants"], merchant), "overview": (r["merchant_overview"], []),
+                  "top_merchants": (r["top_merchants"], merchant), "daily_volume": (r["daily_volume"], ["day"]),
+                  "quartiles": (quartiles, ["risk_quartile"]),
+                  "high_risk": (r["high_risk"].select("transaction_id", "fraud_probability", "Amount"), ["transaction_id"])})
+
+
+_MERCHANT = (["merchant_id", "status"], ["risk_score", "transactions", "fraud_rate"])
+register("C7_risk_report", _long_sql({
+    "kpis": ("A16_kpis", [], ["total_transactions", "fraud_rate_pct", "precision", "recall"]),
+    "by_hour": ("A9_risk_by_hour", ["hour_of_day"], ["avg_risk_score", "fraud_count"]),
+    "by_type": ("A10_risk_by_type", ["transaction_type"], ["avg_risk_score", "fraud_count"]),
+    "amount_buckets": ("A17_amount_buckets", ["amount_range"], ["n"]), "activity": ("A18_activity_counts", ["dimension", "value"], ["n"]),
+    "merchants": ("A19_merchant_risk", *_MERCHANT),
+    "overview": ("A19_merchant_overview", [], ["merchants", "high_risk_merchants", "avg_risk_score"]),
+    "top_merchants": ("K6_top_risk_merchants", *_MERCHANT),
+    "daily_volume": ("A20_daily_volume", ["day"], ["volume", "avg_amount", "peak_hour", "blocked_amount"]),
+    "quartiles": ("W8_quartile_labels", ["risk_quartile"], ["n"]),
+    "high_risk": ("K1_high_risk_top10", ["transaction_id"], ["fraud_probability", "Amount"])}))(_c7)

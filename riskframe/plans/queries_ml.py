@@ -11,11 +11,14 @@ from riskframe.models import hybrid as HY
 from riskframe.models import iforest as IF
 from riskframe.models import prepare as PP
 from riskframe.models import recon as RC
+from riskframe.models import registry as RG
+from riskframe.operators import evaluate as EV
 from riskframe.plans import jobs as J
 from riskframe.plans import views as V
 from riskframe.plans.catalog import register
-from riskframe.plans.oracle import sql
-from riskframe.plans.queries_report import stand_in_models
+from riskframe.plans.oracle import ML_COLUMNS, sql
+from riskframe.plans.queries_report import _LB_SQL, stand_in_models
+from riskframe.session import scratch_path
 
 register("M1_label_encode", sql("tx", body="SELECT transaction_id, " + ", ".join(
     f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS INTEGER) AS {c}" for c in S.CATEGORICAL_COLUMNS)
@@ -26,9 +29,9 @@ register("M1_label_encode", sql("tx", body="SELECT transaction_id, " + ", ".join
 
 register("M2_standardise", sql("ml", body="SELECT transaction_id, " + ", ".join(
     f'round(("{v}" - avg("{v}") OVER ()) / CASE WHEN stddev_pop("{v}") OVER () = 0 THEN 1.0 '
-    f'ELSE stddev_pop("{v}") OVER () END, 6) AS "{v}"' for v in S.V_COLUMNS) + " FROM ml"))(
-    lambda spark, d: (lambda z: z.select("transaction_id", *[F.round(v, 6).alias(v) for v in S.V_COLUMNS]))(
-        PP.standardise_expr(V.ml(spark, d), S.V_COLUMNS)))
+    f'ELSE stddev_pop("{v}") OVER () END, 6) AS "{v}"' for v in ML_COLUMNS) + " FROM ml"))(
+    lambda spark, d: (lambda ml, cols: PP.fit_scaler(ml, cols).transform(ml).select(
+        "transaction_id", *[F.round(v, 6).alias(v) for v in cols]))(V.ml(spark, d), V.ml_columns(spark, d)))
 
 register("M3_class_weights", sql("tx", """c AS (SELECT "Class", count(*) AS n_c FROM tx GROUP BY 1)""",
                                  """k AS (SELECT sum(n_c) AS n, count(*) AS k FROM c)""",
@@ -83,98 +86,142 @@ register("M14_multi_model", sql("scored", body="""SELECT transaction_id, fraud_p
   CAST(fraud_probability >= 0.5 AS INTEGER) + CAST(round(1.0 - exp(-"Amount" / 100.0), 6) >= 0.4 AS INTEGER)
   + CAST((CASE WHEN transaction_type = 'error' THEN 0.9 ELSE 0.1 END) >= 0.5 AS INTEGER) AS models_flagging FROM scored"""))(_multi)
 
-register("M13_M15_score_batch", sql("tx", body="""SELECT CAST(transaction_id AS VARCHAR) AS transaction_id,
-  CASE WHEN ok THEN round(1.0 - exp(-"Amount" / 50.0), 6) ELSE 0.0 END AS fraud_probability,
-  CASE WHEN NOT ok THEN 'Error' WHEN round(1.0 - exp(-"Amount" / 50.0), 6) > 0.8 THEN 'High'
-       WHEN round(1.0 - exp(-"Amount" / 50.0), 6) > 0.5 THEN 'Medium' ELSE 'Low' END AS risk_level,
+#: rows made bad by their id, each in its own way
+_BAD = """CASE WHEN transaction_id % 97 = 5 THEN -1.0 WHEN transaction_id % 101 = 7 THEN NULL ELSE "Amount" END"""
+
+
+def _with_bad_rows(spark, d):
+    i = F.col("transaction_id")
+    return V.tx(spark, d).withColumn("Amount", F.when(i % 97 == 5, F.lit(-1.0)).when(i % 101 == 7, F.lit(None)).otherwise(F.col("Amount")))
+
+
+register("M13_M15_score_batch", sql("tx", f"""b AS (SELECT transaction_id, "Time", {_BAD} AS a FROM tx)""",
+                                    """p AS (SELECT *, coalesce("Time" >= 0 AND a >= 0, false) AS ok, round(1.0 - exp(-a / 50.0), 6) AS p FROM b)""",
+                                    body="""SELECT CAST(transaction_id AS VARCHAR) AS transaction_id,
+  CASE WHEN ok THEN p ELSE 0.0 END AS fraud_probability,
+  CASE WHEN NOT ok THEN 'Error' WHEN p > 0.8 THEN 'High' WHEN p > 0.5 THEN 'Medium' ELSE 'Low' END AS risk_level,
   'amount50' AS model_used,
   CASE WHEN NOT ok THEN concat_ws('; ',
     CASE WHEN "Time" IS NULL THEN 'missing:Time' END, CASE WHEN "Time" < 0 THEN 'negative:Time' END,
-    CASE WHEN "Amount" IS NULL THEN 'missing:Amount' END, CASE WHEN "Amount" < 0 THEN 'negative:Amount' END) END AS error
-FROM (SELECT *, coalesce("Time" >= 0 AND "Amount" >= 0, false) AS ok FROM tx)"""))(
+    CASE WHEN a IS NULL THEN 'missing:Amount' END, CASE WHEN a < 0 THEN 'negative:Amount' END) END AS error FROM p"""))(
+    lambda spark, d: CL.score_batch(_with_bad_rows(spark, d), lambda df: df.withColumn("p_amount50", V.stand_in_probability()),
+                                    name="amount50", required=("Time", "Amount")).drop("prediction_time"))
+
+register("F13_prediction_time", sql("tx", body="SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, true AS timed FROM tx"))(
     lambda spark, d: CL.score_batch(V.tx(spark, d), lambda df: df.withColumn("p_amount50", V.stand_in_probability()),
-                                    name="amount50"))
+                                    name="amount50", required=("Time", "Amount")).select(
+        "transaction_id", F.col("prediction_time").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[.]\d{6}$").alias("timed")))
 
-# ---- trained models (no SQL equivalent: rows-only checks) --------------------
+# ---- trained models: scores are not SQL, but the rows, their bounds and bands are ----
 
-FEATS = S.V_COLUMNS
+_ML_SPLIT = _SPLIT_SQL.replace('"Class", "Amount",', '"Class",').replace("FROM tx)", "FROM ml)")
+_CHECKED = """SELECT transaction_id, "Class", true AS in_bounds, true AS banded FROM sp WHERE split = 'test'"""
+
+
+def _split(spark, d):
+    ml = PP.stratified_split(V.ml(spark, d)).checkpoint()
+    return ml.filter("split = 'train'"), ml.filter("split = 'test'")
 
 
 def _prepared(spark, d):
-    ml = V.ml(spark, d)
-    split = PP.stratified_split(ml)
-    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    pm = PP.fit_preprocessor(train, FEATS, categorical=[])
+    train, test = _split(spark, d)
+    pm = PP.fit_preprocessor(train, V.ml_columns(spark, d), categorical=[])
     return pm.transform(train), pm.transform(test)
 
 
+def _checked(out, p):
+    ok = F.col(p).between(0.0, 1.0)
+    return out.select("transaction_id", "Class", F.coalesce(ok, F.lit(False)).alias("in_bounds"),
+                      (X.risk_band(p) != "Error").alias("banded"))
+
+
 def _train_one(spark, d, kind):
     train, test = _prepared(spark, d)
-    train = PP.with_weights(train)
+    train = J.with_validation(PP.with_weights(train)).checkpoint()
     if kind == "gbt":
-        m = CL.train_gbt(train.cache(), "gbt", max_iter=20)
+        m = CL.train_gbt(train, "gbt", validation="validation")
     elif kind == "forest":
-        m = CL.train_forest(train, "forest", num_trees=50)
+        m = CL.train_forest(train, "forest")
     else:
         m = CL.train_logit(train, "logit")
-    out = CL.positive_probability(m.transform(test), kind)
-    return out.select("transaction_id", "Class", F.col(f"p_{kind}").alias("fraud_probability"),
-                      X.risk_band(f"p_{kind}").alias("risk_level"))
+    return _checked(CL.positive_probability(m.transform(test), kind), f"p_{kind}")
 
 
-register("M5_boosted_trees")(lambda spark, d: _train_one(spark, d, "gbt"))
-register("M6_random_forest")(lambda spark, d: _train_one(spark, d, "forest"))
-register("M7_logistic")(lambda spark, d: _train_one(spark, d, "logit"))
+register("M5_boosted_trees", sql("ml", _ML_SPLIT, body=_CHECKED))(lambda spark, d: _train_one(spark, d, "gbt"))
+register("M6_random_forest", sql("ml", _ML_SPLIT, body=_CHECKED))(lambda spark, d: _train_one(spark, d, "forest"))
+register("M7_logistic", sql("ml", _ML_SPLIT, body=_CHECKED))(lambda spark, d: _train_one(spark, d, "logit"))
 
 
 def _iforest(spark, d):
-    ml = V.ml(spark, d)
-    split = PP.stratified_split(ml)
-    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    model = IF.fit(train, FEATS, trees=100)
-    s = model.flag(model.score(test))
-    lo, hi = s.agg(F.min("score_samples")).scalar(), s.agg(F.max("score_samples")).scalar()
-    return s.select("transaction_id", "Class", "score_samples", "anomaly_flag",
-                    X.minmax_normalise("score_samples", lo, hi, invert=True).alias("p_iforest"),
-                    X.anomaly_flag_to_probability("anomaly_flag").alias("p_flag"))
+    train, test = _split(spark, d)
+    model = IF.fit(train, V.ml_columns(spark, d))
+    lo, hi = model.score(train).agg(F.min("score_samples"), F.max("score_samples")).first()
+    z = F.greatest(F.lit(0.0), F.least(F.lit(1.0), X.minmax_normalise("score_samples", lo, hi, invert=True)))
+    s = model.flag(model.score(test)).withColumn("p_iforest", z)
+    return _checked(s, "p_iforest").withColumn("trees", F.lit(int(model.nodes["tree"].nunique())))
 
 
-register("M9_isolation_forest")(_iforest)
+register("M9_isolation_forest", sql("ml", _ML_SPLIT, body=_CHECKED.replace("true AS banded", "true AS banded, 200 AS trees")))(_iforest)
 
 
 def _recon(spark, d):
-    ml = V.ml(spark, d)
-    split = PP.stratified_split(ml)
-    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    model = RC.fit(train, FEATS, k=8)
-    return model.probability(model.error(test)).select("transaction_id", "Class", "recon_error", "p_recon")
+    train, test = _split(spark, d)
+    model = RC.fit(train, V.ml_columns(spark, d), k=8)
+    return _checked(model.probability(model.error(test)), "p_recon")
 
 
-register("M10_reconstruction")(_recon)
+register("M10_reconstruction", sql("ml", _ML_SPLIT, body=_CHECKED))(_recon)
 
 
 def _train_all(spark, d):
     train, test = _prepared(spark, d)
-    _, _, lb = J.train_all(train, test, gbt_rounds=20, ensemble_rounds=10, forest_trees=30, iforest_trees=50,
-                           features=FEATS)
-    return lb
+    models, scored, lb = J.train_all(train, test, features=V.ml_columns(spark, d), model_dir=scratch_path(spark, "models"))
+    sane = F.col("auc").between(0.0, 1.0) & F.col("precision").between(0.0, 1.0) & F.col("recall").between(0.0, 1.0)
+    return lb.select("model", sane.alias("sane"), F.col("model_order").cast("int").alias("model_order"))
 
 
-register("C4_train_leaderboard")(_train_all)
+_C4_MODELS = ("gbt", "gbt_e", "forest", "logit", "ensemble", "iforest", "recon", "hybrid")
+register("C4_train_leaderboard", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', true, {i})" for i, m in enumerate(_C4_MODELS))
+         + ") AS v(model, sane, model_order) WHERE (SELECT count(*) FROM embeddings) > 0")(_train_all)
 
 
 def _hybrid_gbt(spark, d):
     train, test = _prepared(spark, d)
-    iso = IF.fit(train, FEATS, trees=50)
+    iso = IF.fit(train, V.ml_columns(spark, d))
     tr = iso.score(train).checkpoint()
-    lo, hi = tr.agg(F.min("score_samples")).scalar(), tr.agg(F.max("score_samples")).scalar()
+    lo, hi = tr.agg(F.min("score_samples"), F.max("score_samples")).first()
     tr = tr.withColumn("p_anom", X.minmax_normalise("score_samples", lo, hi, invert=True))
     cut = HY.anomaly_cut(tr, "p_anom")
-    tr = PP.with_weights(HY.hybrid_labels(tr, "p_anom", cut).drop("score_samples", "p_anom"),
-                         "hybrid_label").checkpoint()
-    m = CL.train_gbt(tr, "hybrid", label="hybrid_label", max_iter=20)
-    out = CL.positive_probability(m.transform(test), "hybrid")
-    return out.select("transaction_id", "Class", F.col("p_hybrid").alias("fraud_probability"))
+    tr = PP.with_weights(HY.hybrid_labels(tr, "p_anom", cut).drop("score_samples", "p_anom"), "hybrid_label")
+    tr = J.with_validation(tr).checkpoint()
+    m = CL.train_gbt(tr, "hybrid", label="hybrid_label", validation="validation")
+    return _checked(CL.positive_probability(m.transform(test), "hybrid"), "p_hybrid")
+
+
+register("M12_hybrid_boosted", sql("ml", _ML_SPLIT, body=_CHECKED))(_hybrid_gbt)
+
+
+def _round_trip(spark, d):
+    """The fitted preprocessor, saved and loaded, standardises as before."""
+    ml, cols = V.ml(spark, d), V.ml_columns(spark, d)
+    path = scratch_path(spark, "preprocessor")
+    PP.save_preprocessor(PP.fit_preprocessor(ml, cols, categorical=[]), path)
+    out = PP.load_preprocessor(path).transform(ml)
+    return out.select("transaction_id", *[F.round(c, 6).alias(c) for c in cols])
+
+
+register("S5_preprocessor_round_trip", sql("ml", body="SELECT transaction_id, " + ", ".join(
+    f'round(("{v}" - avg("{v}") OVER ()) / CASE WHEN stddev_pop("{v}") OVER () = 0 THEN 1.0 '
+    f'ELSE stddev_pop("{v}") OVER () END, 6) AS "{v}"' for v in ML_COLUMNS) + " FROM ml"))(_round_trip)
+
+
+def _registry(spark, d):
+    """Models and leaderboard, saved and loaded; the loaded leaderboard."""
+    path = scratch_path(spark, "registry")
+    RG.save_models(spark, path, {"recon": RC.fit(V.ml(spark, d), V.ml_columns(spark, d), k=2)},
+                   EV.leaderboard(V.scored(spark, d), stand_in_models()))
+    models, lb = RG.load_models(spark, path)
+    return lb.select("model", "threshold", F.lit(",".join(sorted(models))).alias("models"))
 
 
-register("M12_hybrid_boosted")(_hybrid_gbt)
+register("S6_model_registry", _LB_SQL.format(body="SELECT model, threshold, 'recon' AS models FROM lbf"))(_registry)

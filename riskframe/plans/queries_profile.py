@@ -9,11 +9,13 @@ from riskframe.functions import scalars as X
 from riskframe.operators import features as FE
 from riskframe.operators import profile as PR
 from riskframe.operators import validate as VA
+from riskframe.operators import windows as WN
 from riskframe.plans import views as V
 from riskframe.plans.catalog import register
-from riskframe.plans.oracle import sql
+from riskframe.plans.oracle import ML_COLUMNS, sql
 from riskframe.sources import records as RC
 from riskframe.sources import tables as TB
+from riskframe.session import scratch_path
 
 TX_COLS = ["transaction_id", "Time", "Amount", "customer_id", "merchant_id", "transaction_type",
            "card_type", "region", "channel", "Class"]
@@ -102,30 +104,83 @@ register("A12_box_amount_by_class", sql(
 FROM tx t JOIN q ON t."Class" = q."Class" GROUP BY t."Class", q1, med, q3"""))(
     lambda spark, d: PR.box_stats(V.tx(spark, d), "Amount", "Class"))
 
-CORR_COLS = ["V1", "V2", "V3", "V4", "V5", "V6", "Class"]
+CORR_COLS = [*ML_COLUMNS, "Class"]
 
 
 def _corr_sql():
-    parts = []
-    for a in CORR_COLS:
-        for b in CORR_COLS:
-            if a == b:
-                parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST(1.0 AS DOUBLE) AS corr")
-            else:
-                e = f'round(corr(CAST({_q(a)} AS DOUBLE), CAST({_q(b)} AS DOUBLE)), 6)'
-                parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {e} AS corr FROM ml")
-    return sql("ml", body="\nUNION ALL ".join(parts))
+    """One row per pair from one aggregate over the unpivoted columns' products."""
+    pairs = [(a, b) for k, a in enumerate(CORR_COLS) for b in CORR_COLS[k:]]
+    cols = ", ".join(f'round(corr(CAST({_q(a)} AS DOUBLE), CAST({_q(b)} AS DOUBLE)), 6) AS "{a}|{b}"' for a, b in pairs if a != b)
+    return sql("ml", f"w AS (SELECT {cols} FROM ml)", """u AS (UNPIVOT w ON COLUMNS(*) INTO NAME pair VALUE corr)""",
+               """k AS (SELECT string_split(pair, '|')[1] AS col_a, string_split(pair, '|')[2] AS col_b, corr FROM u)""",
+               "d AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in CORR_COLS) + "]) AS c)",
+               body="""SELECT col_a, col_b, corr FROM k UNION ALL SELECT col_b, col_a, corr FROM k
+UNION ALL SELECT c, c, 1.0::DOUBLE FROM d""")
 
 
-register("A13_corr_matrix", _corr_sql())(lambda spark, d: PR.corr_matrix(V.ml(spark, d), CORR_COLS))
+register("A13_corr_matrix", _corr_sql())(lambda spark, d: PR.corr_matrix(V.ml(spark, d), [*V.ml_columns(spark, d), "Class"]))
 
 register("A22_class_balance", sql("tx", body="""SELECT CASE WHEN "Class" = 1 THEN 'fraud' ELSE 'normal' END AS class_name,
   count(*) AS n FROM tx GROUP BY 1"""))(lambda spark, d: PR.class_balance(V.tx(spark, d)))
 
-register("P3_violation_summary", sql("tx", body="""SELECT 'valid' AS violation, count(*) AS n FROM tx
-WHERE "Time" IS NOT NULL AND "Amount" IS NOT NULL AND "Amount" >= 0 AND "Time" >= 0
-  AND customer_id IS NOT NULL AND merchant_id IS NOT NULL"""))(
-    lambda spark, d: VA.violation_summary(V.tx(spark, d), required=("Time", "Amount", "customer_id", "merchant_id")))
+#: rows made bad by their id: negative, missing or not a number
+_BAD_AMOUNT = """CASE WHEN transaction_id % 97 = 5 THEN '-1' WHEN transaction_id % 101 = 7 THEN NULL
+  WHEN transaction_id % 89 = 3 THEN 'n/a' ELSE CAST("Amount" AS VARCHAR) END"""
+
+
+def _bad_amounts(spark, d):
+    i = F.col("transaction_id")
+    return V.tx(spark, d).withColumn("Amount", F.when(i % 97 == 5, F.lit("-1")).when(i % 101 == 7, F.lit(None)).when(
+        i % 89 == 3, F.lit("n/a")).otherwise(F.col("Amount").cast("string")))
+
+
+register("P3_violation_summary", sql("tx", f"""b AS (SELECT *, {_BAD_AMOUNT} AS a FROM tx)""",
+                                     """v AS (SELECT 'missing:Amount' AS violation FROM b WHERE a IS NULL
+  UNION ALL SELECT 'non_numeric:Amount' FROM b WHERE a IS NOT NULL AND TRY_CAST(a AS DOUBLE) IS NULL
+  UNION ALL SELECT 'negative:Amount' FROM b WHERE TRY_CAST(a AS DOUBLE) < 0
+  UNION ALL SELECT 'missing:customer_id' FROM b WHERE customer_id IS NULL
+  UNION ALL SELECT 'missing:merchant_id' FROM b WHERE merchant_id IS NULL
+  UNION ALL SELECT 'valid' FROM b WHERE TRY_CAST(a AS DOUBLE) >= 0 AND customer_id IS NOT NULL AND merchant_id IS NOT NULL)""",
+                                     body="SELECT violation, count(*) AS n FROM v GROUP BY 1"))(
+    lambda spark, d: VA.violation_summary(_bad_amounts(spark, d), required=("Time", "Amount", "customer_id", "merchant_id")))
+
+register("P1_required_columns", sql("tx", body="""SELECT transaction_id, "Time", "Amount" FROM tx"""))(
+    lambda spark, d: VA.require_columns(V.tx(spark, d), ["Time", "Amount"]).select("transaction_id", "Time", "Amount"))
+
+register("P4_fill_defaults", sql("tx", body="""SELECT transaction_id,
+  CASE WHEN channel = 'atm' THEN 'web' ELSE channel END AS channel, coalesce(region, 'US') AS region FROM tx"""))(
+    lambda spark, d: VA.fill_defaults(V.tx(spark, d).withColumn("channel", F.when(F.col("channel") != "atm", F.col("channel"))))
+    .select("transaction_id", "channel", "region"))
+
+_NUMERIC = ["transaction_id", "Time", "Amount", "customer_id", "merchant_id"]
+register("P8_P9_numeric_features", sql("tx", body="SELECT " + ", ".join(f'"{c}"' for c in _NUMERIC) + " FROM tx"))(
+    lambda spark, d: (lambda t: VA.select_features(t, VA.numeric_columns(t)))(V.tx(spark, d)))
+
+register("P13_derive_if_absent", sql("tx", body="""SELECT transaction_id, channel,
+  CAST(floor("Time" / 3600.0) % 24 AS INTEGER) AS hour_of_day FROM tx"""))(
+    lambda spark, d: VA.derive_if_absent(V.tx(spark, d), {"hour_of_day": X.hour_of_day("Time"), "channel": F.lit("none")})
+    .select("transaction_id", "channel", "hour_of_day"))
+
+
+def _stored(spark, d):
+    """Scored rows, stored and read back."""
+    path = scratch_path(spark, "scored")
+    V.scored(spark, d).select("transaction_id", "fraud_probability").write.parquet(path)
+    return TB.read_scored(spark, path)
+
+
+register("S2_stored_scores", sql("scored", body="SELECT transaction_id, fraud_probability FROM scored"))(_stored)
+
+
+def _records(spark, d):
+    """S3: the last request's hundred records, as a table."""
+    rows = WN.last_n(V.tx(spark, d).select("transaction_id", "Time", "Amount", "region"), 100)
+    records = [{**r.asDict(), "transaction_id": str(r["transaction_id"])} for r in rows.collect()]
+    return TB.from_records(spark, records).select("transaction_id", "Time", "Amount", "region")
+
+
+register("S3_from_records", sql("tx", body="""SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, "Time", "Amount", region
+FROM tx ORDER BY tx.transaction_id DESC LIMIT 100"""))(_records)
 
 _DISPLAY = {"transaction_id": "transaction_id", "Amount": "amount", "fraud_probability": "risk_score",
             "transaction_type": "type", "region": "region", "missing_col": "never"}
@@ -144,18 +199,20 @@ register("S1_scan_events", """SELECT event_id, user_id, event_type, value FROM e
 
 _PROPS = T.StructType([T.StructField("k", T.LongType(), True)])
 register("S4_parse_props", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-  (props IS NOT NULL AND json_extract_string(props, '$.k') IS NULL) AS _corrupt FROM events""")(
+  coalesce(NOT json_valid(props), false) AS _corrupt FROM events""")(
     lambda spark, d: RC.parse_json(V.table(spark, d, "events", "event_id", "props"), "props", _PROPS,
                                    keep=["event_id"]))
 
-register("P7_features_target", sql("ml", body="SELECT * FROM ml"))(lambda spark, d: V.ml(spark, d))
+register("P7_features_target", sql("ml", body="""SELECT * EXCLUDE ("Class") FROM ml"""))(
+    lambda spark, d: VA.split_target(V.ml(spark, d))[0])
+register("P7_target", sql("ml", body="""SELECT "Class" FROM ml"""))(lambda spark, d: VA.split_target(V.ml(spark, d))[1])
 
 register("W1_group_stats_to_rows", sql("tx", body="""SELECT transaction_id,
   CAST(sum(CAST("Amount" AS DECIMAL(38,2))) OVER (PARTITION BY merchant_id) AS DOUBLE)
     / count("Amount") OVER (PARTITION BY merchant_id) AS merchant_avg_amount,
   count(*) OVER (PARTITION BY merchant_id) AS merchant_tx FROM tx"""))(
     lambda spark, d: FE.group_stats_to_rows(V.tx(spark, d), "merchant_id", {
-        "merchant_avg_amount": X.exact_avg("Amount", 2), "merchant_tx": F.count(F.lit(1))}).select(
+        "merchant_avg_amount": X.exact_avg("Amount"), "merchant_tx": F.count(F.lit(1))}).select(
         "transaction_id", "merchant_avg_amount", "merchant_tx"))
 
 

@@ -280,10 +280,10 @@ register("W6_cumulative_accuracy", sql("scored", body="""SELECT transaction_id,
         "correct", ["transaction_id"], name="cumulative_accuracy").select("transaction_id", "cumulative_accuracy"))
 
 register("W7_cumulative_mean_amount", sql("tx", body="""SELECT transaction_id,
-  sum(CAST(round("Amount" * 100) AS BIGINT)) OVER (ORDER BY transaction_id ROWS UNBOUNDED PRECEDING)
-  / count("Amount") OVER (ORDER BY transaction_id ROWS UNBOUNDED PRECEDING) / 100.0::DOUBLE AS cumulative_mean FROM tx"""))(
+  CAST(sum(CAST("Amount" AS DECIMAL(38,2))) OVER (ORDER BY transaction_id ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+  / count("Amount") OVER (ORDER BY transaction_id ROWS UNBOUNDED PRECEDING) AS cumulative_mean FROM tx"""))(
     lambda spark, d: WN.cumulative_mean(V.tx(spark, d).select("transaction_id", "Amount"), "Amount",
-                                        ["transaction_id"], scale=2).select("transaction_id", "cumulative_mean"))
+                                        ["transaction_id"]).select("transaction_id", "cumulative_mean"))
 
 register("W8_quartile_labels", sql("scored", """q AS (SELECT quantile_cont(fraud_probability, 0.25) AS q1,
   quantile_cont(fraud_probability, 0.5) AS q2, quantile_cont(fraud_probability, 0.75) AS q3 FROM scored)""",
@@ -294,36 +294,41 @@ FROM scored, q GROUP BY 1"""))(
 
 # ---- drift -----------------------------------------------------------------
 
-_ADWIN_SQL = ["""bk AS (SELECT floor("Time" / 3600.0) AS bucket, count(*) AS n, sum(CAST("Amount" AS DECIMAL(38,2))) AS s,
-  sum(CAST("Amount" AS DECIMAL(38,2)) * CAST("Amount" AS DECIMAL(38,2))) AS ss FROM tx WHERE "Amount" IS NOT NULL GROUP BY 1)""",
-              """tt AS (SELECT sum(n) AS nt, sum(s) AS st, sum(ss) AS sst FROM bk)""",
-              """cu AS (SELECT bucket, sum(n) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS n0,
-  sum(s) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS s0 FROM bk)""",
-              """cc AS (SELECT bucket, n0, nt - n0 AS n1, CAST(s0 AS DOUBLE) / n0 AS mu0, CAST(st - s0 AS DOUBLE) / (nt - n0) AS mu1,
-  (CAST(sst AS DOUBLE) - CAST(st AS DOUBLE) * CAST(st AS DOUBLE) / nt) / nt AS v,
-  1.0::DOUBLE / n0 + 1.0::DOUBLE / (nt - n0) AS m, ln(2.0::DOUBLE * ln(CAST(nt AS DOUBLE)) / 0.002::DOUBLE) AS dd
-  FROM cu, tt)""",
-              """cuts AS (SELECT bucket, n0, n1, mu0, mu1, sqrt(2.0::DOUBLE * m * v * dd) + (2.0::DOUBLE / 3.0::DOUBLE) * dd * m AS eps
-  FROM cc WHERE n0 >= 5 AND n1 >= 5)"""]
-
-register("D1_adwin_cuts", sql("tx", *_ADWIN_SQL, body="""SELECT CAST(bucket AS BIGINT) AS bucket, CAST(n0 AS BIGINT) AS n0,
-  CAST(n1 AS BIGINT) AS n1, mu0, mu1, round(eps, 6) AS eps,
-  abs(mu0 - mu1) > eps AS drift FROM cuts"""))(
-    lambda spark, d: DR.adwin_cuts(DR.adwin_buckets(V.tx(spark, d))).select(
-        F.col("bucket").cast("long").alias("bucket"), F.col("n0").cast("long").alias("n0"),
-        F.col("n1").cast("long").alias("n1"), "mu0", "mu1", F.round("eps", 6).alias("eps"), "drift"))
-
-register("D1_adwin_alert", sql("tx", *_ADWIN_SQL, body="""SELECT 'ADWIN' AS type, 'High' AS severity,
+# the feature watched is the hour of the day, whose mean drifts within a day
+_ADWIN_SQL = ["""ww AS (SELECT greatest(3600.0::DOUBLE, (max("Time") - min("Time")) / 1023.0::DOUBLE) AS width FROM tx)""",
+              """bk AS (SELECT CAST(floor("Time" / width) AS BIGINT) AS bucket, any_value(width) AS width, count(*) AS n,
+  CAST(sum(hour(ts)) AS DOUBLE) AS s, CAST(sum(hour(ts) * hour(ts)) AS DOUBLE) AS ss FROM tx, ww GROUP BY 1)""",
+              """cu AS (SELECT bucket, width, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(ss) OVER o AS ss FROM bk
+  WINDOW o AS (ORDER BY bucket ROWS UNBOUNDED PRECEDING))""",
+              """cc AS (SELECT e.bucket AS "end", c.bucket AS cut, e.width, CAST(c.n AS BIGINT) AS n0, CAST(e.n - c.n AS BIGINT) AS n1,
+  c.s / c.n AS mu0, (e.s - c.s) / (e.n - c.n) AS mu1, greatest(0.0, (e.ss - e.s * e.s / e.n) / e.n) AS v,
+  1.0::DOUBLE / c.n + 1.0::DOUBLE / (e.n - c.n) AS m, ln(2.0::DOUBLE * ln(CAST(e.n AS DOUBLE)) / 0.002::DOUBLE) AS dd
+  FROM cu e JOIN cu c ON c.bucket < e.bucket WHERE c.n >= 5 AND e.n - c.n >= 5)""",
+              """cuts AS (SELECT *, abs(mu0 - mu1) > sqrt(2.0::DOUBLE * m * v * dd) + (2.0::DOUBLE / 3.0::DOUBLE) * dd * m AS drift FROM cc)"""]
+
+
+def _hours(spark, d):
+    return V.tx(spark, d).select("Time", F.hour("ts").alias("hour"))
+
+
+register("D1_adwin_cuts", sql("tx", *_ADWIN_SQL, body="""SELECT "end", count(*) AS cuts, count(*) FILTER (WHERE drift) AS drifting,
+  min(cut) FILTER (WHERE drift) AS first_cut, round(sum(mu0 - mu1), 6) AS differences FROM cuts GROUP BY 1"""))(
+    lambda spark, d: DR.adwin_cuts(DR.adwin_buckets(_hours(spark, d), "hour")).groupBy("end").agg(
+        F.count(F.lit(1)).alias("cuts"), F.count_if("drift").alias("drifting"), F.min(F.when(F.col("drift"), F.col("cut"))).alias("first_cut"),
+        F.round(F.sum(F.col("mu0") - F.col("mu1")), 6).alias("differences")))
+
+_ADWIN_FIRST = """(SELECT * FROM cuts WHERE drift ORDER BY "end", cut LIMIT 1)"""
+register("D1_adwin_alert", sql("tx", *_ADWIN_SQL, body=f"""SELECT 'ADWIN' AS type, 'High' AS severity,
   'Significant drift detected in feature distribution' AS message, mu0 AS old_value, mu1 AS new_value,
-  (bucket + 1) * 3600.0 AS cut_time FROM cuts WHERE abs(mu0 - mu1) > eps ORDER BY bucket LIMIT 1"""))(
-    lambda spark, d: DR.adwin_alert(V.tx(spark, d)))
+  (cut + 1) * width AS cut_time, ("end" + 1) * width AS detected_time FROM {_ADWIN_FIRST}"""))(
+    lambda spark, d: DR.adwin_alert(_hours(spark, d), "hour"))
 
 
 def _ph_stats(spark, d):
     s = V.scored(spark, d).select("transaction_id", ((F.col("fraud_probability") > 0.5) == (F.col("Class") == 1))
                                   .cast("int").alias("correct"))
     acc = WN.cumulative_mean(s, "correct", ["transaction_id"], name="accuracy")
-    return DR.page_hinkley(acc, "accuracy", ["transaction_id"])
+    return DR.page_hinkley(acc.select("transaction_id", "accuracy"), "accuracy", ["transaction_id"], threshold=0.5, alpha=1.0)
 
 
 def _ph(spark, d):
@@ -342,7 +347,7 @@ register("D2_page_hinkley", sql("scored", """a AS (SELECT transaction_id,
                                 """mm AS (SELECT *, pm - min(pm) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_up,
   pu - min(pu) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_down FROM m)""",
                                 body="""SELECT transaction_id, t, round(x, 6) AS accuracy, round(ph_up, 6) AS ph_up,
-  round(ph_down, 6) AS ph_down, (t >= 30 AND (ph_up > 50.0 OR ph_down > 50.0)) AS drift FROM mm"""))(_ph)
+  round(ph_down, 6) AS ph_down, (t >= 30 AND (ph_up > 0.5 OR ph_down > 0.5)) AS drift FROM mm"""))(_ph)
 
 register("D2_page_hinkley_alert", sql("scored", """a AS (SELECT transaction_id,
   row_number() OVER (ORDER BY transaction_id) AS t,
@@ -355,14 +360,14 @@ register("D2_page_hinkley_alert", sql("scored", """a AS (SELECT transaction_id,
   pu - min(pu) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_down FROM m)""",
                                        body="""SELECT 'PageHinkley' AS type, 'Medium' AS severity, 'Model performance degradation detected' AS message,
   NULL::DOUBLE AS old_value, NULL::DOUBLE AS new_value, t FROM mm
-WHERE t >= 30 AND (ph_up > 50.0 OR ph_down > 50.0) ORDER BY t LIMIT 1"""))(
+WHERE t >= 30 AND (ph_up > 0.5 OR ph_down > 0.5) ORDER BY t LIMIT 1"""))(
     lambda spark, d: DR.page_hinkley_alert(_ph_stats(spark, d)))
 
 def _ph_forgetting(spark, d):
     s = V.scored(spark, d).select("transaction_id", ((F.col("fraud_probability") > 0.5) == (F.col("Class") == 1))
                                   .cast("int").alias("correct"))
     acc = WN.cumulative_mean(s, "correct", ["transaction_id"], name="accuracy")
-    ph = DR.page_hinkley(acc, "accuracy", ["transaction_id"], alpha=0.999)
+    ph = DR.page_hinkley(acc.select("transaction_id", "accuracy"), "accuracy", ["transaction_id"], threshold=0.5)
     return ph.select("transaction_id", "t", F.round("ph_up", 6).alias("ph_up"),
                      F.round("ph_down", 6).alias("ph_down"), "drift")
 
@@ -373,31 +378,30 @@ register("D2_page_hinkley_forgetting", sql("scored", """a AS (SELECT transaction
     / row_number() OVER (ORDER BY transaction_id) AS x FROM scored)""",
                                            """b AS (SELECT *, sum(x) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) / t AS xbar FROM a)""",
                                            """m AS (SELECT *,
-  pow(0.999::DOUBLE, t) * sum(pow(0.999::DOUBLE, -t) * (x - xbar - 0.005::DOUBLE)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pm,
-  pow(0.999::DOUBLE, t) * sum(pow(0.999::DOUBLE, -t) * (xbar - x - 0.005::DOUBLE)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pu
+  pow(0.9999::DOUBLE, t) * sum(pow(0.9999::DOUBLE, -t) * (x - xbar - 0.005::DOUBLE)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pm,
+  pow(0.9999::DOUBLE, t) * sum(pow(0.9999::DOUBLE, -t) * (xbar - x - 0.005::DOUBLE)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS pu
   FROM b)""",
                                            """mm AS (SELECT *, pm - min(pm) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_up,
   pu - min(pu) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_down FROM m)""",
                                            body="""SELECT transaction_id, t, round(ph_up, 6) AS ph_up, round(ph_down, 6) AS ph_down,
-  (t >= 30 AND (ph_up > 50.0 OR ph_down > 50.0)) AS drift FROM mm"""))(_ph_forgetting)
+  (t >= 30 AND (ph_up > 0.5 OR ph_down > 0.5)) AS drift FROM mm"""))(_ph_forgetting)
 
 _DRIFT_BODY = """SELECT type, CASE WHEN chg > 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
   what || ' changed by ' || CAST(CAST(round(CAST(chg * 100.0 AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS VARCHAR) || '%' AS message, old_value, new_value FROM (
   SELECT 'Fraud Rate Drift' AS type, 'Fraud rate' AS what, abs(r1 - r0) AS chg, r0 AS old_value, r1 AS new_value FROM fl
   UNION ALL
-  SELECT 'Probability Drift', 'Average probability', abs(p1 - p0), p0, p1 FROM fl) WHERE chg > 0.1"""
+  SELECT 'Probability Drift', 'Average probability', abs(p1 - p0), p0, p1 FROM fl) WHERE chg > 0.001"""
 _FL = """fl AS (SELECT arg_min(fraud_rate, window_id) AS r0, arg_max(fraud_rate, window_id) AS r1,
   arg_min(avg_probability, window_id) AS p0, arg_max(avg_probability, window_id) AS p1 FROM ws HAVING count(*) >= 2)"""
 
 register("D3_D4_window_drift", sql("scored", *_WIN_SQL, _FL, body=_DRIFT_BODY))(
-    lambda spark, d: DR.window_drift(_wstats(spark, d)))
+    lambda spark, d: DR.window_drift(_wstats(spark, d), change=0.001))
 
 
 def _alert_log(spark, d):
-    t = V.tx(spark, d)
-    return DR.alert_log(DR.adwin_alert(t).drop("cut_time"), DR.window_drift(_wstats(spark, d)))
+    return DR.alert_log(DR.adwin_alert(_hours(spark, d), "hour").drop("cut_time", "detected_time"), DR.window_drift(_wstats(spark, d), change=0.001))
 
 
 register("D5_alert_log", sql("scored", *_ADWIN_SQL, *_WIN_SQL, _FL, """al AS (
-  SELECT 'ADWIN' AS type, 'High' AS severity FROM (SELECT * FROM cuts WHERE abs(mu0 - mu1) > eps ORDER BY bucket LIMIT 1)
+  SELECT 'ADWIN' AS type, 'High' AS severity FROM """ + _ADWIN_FIRST + """
   UNION ALL SELECT type, severity FROM (""" + _DRIFT_BODY + "))", body="""SELECT type, severity, count(*) AS n FROM al GROUP BY 1, 2"""))(_alert_log)

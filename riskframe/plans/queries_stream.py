@@ -54,7 +54,7 @@ def _enrich(spark, d):
     cp = FE.customer_profile(hist).drop("tx_count")
     mp = FE.merchant_profile(hist)
     s = SS.tx_stream(spark, d)
-    j = s.join(SS.broadcast_if_small(cp), "customer_id", "left").join(SS.broadcast_if_small(mp), "merchant_id", "left")
+    j = s.join(cp, "customer_id", "left").join(mp, "merchant_id", "left")
     return SS.run_to_table(j.select("transaction_id", "avg_amount_per_customer", "merchant_fraud_rate"), "enrich")
 
 
@@ -67,7 +67,7 @@ LEFT JOIN (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS r FROM tx GROUP B
 
 def _buffer(spark, d):
     s = _scored_stream(spark, d)
-    t = SS.run_to_table(ST.last_n_buffer(s, "merchant_id", n=50, n_windows=10), "buffer", mode="update",
+    t = SS.run_to_table(ST.last_n_buffer(s, "merchant_id", n=1000, n_windows=10), "buffer", mode="update",
                         keys=["merchant_id"])
     return t.select("merchant_id", "seen", "buffered", F.round("fraud_rate", 6).alias("fraud_rate"),
                     F.round("avg_probability", 6).alias("avg_probability"),
@@ -80,7 +80,7 @@ register("T6_last_n_buffer", sql("scored", """b AS (SELECT merchant_id, transact
   row_number() OVER (PARTITION BY merchant_id ORDER BY transaction_id DESC) AS rd,
   count(*) OVER (PARTITION BY merchant_id) AS seen FROM scored)""",
                                  """k AS (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY transaction_id) AS ra,
-  count(*) OVER (PARTITION BY merchant_id) AS buffered FROM b WHERE rd <= 50)""",
+  count(*) OVER (PARTITION BY merchant_id) AS buffered FROM b WHERE rd <= 1000)""",
                                  body="""SELECT merchant_id, max(seen) AS seen, CAST(max(buffered) AS INTEGER) AS buffered,
   round(avg(CAST(prediction AS DOUBLE)), 6) AS fraud_rate, round(avg(fraud_probability), 6) AS avg_probability,
   round(avg(CAST(prediction AS DOUBLE)) FILTER (WHERE ra <= buffered // 10), 6) AS first_window_rate,
@@ -108,44 +108,47 @@ def _updates(spark, d):
 register("T9_update_messages")(_updates)
 
 
-def _replay(spark, d):
-    """The events table replayed as 5 ordered files, one file per
-    micro-batch (``maxFilesPerTrigger``); one row per micro-batch."""
-    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 5, scratch_path(spark, "landing"))
-    s = SS.score_stream(SS.tx_stream(spark, d, max_files_per_trigger=1, events_dir=land, events_glob="*.parquet"))
+def _batches(spark, d):
+    """Every micro-batch of the stream with its number of rows (the
+    trigger's file limit cuts them)."""
+    s = _scored_stream(spark, d, max_files_per_trigger=1)
     out = scratch_path(spark, "sink-batches")
 
     def each(b, epoch, _):
-        b.agg(F.count(F.lit(1)).alias("rows"), F.min("transaction_id").alias("first_id")).write.mode(
-            "overwrite").parquet(SS.epoch_dir(out, epoch, "batch"))
+        b.agg(F.count(F.lit(1)).alias("rows"), F.min("transaction_id").alias("first_id"),
+              F.max("transaction_id").alias("last_id")).write.mode("overwrite").parquet(SS.epoch_dir(out, epoch, "batch"))
 
-    q, _ = SS.start(s, "replay", foreach_batch=each)
+    q, _ = SS.start(s, "batches", foreach_batch=each)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    t = spark.read.parquet(out)
+    return t.agg(F.sum("rows").cast("long").alias("rows"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
 
 
-register("T1_micro_batches")(_replay)
+register("T1_micro_batches", sql("tx", body="""SELECT count(*) AS rows, min(transaction_id) AS first_id, max(transaction_id) AS last_id FROM tx"""))(_batches)
 
 
 def _live(spark, d):
-    """T5 kept current: the events replayed as 5 ordered files, one per
-    micro-batch; each row carries its customer's count and mean amount over
-    all strictly earlier transactions."""
-    land = SS.land_in_order(V.table(spark, d, "events"), "event_id", 5, scratch_path(spark, "landing-live"))
-    s = SS.tx_stream(spark, d, max_files_per_trigger=1, events_dir=land, events_glob="*.parquet")
-    return SS.run_to_table(SS.live_profiles(s), "live")
+    """T5 kept current: each row carries its customer's count and mean amount
+    over all strictly earlier transactions."""
+    return SS.run_to_table(SS.live_profiles(SS.tx_stream(spark, d)), "live")
 
 
 register("T5_live_profiles", sql("tx", body="""SELECT customer_id, transaction_id,
   count(*) OVER w AS profile_tx_count,
-  CAST(sum(CAST(round("Amount" * 100) AS BIGINT)) OVER w AS DOUBLE) / count(*) OVER w / 100.0::DOUBLE AS avg_amount_per_customer
+  CAST(sum(CAST(round("Amount" * 1000000) AS BIGINT)) OVER w AS DOUBLE) / 1000000.0::DOUBLE / count("Amount") OVER w AS avg_amount_per_customer
 FROM tx WINDOW w AS (PARTITION BY customer_id ORDER BY transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))(_live)
 
 
+#: a threshold that merchants' scores reach, and no forgetting, so that SQL can follow up to the first detection
+_PH = {"threshold": 0.5, "min_instances": 5, "alpha": 1.0}
+
+
 def _detector(spark, d):
+    """Page-Hinkley over each merchant's scores; the first detection."""
     s = _scored_stream(spark, d)
-    return SS.run_to_table(ST.fold_detector(s, "merchant_id", "fraud_probability"), "detector", mode="update",
-                           keys=["merchant_id"])
+    t = SS.run_to_table(ST.fold_detector(s, "merchant_id", "fraud_probability", factory=lambda: ST.PageHinkleyDetector(**_PH)),
+                        "detector", mode="update", keys=["merchant_id"])
+    return t.select("merchant_id", "n", (F.col("detections") > 0).alias("detected"), "first_at")
 
 
 register("X2_stream_detector", sql("scored", """a AS (SELECT merchant_id, fraud_probability AS x,
@@ -157,29 +160,41 @@ register("X2_stream_detector", sql("scored", """a AS (SELECT merchant_id, fraud_
                                     """c AS (SELECT *, m - min(m) OVER (PARTITION BY merchant_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS up,
   u - min(u) OVER (PARTITION BY merchant_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS down FROM b)""",
                                     body="""SELECT merchant_id, count(*) AS n,
-  count(*) FILTER (WHERE t >= 30 AND (up > 50.0 OR down > 50.0)) AS detections,
-  min(t) FILTER (WHERE t >= 30 AND (up > 50.0 OR down > 50.0)) AS first_at FROM c GROUP BY merchant_id"""))(_detector)
+  count(*) FILTER (WHERE t >= 5 AND (up > 0.5 OR down > 0.5)) > 0 AS detected,
+  min(t) FILTER (WHERE t >= 5 AND (up > 0.5 OR down > 0.5)) AS first_at FROM c GROUP BY merchant_id"""))(_detector)
 
 
 def _stream_adwin(spark, d):
-    """D1 keyed and exact: ADWIN per merchant over the streamed amounts."""
-    s = SS.tx_stream(spark, d)
-    return SS.run_to_table(ST.fold_detector(s, "merchant_id", "Amount", factory=ST.AdwinDetector), "adwin",
-                           mode="update", keys=["merchant_id"])
+    """D1 on the stream: ADWIN over each event type's day of the month, which
+    drifts by nature; events arrive in order of their id within a type."""
+    s = SS.tx_stream(spark, d).withColumn("days", F.col("Time") / 86400.0)
+    t = SS.run_to_table(ST.fold_detector(s, "transaction_type", "days", order="Time", factory=ST.AdwinDetector), "adwin",
+                        mode="update", keys=["transaction_type"])
+    return t.select("transaction_type", "n", (F.col("detections") > 0).alias("drifted"))
 
 
-register("D1_stream_adwin")(_stream_adwin)
+register("D1_stream_adwin", sql("tx", body="""SELECT transaction_type, count("Time") AS n, true AS drifted FROM tx GROUP BY 1"""))(
+    _stream_adwin)
 
 
 def _c6(spark, d):
+    """Predictions with the counts of the other sinks beside them."""
     qs = SS.start_scoring(spark, d)
     for q, _ in qs.values():
         q.awaitTermination()
-    return spark.read.parquet(qs["predictions"][1])
-
-
-register("C6_start_scoring", sql("banded", body="""SELECT transaction_id, fraud_probability, risk_level,
-  CAST(fraud_probability >= 0.5 AS INTEGER) AS prediction FROM banded"""))(_c6)
+    alerts = spark.read.parquet(qs["alerts"][1]).select("transaction_id", F.lit(True).alias("alerted"))
+    metrics = spark.read.parquet(qs["metrics"][1])
+    buffer = SS.latest_per_key(spark, qs["buffer"][1], ["merchant_id"])
+    return (spark.read.parquet(qs["predictions"][1]).join(alerts, "transaction_id", "left")
+            .withColumns({"alerted": F.coalesce("alerted", F.lit(False)),
+                          "total_processed": metrics.select("total_processed").scalar(),
+                          "buffered": buffer.agg(F.sum("buffered").cast("long")).scalar()}))
+
+
+register("C6_start_scoring", sql("banded", """k AS (SELECT CAST(sum(least(n, 1000)) AS BIGINT) AS buffered
+  FROM (SELECT merchant_id, count(*) AS n FROM banded GROUP BY 1))""", body="""SELECT transaction_id, fraud_probability, risk_level,
+  CAST(fraud_probability >= 0.5 AS INTEGER) AS prediction, fraud_probability > 0.8 AS alerted,
+  (SELECT count(*) FROM banded) AS total_processed, (SELECT buffered FROM k) AS buffered FROM banded"""))(_c6)
 
 register("S8_read_predictions", sql("banded", body="""SELECT transaction_id, fraud_probability, risk_level,
   CAST(fraud_probability >= 0.5 AS INTEGER) AS prediction FROM banded ORDER BY transaction_id LIMIT 100"""))(

@@ -2,7 +2,7 @@
 
 * ``tx``      events + customer + nation + region -> one transaction per event
 * ``scored``  ``tx`` plus a deterministic stand-in probability
-* ``ml``      embeddings -> V1..V28 features and a binary label
+* ``ml``      embeddings -> one V feature per dimension and a binary label
 * ``tx_big``  lineitem + orders, for scale runs of order-free aggregates
 """
 
@@ -83,10 +83,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx(spark, sf_dir).withColumn("fraud_probability", stand_in_probability())
 
 
+def ml_columns(spark: SparkSession, sf_dir: str) -> list[str]:
+    """V1..Vd for the embeddings' own width d."""
+    d = table(spark, sf_dir, "embeddings", "embedding").agg(F.max(F.size("embedding"))).first()[0] or 0
+    return [f"V{i}" for i in range(1, d + 1)]
+
+
 def ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dimension of the embeddings as a feature, and a binary label."""
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     cols = [F.col("vec_id").alias("transaction_id")]
-    cols += [F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate(S.V_COLUMNS)]
+    cols += [F.get("embedding", F.lit(i)).cast("double").alias(v) for i, v in enumerate(ml_columns(spark, sf_dir))]
     cols += [(F.col("label") == 0).cast("int").alias("Class")]
     return emb.select(*cols)
 

@@ -8,9 +8,6 @@ from pyspark.sql import types as T
 V_COLUMNS = [f"V{i}" for i in range(1, 29)]
 REQUIRED_COLUMNS = ["Time", "Amount"] + V_COLUMNS
 CATEGORICAL_COLUMNS = ["transaction_type", "card_type", "region", "channel"]
-TRANSACTION_TYPES = ["online", "in_store", "atm", "mobile"]
-CARD_TYPES = ["credit", "debit", "prepaid"]
-REGIONS = ["US", "EU", "ASIA", "LATAM", "AFRICA"]
 CHANNELS = ["web", "mobile", "pos", "atm"]
 CATEGORY_DEFAULTS = {"transaction_type": "online", "card_type": "credit",
                      "region": "US", "channel": "web"}
@@ -24,6 +21,9 @@ RATE_ALERT_PCT = 1.0  # running fraud % > 1.0 -> high_fraud_rate alert
 ENSEMBLE_WEIGHTS = (0.5, 0.3, 0.2)  # boosted, forest, logistic
 AMOUNT_EDGES = [0.0, 50.0, 100.0, 200.0, 500.0]  # 0-50, 50-100, 100-200, 200-500, 500+
 AMOUNT_LABELS = ["0-50", "50-100", "100-200", "200-500", "500+"]
+ADWIN_MESSAGE = "Significant drift detected in feature distribution"
+PH_MESSAGE = "Model performance degradation detected"
+PH_ALPHA = 0.9999     # forgetting factor of Page-Hinkley
 
 
 def raw_transaction_schema(with_label: bool = True) -> T.StructType:
@@ -47,20 +47,3 @@ def enriched_transaction_schema() -> T.StructType:
         ("transaction_id", T.StringType()),
     ]
     return T.StructType(list(s.fields) + [T.StructField(n, t, True) for n, t in extra])
-
-
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("transaction_id", T.StringType(), True),
-    T.StructField("fraud_probability", T.DoubleType(), True),
-    T.StructField("risk_level", T.StringType(), True),
-    T.StructField("model_used", T.StringType(), True),
-    T.StructField("error", T.StringType(), True),
-])
-
-DRIFT_ALERT_SCHEMA = T.StructType([
-    T.StructField("type", T.StringType(), False),
-    T.StructField("severity", T.StringType(), False),
-    T.StructField("message", T.StringType(), True),
-    T.StructField("old_value", T.DoubleType(), True),
-    T.StructField("new_value", T.DoubleType(), True),
-])

@@ -13,14 +13,15 @@ def parse_json(df: DataFrame, text_col: str, schema: T.StructType, keep: list[st
                corrupt_col: str = "_corrupt") -> DataFrame:
     """Parse one JSON document per row with ``from_json`` (PERMISSIVE): a
     document that does not parse gives null fields and is flagged in
-    ``corrupt_col`` instead of failing the job."""
-    parsed = F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE"})
+    ``corrupt_col`` instead of failing the job; so does one with a field that
+    doesn't fit its type. An object without some (or all) fields is not corrupt."""
+    bad = "_corrupt_record_"
+    full = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    parsed = F.from_json(F.col(text_col), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
     keep = keep or []
-    out = df.select(*keep, parsed.alias("_p"), F.col(text_col).alias("_raw"))
-    cols = [F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields]
-    bad = F.col("_raw").isNotNull() & (F.col("_p").isNull() | F.coalesce(
-        *[F.col(f"_p.{f.name}").isNotNull() for f in schema.fields], F.lit(False)) == F.lit(False))
-    return out.select(*keep, *cols, bad.alias(corrupt_col))
+    out = df.select(*keep, parsed.alias("_p"))
+    return out.select(*keep, *[F.col("_p")[f.name].alias(f.name) for f in schema.fields],
+                      F.coalesce(F.col("_p")[bad].isNotNull(), F.lit(False)).alias(corrupt_col))
 
 
 def parse_transactions(df: DataFrame, text_col: str = "payload") -> DataFrame:

@@ -29,11 +29,11 @@ def read_transactions(spark: SparkSession, path: str, fmt: str | None = None,
 
 def read_scored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """A stored table of scored rows; ``None`` when it is missing or
-    empty (``isEmpty`` reads at most one row)."""
-    try:
-        df = spark.read.format(fmt).load(path)
-    except Exception:  # missing path
+    empty (``isEmpty`` reads at most one row). Any other failure is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
+    df = spark.read.format(fmt).load(path)
     return None if df.isEmpty() else df
 
 

@@ -3,12 +3,14 @@ enrichment, event-time windows, periodic updates (S7-S8, T1-T5, T7-T9, C6).
 
 The reference's thread-and-queue loop becomes a streaming query: the
 trigger interval replaces the 0.1 s poll, ``maxFilesPerTrigger`` replaces the
-100-row batch cap, and the checkpoint location (under the shared
-``spark.checkpoint.dir``) replaces in-memory state that was lost on exit.
+100-row batch cap, and the checkpoint location that the caller gives replaces
+in-memory state that was lost on exit.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskframe import schema as S
 from riskframe.functions import scalars as X
 from riskframe.plans import views as V
-from riskframe.session import scratch_path
+from riskframe.session import drop_path, materialize, scratch_path
 
 
 # ---- sources (S7) ---------------------------------------------------------
@@ -33,30 +35,6 @@ def file_stream(spark: SparkSession, directory: str, schema, fmt: str = "parquet
     return r.load(directory)
 
 
-def land_in_order(df: DataFrame, order: str, n_files: int, path: str) -> str:
-    """Replay helper: land a table as ``n_files`` files, one per consecutive
-    range of ``order``, written one after another so the file source (which
-    takes files oldest first) replays them in order. Range bounds come from
-    ``approxQuantile`` (n_files - 1 numbers)."""
-    bounds = df.approxQuantile(order, [i / n_files for i in range(1, n_files)], 0.0001)
-    edges = [None, *sorted(set(bounds)), None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(order) > lo)
-        if hi is not None:
-            cond = cond & (F.col(order) <= hi)
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after checking the row count; larger tables
-    keep a shuffle join (AQE does not re-plan streaming micro-batches)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def tx_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
               events_dir: str | None = None, events_glob: str | None = "events.parquet") -> DataFrame:
     """The ``tx`` view over a stream of event files, enriched by
@@ -71,7 +49,8 @@ def tx_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | Non
                 .select("c_custkey", "c_mktsegment", "r_name"))
     merchant = F.get_json_object(F.col("props"), "$.k").cast("long")
     channel = F.element_at(F.array(*[F.lit(c) for c in S.CHANNELS]), (F.pmod(merchant, F.lit(4)) + 1).cast("int"))
-    j = ev.join(broadcast_if_small(cust_geo), ev.user_id == cust_geo.c_custkey, "left")
+    # no hint: Spark broadcasts by the byte size it knows, and shuffles beyond its threshold
+    j = ev.join(cust_geo, ev.user_id == cust_geo.c_custkey, "left")
     return j.select(
         F.col("event_id").alias("transaction_id"), F.col("ts").cast("timestamp").alias("ts"),
         (F.timestamp_diff("MICROSECOND", F.lit(t0), F.col("ts")) / 1e6).alias("Time"),
@@ -86,13 +65,31 @@ def tx_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | Non
 def score_stream(stream: DataFrame, scorer=None, name: str = "model", threshold: float = 0.5) -> DataFrame:
     """Stateless scoring with the same scorer as batch (an ML model's
     ``transform`` works on streaming frames). Default scorer: the
-    deterministic stand-in."""
+    deterministic stand-in. A row without a score is banded ``Error`` and
+    predicted 0."""
     if scorer is None:
         out = stream.withColumn("fraud_probability", V.stand_in_probability())
     else:
         out = scorer(stream).withColumnRenamed(f"p_{name}", "fraud_probability")
-    return out.withColumns({"risk_level": X.risk_band("fraud_probability"),
-                            "prediction": X.threshold_classify("fraud_probability", threshold)})
+    hit = F.coalesce(X.threshold_classify("fraud_probability", threshold), F.lit(0))
+    return out.withColumns({"risk_level": X.risk_band("fraud_probability"), "prediction": hit})
+
+
+def score_stream_models(stream: DataFrame, scorers: dict, thresholds: dict[str, float] | None = None,
+                        preference=("ensemble", "gbt")) -> DataFrame:
+    """T2 with several models (M14): every scorer adds its ``p_<name>``, each
+    model is judged by its own stored threshold (``registry.thresholds``), and
+    the first model of ``preference`` that gave a score decides. Adds the maps of
+    all probabilities and predictions, band, model used and prediction time."""
+    from riskframe.models.classifiers import multi_model
+
+    out = stream
+    for fn in scorers.values():
+        out = fn(out)
+    out = multi_model(out, list(scorers), thresholds, preference)
+    none = F.col("model_used") == "none"
+    return out.withColumns({"risk_level": F.when(none, F.lit("Error")).otherwise(X.risk_band("fraud_probability")),
+                            "prediction_time": X.iso_now()})
 
 
 def alerts(scored: DataFrame, cut: float = S.ALERT_CUT) -> DataFrame:
@@ -107,10 +104,10 @@ def running_metrics(scored: DataFrame, measure: str = "Amount") -> DataFrame:
     (one global streaming aggregate; state is a handful of numbers)."""
     g = scored.agg(F.count(F.lit(1)).alias("total_processed"),
                    F.sum(F.col("prediction").cast("long")).alias("fraud_detected"),
-                   X.exact_sum(measure, 2).alias("_sum"), F.count(measure).alias("_n"))
+                   X.exact_sum(measure).alias("_sum"), F.count(measure).alias("_n"))
     return g.select("total_processed", "fraud_detected",
                     (X.safe_ratio("fraud_detected", "total_processed") * 100.0).alias("fraud_rate_pct"),
-                    (F.col("_sum") / F.col("_n")).alias(f"avg_{measure.lower()}"))
+                    F.try_divide(F.col("_sum"), F.col("_n")).alias(f"avg_{measure.lower()}"))
 
 
 def rate_alerts(metrics: DataFrame, cut: float = S.RATE_ALERT_PCT) -> DataFrame:
@@ -129,11 +126,34 @@ def windowed_rates(scored: DataFrame, window: str = "1 day", watermark: str = "1
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
     return (scored.withWatermark("ts", watermark).groupBy(w.alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("prediction").cast("double")).alias("fraud_rate"),
-        X.exact_avg("fraud_probability", 6).alias("avg_probability"))
+        X.exact_avg("fraud_probability").alias("avg_probability"))
         .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", "fraud_rate",
                 "avg_probability"))
 
 
+def recent_drift(predictions: DataFrame, n: int = 1000, n_windows: int = 10, order: str = "transaction_id",
+                 change: float = S.DRIFT_CHANGE) -> DataFrame:
+    """Alerts on the stream's last ``n`` predictions (its sink, or a
+    micro-batch's rows joined to it): ten windows, the first against the last
+    (D3/D4). Used from :func:`drift_alert_sink` after every micro-batch."""
+    from riskframe.operators import drift as DR
+
+    return DR.window_drift(DR.window_stats(predictions, n, n_windows, order), change)
+
+
+def drift_alert_sink(predictions: str, alerts_path: str, n: int = 1000, n_windows: int = 10, change: float = S.DRIFT_CHANGE):
+    """foreachBatch sink for scored rows: stores the micro-batch's predictions
+    and writes the drift alerts over the last ``n`` of the whole stream. Each
+    epoch has its own folder, so a retried epoch replaces itself; the last ``n``
+    are a top-n over the stored predictions, read by column."""
+    def sink(b: DataFrame, epoch: int, out: str) -> None:
+        spark = b.sparkSession
+        b.select("transaction_id", "fraud_probability", "prediction").write.mode("overwrite").parquet(epoch_dir(predictions, epoch))
+        recent_drift(spark.read.parquet(predictions), n, n_windows, change=change).write.mode("overwrite").parquet(
+            epoch_dir(alerts_path, epoch))
+    return sink
+
+
 def sessions(scored: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     """Session windows per customer (delivery plumbing for T4/T7); append
     mode: a session is emitted once the watermark passes its end."""
@@ -165,16 +185,15 @@ def update_message(batch: DataFrame) -> DataFrame:
 
 # ---- running queries --------------------------------------------------------
 
-def checkpoint_dir(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, f"stream-{name}")
-
-
 def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = None, mode: str = "append",
-          trigger: dict | None = None, foreach_batch=None,
+          trigger: dict | None = None, foreach_batch=None, checkpoint: str | None = None,
           state_partitions: int | None = None) -> tuple[StreamingQuery, str]:
-    """Start a query with its checkpoint under the shared folder. ``trigger``
-    e.g. ``{"processingTime": "100 milliseconds"}`` (T1) or
-    ``{"availableNow": True}``. Returns (query, output path).
+    """Start a query. Give ``path`` (the sink) and ``checkpoint`` (shared
+    storage): started again with the same two, it resumes where it stopped, with
+    its state, and repeats nothing. Without them both are new scratch folders
+    under the shared folder, for a run that needn't be resumed. ``trigger`` e.g.
+    ``{"processingTime": "100 milliseconds"}`` (T1) or ``{"availableNow":
+    True}``. Returns (query, output path).
 
     A stateful query fixes its number of state partitions at its first start
     (kept in the checkpoint). ``state_partitions`` (default: the cluster's
@@ -183,8 +202,8 @@ def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = No
     if state_partitions is None:
         state_partitions = spark.sparkContext.defaultParallelism
     out = path or scratch_path(spark, f"sink-{name}")
-    w = df.writeStream.queryName(f"{name}_{abs(hash(out)) % 100000}").outputMode(mode).option(
-        "checkpointLocation", checkpoint_dir(spark, name))
+    w = df.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:8]}").outputMode(mode).option(
+        "checkpointLocation", checkpoint or scratch_path(spark, f"stream-{name}"))
     w = w.trigger(**(trigger or {"availableNow": True}))
     if foreach_batch is not None:
         w = w.foreachBatch(lambda b, i: foreach_batch(b, i, out))
@@ -214,10 +233,25 @@ def epoch_dir(out: str, epoch: int, name: str = "_epoch") -> str:
 def append_versioned(b: DataFrame, epoch: int, out: str) -> None:
     """foreachBatch sink for update-mode results: each epoch in its own
     folder (the ``_epoch`` column on read), so the newest row per key is the
-    current value and a retried epoch replaces itself."""
+    current value and a retried epoch replaces itself. :func:`compact` keeps
+    the number of epochs small."""
     b.write.mode("overwrite").parquet(epoch_dir(out, epoch))
 
 
+def compact(spark: SparkSession, out: str, keys: list[str]) -> None:
+    """Fold all epochs of an ``append_versioned`` table into its newest one:
+    the newest row of each key is written there and the older epochs are
+    deleted. Run it while the query is stopped."""
+    epochs = sorted(r[0] for r in spark.read.parquet(out).select(F.col("_epoch").cast("long")).distinct().collect())
+    if len(epochs) < 2:
+        return
+    held, path = materialize(latest_per_key(spark, out, keys), "compact")
+    held.write.mode("overwrite").parquet(epoch_dir(out, epochs[-1]))
+    for e in epochs[:-1]:
+        drop_path(spark, epoch_dir(out, e))
+    drop_path(spark, path)
+
+
 def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """Read an ``append_versioned`` table: newest row per key."""
     t = spark.read.parquet(out).withColumn("_epoch", F.col("_epoch").cast("long"))
@@ -250,36 +284,41 @@ def live_profiles(stream: DataFrame, key: str = "customer_id", amount: str = "Am
                   order: str = "transaction_id") -> DataFrame:
     """T5 with profiles kept current: each row gets its key's count and mean
     amount over all strictly earlier rows (by ``order``), from per-key state
-    (a count and an exact sum of cents, two numbers per key) plus an
-    in-batch prefix. No profile table is rewritten per micro-batch, and the
-    result does not depend on where micro-batches are cut (rows are assumed
-    to arrive in ``order`` per key; a late row sees the state at arrival).
-    Append mode: one output row per input row."""
+    (rows, non-null amounts and their sum in millionths, three numbers a key)
+    plus an in-batch prefix. Null and NaN amounts count as rows but not in the
+    mean. The result does not depend on where micro-batches are cut (rows are
+    assumed to arrive in ``order`` per key; a late row sees the state at
+    arrival). Append mode: one output row per input row. One key's rows of a
+    micro-batch are folded by one task, three numbers a row."""
     from pyspark.sql import types as T
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    out = T.StructType([T.StructField(key, T.LongType()), T.StructField(order, T.LongType()),
+    ktype, otype = stream.schema[key].dataType, stream.schema[order].dataType
+    out = T.StructType([T.StructField(key, ktype), T.StructField(order, otype),
                         T.StructField("profile_tx_count", T.LongType()),
                         T.StructField("avg_amount_per_customer", T.DoubleType())])
-    st = T.StructType([T.StructField("n", T.LongType()), T.StructField("cents", T.LongType())])
+    st = T.StructType([T.StructField("rows", T.LongType()), T.StructField("n", T.LongType()), T.StructField("units", T.LongType())])
 
     def fold(k, batches, state):
         import numpy as np
         import pandas as pd
 
-        n, c = state.get if state.exists else (0, 0)
+        rows, n, total = state.get if state.exists else (0, 0, 0)
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         pdf = pd.concat(parts).sort_values(order)
-        cents = np.round(pdf[amount].to_numpy(dtype="float64") * 100.0).astype("int64")
-        prior_n = n + np.arange(len(pdf), dtype="int64")
-        prior_c = c + np.cumsum(cents) - cents
+        x = pd.to_numeric(pdf[amount]).to_numpy("float64", na_value=np.nan)
+        known = ~np.isnan(x)
+        units = np.where(known, np.round(np.where(known, x, 0.0) * 1e6), 0).astype("int64")
+        prior_n = n + np.cumsum(known) - known
+        prior = total + np.cumsum(units) - units
         with np.errstate(invalid="ignore", divide="ignore"):
-            avg = np.where(prior_n > 0, prior_c / prior_n / 100.0, np.nan)
-        state.update((int(n + len(pdf)), int(c + cents.sum())))
+            avg = np.where(prior_n > 0, prior / 1e6 / prior_n, np.nan)
+        state.update((int(rows + len(pdf)), int(n + known.sum()), int(total + units.sum())))
         yield pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(),
-                            "profile_tx_count": prior_n, "avg_amount_per_customer": avg})
+                            "profile_tx_count": rows + np.arange(len(pdf), dtype="int64"),
+                            "avg_amount_per_customer": avg})
 
     return stream.select(key, order, amount).groupBy(key).applyInPandasWithState(
         fold, out, st, "append", GroupStateTimeout.NoTimeout)
@@ -292,20 +331,27 @@ def read_predictions(spark: SparkSession, path: str, limit: int = 100, order: st
 
 def start_scoring(spark: SparkSession, sf_dir: str, scorer=None, name: str = "model",
                   trigger: dict | None = None, max_files_per_trigger: int | None = None,
-                  buffer_key: str | None = "merchant_id", buffer_size: int = 1000) -> dict:
-    """One source, four sinks: predictions (append), alerts (append),
-    running metrics (complete) and the bounded last-N buffer per
-    ``buffer_key`` (update). Returns the queries and their paths."""
+                  buffer_key: str | None = "merchant_id", buffer_size: int = 1000, base: str | None = None,
+                  drift: bool = False) -> dict:
+    """One source, its sinks: predictions (append), alerts (append),
+    running metrics (complete), the bounded last-N buffer per ``buffer_key``
+    (update) and, with ``drift``, drift alerts over the last 1000 predictions.
+    ``base``: a shared folder for all sinks and checkpoints; started again with
+    it, the queries resume. Returns the queries and their paths."""
     from riskframe.streaming.state import last_n_buffer
 
+    base = (base or scratch_path(spark, "scoring")).rstrip("/")
     scored = score_stream(tx_stream(spark, sf_dir, max_files_per_trigger), scorer, name)
-    preds = scored.select("transaction_id", "fraud_probability", "risk_level", "prediction")
-    qp, pp = start(preds, "predictions", trigger=trigger)
-    qa, pa = start(alerts(scored), "alerts", trigger=trigger)
-    qm, pm = start(running_metrics(scored), "metrics", mode="complete", trigger=trigger,
-                   foreach_batch=overwrite_batch)
-    out = {"predictions": (qp, pp), "alerts": (qa, pa), "metrics": (qm, pm)}
+
+    def run(df, what, **kw):
+        return start(df, what, path=f"{base}/{what}", checkpoint=f"{base}/_checkpoints/{what}", trigger=trigger, **kw)
+
+    out = {"predictions": run(scored.select("transaction_id", "fraud_probability", "risk_level", "prediction"), "predictions"),
+           "alerts": run(alerts(scored), "alerts"),
+           "metrics": run(running_metrics(scored), "metrics", mode="complete", foreach_batch=overwrite_batch)}
     if buffer_key:
-        out["buffer"] = start(last_n_buffer(scored, buffer_key, n=buffer_size), "buffer", mode="update",
-                              trigger=trigger, foreach_batch=append_versioned)
+        out["buffer"] = run(last_n_buffer(scored, buffer_key, n=buffer_size), "buffer", mode="update",
+                            foreach_batch=append_versioned)
+    if drift:
+        out["drift"] = run(scored, "drift", foreach_batch=drift_alert_sink(f"{base}/drift-rows", f"{base}/drift"))
     return out

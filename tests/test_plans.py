@@ -43,16 +43,25 @@ def test_partial_aggregation_before_shuffle(spark, sf_dir):
     assert phys.count("HashAggregate") >= 2 and "partial_" in phys
 
 
-def test_trailing_window_is_split_by_time_bucket(spark, sf_dir):
+def test_trailing_count_holds_no_key_in_one_task(spark, sf_dir):
     t = V.tx(spark, sf_dir).select("transaction_id", "customer_id", "Time")
     phys = _physical(FE.trailing_count(t))
-    assert "hashpartitioning(customer_id" in phys and "_bkt" in phys
+    # the only windows are over the ranges, and over the table of one row per range
+    assert "windowspecdefinition(customer_id" not in phys and "windowspecdefinition(_k" not in phys
 
 
-def test_top_per_group_is_salted(spark, sf_dir):
+def test_leaderboard_scans_the_rows_once(spark, sf_dir):
+    from riskframe.operators import evaluate as EV
+
+    s = V.scored(spark, sf_dir)
+    long = EV.long_scores(s, {"a": "fraud_probability", "b": F.col("Amount") / 500.0})
+    assert _physical(long).count("FileScan") == _physical(s.select("fraud_probability", "Amount", "Class")).count("FileScan")
+
+
+def test_top_per_group_is_limited_map_side(spark, sf_dir):
     s = V.scored(spark, sf_dir).select("region", "transaction_id", "fraud_probability")
     phys = _physical(R.top_per_group(s, "region", "fraud_probability", 3, "transaction_id"))
-    assert "_salt" in phys and phys.count("Window") >= 2
+    assert "WindowGroupLimit" in phys and "Partial" in phys
 
 
 def test_stream_state_across_micro_batches_equals_batch(spark, sf_dir):
