@@ -22,6 +22,8 @@ empty table gives an empty result. DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,29 +70,32 @@ def branches(msgs: DataFrame, top: int | None = 1) -> DataFrame:
     ``nodes``, ``up`` steps above the leaf; ``top`` branches of a tree (None: all)."""
     # reach 2^k: up is the ancestor (null beyond the root), gained the score of the 2^k nodes from v on, seen their number
     step, _ = materialize(msgs.select("t", "v", F.col("p").alias("up"), F.col("score").alias("gained"),
-                                         F.lit(1).cast("long").alias("seen")), "tree-lift")
-    lifts = []
+                                      F.lit(1).cast("long").alias("seen")), "tree-lift")
+    lifts, done = [], []  # by round: nodes that go on, and nodes whose reach has passed the root
     for _ in range(MAX_ROUNDS):
-        if step.where("up is not null").isEmpty():
+        live = step.where("up is not null")
+        if live.isEmpty():
             break
-        lifts.append(step)
-        above = step.select("t", F.col("v").alias("up"), F.col("up").alias("up2"), F.col("gained").alias("g2"),
-                            F.col("seen").alias("s2"))
-        step, _ = materialize(
-            step.join(above, ["t", "up"], "left").select(
-                "t", "v", F.col("up2").alias("up"), (F.col("gained") + F.coalesce("g2", F.lit(0.0))).alias("gained"),
-                (F.col("seen") + F.coalesce("s2", F.lit(0))).alias("seen")), "tree-lift")
+        lifts.append(live)
+        below = [*done, step]
+        done.append(step.where("up is null"))
+        above = reduce(DataFrame.unionByName, below).select("t", F.col("v").alias("up"), F.col("up").alias("up2"),
+                                                            F.col("gained").alias("g2"), F.col("seen").alias("s2"))
+        step, _ = materialize(live.join(above, ["t", "up"]).select(
+            "t", "v", F.col("up2").alias("up"), (F.col("gained") + F.col("g2")).alias("gained"),
+            (F.col("seen") + F.col("s2")).alias("seen")), "tree-lift")
     else:
         raise ValueError("parents go round in a circle")
+    ends = reduce(DataFrame.unionByName, [*done, step])
     inner = msgs.where("p is not null").select("t", F.col("p").alias("v")).distinct()
-    leaves = step.join(inner, ["t", "v"], "left_anti")
+    leaves = ends.join(inner, ["t", "v"], "left_anti")
     order = [F.desc("gained"), F.desc("seen"), F.asc("v")]
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(*order)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     walk = ranked.select("t", F.col("v").alias("leaf"), "rank", "v", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(lifts))):
-        jump = lifts[k].where("up is not null").select("t", "v", F.col("up").alias("to"))
+        jump = lifts[k].select("t", "v", F.col("up").alias("to"))
         both = F.array(F.struct("v", "up"), F.struct(F.col("to").alias("v"), (F.col("up") + 2 ** k).alias("up")))
         walk = (walk.join(jump, ["t", "v"], "left").select("t", "leaf", "rank", F.explode(both).alias("x"))
                 .select("t", "leaf", "rank", "x.v", "x.up").where("v is not null"))
