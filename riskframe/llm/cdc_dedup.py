@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from riskframe.llm.common import BLOCK_BYTES, blocks, text_bytes
+from riskframe.llm.common import BLOCK_BYTES, blocks, small_batches, text_bytes
 from riskframe.session import materialize
 
 #: random values of the gear hash, one for each byte value, from a seeded generator
@@ -140,6 +140,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with the later occurrences cut out of the text, plus
     ``removed_words`` and ``removed_spans`` (start and end in characters of
     the old text, first_doc: the document that keeps the passage)."""
+    small_batches(docs)
     ch = chunks(docs, id_col, text_col)
     dups, _ = materialize(later_occurrences(ch), "cdc-dups")
     key, cols = "__cdc_id", docs.columns

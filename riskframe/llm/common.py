@@ -26,6 +26,20 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+#: rows of an Arrow batch that carries texts
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let the session send texts to Python in batches of at most BATCH_ROWS
+    rows (unless it asks for fewer): whole texts are much larger than the rows
+    that Spark's default is meant for."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(col: str) -> Column:
     """UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))

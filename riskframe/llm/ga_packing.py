@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import blocks, parts_for
+from riskframe.llm.common import blocks, parts_for, small_batches
 from riskframe.llm.tokens import byte_bpe
 from riskframe.session import materialize
 
@@ -228,6 +228,7 @@ def pack(items: DataFrame, length_col: str = "length", max_tokens: int = 2048, b
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                    max_tokens: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
+    small_batches(docs)
     return pack(pieces(docs, tokenizer, id_col, text_col, max_tokens, end_id, with_ids), max_tokens=max_tokens)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from riskframe.llm.common import blocks
+from riskframe.llm.common import blocks, small_batches
 
 BITS = 16
 #: code point that marks the ends of a text: the last one, which no writing uses
@@ -175,6 +175,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", train
     see at most about ``train_rows`` rows, the same share of each label's rows
     up to ``train_rows / labels``, chosen by a hash; document frequencies and
     label counts see all rows."""
+    small_batches(train)
     rows = train.select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y")).where(
         "t is not null and y is not null")
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().limit(max_labels + 1).collect()}

@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import local_forest, text_bytes
+from riskframe.llm.common import local_forest, small_batches, text_bytes
 from riskframe.llm.components import connected_components
 from riskframe.session import materialize
 
 #: fingerprints that a key is meant to get, and beyond which its variants are written out
 KEY_ROWS, KEY_ROWS_MAX = 32_000, 96_000
 #: variants that a task makes and sorts at a time
-VARIANTS_AT_ONCE = 4_000_000
+VARIANTS_AT_ONCE = 1_000_000
 #: shingles whose bits are counted at a time
 HASHES_AT_ONCE = 65_536
 
@@ -186,6 +186,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, fingerprint 16 hex digits, component_id): one row for each row
     of ``docs``. component_id is the smallest id reachable over links of at
     most ``radius`` bits, the row's own included."""
+    small_batches(docs)
     rows, _ = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     distinct, _ = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     edges, _ = materialize(ball_links(distinct.select("fp"), distinct.count(), radius), "simhash-links")
