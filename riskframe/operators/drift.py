@@ -67,10 +67,11 @@ def adwin_cuts(buckets: DataFrame, delta: float = 0.002, min_window: int = 5) ->
 def adwin_alert(df: DataFrame, value: str = "Amount", time_col: str = "Time", bucket_seconds: float = 3600.0,
                 delta: float = 0.002, min_window: int = 5) -> DataFrame:
     """At most one alert, at the first bucket whose prefix has a cut that
-    drifts (the reference stops at its first detection per batch); the oldest
-    such cut is reported."""
+    drifts (the reference stops at its first detection per batch); of its cuts
+    the one furthest beyond its bound is reported."""
     cuts = adwin_cuts(adwin_buckets(df, value, time_col, bucket_seconds), delta, min_window)
-    first = cuts.filter("drift").orderBy("end", "cut").limit(1)
+    beyond = F.round(F.abs(F.col("mu0") - F.col("mu1")) - F.col("eps"), 9)
+    first = cuts.filter("drift").orderBy("end", beyond.desc(), "cut").limit(1)
     return first.select(F.lit("ADWIN").alias("type"), F.lit("High").alias("severity"),
                         F.lit(S.ADWIN_MESSAGE).alias("message"), F.col("mu0").alias("old_value"), F.col("mu1").alias("new_value"),
                         ((F.col("cut") + 1) * F.col("width")).alias("cut_time"),

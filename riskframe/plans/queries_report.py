@@ -304,7 +304,8 @@ _ADWIN_SQL = ["""ww AS (SELECT greatest(3600.0::DOUBLE, (max("Time") - min("Time
   c.s / c.n AS mu0, (e.s - c.s) / (e.n - c.n) AS mu1, greatest(0.0, (e.ss - e.s * e.s / e.n) / e.n) AS v,
   1.0::DOUBLE / c.n + 1.0::DOUBLE / (e.n - c.n) AS m, ln(2.0::DOUBLE * ln(CAST(e.n AS DOUBLE)) / 0.002::DOUBLE) AS dd
   FROM cu e JOIN cu c ON c.bucket < e.bucket WHERE c.n >= 5 AND e.n - c.n >= 5)""",
-              """cuts AS (SELECT *, abs(mu0 - mu1) > sqrt(2.0::DOUBLE * m * v * dd) + (2.0::DOUBLE / 3.0::DOUBLE) * dd * m AS drift FROM cc)"""]
+              """ce AS (SELECT *, sqrt(2.0::DOUBLE * m * v * dd) + (2.0::DOUBLE / 3.0::DOUBLE) * dd * m AS eps FROM cc)""",
+              """cuts AS (SELECT *, abs(mu0 - mu1) > eps AS drift FROM ce)"""]
 
 
 def _hours(spark, d):
@@ -317,7 +318,7 @@ register("D1_adwin_cuts", sql("tx", *_ADWIN_SQL, body="""SELECT "end", count(*)
         F.count(F.lit(1)).alias("cuts"), F.count_if("drift").alias("drifting"), F.min(F.when(F.col("drift"), F.col("cut"))).alias("first_cut"),
         F.round(F.sum(F.col("mu0") - F.col("mu1")), 6).alias("differences")))
 
-_ADWIN_FIRST = """(SELECT * FROM cuts WHERE drift ORDER BY "end", cut LIMIT 1)"""
+_ADWIN_FIRST = """(SELECT * FROM cuts WHERE drift ORDER BY "end", round(abs(mu0 - mu1) - eps, 9) DESC, cut LIMIT 1)"""
 register("D1_adwin_alert", sql("tx", *_ADWIN_SQL, body=f"""SELECT 'ADWIN' AS type, 'High' AS severity,
   'Significant drift detected in feature distribution' AS message, mu0 AS old_value, mu1 AS new_value,
   (cut + 1) * width AS cut_time, ("end" + 1) * width AS detected_time FROM {_ADWIN_FIRST}"""))(
