@@ -1,13 +1,17 @@
 """Operator 8: substring deduplication by content-defined chunking.
 
 A gear rolling hash over the last 16 bytes decides the cuts: after white space
-where the hash falls in one part of 25, and after any character where it falls
+where the hash falls in one part of 6, and after any character where it falls
 in one part of 1024; line ends and sentence ends always cut. Cuts depend on the
 bytes just before them only, so an insertion moves no cut beyond its own
 neighbourhood. A chunk's digest is the XXH64 of its bytes without outer white
-space. Of the occurrences of a digest the first (smallest doc_id, then place)
-stays; runs of later occurrences are removed where they hold at least
-``min_words`` words. Shorter repeats (stock phrases, licence lines) stay.
+space. Chunks are short, so they are compared in passages: the fewest adjoining
+chunks that hold ``min_words`` words, from each chunk on, and up to each chunk
+at which none of those ends. A passage's digest is made of its chunks' digests.
+Of the occurrences of a passage the first (smallest doc_id, then place) stays,
+and the chunks of later ones are removed. Every chunk of a longer repeat is in
+a passage within it, so all of it but the parts of chunks at its ends goes.
+Shorter repeats (stock phrases, licence lines) stay.
 
 Null and empty texts pass through, and so do rows with a null id (they can't be
 ordered). Rows that repeat an id with the same text count as one document. A
@@ -31,8 +35,15 @@ from riskframe.session import materialize
 #: random values of the gear hash, one for each byte value, from a seeded generator
 GEAR = np.random.default_rng(2024).integers(0, 2 ** 32, size=256, dtype=np.uint32)
 WINDOW, MAX_CHUNK = 16, 4096
+#: a passage's place is start << LENGTH_BITS | length: rows of three longs, and aggregates without structs, keep the shuffles small
+LENGTH_BITS = 24
+#: of the polynomial over the chunks' digests, modulo 2^64, that is a passage's digest
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C17)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C17, -1, 2 ** 64))
+#: what a word counts
+WORD = 1
 #: parts of the hash range that cut after white space, and anywhere
-AT_SPACE, ANYWHERE = np.uint32(2 ** 32 // 25), np.uint32(2 ** 32 // 1024)
+AT_SPACE, ANYWHERE = np.uint32(2 ** 32 // 6), np.uint32(2 ** 32 // 1024)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 STOP = np.zeros(256, bool)
@@ -71,9 +82,18 @@ def cut_points(buf: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     return at
 
 
-def chunk_texts(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def word_marks(buf: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+    """1 at the first byte of each word of the joined texts ``buf``, 0 elsewhere."""
+    first = ~SPACE[buf]
+    first[1:] &= SPACE[buf[:-1]]
+    first[doc_start] = ~SPACE[buf[doc_start]]
+    return first.astype(np.int64)
+
+
+def measured_chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """For blocks of non-empty texts: index of each chunk's text, its start
-    and length in it, and its digest (int64). Blank chunks are left out."""
+    and length in it, its digest (int64), and the words that begin in it. Blank
+    chunks are left out."""
     digest = xxhash.xxh64_intdigest
     full = [i for i, t in enumerate(texts) if t]
     for i, j in blocks([texts[k] for k in full], BLOCK_BYTES):
@@ -81,59 +101,98 @@ def chunk_texts(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         size = np.array([len(texts[k]) for k in own])
         start = np.cumsum(size) - size
         joined = b"".join(texts[k] for k in own)
-        at = cut_points(np.frombuffer(joined, np.uint8), start)
+        buf = np.frombuffer(joined, np.uint8)
+        at = cut_points(buf, start)
         end = np.r_[at[1:], len(joined)]
         body = [joined[a:b].strip() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
         h = np.fromiter(map(digest, body), np.uint64, len(body)).view(np.int64)
         some = np.fromiter(map(len, body), np.int64, len(body)) > 0
         doc = np.searchsorted(start, at, side="right") - 1
-        yield own[doc][some], (at - start[doc])[some], (end - at)[some], h[some]
-
-
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, doc_id, start, length): the chunks of all texts with an id;
-    start and length in UTF-8 bytes."""
+        words = np.add.reduceat(word_marks(buf, start), at)
+        yield own[doc][some], (at - start[doc])[some], (end - at)[some], h[some], words[some]
+
+
+def chunk_texts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`measured_chunks` without the words."""
+    for *chunk, _ in measured_chunks(texts):
+        yield tuple(chunk)
+
+
+def passages(texts: list[bytes], min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of texts: index of each passage's text, its place in it
+    (start << LENGTH_BITS | length), and its digest (int64)."""
+    need = min_words * WORD
+    for row, start, length, h, words in measured_chunks(texts):
+        n = len(row)
+        upto = np.r_[0, np.cumsum(words)]
+        lo = np.searchsorted(row, row, side="left")  # first chunk of the same text, and the one after its last
+        hi = np.searchsorted(row, row, side="right")
+        i = np.arange(n)
+        j = np.searchsorted(upto, upto[:-1] + need, side="left")  # the passage from i on is i..j-1
+        i, j = i[j <= hi], j[j <= hi]
+        rest = np.setdiff1d(np.arange(1, n + 1), j, assume_unique=False)  # ends that no passage has
+        back = np.searchsorted(upto, upto[rest] - need, side="right") - 1
+        ok = (upto[rest] >= need) & (back >= lo[rest - 1])
+        i, j = np.r_[i, back[ok]], np.r_[j, rest[ok]]
+        with np.errstate(over="ignore"):
+            up = np.cumprod(np.r_[np.uint64(1), np.full(n, MULTIPLIER)], dtype=np.uint64)
+            down = np.cumprod(np.r_[np.uint64(1), np.full(n, INVERSE)], dtype=np.uint64)
+            total = np.r_[np.uint64(0), np.cumsum(h.view(np.uint64) * up[:n], dtype=np.uint64)]
+            digest = (total[j] - total[i]) * down[i]
+        size = start[j - 1] + length[j - 1] - start[i]
+        yield row[i], start[i].astype(np.int64) << LENGTH_BITS | size, digest.view(np.int64)
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 16) -> DataFrame:
+    """(digest, doc_id, place): the passages of all texts with an id; place is
+    start << LENGTH_BITS | length, both in UTF-8 bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            for row, start, length, h in chunk_texts(b.column(1).to_pylist()):
+            for row, place, h in passages(b.column(1).to_pylist(), min_words):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(ids[row]), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))],
-                    ["digest", "doc_id", "start", "length"])
+                    [pa.array(h), pa.array(ids[row]), pa.array(place)],
+                    ["digest", "doc_id", "place"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"),
                                                         text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "digest long, doc_id long, start int, length int")
+    return rows.mapInArrow(run, "digest long, doc_id long, place long")
 
 
 def later_occurrences(ch: DataFrame) -> DataFrame:
-    """(doc_id, dups): for each document the chunks that occurred before, as
-    structs (start, length, digest, first_doc); a document's own share only.
-    ``ch`` is used twice; a digest's rows are never gathered. The repeated
-    digests are written, so that the join stands alone in its stage and the
-    adaptive skew join can split a digest that very many documents share."""
-    first = (ch.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-             .where("n > 1").select("digest", F.col("first.doc_id").alias("first_doc"),
-                                    F.col("first.start").alias("first_start")))
+    """(doc_id, dups): for each document the chunks whose digest is repeated,
+    as structs (place, digest, first_doc); a document's own share only. Those
+    of first_doc itself are among them (its smallest place stays). ``ch`` is
+    used twice; a digest's rows are never gathered. The repeated digests are
+    written, so that the join stands alone in its stage and the adaptive skew
+    join can split a digest that very many documents share."""
+    first = (ch.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+             .where("n > 1").select("digest", "first_doc"))
     first, _ = materialize(first, "cdc-first")
-    dup = ch.join(first, "digest").where("doc_id <> first_doc or start <> first_start")
-    return dup.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "digest", "first_doc")).alias("dups"))
-
-
-def removable(text: bytes, dups: list[tuple[int, int, int, int]], min_words: int) -> list[tuple[int, int, int]]:
-    """Runs (start, end, first_doc) of adjoining later occurrences in ``text``
-    with at least ``min_words`` words; a chunk whose digest is not that of the
-    text (another row with the same id) doesn't count."""
+    dup = ch.join(first, "digest")
+    return dup.groupBy("doc_id").agg(F.collect_list(F.struct("place", "digest", "first_doc")).alias("dups"))
+
+
+def removable(doc_id: int | None, text: bytes, dups: list[tuple[int, int, int]],
+              own: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Runs (start, end, first_doc) of ``text`` that later occurrences cover.
+    ``dups``: (place, digest, first_doc) of the document's id; ``own``: (place,
+    digest) of the text itself (another row may repeat the id)."""
+    first: dict[int, int] = {}
+    for place, h, f in dups:
+        if f == doc_id:
+            first[h] = min(place, first.get(h, place))
     out: list[list[int]] = []
-    for start, length, h, first in sorted(set(dups)):
-        body = text[start:start + length].strip()
-        if start + length > len(text) or xxhash.xxh64_intdigest(body) != h & (2 ** 64 - 1):
+    for place, h, f in sorted(set(dups)):
+        if (place, h) not in own or first.get(h) == place:
             continue
-        if out and not text[out[-1][1]:start].strip():
-            out[-1][1] = start + length
+        start = place >> LENGTH_BITS
+        end = start + (place & (1 << LENGTH_BITS) - 1)
+        if out and (start <= out[-1][1] or not text[out[-1][1]:start].strip()):
+            out[-1][1] = max(out[-1][1], end)
         else:
-            out.append([start, start + length, first])
-    return [(a, b, f) for a, b, f in out if len(text[a:b].split()) >= min_words]
+            out.append([start, end, f])
+    return [(a, b, f) for a, b, f in out]
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 16) -> DataFrame:
@@ -141,11 +200,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``removed_words`` and ``removed_spans`` (start and end in characters of
     the old text, first_doc: the document that keeps the passage)."""
     small_batches(docs)
-    ch = chunks(docs, id_col, text_col)
+    ch = chunks(docs, id_col, text_col, min_words)
     dups, _ = materialize(later_occurrences(ch), "cdc-dups")
     key, cols = "__cdc_id", docs.columns
     rows = docs.withColumn(key, F.col(id_col).cast("long"))
-    joined = rows.join(dups.withColumnRenamed("doc_id", key), key, "left").select(*cols, F.col("dups").alias("__dups"))
+    joined = rows.join(dups.withColumnRenamed("doc_id", key), key, "left").select(*cols, F.col("dups").alias("__dups"), key)
     at = cols.index(text_col)
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()),
                        StructField("first_doc", LongType())])
@@ -156,14 +215,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, words, spans = [], [], []
-            for t, d in zip(b.column(at).to_pylist(), b.column(len(cols)).to_pylist(), strict=True):
+            texts, dups, ids = (b.column(i).to_pylist() for i in (at, len(cols), len(cols) + 1))
+            full = [t.encode() if t and d else b"" for t, d in zip(texts, dups, strict=True)]
+            has: dict[int, set[tuple[int, int]]] = {}
+            for row, place, h in passages(full, min_words):
+                for i, own in zip(row.tolist(), zip(place.tolist(), h.tolist(), strict=True), strict=True):
+                    has.setdefault(i, set()).add(own)
+            for i, (t, d, raw) in enumerate(zip(texts, dups, full, strict=True)):
                 if not t or not d:
                     text.append(t)
                     words.append(0)
                     spans.append([])
                     continue
-                raw = t.encode()
-                cut = removable(raw, [(x["start"], x["length"], x["digest"], x["first_doc"]) for x in d], min_words)
+                cut = removable(ids[i], raw, [(x["place"], x["digest"], x["first_doc"]) for x in d], has.get(i, set()))
                 keep, p, said, chars = [], 0, [], 0
                 for a, e, first in cut:
                     keep.append(raw[p:a])

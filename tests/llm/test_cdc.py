@@ -85,3 +85,20 @@ def test_whole_copies(spark):
     df = spark.createDataFrame([(i, t) for i in range(50)] + [(3, "only this")], "doc_id long, text string")
     rows = C.dedup_substrings(df).collect()
     assert sorted(r["text"] for r in rows) == sorted([t, "only this"] + [""] * 49)
+
+
+def test_passages_without_sentence_ends(spark):
+    rng = random.Random(6)
+
+    def plain(words):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(words))
+    passages = [plain(n) for n in (51, 60, 80) for _ in range(60)]
+    rows = [(2 * i + k, f"{plain(70)} {p} {plain(70)}") for i, p in enumerate(passages) for k in (0, 1)]
+    out = {r["doc_id"]: r for r in C.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = lost = 0
+    for i, p in enumerate(passages):
+        assert out[2 * i]["removed_words"] == 0
+        removed = out[2 * i + 1]["removed_words"]
+        missed += removed < 16
+        lost += max(0, len(p.split()) - removed)
+    assert missed <= 6 and lost <= 14 * len(passages)
