@@ -2,12 +2,17 @@
 
 A gear rolling hash over the last 16 bytes decides the cuts: after white space
 where the hash falls in one part of 6, and after any character where it falls
-in one part of 1024; line ends and sentence ends always cut. Cuts depend on the
+in one part of 1024; line ends and sentence ends always cut, and for NEAR bytes
+after them the hash does not. In scripts that
+write no spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) it cuts after one
+character in 10, and further than STRETCH bytes from any white space after one
+byte in 32. Cuts depend on the
 bytes just before them only, so an insertion moves no cut beyond its own
 neighbourhood. A chunk's digest is the XXH64 of its bytes without outer white
 space. Chunks are short, so they are compared in passages: the fewest adjoining
 chunks that hold ``min_words`` words, from each chunk on, and up to each chunk
-at which none of those ends. A passage's digest is made of its chunks' digests.
+at which none of those ends. Two characters of a script without spaces count as
+a word, and so do six bytes beyond STRETCH of any other unspaced text. A passage's digest is made of its chunks' digests.
 Of the occurrences of a passage the first (smallest doc_id, then place) stays,
 and the chunks of later ones are removed. Every chunk of a longer repeat is in
 a passage within it, so all of it but the parts of chunks at its ends goes.
@@ -40,8 +45,13 @@ LENGTH_BITS = 24
 #: of the polynomial over the chunks' digests, modulo 2^64, that is a passage's digest
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C17)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C17, -1, 2 ** 64))
-#: what a word counts
-WORD = 1
+#: what a word counts, a character of a script without spaces, and a byte beyond STRETCH of other unspaced text
+WORD, CHARACTER, BYTE = 6, 3, 1
+#: bytes since white space from which text counts as unspaced, and the parts of the hash range that cut in it
+STRETCH = 32
+#: bytes after a line or sentence end in which the hash does not cut
+NEAR = 32
+AT_CHARACTER, IN_STRETCH = np.uint32(2 ** 32 // 10), np.uint32(2 ** 32 // 32)
 #: parts of the hash range that cut after white space, and anywhere
 AT_SPACE, ANYWHERE = np.uint32(2 ** 32 // 6), np.uint32(2 ** 32 // 1024)
 SPACE = np.zeros(256, bool)
@@ -50,9 +60,36 @@ STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
 
-def cut_points(buf: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+def unspaced(buf: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of the joined texts ``buf``: whether it ends a character of
+    a script without spaces, whether it ends a full stop, exclamation or question
+    mark of one, and whether it lies beyond STRETCH bytes from white space (or
+    from the text's beginning)."""
+    script, stop = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+    lead = np.flatnonzero(buf[:-2] >= 0xE0)  # of characters of three or four bytes
+    if len(lead):
+        a, b, c = buf[lead], buf[lead + 1], buf[lead + 2]
+        three = ((a >= 0xE3) & (a <= 0xE9)  # kana and Han
+                 | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)  # Thai, Lao
+                 | (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F)))  # Burmese, Khmer
+        script[lead[three] + 2] = True
+        script[lead[(a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)] + 3] = True  # rare Han
+        full = (a == 0xE3) & (b == 0x80) & (c == 0x82) | (a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x9F))
+        stop[lead[full] + 2] = True
+    far = np.zeros(len(buf), bool)
+    edge = SPACE[buf]
+    edge[doc_start] = True
+    edge = np.flatnonzero(edge)
+    gap = np.diff(np.r_[edge, len(buf)])
+    for p, g in zip(edge[gap > STRETCH + 1].tolist(), gap[gap > STRETCH + 1].tolist(), strict=True):
+        far[p + STRETCH + 1:p + g] = True
+    return script, stop, far
+
+
+def cut_points(buf: np.ndarray, doc_start: np.ndarray, marks: tuple[np.ndarray, ...]) -> np.ndarray:
     """Cuts (index of the first byte after) in the joined texts ``buf``, whose
-    texts begin at ``doc_start``; the beginnings are cuts too."""
+    texts begin at ``doc_start``; the beginnings are cuts too. ``marks``: of
+    :func:`unspaced`."""
     n = len(buf)
     h = GEAR[buf]
     for k in (1, 2, 4, 8):  # h covers 2k bytes after this step
@@ -60,14 +97,25 @@ def cut_points(buf: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     h *= np.uint32(0x9E3779B1)
     space = SPACE[buf]
     nxt = np.r_[buf[1:], np.uint8(32)]
-    cut = (space & (h < AT_SPACE)) | ((h < ANYWHERE) & ((nxt & 0xC0) != 0x80))
+    script, stop, far = marks
+    always = (buf == 10) | STOP[buf] & SPACE[nxt] | stop
+    ends = np.cumsum(always, dtype=np.int32)
+    near = ends - always > 0  # an end among the NEAR bytes before
+    near[NEAR + 1:] = (ends - always)[NEAR + 1:] > ends[:-NEAR - 1]
+    cut = space & (h < AT_SPACE) & ~near
+    cut |= (h < ANYWHERE) & ((nxt & 0xC0) != 0x80)
+    if far.any():
+        cut |= far & (h < IN_STRETCH) & ((nxt & 0xC0) != 0x80)
+    if script.any():
+        cut |= script & (h < AT_CHARACTER) & ~near
     for s in doc_start.tolist():  # the window isn't full yet, or reaches into the text before
         cut[s:s + WINDOW - 1] = False
-    cut |= buf == 10
-    cut |= STOP[buf] & SPACE[nxt]
+    cut |= always
     if n:
         cut[-1] = False
-    at = np.unique(np.r_[np.flatnonzero(cut) + 1, doc_start])
+    begin = np.r_[False, cut[:-1]]
+    begin[doc_start] = True
+    at = np.flatnonzero(begin)
     gap = np.diff(np.r_[at, n])
     if (gap > MAX_CHUNK).any():
         extra = []
@@ -82,17 +130,26 @@ def cut_points(buf: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     return at
 
 
-def word_marks(buf: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
-    """1 at the first byte of each word of the joined texts ``buf``, 0 elsewhere."""
+def measure(buf: np.ndarray, doc_start: np.ndarray, marks: tuple[np.ndarray, ...]) -> np.ndarray:
+    """What each byte of the joined texts ``buf`` adds to the length of a
+    passage: WORD at the first byte of a word, CHARACTER at the last byte of a
+    character of a script without spaces, BYTE beyond STRETCH in other text. ``marks``: of :func:`unspaced`."""
     first = ~SPACE[buf]
     first[1:] &= SPACE[buf[:-1]]
     first[doc_start] = ~SPACE[buf[doc_start]]
-    return first.astype(np.int64)
+    script, _, far = marks
+    whole = ~script  # not a byte of such a character, which counts already
+    for k in (1, 2):
+        whole[:-k] &= ~script[k:]
+    out = first.astype(np.int32) * WORD
+    if script.any() or far.any():
+        out += script * np.int32(CHARACTER) + (far & whole) * np.int32(BYTE)
+    return out
 
 
 def measured_chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """For blocks of non-empty texts: index of each chunk's text, its start
-    and length in it, its digest (int64), and the words that begin in it. Blank
+    and length in it, its digest (int64), and its measure in words times WORD. Blank
     chunks are left out."""
     digest = xxhash.xxh64_intdigest
     full = [i for i, t in enumerate(texts) if t]
@@ -102,18 +159,19 @@ def measured_chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         start = np.cumsum(size) - size
         joined = b"".join(texts[k] for k in own)
         buf = np.frombuffer(joined, np.uint8)
-        at = cut_points(buf, start)
+        marks = unspaced(buf, start)
+        at = cut_points(buf, start, marks)
         end = np.r_[at[1:], len(joined)]
         body = [joined[a:b].strip() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
         h = np.fromiter(map(digest, body), np.uint64, len(body)).view(np.int64)
         some = np.fromiter(map(len, body), np.int64, len(body)) > 0
         doc = np.searchsorted(start, at, side="right") - 1
-        words = np.add.reduceat(word_marks(buf, start), at)
+        words = np.add.reduceat(measure(buf, start, marks), at, dtype=np.int64)
         yield own[doc][some], (at - start[doc])[some], (end - at)[some], h[some], words[some]
 
 
 def chunk_texts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """:func:`measured_chunks` without the words."""
+    """:func:`measured_chunks` without the measure."""
     for *chunk, _ in measured_chunks(texts):
         yield tuple(chunk)
 
@@ -174,17 +232,17 @@ def later_occurrences(ch: DataFrame) -> DataFrame:
 
 
 def removable(doc_id: int | None, text: bytes, dups: list[tuple[int, int, int]],
-              own: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+              own: set[tuple[int, int]] | None) -> list[tuple[int, int, int]]:
     """Runs (start, end, first_doc) of ``text`` that later occurrences cover.
     ``dups``: (place, digest, first_doc) of the document's id; ``own``: (place,
-    digest) of the text itself (another row may repeat the id)."""
+    digest) of the text itself, where other texts have its id too."""
     first: dict[int, int] = {}
     for place, h, f in dups:
         if f == doc_id:
             first[h] = min(place, first.get(h, place))
     out: list[list[int]] = []
     for place, h, f in sorted(set(dups)):
-        if (place, h) not in own or first.get(h) == place:
+        if first.get(h) == place or own is not None and (place, h) not in own:
             continue
         start = place >> LENGTH_BITS
         end = start + (place & (1 << LENGTH_BITS) - 1)
@@ -203,8 +261,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ch = chunks(docs, id_col, text_col, min_words)
     dups, _ = materialize(later_occurrences(ch), "cdc-dups")
     key, cols = "__cdc_id", docs.columns
+    # ids that different texts share: their passages must be told apart
+    hashes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"))
+    shared = hashes.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("shared"))
+    dups = dups.join(shared, "doc_id", "left")
     rows = docs.withColumn(key, F.col(id_col).cast("long"))
-    joined = rows.join(dups.withColumnRenamed("doc_id", key), key, "left").select(*cols, F.col("dups").alias("__dups"), key)
+    joined = rows.join(dups.withColumnRenamed("doc_id", key), key, "left").select(*cols, F.col("dups").alias("__dups"), key, F.col("shared").alias("__shared"))
     at = cols.index(text_col)
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()),
                        StructField("first_doc", LongType())])
@@ -215,19 +277,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, words, spans = [], [], []
-            texts, dups, ids = (b.column(i).to_pylist() for i in (at, len(cols), len(cols) + 1))
+            texts, ids, mixed = (b.column(i).to_pylist() for i in (at, len(cols) + 1, len(cols) + 2))
+            lists = b.column(len(cols))
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            to = np.cumsum(size)
+            flat = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+            dups = [list(zip(*(x[k - n:k].tolist() for x in flat), strict=True)) if n else [] for k, n in zip(to.tolist(), size.tolist(), strict=True)]
             full = [t.encode() if t and d else b"" for t, d in zip(texts, dups, strict=True)]
-            has: dict[int, set[tuple[int, int]]] = {}
-            for row, place, h in passages(full, min_words):
+            has: dict[int, set[tuple[int, int]]] = {i: set() for i, m in enumerate(mixed) if m}
+            again = list(has)
+            for row, place, h in passages([full[i] for i in again], min_words):
                 for i, own in zip(row.tolist(), zip(place.tolist(), h.tolist(), strict=True), strict=True):
-                    has.setdefault(i, set()).add(own)
+                    has[again[i]].add(own)
             for i, (t, d, raw) in enumerate(zip(texts, dups, full, strict=True)):
                 if not t or not d:
                     text.append(t)
                     words.append(0)
                     spans.append([])
                     continue
-                cut = removable(ids[i], raw, [(x["place"], x["digest"], x["first_doc"]) for x in d], has.get(i, set()))
+                cut = removable(ids[i], raw, d, has.get(i))
                 keep, p, said, chars = [], 0, [], 0
                 for a, e, first in cut:
                     keep.append(raw[p:a])

@@ -102,3 +102,30 @@ def test_passages_without_sentence_ends(spark):
         missed += removed < 16
         lost += max(0, len(p.split()) - removed)
     assert missed <= 6 and lost <= 14 * len(passages)
+
+
+def test_passages_in_scripts_without_spaces(spark):
+    rng = random.Random(7)
+
+    def run(chars, n):
+        return "".join(rng.choice(chars) for _ in range(n))
+    han, thai = [chr(c) for c in range(0x4E00, 0x5E00)], [chr(c) for c in range(0x0E01, 0x0E2F)]
+    code = "abcdefghijklmnopqrstuvwxyz0123456789+/"
+    cases = [(chars, run(chars, n)) for chars, n in ((han, 120), (thai, 200), (code, 1500)) for _ in range(20)]
+    rows = [(2 * i + k, run(chars, 300) + p + run(chars, 300)) for i, (chars, p) in enumerate(cases) for k in (0, 1)]
+    texts = dict(rows)
+    out = {r["doc_id"]: r for r in C.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    removed = 0
+    for i, (_, p) in enumerate(cases):
+        assert out[2 * i]["text"] == texts[2 * i]
+        for s in out[2 * i + 1]["removed_spans"]:
+            assert texts[2 * i + 1][s["start"]:s["end"]] in p
+        removed += len(texts[2 * i + 1]) - len(out[2 * i + 1]["text"]) > len(p) // 2
+    assert removed >= 57
+
+
+def test_short_repeats_without_spaces_stay(spark):
+    rows = [(i, f"{chr(0x5000 + i) * 3}版权所有不得转载。{chr(0x6000 + i) * 3}") for i in range(20)]
+    rows += [(100 + i, f"word{i} https://example.org/a/b/c/page.html other{i}") for i in range(20)]
+    assert all(r["text"] == dict(rows)[r["doc_id"]]
+               for r in C.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
