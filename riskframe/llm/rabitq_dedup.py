@@ -1,7 +1,8 @@
 """Operator 9: embedding near-duplicates with randomised-rotation binary codes.
 
 Equal vectors are one class. A class's unit vector is padded, rotated by a
-seeded random rotation and reduced to its signs (BITS of them); the stored
+seeded random rotation and reduced to its signs (BITS of them, twice as many
+from MANY_K index bits on); the stored
 correction factor is the inner product of the code with the vector it stands
 for. Code times query over factor is an unbiased estimate of the cosine, whose
 error is below ``EPSILON * sqrt((1 - f^2) / f^2 / (BITS - 1))`` but with a
@@ -10,8 +11,9 @@ probability that falls as exp(-EPSILON^2). The query side is the other vector in
 
 Pairs to look at come from an index over all classes: ``bands`` samples of
 ``k`` code bits each, where k follows the logarithm of the number of classes
-and the number of bands follows from the chance that a pair at the threshold
-agrees on k bits (a miss of about 2 %). Vectors that share a band's bits meet in
+and the number of bands is the least at which a pair at the threshold misses in
+all bands with a chance of at most MISS. As the bands read the same code bits,
+that chance is summed over the number of bits on which the pair agrees. Vectors that share a band's bits meet in
 one bucket. A pair counts in the first band that it shares only, is dropped if
 the bound from either side shows its cosine below the threshold, and is
 otherwise recomputed exactly, in double precision. Buckets above CELL rows are
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,21 @@ EPSILON = 4.0
 #: rows of a bucket that meet at once
 CELL = 1024
 MISS = 0.02
+#: index bits from which twice the code bits cost less than the bands they save
+MANY_K = 20
+#: unions of links of so many vector lengths are written at once
+LENGTHS = 100
 
 
-def rotation(dim: int) -> np.ndarray:
-    """(BITS or more, dim): the columns of a seeded random rotation that act on
+def code_size(dim: int, k: int) -> int:
+    """Code bits of vectors of length ``dim`` whose bands read k of them."""
+    return max(BITS if k < MANY_K else 2 * BITS, -(-dim // 64) * 64)
+
+
+def rotation(dim: int, size: int | None = None) -> np.ndarray:
+    """(size, dim), of BITS rows or more: the columns of a seeded random rotation that act on
     the vector's own coordinates (the padding is zero)."""
-    size = max(BITS, -(-dim // 64) * 64)
+    size = size or code_size(dim, 0)
     q, r = np.linalg.qr(np.random.default_rng(20240717).standard_normal((size, size)))
     return (q * np.sign(np.diag(r)))[:, :dim]
 
@@ -59,11 +71,30 @@ def band_bits(bands: int, k: int, size: int) -> np.ndarray:
     return np.stack([rng.choice(size, k, replace=False) for _ in range(bands)])
 
 
-def plan_bands(n: int, threshold: float) -> tuple[int, int]:
-    """(bands, k) for n classes."""
+def miss(bands: int, k: int, size: int, agree: float) -> float:
+    """Chance that a pair whose code bits agree with chance ``agree`` each
+    shares no band of k out of ``size`` bits."""
+    def choose(n: int, m: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1)
+    out = 0.0
+    for m in range(size + 1):  # bits that agree
+        at = math.exp(choose(size, m) + m * math.log(agree) + (size - m) * math.log1p(-agree))
+        out += at * (1.0 - (math.exp(choose(m, k) - choose(size, k)) if m >= k else 0.0)) ** bands
+    return out
+
+
+def plan_bands(n: int, threshold: float, dim: int = 1) -> tuple[int, int]:
+    """(bands, k) for n classes of length ``dim``."""
     k = min(40, max(4, round(math.log2(max(2, n)))))
-    agree = 1.0 - math.acos(threshold) / math.pi
-    return math.ceil(math.log(1.0 / MISS) / agree ** k), k
+    agree = min(1.0 - math.acos(threshold) / math.pi, 1.0 - 1e-9)
+    size = code_size(dim, k)
+    low, high = 0, math.ceil(math.log(1.0 / MISS) / agree ** k)
+    while miss(high, k, size, agree) > MISS:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if miss(mid, k, size, agree) <= MISS else (mid, high)
+    return high, k
 
 
 def encode(vec: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +159,8 @@ def bucket_pairs(codes: Codes, side: np.ndarray, masks: np.ndarray, band: int, t
 def candidate_pairs(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     """(a, b) pairs of class ids that may reach the threshold, each once.
     ``classes``: (rid long, vec array<float>), all of length ``dim``."""
-    rot = rotation(dim)
-    bands, k = plan_bands(n, threshold)
+    bands, k = plan_bands(n, threshold, dim)
+    rot = rotation(dim, code_size(dim, k))
     bits_of = band_bits(bands, k, rot.shape[0])
     masks = np.zeros((bands, rot.shape[0]), bool)
     np.put_along_axis(masks, bits_of, True, axis=1)
@@ -251,15 +282,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     classes, _ = materialize(rows.where("vec is not null").groupBy("vec").agg(F.count(F.lit(1)).alias("copies"),
                                                                               F.min("vec_id").alias("low"))
                              .withColumn("rid", F.monotonically_increasing_id()), "rabitq-classes")
-    links = None
-    sizes = classes.groupBy(F.size("vec").alias("dim")).count().limit(1000).collect()  # few lengths: a column has one as a rule
+    sizes = classes.groupBy(F.size("vec").alias("dim")).count().where("count > 1").collect()  # a row for each length
+    links = [spark.createDataFrame([], "a long, b long")]
     for r in sorted(sizes, key=lambda r: r["dim"]):
         own = classes.where(F.size("vec") == r["dim"])
         found = exact_links(candidate_pairs(own, r["dim"], r["count"], threshold), own, r["dim"], threshold)
-        links = found if links is None else links.unionByName(found)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long, cosine double")
-    links, _ = materialize(links.select("a", "b"), "rabitq-links")
+        links.append(found.select("a", "b"))
+        if len(links) > LENGTHS:
+            links = [materialize(reduce(DataFrame.unionByName, links), "rabitq-links")[0]]
+    links, _ = materialize(reduce(DataFrame.unionByName, links), "rabitq-links")
     copies = classes.select(F.col("rid").alias("other"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(copies, both["b"] == copies["other"]).groupBy(F.col("a").alias("rid")).agg(F.sum("copies").alias("outer"))
