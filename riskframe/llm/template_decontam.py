@@ -11,11 +11,11 @@ shares with an item at one offset then must be filled consistently: the item's
 words and the document's words in the slots map one to one. A window whose words
 are literally the same, but for case, needs no such check. Windows with fewer
 than ``min_plain`` plain words are too vague for the template path and must match
-literally; a window without any plain word has no anchor and is left out (an
-item of names and numbers only).
+literally; a window without any plain word (names, numbers and units only) is
+anchored on its longest word, and matches literally too.
 
-Null and empty texts hold nothing; items that are null, empty or without plain
-words match nothing. Everything is DataFrame functions; documents are never
+Null and empty texts hold nothing; items that are null or without words match
+nothing. Everything is DataFrame functions; documents are never
 shuffled to find matches.
 """
 
@@ -63,20 +63,19 @@ def lower_all(ws: Column) -> Column:
 
 
 def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """All windows of the benchmark with an anchor: (item_id, at (place in the
+    """All windows of the benchmark: (item_id, at (place in the
     item), n, anchor, before (words before the anchor), template, literal, filled, plain)."""
     ws = bench.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - window + 1))
     win = ws.select("item_id", "ws", F.explode(starts).alias("at")).select(
         "item_id", "at", F.slice("ws", F.col("at"), window).alias("w"))
-    plain = F.filter(F.transform("w", lambda x, i: F.struct(F.length(x).alias("size"), F.lower(x).alias("word"),
-                                                            (-i).alias("i"), kind(x).isNull().alias("plain"))),
-                     lambda s: s["plain"])
-    win = win.select("item_id", "at", "w", plain.alias("p")).where(F.size("p") > 0)
-    best = F.array_max("p")
+    ranked = F.transform("w", lambda x, i: F.struct(kind(x).isNull().alias("plain"), F.length(x).alias("size"),
+                                                    F.lower(x).alias("word"), (-i).alias("i")))
+    win = win.select("item_id", "at", "w", ranked.alias("p"))
+    best = F.array_max("p")  # the longest plain word, or the longest of all where none is plain
     return win.select("item_id", "at", F.size("w").alias("n"), best["word"].alias("anchor"), (-best["i"]).alias("before"),
                       F.xxhash64(template(F.col("w"))).alias("template"), F.xxhash64(lower_all(F.col("w"))).alias("literal"),
-                      slots(F.col("w")).alias("filled"), F.size("p").alias("plain")).distinct()
+                      slots(F.col("w")).alias("filled"), F.size(F.filter("p", lambda s: s["plain"])).alias("plain")).distinct()
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",

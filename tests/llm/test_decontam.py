@@ -65,3 +65,13 @@ def test_empty_and_plan(spark, odd, empty):
     assert T.decontaminate(odd, bench).columns == odd.columns and T.decontaminate(odd, bench).count() == odd.count()
     plan = T.contaminated(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_items_without_plain_words(spark):
+    items = ["WHAT IS THE CAPITAL CITY OF FRANCE TODAY THEN", "12 34 56 78 90 kg 7 m", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan", "7 8 9"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"some words before, {t}, and some after") for i, t in enumerate(items)]
+    rows += [(10, "What is the capital city of France today then"), (11, "12 34 56 78 91 kg 7 m"), (12, "7 8 and 9"),
+             (13, "Bob Alice Carol Dave Frank Erin Grace Heidi Ivan")]
+    got = {r["doc_id"]: r["item_ids"] for r in T.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [3], 10: [0]}
