@@ -6,9 +6,11 @@ a unit of measure ``<unit>``; other words stay, in lower case. Benchmark items
 are cut into windows of ``window`` template words (a shorter item is one
 window). A window is looked up by its anchor, its longest plain word: the
 documents' words are hash-joined with the anchors, and around each match the
-document's window must have the same template hash. The windows that a document
-shares with an item at one offset then must be filled consistently: the item's
-words and the document's words in the slots map one to one. A window whose words
+document's window must have the same template hash. Each window then must be
+filled consistently with those that it overlaps at the same offset: the same
+word of the item is always the same word of the document, and within the window
+itself they map one to one. A conflict elsewhere in the item does not void it.
+A window whose words
 are literally the same, but for case, needs no such check. Windows with fewer
 than ``min_plain`` plain words are too vague for the template path and must match
 literally; a window without any plain word (names, numbers and units only) is
@@ -63,17 +65,17 @@ def lower_all(ws: Column) -> Column:
 
 
 def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """All windows of the benchmark: (item_id, at (place in the
+    """All windows of the benchmark: (item_id, version (its text), at (place in the
     item), n, anchor, before (words before the anchor), template, literal, filled, plain)."""
     ws = bench.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - window + 1))
-    win = ws.select("item_id", "ws", F.explode(starts).alias("at")).select(
-        "item_id", "at", F.slice("ws", F.col("at"), window).alias("w"))
+    win = ws.select("item_id", F.xxhash64("ws").alias("version"), "ws", F.explode(starts).alias("at")).select(
+        "item_id", "version", "at", F.slice("ws", F.col("at"), window).alias("w"))
     ranked = F.transform("w", lambda x, i: F.struct(kind(x).isNull().alias("plain"), F.length(x).alias("size"),
                                                     F.lower(x).alias("word"), (-i).alias("i")))
-    win = win.select("item_id", "at", "w", ranked.alias("p"))
+    win = win.select("item_id", "version", "at", "w", ranked.alias("p"))
     best = F.array_max("p")  # the longest plain word, or the longest of all where none is plain
-    return win.select("item_id", "at", F.size("w").alias("n"), best["word"].alias("anchor"), (-best["i"]).alias("before"),
+    return win.select("item_id", "version", "at", F.size("w").alias("n"), best["word"].alias("anchor"), (-best["i"]).alias("before"),
                       F.xxhash64(template(F.col("w"))).alias("template"), F.xxhash64(lower_all(F.col("w"))).alias("literal"),
                       slots(F.col("w")).alias("filled"), F.size(F.filter("p", lambda s: s["plain"])).alias("plain")).distinct()
 
@@ -92,22 +94,27 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     near = tok.join(win, "anchor").where("pos >= before and pos - before + n <= size(ws)")
     # a generated column keeps the checks below out of the join: with their lambdas in its condition the join could
     # not be compiled together with the explode, and every word's row would carry a copy of its text
-    own = near.select("doc_id", "row", "item_id", "at", "pos", "before", "template", "literal", "filled", "plain",
+    own = near.select("doc_id", "row", "item_id", "version", "at", "pos", "before", "template", "literal", "filled", "plain",
                       F.explode(F.array(F.slice("ws", F.col("pos") - F.col("before") + 1, F.col("n")))).alias("w"))
     own = own.withColumn("same", F.xxhash64(lower_all(F.col("w"))) == F.col("literal")).where(
         F.col("same") | ((F.col("plain") >= min_plain) & (F.xxhash64(template(F.col("w"))) == F.col("template"))))
     # a literal match has no slots to check (its case may differ, and with it its placeholders)
     pairs = F.when(F.col("same"), F.array().cast("array<struct<b:string,d:string>>")).otherwise(
         F.zip_with("filled", slots(F.col("w")), lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
-    found = own.select("doc_id", "row", "item_id", (F.col("pos") - F.col("before") - F.col("at")).alias("offset"), "same",
-                       pairs.alias("pairs"))
-    # what one place of one document shares with one item: bounded by the item's length
-    place = found.groupBy("doc_id", "row", "item_id", "offset").agg(
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.count(F.lit(1)).alias("n"),
-        F.count_if("same").alias("n_same"))
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs")) & (
-        F.size(F.array_distinct(F.transform("pairs", lambda x: x["d"]))) == F.size("pairs"))
-    hits = place.withColumn("n", F.when(one_to_one, F.col("n")).otherwise(F.col("n_same"))).where("n > 0")
+    found = own.select("doc_id", "row", "item_id", "version", (F.col("pos") - F.col("before") - F.col("at")).alias("offset"),
+                       F.struct("at", "same", pairs.alias("pairs")).alias("w"))
+    # what one place of one document shares with one item: bounded by the item's length, one window for each ``at``
+    place = found.groupBy("doc_id", "row", "item_id", "version", "offset").agg(F.sort_array(F.collect_list("w")).alias("w"))
+
+    def consistent(x: Column, i: Column) -> Column:
+        around = F.slice("w", F.greatest(F.lit(1), i + 2 - window), 2 * window - 1)
+        overlap = F.filter(around, lambda y: F.abs(y["at"] - x["at"]) < window)
+        pooled = F.array_distinct(F.flatten(F.transform(overlap, lambda y: y["pairs"])))
+        inner = F.array_distinct(x["pairs"])
+        function = F.size(F.array_distinct(F.transform(pooled, lambda z: z["b"]))) == F.size(pooled)
+        return x["same"] | (function & (F.size(F.array_distinct(F.transform(inner, lambda z: z["d"]))) == F.size(inner)))
+
+    hits = place.select("doc_id", "item_id", F.size(F.filter("w", consistent)).alias("n")).where("n > 0")
     return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("n").alias("n_windows"))
 
 

@@ -75,3 +75,13 @@ def test_items_without_plain_words(spark):
              (13, "Bob Alice Carol Dave Frank Erin Grace Heidi Ivan")]
     got = {r["doc_id"]: r["item_ids"] for r in T.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {0: [0], 1: [1], 2: [2], 3: [3], 10: [0]}
+
+
+def test_conflict_voids_only_windows_around_it(spark):
+    item = "Tom has 3 red apples and Tom gives 2 of them to Eve who puts 4 in a bag then Max takes 6 of those home and Tom eats 5 at once"
+    other = "Ann has 7 red apples and Ann gives 8 of them to Liz who puts 9 in a bag then Ben takes 11 of those home and {} eats {} at once"
+    rows = [(1, other.format("Sue", 12)),  # Tom is Ann and Sue, far apart
+            (2, other.format("Ann", 7)),  # 3 and 5 are 7, far apart
+            (3, "Ann has 7 red apples and Sue gives")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in T.contaminated(docs, bench).collect()) == [1, 2]
