@@ -131,3 +131,25 @@ def op3(spark, sf_dir):
     return out.select(F.col("tree").alias("conv_id"), F.size(read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
                       F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
                       F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+#: fixed values: the phrases of the contract and their labels
+BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+
+
+@query("op11_license_scan")
+def op11(spark, sf_dir):
+    from riskframe.llm.license_scan import scan
+
+    out = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: (p["edits"] == 0) & p["notice"].isin(*BASE_PHRASES))
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    words = F.transform(base, lambda p: p["word"])
+    closeness = F.transform("places", lambda p: 1.0 - p["edits"] / F.length(p["notice"]))
+    return out.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
+                      F.array_max(words).alias("last_word"), labels(base).alias("base_labels"),
+                      labels(F.col("places")).alias("labels"),
+                      F.coalesce(F.array_max(closeness), F.lit(0.0)).alias("score"), "places")
