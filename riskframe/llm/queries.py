@@ -153,3 +153,43 @@ def op11(spark, sf_dir):
                       F.array_max(words).alias("last_word"), labels(base).alias("base_labels"),
                       labels(F.col("places")).alias("labels"),
                       F.coalesce(F.array_max(closeness), F.lit(0.0)).alias("score"), "places")
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    from riskframe.llm.variant_trie import variant_forms, word_counts
+
+    return variant_forms(word_counts(table(spark, sf_dir, "documents")))
+
+
+_SEARCH_SQL = r"""
+with word as (
+  select item_id as id, false as is_doc, row_number() over () as r, text from benchmark
+  union all select doc_id, true, row_number() over (), text from documents),
+term as (
+  select is_doc, r, id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from word),
+freq as (select is_doc, r, id, t, count(*) as n from term group by all),
+size as (select r, sum(n)::bigint as n from freq where is_doc group by r),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as len from size),
+weight as (
+  select t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w
+  from freq, whole where is_doc group by t),
+scored as (
+  select q.r, q.id as item_id, d.r as dr, d.id as doc_id,
+         sum(q.n * w * ((1000000000 * d.n) // (1000 * d.n + 8 * (25 + (75 * size.n * docs) // len))))::bigint as score
+  from freq q join freq d on q.t = d.t and not q.is_doc and d.is_doc
+  join weight on weight.t = q.t join size on size.r = d.r, whole
+  group by q.r, q.id, d.r, d.id)
+select item_id, rank, doc_id, score from (
+  select *, (row_number() over (partition by r order by score desc, doc_id))::int as rank from scored where score > 0)
+where rank <= 10
+"""
+
+
+@query("op12_ranked_search", _SEARCH_SQL)
+def op12(spark, sf_dir):
+    from riskframe.llm.nra_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
