@@ -9,9 +9,10 @@ two of them and a word of any length has few levels.
 A word's search starts at the node of its first half in either trie, as the
 state (word, position, node, no edit). A level joins all states with the edges
 of their node: a label that equals the word's next characters keeps the edits;
-one that is a single edit away (at most one from the whole path) moves on with
-one edit. A state that has used up its word at a node where another word ends,
-with one edit, is a pair of neighbours. An edit in the first half of a word is
+one that is a single edit away moves on with one edit, if the characters that
+follow its node allow for the word's next one. A state whose edit is spent joins
+by its next character too. A state that has used up its word at a node where
+another word ends, with one edit, is a pair of neighbours. An edit in the first half of a word is
 one in the second half of its mirror image, so each pair is found in one trie or
 the other, while the crowded tops of the tries are never searched. Levels go on
 until no state is left.
@@ -124,8 +125,8 @@ def _prefixes(words: DataFrame) -> DataFrame:
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """The start states (side, word, position, node, edits) and the edge table
-    (node, label, child, ends) of both tries, and the paths they are written to.
-    ``word`` and ``ends`` (the words that end at the child: none or one, unless
+    (node, label, child, ends, onward) of both tries, and the paths they are written
+    to. ``onward`` holds the characters that follow the child. ``word`` and ``ends`` (the words that end at the child: none or one, unless
     hashes are equal) are spelt in their trie's direction."""
     words, path0 = materialize(words.select("word", F.monotonically_increasing_id().alias("wid")), "trie-ids")
     pre, path1 = materialize(_prefixes(words), "trie-prefixes")
@@ -144,7 +145,10 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
                          F.expr("substring(word, e.f.depth + 1, e.t.depth - e.f.depth)").alias("label"),
                          F.when(F.col("e.t.depth") == F.length("word"), F.col("word")).alias("ends"))
     edges, path3 = materialize(edges.groupBy("node", "child", "label").agg(F.collect_set("ends").alias("ends")), "trie-edges")
-    return start, edges, [path0, path1, path2, path3]
+    # the characters that may follow a child: no more than the alphabet has
+    onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("onward"))
+    edges, path4 = materialize(edges.join(onward, "child", "left").withColumn("onward", F.coalesce("onward", F.lit(""))), "trie-onward")
+    return start, edges, [path0, path1, path2, path3, path4]
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -153,32 +157,37 @@ def near_words(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     frontier, edges, paths = trie(words)
     found = []
-    while True:
-        s = frontier.join(edges, "node")
-        size = F.length("label")
-
-        def ahead(more: int):
-            return F.expr(f"substring(word, position + 1, greatest(length(label) + ({more}), 0))")
-
-        same = F.col("label") == ahead(0)
-        fresh = (F.col("edits") == 0) & ~same
+    size = F.length("label")
 
-        def one(more: int):
-            # lengths fix the kind of the edit: replaced (0), inserted in the near word (-1), deleted from it (1)
-            return fresh & (F.length(ahead(more)) == size + more) & (F.levenshtein("label", ahead(more), 1) == 1)
+    def ahead(more: int):
+        return F.expr(f"substring(word, position + 1, greatest(length(label) + ({more}), 0))")
 
-        moves = F.array(F.when(same, F.struct(size.alias("by"), F.col("edits").alias("edits"))),
-                        *[F.when(one(k), F.struct((size + k).alias("by"), F.lit(1).alias("edits"))) for k in (0, -1, 1)])
-        step = s.select("side", "word", "position", "child", "ends", F.explode(F.array_compact(moves)).alias("m"))
-        step = step.select("side", "word", (F.col("position") + F.col("m.by")).alias("position"), F.col("child").alias("node"),
-                           F.col("m.edits").alias("edits"), "ends")
+    same = F.col("label") == ahead(0)
+    # lengths fix the kind of the edit: replaced (0), inserted in the near word (-1), deleted from it (1)
+    kinds = {k: (F.length(ahead(k)) == size + k) & (((size == 1) & F.lit(k < 1)) | (F.levenshtein("label", ahead(k), 1) == 1)) for k in (0, -1, 1)}
+    while True:
+        # no edit yet: every edge of the node
+        fresh = frontier.where("edits = 0").join(edges, "node")
+        moves = F.when(same, F.array(F.struct(size.alias("by"), F.lit(0).alias("edits")))).otherwise(F.array_compact(F.array(
+            *[F.when(ok, F.struct((size + k).alias("by"), F.lit(1).alias("edits"))) for k, ok in kinds.items()])))
+        fresh = fresh.select("side", "word", "position", "child", "ends", "onward", F.explode(moves).alias("m"))
+        fresh = fresh.select("side", "word", (F.col("position") + F.col("m.by")).alias("position"), "child", F.col("m.edits").alias("edits"),
+                             "ends", "onward")
+        # the edit is spent: the one edge that goes on with the word
+        spent = frontier.where("edits = 1").withColumn("c", F.expr("substring(word, position + 1, 1)"))
+        spent = spent.join(edges.withColumn("c", F.substring("label", 1, 1)), ["node", "c"]).where(same)
+        spent = spent.select("side", "word", (F.col("position") + size).alias("position"), "child", "edits", "ends", "onward")
+        step = fresh.unionByName(spent).withColumn("left", F.length("word") - F.col("position"))
+        # the whole word with one edit, or all but its last character with none
+        step = step.withColumn("hit", (F.size("ends") > 0) & (F.col("left") == 1 - F.col("edits")))
+        alive = F.when(F.col("edits") == 0, F.col("onward") != "").otherwise(
+            (F.col("left") > 0) & F.expr("instr(onward, substring(word, position + 1, 1)) > 0"))
+        step = step.select("side", "word", "position", F.col("child").alias("node"), "edits", F.when(F.col("hit"), F.col("ends")).alias("ends"),
+                           alive.alias("alive")).where("alive or ends is not null")
         step, path = materialize(step, "trie-level")
         paths.append(path)
-        left = F.length("word") - F.col("position")
-        # the whole word with one edit, or all but its last character with none
-        hit = (F.size("ends") > 0) & (((F.col("edits") == 1) & (left == 0)) | ((F.col("edits") == 0) & (left == 1)))
-        found.append(step.where(hit).select("side", "word", F.explode("ends").alias("near")))
-        frontier = step.drop("ends")
+        found.append(step.where("ends is not null").select("side", "word", F.explode("ends").alias("near")))
+        frontier = step.where("alive").drop("ends", "alive")
         if frontier.isEmpty():
             break
     pairs = found[0]
