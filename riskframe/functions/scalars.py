@@ -12,7 +12,7 @@ __all__ = [
     "hour_of_day", "day_of_week", "risk_band", "anomaly_flag_to_probability",
     "threshold_classify", "minmax_normalise", "weighted_score", "safe_ratio",
     "merchant_status", "drift_severity", "fmt4", "fmt_pct2", "default_tx_id",
-    "iso_now", "category_text", "round3", "round6", "col_", "exact_sum", "exact_avg",
+    "iso_now", "category_text", "round3", "round6", "col_", "known", "finite", "exact_sum", "exact_avg",
 ]
 
 
@@ -85,15 +85,18 @@ def safe_ratio(num, den) -> Column:
 
 
 def merchant_status(score, review: float = 0.7, monitor: float = 0.6) -> Column:
-    """F9. Review / Monitor / Normal by merchant risk score (cut-offs inferred)."""
-    s = col_(score)
+    """F9. Review / Monitor / Normal by merchant risk score (cut-offs inferred);
+    null for a merchant without a score."""
+    s = known(score)
     return (F.when(s >= review, F.lit("Review"))
-            .when(s >= monitor, F.lit("Monitor")).otherwise(F.lit("Normal")))
+            .when(s >= monitor, F.lit("Monitor")).when(s.isNotNull(), F.lit("Normal")))
 
 
 def drift_severity(change, high: float = S.DRIFT_HIGH) -> Column:
-    """F10. HIGH when the absolute change exceeds ``high``, else MEDIUM."""
-    return F.when(col_(change) > high, F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
+    """F10. HIGH when the absolute change exceeds ``high``, else MEDIUM; null
+    for an unknown change."""
+    c = known(change)
+    return F.when(c > high, F.lit("HIGH")).when(c.isNotNull(), F.lit("MEDIUM"))
 
 
 def fmt4(x) -> Column:
@@ -139,13 +142,27 @@ def round6(x) -> Column:
 EXACT = "decimal(38,18)"
 
 
+def known(x) -> Column:
+    """``x``, null where it is NaN: a missing value, as the null profile counts it."""
+    c = col_(x)
+    return F.when(~F.isnan(c.cast("double")), c)
+
+
+def finite(x) -> Column:
+    """``x``, null where it is NaN or infinite."""
+    c = col_(x)
+    return F.when(F.abs(c.cast("double")) < F.lit(float("inf")), c)
+
+
 def exact_sum(x) -> Column:
     """Sum over an 18-decimal fixed point, returned as double: independent of
-    order and partitioning, and no coarser than the doubles it sums."""
-    return F.sum(col_(x).cast(EXACT)).cast("double")
+    order and partitioning, and no coarser than the doubles it sums. NaN is
+    missing; infinities carry (both signs: NaN)."""
+    d = col_(x).cast("double")
+    ends = F.sum(F.when(F.abs(d) == F.lit(float("inf")), d))
+    return F.coalesce(ends, F.sum(finite(x).cast(EXACT)).cast("double"))
 
 
 def exact_avg(x) -> Column:
-    """Mean from :func:`exact_sum` (null for no values)."""
-    c = col_(x)
-    return exact_sum(c) / F.count(c)
+    """Mean of the known values from :func:`exact_sum` (null for none)."""
+    return exact_sum(x) / F.count(known(x))

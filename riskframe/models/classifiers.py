@@ -128,7 +128,8 @@ def udf_scorer(name: str, pandas_fn, cols: list[str]):
 
 
 def score_batch(df: DataFrame, scorer: str | Callable, name: str | None = None,
-                required=S.REQUIRED_COLUMNS, id_col: str = "transaction_id", one_pass: bool = True) -> DataFrame:
+                required=S.REQUIRED_COLUMNS, id_col: str = "transaction_id", one_pass: bool = True,
+                keep: tuple[str, ...] = ()) -> DataFrame:
     """M13 + M15: validate every required column (P3), score, band (F3). Invalid
     rows get probability 0.0, band ``Error`` and the reasons; so does a row that
     the model gives no score. Rows without an id are named by their place.
@@ -136,7 +137,7 @@ def score_batch(df: DataFrame, scorer: str | Callable, name: str | None = None,
     One pass over the source: all rows go through the scorer, the required
     columns of invalid rows as nulls. A scorer that fails on nulls or drops rows
     needs ``one_pass=False``: then valid rows alone are scored and the others
-    rejoin by a union."""
+    rejoin by a union. Columns named in ``keep`` go through to the result."""
     fn = SCORERS[scorer] if isinstance(scorer, str) else scorer
     name = name or (scorer if isinstance(scorer, str) else "model")
     p, at = F.col(f"p_{name}"), F.monotonically_increasing_id()
@@ -153,7 +154,7 @@ def score_batch(df: DataFrame, scorer: str | Callable, name: str | None = None,
         F.col(id_col).alias("transaction_id"), F.when(bad | none, F.lit(0.0)).otherwise(p).alias("fraud_probability"),
         F.when(bad, F.lit("Error")).otherwise(X.risk_band(p)).alias("risk_level"), F.lit(name).alias("model_used"),
         F.when(bad, F.array_join("violations", "; ")).when(none, F.lit("no score")).alias("error"),
-        X.iso_now().alias("prediction_time"))
+        X.iso_now().alias("prediction_time"), *keep)
 
 
 def multi_model(df: DataFrame, names: list[str], thresholds: dict[str, float] | None = None,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
@@ -91,12 +91,11 @@ def class_weights(df: DataFrame, label: str = "Class") -> DataFrame:
     """M3: balanced weights ``n / (k * n_c)`` per class, and the positive
     weight ratio ``w1 / w0``."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = df.select(F.count_distinct(label)).scalar()
+    every = Window.partitionBy()  # one row per class, in one aggregate over the source
+    n, k = F.sum("n_c").over(every), F.count(label).over(every)
     w = c.select(label, "n_c", (n / (k * F.col("n_c"))).alias("weight"))
-    w0 = c.filter(F.col(label) == 0).select(n / (k * F.col("n_c"))).scalar()
-    w1 = c.filter(F.col(label) == 1).select(n / (k * F.col("n_c"))).scalar()
-    return w.withColumn("pos_weight_ratio", w1 / w0)
+    at = {v: F.max(F.when(F.col(label) == v, F.col("weight"))).over(every) for v in (0, 1)}
+    return w.withColumn("pos_weight_ratio", at[1] / at[0])
 
 
 def with_weights(df: DataFrame, label: str = "Class", name: str = "weight") -> DataFrame:

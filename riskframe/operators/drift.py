@@ -1,9 +1,8 @@
 """Drift detection.
 
-* D1 ADWIN over time buckets: each bucket keeps n, sum x, sum x^2; at the end of
-  every bucket all cuts of what has arrived so far are tested with the ADWIN
-  bound (Bifet & Gavalda 2007). The buckets bound the work, not the data; the
-  streaming form with an exponential histogram is in ``streaming.state``.
+* D1 ADWIN: the sequential detector's first detection, by histograms that are
+  folded block by block (``operators.adwin``); the streaming form is in
+  ``streaming.state``.
 * D2 Page-Hinkley (Page 1954) with a forgetting factor, over one set of ranges.
 * D3/D4 rate and mean-probability drift between the first and last of ten
   windows over the most recent N predictions.
@@ -12,70 +11,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import scalars as X
+from riskframe.operators import adwin
 from riskframe.operators import windows as WN
 from riskframe.operators.prefix import Ranges
 
-#: time buckets at most, whatever the table's span
-MAX_BUCKETS = 1024
-
-
-def adwin_buckets(df: DataFrame, value: str = "Amount", time_col: str = "Time",
-                  bucket_seconds: float = 3600.0, max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Per time bucket: its number, end, n, sum and sum of squares. Buckets are
-    ``bucket_seconds`` wide, or wider where the span would make more than
-    ``max_buckets`` of them. Rows without a time or value don't count."""
-    v, t = F.col(value).cast("double"), F.col(time_col).cast("double")
-    rows = df.filter(v.isNotNull() & ~F.isnan(v) & t.isNotNull())
-    span = rows.agg(F.max(t) - F.min(t)).scalar()
-    width = F.greatest(F.lit(float(bucket_seconds)), span / float(max_buckets - 1))
-    keyed = rows.select(F.floor(t / width).alias("bucket"), v.alias("_v"), width.alias("_w"))
-    return keyed.groupBy("bucket").agg(F.first("_w").alias("width"), F.count(F.lit(1)).alias("n"), X.exact_sum("_v").alias("s"),
-                                       X.exact_sum(F.col("_v") * F.col("_v")).alias("ss"))
-
-
-def adwin_cuts(buckets: DataFrame, delta: float = 0.002, min_window: int = 5) -> DataFrame:
-    """Every cut of every prefix: for each bucket ``end`` and each earlier
-    bucket ``cut``, the means of [first..cut] and [cut+1..end] and the test
-    |mu0 - mu1| > eps, with ``eps = sqrt(2 m v d) + 2/3 d m``, ``m = 1/n0 + 1/n1``,
-    ``d = ln(2 ln(n)/delta)`` and v the variance of the prefix. Nothing after
-    ``end`` is used. At most MAX_BUCKETS buckets, so the window without
-    partitions and the pairs are bounded whatever the table holds."""
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cum = buckets.select("bucket", "width", F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("s"),
-                         F.sum("ss").over(upto).alias("ss"))
-    past = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.struct(F.col("bucket").alias("cut"), F.col("n").alias("n0"), F.col("s").alias("s0"))
-    ends = cum.withColumn("cuts", F.collect_list(cut).over(past)).select(
-        F.col("bucket").alias("end"), "width", F.col("n").alias("nt"), F.col("s").alias("st"), F.col("ss").alias("sst"),
-        F.explode("cuts").alias("c")).select("end", "width", "nt", "st", "sst", "c.*")
-    n0, n1 = F.col("n0"), F.col("nt") - F.col("n0")
-    mu0, mu1 = F.col("s0") / n0, (F.col("st") - F.col("s0")) / n1
-    var = F.greatest(F.lit(0.0), (F.col("sst") - F.col("st") * F.col("st") / F.col("nt")) / F.col("nt"))
-    m = F.lit(1.0) / n0 + F.lit(1.0) / n1
-    d = F.log(F.lit(2.0) * F.log(F.col("nt").cast("double")) / F.lit(delta))
-    eps = F.sqrt(F.lit(2.0) * m * var * d) + F.lit(2.0 / 3.0) * d * m
-    out = ends.where((n0 >= min_window) & (n1 >= min_window)).select(
-        "end", "cut", "width", n0.alias("n0"), n1.alias("n1"), mu0.alias("mu0"), mu1.alias("mu1"), eps.alias("eps"))
-    return out.withColumn("drift", F.abs(F.col("mu0") - F.col("mu1")) > F.col("eps"))
-
-
-def adwin_alert(df: DataFrame, value: str = "Amount", time_col: str = "Time", bucket_seconds: float = 3600.0,
-                delta: float = 0.002, min_window: int = 5) -> DataFrame:
-    """At most one alert, at the first bucket whose prefix has a cut that
-    drifts (the reference stops at its first detection per batch); of its cuts
-    the one furthest beyond its bound is reported."""
-    cuts = adwin_cuts(adwin_buckets(df, value, time_col, bucket_seconds), delta, min_window)
-    beyond = F.round(F.abs(F.col("mu0") - F.col("mu1")) - F.col("eps"), 9)
-    first = cuts.filter("drift").orderBy("end", beyond.desc(), "cut").limit(1)
+def adwin_cuts(df: DataFrame, value: str = "Amount", time_col: str = "Time", delta: float = 0.002, min_window: int = 5,
+               id_col: str = "transaction_id") -> DataFrame:
+    """Every cut that the sequential detector would test up to the end of
+    the table (see :func:`riskframe.operators.adwin.adwin_cuts`). Rows are taken by
+    time, equal times by ``id_col`` (where there is one) and value."""
+    return adwin.adwin_cuts(df, value, [time_col, *([id_col] if id_col in df.columns else [])], delta, min_window)
+
+
+def adwin_alert(df: DataFrame, value: str = "Amount", time_col: str = "Time", delta: float = 0.002, min_window: int = 5,
+                id_col: str = "transaction_id") -> DataFrame:
+    """At most one alert, where the sequential detector first finds a drift
+    (the reference stops at its first detection per batch); of its cuts the one
+    furthest beyond its bound is reported. ``cut_time`` is the time of the last
+    row before the change, ``detected_time`` of the last row seen."""
+    order = [time_col, *([id_col] if id_col in df.columns else [])]
+    first = adwin.first_drift(df, value, order, delta=delta, min_window=min_window)
     return first.select(F.lit("ADWIN").alias("type"), F.lit("High").alias("severity"),
                         F.lit(S.ADWIN_MESSAGE).alias("message"), F.col("mu0").alias("old_value"), F.col("mu1").alias("new_value"),
-                        ((F.col("cut") + 1) * F.col("width")).alias("cut_time"),
-                        ((F.col("end") + 1) * F.col("width")).alias("detected_time"))
+                        "cut_time", F.col("end_time").alias("detected_time"))
 
 
 def page_hinkley(df: DataFrame, x, order: list, delta: float = 0.005, threshold: float = 50.0,
@@ -154,5 +117,3 @@ def alert_log(*alerts: DataFrame) -> DataFrame:
 
     log = union_all(list(alerts))
     return log.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-

@@ -26,8 +26,8 @@ def long_scores(df: DataFrame, models: dict, label: str = "Class") -> DataFrame:
 def curve(scores: DataFrame) -> DataFrame:
     """E1/E4 core: per model and distinct score, counts at and above it:
     ``tp``, ``fp`` (cumulative from the top), ``pos``/``neg`` at the score, and
-    the model's totals ``P``/``N``."""
-    s = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    the model's totals ``P``/``N``. Rows without a score or a label are left out."""
+    s = scores.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
     c = s.groupBy("model", "score").agg(F.sum("label").cast("long").alias("pos"),
                                         (F.count(F.lit(1)) - F.sum("label")).cast("long").alias("neg"))
     r = prefix.running(c, [F.col("score").desc()], {"tp": "pos", "fp": "neg"}, by=["model"])

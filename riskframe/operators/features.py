@@ -74,6 +74,25 @@ def trailing_count(df: DataFrame, key: str = "customer_id", time_col: str = "Tim
     return df.join(count, same, "left").drop("_k", "_t")
 
 
+def earlier_rate(df: DataFrame, key: str = "merchant_id", time_col: str = "Time", label: str = "Class",
+                 name: str = "merchant_fraud_rate") -> DataFrame:
+    """Leak-free label rate: for each row the rate over the labelled rows of its
+    key with a strictly earlier time (rows of the same time, its own included, don't
+    count); null before the first. Rows without a time see none.
+
+    The rate depends on (key, time) only: labels are added up by these (combined
+    map-side), a distributed running sum over the order (key, time) gives what lies
+    before, and that narrow table is joined back. A hot key's times are spread over
+    ranges like any others."""
+    k, t = F.col(key).alias("_k"), F.col(time_col).cast("double").alias("_t")
+    y = F.col(label).cast("double")
+    pairs = df.groupBy(k, t).agg(F.count(y).alias("_n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("_y")).where("_t is not null and not isnan(_t)")
+    upto = prefix.running(pairs, ["_t"], {"_cn": "_n", "_cy": "_y"}, by=["_k"])
+    before = upto.select("_k", "_t", F.try_divide(F.col("_cy") - F.col("_y"), F.col("_cn") - F.col("_n")).alias(name))
+    same = df[key].eqNullSafe(before["_k"]) & (df[time_col].cast("double") == before["_t"])
+    return df.drop(name).join(before, same, "left").drop("_k", "_t")
+
+
 def fill_feature_nulls(df: DataFrame, amount: str = "Amount", mean_source: DataFrame | None = None) -> DataFrame:
     """P5: merchant rate -> 0, customer average -> global mean Amount
     (a scalar subquery), frequency -> 1."""
@@ -90,7 +109,7 @@ def fill_feature_nulls(df: DataFrame, amount: str = "Amount", mean_source: DataF
 
 
 def engineer_features(df: DataFrame, unit: str = "seconds", freq: str = "trailing",
-                      fit_df: DataFrame | None = None, label: str = "Class") -> DataFrame:
+                      fit_df: DataFrame | None = None, label: str = "Class", rate: str = "profile") -> DataFrame:
     """The reference's feature step, Spark-first.
 
     * ``unit``: ``seconds`` (correct) or ``reference`` (Time read as hours).
@@ -99,6 +118,8 @@ def engineer_features(df: DataFrame, unit: str = "seconds", freq: str = "trailin
     * ``fit_df``: rows the profiles are computed from. ``None`` uses ``df``
       itself (the reference fits before its split and leaks labels); pass the
       training rows to avoid that.
+    * ``rate``: ``profile`` (the merchant's rate in ``fit_df``) or ``earlier`` (over
+      the merchant's strictly earlier rows of ``df``, :func:`earlier_rate`).
     P6: absent id columns fall back to global values (scalar subqueries).
     """
     fit = fit_df if fit_df is not None else df
@@ -115,7 +136,9 @@ def engineer_features(df: DataFrame, unit: str = "seconds", freq: str = "trailin
     else:
         out = out.withColumns({"avg_amount_per_customer": fit.agg(X.exact_avg("Amount")).scalar(),
                                "tx_freq_24h": F.lit(1).cast("long")})
-    if "merchant_id" in df.columns and label in fit.columns:
+    if rate == "earlier" and "merchant_id" in df.columns and label in df.columns:
+        out = earlier_rate(out, label=label)
+    elif "merchant_id" in df.columns and label in fit.columns:
         out = attach(out, merchant_profile(fit, label=label), "merchant_id")
     elif label in fit.columns:
         out = out.withColumn("merchant_fraud_rate", fit.agg(F.avg(F.col(label).cast("double"))).scalar())
@@ -127,11 +150,14 @@ def engineer_features(df: DataFrame, unit: str = "seconds", freq: str = "trailin
 def profile_features(df: DataFrame, fit_df: DataFrame, unit: str = "seconds", label: str = "Class") -> DataFrame:
     """Features for scoring, batch or streaming: time parts, and per-customer
     and per-merchant profiles fitted on ``fit_df`` (history) attached by
-    left joins (stream-static joins on a stream). ``tx_freq_24h`` is the
-    customer's history count here (velocity over live traffic comes from
-    ``streaming.stream.live_profiles``). Fill values are literals computed
-    once from the history (two numbers), so the plan has no subquery."""
+    left joins (stream-static joins on a stream). A ``tx_freq_24h`` that the
+    rows have (``streaming.velocity.trailing_count_stream``: the trailing count that
+    models are trained on) stays; without one it is the customer's history count.
+    Fill values are literals computed once from the history (two numbers), so the
+    plan has no subquery."""
     cp = customer_profile(fit_df).withColumnRenamed("tx_count", "tx_freq_24h")
+    if "tx_freq_24h" in df.columns:
+        cp = cp.drop("tx_freq_24h")
     mp = merchant_profile(fit_df, label=label)
     mean_amount, = fit_df.agg(X.exact_avg("Amount")).first()
     out = attach(attach(time_features(df, unit=unit), cp, "customer_id"), mp, "merchant_id")

@@ -29,7 +29,7 @@ def dataset_summary(df: DataFrame, label: str = "Class", amount: str = "Amount",
                     tiebreak: str | None = "transaction_id") -> DataFrame:
     """A1: rows, columns, class counts, fraud rate in percent, Amount mean,
     sample std, min, max, exact median."""
-    a = F.col(amount)
+    a = X.known(amount)
     base = df.agg(F.count(F.lit(1)).alias("rows"),
                   F.count_if(F.col(label) == 0).alias("normal_count"),
                   F.count_if(F.col(label) == 1).alias("fraud_count"),
@@ -90,9 +90,9 @@ def time_span_days(df: DataFrame, time_col: str = "Time") -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram (NumPy edges: ``bins`` equal steps from min
-    to max, last bin closed). min/max are scalar subqueries; only non-empty
-    bins are returned."""
-    v = F.col(col).cast("double")
+    to max, last bin closed) of the finite values. min/max are scalar
+    subqueries; only non-empty bins are returned."""
+    v = X.finite(F.col(col).cast("double"))
     lo = df.agg(F.min(v)).scalar()
     hi = df.agg(F.max(v)).scalar()
     width = (hi - lo) / F.lit(float(bins))
@@ -105,11 +105,11 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, by: str = "Class", tiebreak: str | None = "transaction_id") -> DataFrame:
     """Per group (the null group too) quartiles, IQR, 1.5 IQR whiskers (most extreme values
-    inside the fences) and outlier count."""
+    inside the fences) and outlier count; NaN is missing."""
     tb = tiebreak if tiebreak in df.columns else None
     q = stats.exact_quantiles(df, value, [0.25, 0.5, 0.75], by=[by], tiebreak=tb)
     q = q.withColumnRenamed(by, "_by")
-    rows = df.select(by, F.col(value).cast("double").alias("_v"))
+    rows = df.select(by, X.known(F.col(value).cast("double")).alias("_v"))
     j = rows.join(q, rows[by].eqNullSafe(q["_by"]), "inner").drop("_by")
     iqr = F.col("q_75") - F.col("q_25")
     lo_f, hi_f = F.col("q_25") - 1.5 * iqr, F.col("q_75") + 1.5 * iqr

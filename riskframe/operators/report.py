@@ -59,12 +59,13 @@ def kpis(df: DataFrame, leaderboard: DataFrame | None = None, label: str = "Clas
 
 
 def amount_buckets(df: DataFrame, amount: str = "Amount") -> DataFrame:
-    """Counts in fixed amount buckets 0-50, 50-100, 100-200, 200-500, 500+."""
-    a = F.col(amount)
+    """Counts in fixed amount buckets 0-50, 50-100, 100-200, 200-500, 500+;
+    rows without an amount (null, NaN) are ``unknown``."""
+    a = X.known(amount)
     e = S.AMOUNT_EDGES
     lab = (F.when(a < e[1], S.AMOUNT_LABELS[0]).when(a < e[2], S.AMOUNT_LABELS[1])
            .when(a < e[3], S.AMOUNT_LABELS[2]).when(a < e[4], S.AMOUNT_LABELS[3])
-           .otherwise(S.AMOUNT_LABELS[4]))
+           .when(a.isNotNull(), S.AMOUNT_LABELS[4]).otherwise(F.lit("unknown")))
     return df.groupBy(lab.alias("amount_range")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,17 +105,17 @@ def top_risk_merchants(merchants: DataFrame, k: int = 5) -> DataFrame:
 
 
 def daily_volume(df: DataFrame, p: str = "fraud_probability", threshold: float = 0.5) -> DataFrame:
-    """Per day volume, average amount, peak hour (most transactions,
+    """Per day volume, average of the known amounts, peak hour (most transactions,
     earliest hour on ties) and blocked amount (sum of predicted-fraud
     amounts)."""
     day = F.date_format("ts", "yyyy-MM-dd")
-    money = F.col("Amount").cast(X.EXACT)
+    money = X.finite("Amount").cast(X.EXACT)
     hourly = df.groupBy(day.alias("day"), F.hour("ts").alias("hour")).agg(
-        F.count(F.lit(1)).alias("hn"), F.sum(money).alias("ha"),
+        F.count(F.lit(1)).alias("hn"), F.sum(money).alias("ha"), F.count(money).alias("hk"),
         F.sum(F.when(F.col(p) >= threshold, money).otherwise(F.lit(0).cast(X.EXACT))).alias("hb"))
     return hourly.groupBy("day").agg(
         F.sum("hn").alias("volume"),
-        (F.sum("ha").cast("double") / F.sum("hn")).alias("avg_amount"),
+        F.try_divide(F.sum("ha").cast("double"), F.sum("hk")).alias("avg_amount"),
         F.min_by("hour", F.struct(-F.col("hn"), F.col("hour"))).alias("peak_hour"),
         F.sum("hb").cast("double").alias("blocked_amount"))
 

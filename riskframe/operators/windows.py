@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.functions import scalars as X
 from riskframe.operators import prefix
 
 
@@ -52,11 +53,11 @@ def quartile_labels(df: DataFrame, p: str = "fraud_probability", name: str = "ri
     """Low/Medium/High/Critical by exact quartiles, right-closed edges
     (``p <= q1`` Low, ``<= q2`` Medium, ``<= q3`` High, else Critical).
     The quartiles are exact and distributed (three numbers, scalar
-    subqueries)."""
+    subqueries). A row without a score (null, NaN) has no label."""
     from riskframe.operators import stats
 
     q = stats.exact_quantiles(df, p, [0.25, 0.5, 0.75], tiebreak=tiebreak)
     q1, q2, q3 = (q.select(c).scalar() for c in ("q_25", "q_50", "q_75"))
-    c = F.col(p)
+    c = X.known(p)
     return df.withColumn(name, F.when(c <= q1, "Low").when(c <= q2, "Medium")
-                         .when(c <= q3, "High").otherwise("Critical"))
+                         .when(c <= q3, "High").when(c.isNotNull(), "Critical"))

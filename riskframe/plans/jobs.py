@@ -50,10 +50,10 @@ def score_history(df: DataFrame, scorer, name: str = "model", required=S.REQUIRE
     """Score all rows with error isolation (M13, M15), summarise every
     positional batch (W5, A14), roll the batches up (A15), and log the drift of
     the watched feature and of the last predictions (D1, D3, D4, D5, U1)."""
-    preds = CL.score_batch(df, scorer, name=name, required=required)
-    preds = df.select(F.col("transaction_id").cast("string").alias("transaction_id"), F.col("transaction_id").alias("_id")).join(
-        preds, "transaction_id")
-    batches = R.batch_summary(WN.chunk_by_position(preds.select("_id", "risk_level"), batch_size, order=("_id",)), by="batch_id")
+    # the id goes through the scoring, so repeated and missing ids stay one row each
+    preds = CL.score_batch(df.withColumn("_id", F.col("transaction_id")), scorer, name=name, required=required, keep=("_id",))
+    batches = R.batch_summary(WN.chunk_by_position(preds.select("_id", "risk_level"), batch_size, order=("_id", "risk_level")),
+                              by="batch_id")
     recent = preds.select(F.col("_id").alias("transaction_id"), "fraud_probability",
                           F.coalesce(X.threshold_classify("fraud_probability", 0.5), F.lit(0)).alias("prediction"))
     alerts = R.union_all([DR.adwin_alert(df, watch).drop("cut_time", "detected_time"), DR.window_drift(DR.window_stats(recent))])

@@ -113,6 +113,15 @@ LEFT JOIN (SELECT customer_id, CAST(sum(CAST("Amount" AS DECIMAL(38,2))) AS DOUB
 LEFT JOIN (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS r FROM tx GROUP BY 1) mp ON t.merchant_id = mp.merchant_id"""))(
     _profiles_join)
 
+register("Q3_point_in_time_rate", sql("tx", """m AS (SELECT merchant_id, "Time", count("Class") AS n, sum("Class") AS y FROM tx GROUP BY 1, 2)""",
+                                      """b AS (SELECT merchant_id, "Time", sum(y) OVER w / sum(n) OVER w AS r FROM m
+  WINDOW w AS (PARTITION BY merchant_id ORDER BY "Time" RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW))""",
+                                      body="""SELECT transaction_id, r AS merchant_fraud_rate
+FROM tx LEFT JOIN b ON tx.merchant_id IS NOT DISTINCT FROM b.merchant_id AND tx."Time" = b."Time" """))(
+    lambda spark, d: FE.earlier_rate(V.tx(spark, d).select("transaction_id", "merchant_id", "Time", "Class"))
+    .select("transaction_id", "merchant_fraud_rate"))
+
+
 # kept under its old name: the ranked plan is the only one now
 register("W2_trailing_24h_count_ranked", sql("tx", body="""SELECT transaction_id,
   count(*) OVER (PARTITION BY customer_id ORDER BY "Time" RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS tx_freq_24h

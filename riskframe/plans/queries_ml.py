@@ -47,6 +47,35 @@ _SPLIT_SQL = """sp AS (SELECT transaction_id, "Class", "Amount",
 register("M4_stratified_split", sql("tx", _SPLIT_SQL, body="""SELECT transaction_id, "Class", split FROM sp"""))(
     lambda spark, d: PP.stratified_split(V.tx(spark, d).select("transaction_id", "Class")))
 
+_PREP_NUMERIC = ["Time", "Amount", "hour_of_day", "day_of_week", "avg_amount_per_customer", "tx_freq_24h", "merchant_fraud_rate"]
+
+
+def _prepare(spark, d):
+    """C3, the whole job: split, features with training profiles, encoders and
+    scaler fitted on the training side, both sides transformed."""
+    train, test, _ = J.prepare(V.tx(spark, d).drop("ts"), numeric=_PREP_NUMERIC)
+    return train.unionByName(test).select("transaction_id", "split", "Class", *[F.round(c, 6).alias(c) for c in _PREP_NUMERIC],
+                                          *S.CATEGORICAL_COLUMNS)
+
+
+_MEAN2 = 'CAST(sum(CAST("Amount" AS DECIMAL(38,2))) AS DOUBLE) / count("Amount")'
+register("C3_prepare", sql(
+    "tx", _SPLIT_SQL, """t AS (SELECT tx.*, sp.split FROM tx JOIN sp USING (transaction_id))""", """tr AS (SELECT * FROM t WHERE split = 'train')""",
+    f"""cp AS (SELECT customer_id, {_MEAN2} AS a FROM tr GROUP BY 1)""",
+    """mp AS (SELECT merchant_id, avg(CAST("Class" AS DOUBLE)) AS r FROM tr GROUP BY 1)""",
+    f"""f AS (SELECT t.*, CAST(floor("Time" / 3600.0) % 24 AS INTEGER) AS hour_of_day, CAST(floor("Time" / 86400.0) % 7 AS INTEGER) AS day_of_week,
+  coalesce(cp.a, (SELECT {_MEAN2} FROM tr)) AS avg_amount_per_customer, coalesce(mp.r, 0.0) AS merchant_fraud_rate,
+  count(*) OVER (PARTITION BY split, t.customer_id ORDER BY "Time" RANGE BETWEEN 86400.0 PRECEDING AND CURRENT ROW) AS tx_freq_24h
+  FROM t LEFT JOIN cp ON t.customer_id = cp.customer_id LEFT JOIN mp ON t.merchant_id = mp.merchant_id)""",
+    "st AS (SELECT " + ", ".join(f'avg("{c}") AS "m_{c}", coalesce(nullif(stddev_pop("{c}"), 0), 1.0) AS "s_{c}"' for c in _PREP_NUMERIC)
+    + " FROM f WHERE split = 'train')",
+    *[f"""e_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code, count(*) OVER () AS k
+  FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'nan') AS v FROM tr) AS x)""" for c in S.CATEGORICAL_COLUMNS],
+    body='SELECT transaction_id, split, "Class", ' + ", ".join(f'round((f."{c}" - "m_{c}") / "s_{c}", 6) AS "{c}"' for c in _PREP_NUMERIC) + ", "
+    + ", ".join(f"CAST(coalesce(e_{c}.code, (SELECT max(k) FROM e_{c})) AS INTEGER) AS {c}" for c in S.CATEGORICAL_COLUMNS)
+    + " FROM f CROSS JOIN st " + " ".join(f"LEFT JOIN e_{c} ON e_{c}.v = coalesce(CAST(f.{c} AS VARCHAR), 'nan')" for c in S.CATEGORICAL_COLUMNS)))(
+    _prepare)
+
 register("M8_ensemble_weights", sql("scored", body="""SELECT transaction_id,
   fraud_probability * 0.5::DOUBLE + round(1.0 - exp(-"Amount" / 100.0), 6) * 0.3::DOUBLE
   + (CASE WHEN transaction_type = 'error' THEN 0.9 ELSE 0.1 END) * 0.2::DOUBLE AS p_ensemble FROM scored"""))(

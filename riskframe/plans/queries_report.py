@@ -294,34 +294,38 @@ FROM scored, q GROUP BY 1"""))(
 
 # ---- drift -----------------------------------------------------------------
 
-# the feature watched is the hour of the day, whose mean drifts within a day
-_ADWIN_SQL = ["""ww AS (SELECT greatest(3600.0::DOUBLE, (max("Time") - min("Time")) / 1023.0::DOUBLE) AS width FROM tx)""",
-              """bk AS (SELECT CAST(floor("Time" / width) AS BIGINT) AS bucket, any_value(width) AS width, count(*) AS n,
-  CAST(sum(hour(ts)) AS DOUBLE) AS s, CAST(sum(hour(ts) * hour(ts)) AS DOUBLE) AS ss FROM tx, ww GROUP BY 1)""",
-              """cu AS (SELECT bucket, width, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(ss) OVER o AS ss FROM bk
-  WINDOW o AS (ORDER BY bucket ROWS UNBOUNDED PRECEDING))""",
-              """cc AS (SELECT e.bucket AS "end", c.bucket AS cut, e.width, CAST(c.n AS BIGINT) AS n0, CAST(e.n - c.n AS BIGINT) AS n1,
-  c.s / c.n AS mu0, (e.s - c.s) / (e.n - c.n) AS mu1, greatest(0.0, (e.ss - e.s * e.s / e.n) / e.n) AS v,
-  1.0::DOUBLE / c.n + 1.0::DOUBLE / (e.n - c.n) AS m, ln(2.0::DOUBLE * ln(CAST(e.n AS DOUBLE)) / 0.002::DOUBLE) AS dd
-  FROM cu e JOIN cu c ON c.bucket < e.bucket WHERE c.n >= 5 AND e.n - c.n >= 5)""",
+# the feature watched is the hour of the day, whose mean drifts within a day; bounds of the
+# histogram after e grains: level l holds the buckets from 2 * M(l + 1) to M(l), M(l) = floor((e + 4) / 2^l) - 4
+_ADWIN_SQL = ["""rr AS (SELECT hour(ts) AS v, "Time" AS t, row_number() OVER (ORDER BY "Time", transaction_id, hour(ts)) AS r FROM tx)""",
+              """gr AS (SELECT (r - 1) // 32 AS g, sum(v) AS ds, sum(v * v) AS dss, max(t) AS t FROM rr GROUP BY 1 HAVING count(*) = 32)""",
+              """cu AS (SELECT g + 1 AS c, CAST(sum(ds) OVER o AS DOUBLE) AS s, CAST(sum(dss) OVER o AS DOUBLE) AS ss, t
+  FROM gr WINDOW o AS (ORDER BY g ROWS UNBOUNDED PRECEDING))""",
+              """le AS (SELECT c AS e, l, greatest(0, ((c + 4) >> l) - 4) AS m0, 2 * greatest(0, ((c + 4) >> (l + 1)) - 4) AS m1
+  FROM cu, range(40) AS x(l))""",
+              """bo AS (SELECT DISTINCT e, (j << l) AS c FROM (SELECT e, l, unnest(range(m1, m0 + 1)) AS j FROM le) AS y)""",
+              """cc AS (SELECT e.c AS "end", c.c AS cut, c.t AS cut_time, e.t AS end_time, 32 * c.c AS n0, 32 * (e.c - c.c) AS n1,
+  c.s / (32 * c.c) AS mu0, (e.s - c.s) / (32 * (e.c - c.c)) AS mu1,
+  greatest(0.0, e.ss / (32 * e.c) - power(e.s / (32 * e.c), 2)) AS v,
+  1.0::DOUBLE / (32 * c.c) + 1.0::DOUBLE / (32 * (e.c - c.c)) AS m, ln(2.0::DOUBLE * ln(CAST(32 * e.c AS DOUBLE)) / 0.002::DOUBLE) AS dd
+  FROM bo JOIN cu e ON bo.e = e.c JOIN cu c ON bo.c = c.c WHERE bo.c < bo.e)""",
               """ce AS (SELECT *, sqrt(2.0::DOUBLE * m * v * dd) + (2.0::DOUBLE / 3.0::DOUBLE) * dd * m AS eps FROM cc)""",
               """cuts AS (SELECT *, abs(mu0 - mu1) > eps AS drift FROM ce)"""]
 
 
 def _hours(spark, d):
-    return V.tx(spark, d).select("Time", F.hour("ts").alias("hour"))
+    return V.tx(spark, d).select("transaction_id", "Time", F.hour("ts").alias("hour"))
 
 
 register("D1_adwin_cuts", sql("tx", *_ADWIN_SQL, body="""SELECT "end", count(*) AS cuts, count(*) FILTER (WHERE drift) AS drifting,
   min(cut) FILTER (WHERE drift) AS first_cut, round(sum(mu0 - mu1), 6) AS differences FROM cuts GROUP BY 1"""))(
-    lambda spark, d: DR.adwin_cuts(DR.adwin_buckets(_hours(spark, d), "hour")).groupBy("end").agg(
+    lambda spark, d: DR.adwin_cuts(_hours(spark, d), "hour").groupBy("end").agg(
         F.count(F.lit(1)).alias("cuts"), F.count_if("drift").alias("drifting"), F.min(F.when(F.col("drift"), F.col("cut"))).alias("first_cut"),
         F.round(F.sum(F.col("mu0") - F.col("mu1")), 6).alias("differences")))
 
 _ADWIN_FIRST = """(SELECT * FROM cuts WHERE drift ORDER BY "end", round(abs(mu0 - mu1) - eps, 9) DESC, cut LIMIT 1)"""
 register("D1_adwin_alert", sql("tx", *_ADWIN_SQL, body=f"""SELECT 'ADWIN' AS type, 'High' AS severity,
   'Significant drift detected in feature distribution' AS message, mu0 AS old_value, mu1 AS new_value,
-  (cut + 1) * width AS cut_time, ("end" + 1) * width AS detected_time FROM {_ADWIN_FIRST}"""))(
+  cut_time, end_time AS detected_time FROM {_ADWIN_FIRST}"""))(
     lambda spark, d: DR.adwin_alert(_hours(spark, d), "hour"))
 
 
@@ -369,8 +373,8 @@ def _ph_forgetting(spark, d):
                                   .cast("int").alias("correct"))
     acc = WN.cumulative_mean(s, "correct", ["transaction_id"], name="accuracy")
     ph = DR.page_hinkley(acc.select("transaction_id", "accuracy"), "accuracy", ["transaction_id"], threshold=0.5)
-    return ph.select("transaction_id", "t", F.round("ph_up", 6).alias("ph_up"),
-                     F.round("ph_down", 6).alias("ph_down"), "drift")
+    return ph.select("transaction_id", "t", F.round("ph_up", 9).alias("ph_up"),
+                     F.round("ph_down", 9).alias("ph_down"), "drift")
 
 
 register("D2_page_hinkley_forgetting", sql("scored", """a AS (SELECT transaction_id,
@@ -384,7 +388,7 @@ register("D2_page_hinkley_forgetting", sql("scored", """a AS (SELECT transaction
   FROM b)""",
                                            """mm AS (SELECT *, pm - min(pm) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_up,
   pu - min(pu) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS ph_down FROM m)""",
-                                           body="""SELECT transaction_id, t, round(ph_up, 6) AS ph_up, round(ph_down, 6) AS ph_down,
+                                           body="""SELECT transaction_id, t, round(ph_up, 9) AS ph_up, round(ph_down, 9) AS ph_down,
   (t >= 30 AND (ph_up > 0.5 OR ph_down > 0.5)) AS drift FROM mm"""))(_ph_forgetting)
 
 _DRIFT_BODY = """SELECT type, CASE WHEN chg > 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,

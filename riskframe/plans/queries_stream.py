@@ -12,8 +12,11 @@ from riskframe.plans import views as V
 from riskframe.plans.catalog import register
 from riskframe.plans.oracle import sql
 from riskframe.session import scratch_path
+from riskframe.streaming import epochs as EP
+from riskframe.streaming import profiles as PF
 from riskframe.streaming import state as ST
 from riskframe.streaming import stream as SS
+from riskframe.streaming.velocity import STATE_CONF, trailing_count_stream
 
 _XAVG = 'CAST(sum(CAST({x} AS DECIMAL(38,{s}))) AS DOUBLE) / count({x})'
 
@@ -94,18 +97,86 @@ register("T7_stream_windows", sql("scored", body=f"""SELECT strftime(date_trunc(
                                      keys=["window_start"]))
 
 
+#: spans that the feed of the queries over several micro-batches is cut into
+PIECES = 4
+#: a row's micro-batch, and the rows up to and with each
+_PIECE = f"""p AS (SELECT *, CAST(floor(transaction_id * {PIECES} / ((SELECT max(transaction_id) FROM tx) + 1)) AS BIGINT) AS epoch FROM {{view}})"""
+
+
+def _feed(spark, d):
+    """The transactions as a stream of PIECES micro-batches in order of their ids."""
+    path = scratch_path(spark, "feed")
+    files = SS.feed(V.table(spark, d, "events"), "event_id", PIECES, path)
+    return SS.tx_stream(spark, d, max_files_per_trigger=files, events_dir=path, events_glob="*.parquet")
+
+
+def _run_scoring(spark, d, **kw):
+    q, log = EP.start_scoring(SS.score_stream(_feed(spark, d)), **kw)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return log
+
+
 def _updates(spark, d):
-    out = scratch_path(spark, "sink-updates")
+    """The messages' fields."""
+    m = F.from_json("message", """type string, transaction struct<transaction_id long, Amount double, fraud_probability double,
+  risk_level string>, statistics struct<total_transactions long, fraud_count long, fraud_rate double>""")
+    t = _run_scoring(spark, d, buffer_key=None).read("updates").select(F.col("_epoch").cast("long").alias("epoch"), m.alias("m"))
+    return t.select("epoch", "m.type", "m.transaction.*", "m.statistics.*")
+
+
+register("T9_update_messages", sql("banded", _PIECE.format(view="banded"), """s AS (SELECT epoch, max(transaction_id) AS transaction_id,
+  sum(count(*)) OVER (ORDER BY epoch) AS n, sum(count(*) FILTER (WHERE fraud_probability >= 0.5)) OVER (ORDER BY epoch) AS f
+  FROM p GROUP BY epoch)""", body="""SELECT s.epoch, 'real_time_update' AS type, transaction_id, "Amount", fraud_probability, risk_level,
+  CAST(n AS BIGINT) AS total_transactions, CAST(f AS BIGINT) AS fraud_count, round(f / n * 100.0, 3) AS fraud_rate
+FROM s JOIN banded USING (transaction_id)"""))(_updates)
+
+
+def _stream_drift(spark, d):
+    """Drift between the first and last of ten windows over the last 200
+    predictions, after every micro-batch."""
+    t = _run_scoring(spark, d, buffer_key=None, last=200, change=0.01).read("drift")
+    return t.select(F.col("_epoch").cast("long").alias("epoch"), "type", "severity", "old_value", "new_value")
+
+
+register("T7_stream_drift", sql("scored", _PIECE.format(view="scored"), f"""l AS (SELECT e.epoch, fraud_probability,
+  CAST(fraud_probability >= 0.5 AS INTEGER) AS prediction, row_number() OVER (PARTITION BY e.epoch ORDER BY transaction_id DESC) AS rd
+  FROM p JOIN range({PIECES}) AS e(epoch) ON p.epoch <= e.epoch)""", """w AS (SELECT epoch, CAST((200 - rd) // 20 AS INTEGER) AS window_id,
+  avg(CAST(prediction AS DOUBLE)) AS r, CAST(sum(CAST(fraud_probability AS DECIMAL(38,6))) AS DOUBLE) / count(*) AS m
+  FROM l WHERE rd <= 200 GROUP BY 1, 2)""", """f AS (SELECT epoch, arg_min(r, window_id) AS r0, arg_max(r, window_id) AS r1,
+  arg_min(m, window_id) AS p0, arg_max(m, window_id) AS p1 FROM w GROUP BY 1)""", body="""SELECT epoch, type,
+  CASE WHEN abs(new_value - old_value) > 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, old_value, new_value FROM (
+  SELECT epoch, 'Fraud Rate Drift' AS type, r0 AS old_value, r1 AS new_value FROM f
+  UNION ALL SELECT epoch, 'Probability Drift', p0, p1 FROM f) WHERE abs(new_value - old_value) > 0.01"""))(_stream_drift)
+
+
+def _velocity(spark, d):
+    """The trailing 24 h count of each row's customer, kept as state."""
+    s = trailing_count_stream(_feed(spark, d).select("transaction_id", "customer_id", "ts"))
+    return SS.run_to_table(s, "velocity", conf=STATE_CONF).select("transaction_id", "tx_freq_24h")
+
+
+register("T5_stream_velocity", sql("tx", body="""SELECT transaction_id, count(*) OVER (PARTITION BY customer_id ORDER BY ts
+  RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS tx_freq_24h FROM tx"""))(_velocity)
 
-    def each(b, epoch, _):
-        SS.update_message(b).write.mode("overwrite").parquet(SS.epoch_dir(out, epoch, "epoch"))
 
-    q, _ = SS.start(_scored_stream(spark, d), "updates", foreach_batch=each)
+def _stored_profiles(spark, d):
+    """Each row with its customer's profile over all earlier
+    micro-batches, from the live profile table."""
+    base = scratch_path(spark, "profiles")
+    store = PF.ProfileStore(spark, f"{base}/store", buckets=8, merge_at=0.5)
+    q, out = SS.start(_feed(spark, d), "profiles", path=f"{base}/rows", foreach_batch=PF.enrich_and_fold(store, f"{base}/rows", ["transaction_id"]))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    if q.exception():
+        raise q.exception()
+    return spark.read.parquet(out).drop("_epoch")
 
 
-register("T9_update_messages")(_updates)
+register("T5_stored_profiles", sql("tx", _PIECE.format(view="tx"), f"""c AS (SELECT customer_id, epoch, count(*) AS n, count("Amount") AS k,
+  sum(CAST("Amount" AS DECIMAL(38,2))) AS s, count("Class") AS l, sum("Class") AS y FROM p GROUP BY 1, 2)""", body="""SELECT p.transaction_id,
+  CAST(coalesce(sum(n), 0) AS BIGINT) AS profile_tx_count, CAST(sum(s) AS DOUBLE) / sum(k) AS profile_avg_amount, sum(y) / sum(l) AS profile_rate
+FROM p LEFT JOIN c ON p.customer_id = c.customer_id AND c.epoch < p.epoch GROUP BY p.transaction_id"""))(_stored_profiles)
 
 
 def _batches(spark, d):
@@ -179,16 +250,12 @@ register("D1_stream_adwin", sql("tx", body="""SELECT transaction_type, count("Ti
 
 def _c6(spark, d):
     """Predictions with the counts of the other sinks beside them."""
-    qs = SS.start_scoring(spark, d)
-    for q, _ in qs.values():
-        q.awaitTermination()
-    alerts = spark.read.parquet(qs["alerts"][1]).select("transaction_id", F.lit(True).alias("alerted"))
-    metrics = spark.read.parquet(qs["metrics"][1])
-    buffer = SS.latest_per_key(spark, qs["buffer"][1], ["merchant_id"])
-    return (spark.read.parquet(qs["predictions"][1]).join(alerts, "transaction_id", "left")
+    log = _run_scoring(spark, d)
+    alerts = log.read("alerts").select("transaction_id", F.lit(True).alias("alerted"))
+    return (log.read("predictions").drop("_epoch").join(alerts, "transaction_id", "left")
             .withColumns({"alerted": F.coalesce("alerted", F.lit(False)),
-                          "total_processed": metrics.select("total_processed").scalar(),
-                          "buffered": buffer.agg(F.sum("buffered").cast("long")).scalar()}))
+                          "total_processed": log.read_newest("metrics").select("total_processed").scalar(),
+                          "buffered": EP.read_buffer(spark, log.base).agg(F.sum("buffered").cast("long")).scalar()}))
 
 
 register("C6_start_scoring", sql("banded", """k AS (SELECT CAST(sum(least(n, 1000)) AS BIGINT) AS buffered

@@ -60,6 +60,22 @@ def tx_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | Non
         ((F.col("event_type") == "error") & (F.col("value") >= 75)).cast("int").alias("Class"))
 
 
+def feed(df: DataFrame, order: str, pieces: int, path: str) -> int:
+    """Write ``df`` as a feed for :func:`file_stream`: ``pieces`` equal spans of
+    the whole number ``order``, one after the other, so that a stream takes them in
+    this order. Returns the files of a span: the ``max_files_per_trigger`` for which
+    each is a micro-batch."""
+    from riskframe.operators.prefix import auto_partitions
+
+    top = df.agg(F.max(order)).first()[0] or 0
+    files = auto_partitions(df)
+    for k in range(pieces):
+        span = df.where(F.floor(F.col(order) * pieces / (top + 1)) == k)
+        span = span.coalesce(1) if files == 1 else span.repartition(files)
+        span.write.mode("append").parquet(path)
+    return files
+
+
 # ---- operators --------------------------------------------------------------
 
 def score_stream(stream: DataFrame, scorer=None, name: str = "model", threshold: float = 0.5) -> DataFrame:
@@ -104,7 +120,7 @@ def running_metrics(scored: DataFrame, measure: str = "Amount") -> DataFrame:
     (one global streaming aggregate; state is a handful of numbers)."""
     g = scored.agg(F.count(F.lit(1)).alias("total_processed"),
                    F.sum(F.col("prediction").cast("long")).alias("fraud_detected"),
-                   X.exact_sum(measure).alias("_sum"), F.count(measure).alias("_n"))
+                   X.exact_sum(measure).alias("_sum"), F.count(X.known(measure)).alias("_n"))
     return g.select("total_processed", "fraud_detected",
                     (X.safe_ratio("fraud_detected", "total_processed") * 100.0).alias("fraud_rate_pct"),
                     F.try_divide(F.col("_sum"), F.col("_n")).alias(f"avg_{measure.lower()}"))
@@ -141,16 +157,30 @@ def recent_drift(predictions: DataFrame, n: int = 1000, n_windows: int = 10, ord
     return DR.window_drift(DR.window_stats(predictions, n, n_windows, order), change)
 
 
-def drift_alert_sink(predictions: str, alerts_path: str, n: int = 1000, n_windows: int = 10, change: float = S.DRIFT_CHANGE):
+def drift_alert_sink(predictions: str, alerts_path: str, n: int = 1000, n_windows: int = 10, change: float = S.DRIFT_CHANGE,
+                     order: str = "transaction_id"):
     """foreachBatch sink for scored rows: stores the micro-batch's predictions
-    and writes the drift alerts over the last ``n`` of the whole stream. Each
-    epoch has its own folder, so a retried epoch replaces itself; the last ``n``
-    are a top-n over the stored predictions, read by column."""
+    and writes the drift alerts over the last ``n`` of the whole stream. The last
+    ``n`` are merged state: those of the epoch before with the micro-batch's own,
+    so an epoch reads no history. Each epoch has its own folder, so a retried
+    epoch replaces itself."""
+    from riskframe.streaming.epochs import EpochLog
+
     def sink(b: DataFrame, epoch: int, out: str) -> None:
         spark = b.sparkSession
-        b.select("transaction_id", "fraud_probability", "prediction").write.mode("overwrite").parquet(epoch_dir(predictions, epoch))
-        recent_drift(spark.read.parquet(predictions), n, n_windows, change=change).write.mode("overwrite").parquet(
-            epoch_dir(alerts_path, epoch))
+        log = EpochLog(spark, f"{alerts_path}_last")
+        newest, _ = log.newest()
+        if epoch <= newest:
+            return
+        rows = b.select(order, "fraud_probability", "prediction")
+        rows.write.mode("overwrite").parquet(epoch_dir(predictions, epoch))
+        rows = spark.read.schema(rows.schema).parquet(epoch_dir(predictions, epoch))
+        if newest >= 0:
+            rows = rows.unionByName(log.read_newest("rows"))
+        rows.orderBy(F.col(order).desc()).limit(n).write.mode("overwrite").parquet(log.folder("rows", epoch))
+        recent = spark.read.parquet(log.folder("rows", epoch))
+        recent_drift(recent, n, n_windows, order, change).write.mode("overwrite").parquet(epoch_dir(alerts_path, epoch))
+        log.commit(epoch, {})
     return sink
 
 
@@ -169,25 +199,24 @@ def dedupe(stream: DataFrame, key: str = "transaction_id", watermark: str = "1 h
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def update_message(batch: DataFrame) -> DataFrame:
-    """One JSON message per micro-batch: the latest transaction and
-    the batch statistics."""
-    latest = batch.orderBy(F.col("transaction_id").desc()).limit(1).select(
-        F.struct("transaction_id", "Amount", "fraud_probability", "risk_level").alias("transaction"))
-    stats = batch.agg(F.count(F.lit(1)).alias("total_transactions"),
-                      F.sum("prediction").alias("fraud_count")).select(
-        F.struct("total_transactions", "fraud_count",
-                 X.round3(X.safe_ratio("fraud_count", "total_transactions") * 100.0).alias("fraud_rate")).alias(
-            "statistics"))
-    return latest.select(F.to_json(F.struct(F.lit("real_time_update").alias("type"), "transaction",
-                                            stats.select("statistics").scalar().alias("statistics"))).alias("message"))
+def update_message(batch: DataFrame, totals: dict) -> DataFrame:
+    """One JSON message per micro-batch (none for an empty one): its latest
+    transaction, and the statistics of the whole stream up to and with it
+    (``totals``: numbers of ``rows`` and ``fraud``)."""
+    rate = round(totals["fraud"] / totals["rows"] * 100.0, 3) if totals["rows"] else 0.0
+    latest = batch.orderBy(F.col("transaction_id").desc()).limit(1)
+    stats = F.struct(F.lit(totals["rows"]).cast("long").alias("total_transactions"), F.lit(totals["fraud"]).cast("long").alias("fraud_count"),
+                     F.lit(rate).alias("fraud_rate"))
+    return latest.select(F.to_json(F.struct(
+        F.lit("real_time_update").alias("type"),
+        F.struct("transaction_id", "Amount", "fraud_probability", "risk_level").alias("transaction"), stats.alias("statistics"))).alias("message"))
 
 
 # ---- running queries --------------------------------------------------------
 
 def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = None, mode: str = "append",
           trigger: dict | None = None, foreach_batch=None, checkpoint: str | None = None,
-          state_partitions: int | None = None) -> tuple[StreamingQuery, str]:
+          state_partitions: int | None = None, conf: dict | None = None) -> tuple[StreamingQuery, str]:
     """Start a query. Give ``path`` (the sink) and ``checkpoint`` (shared
     storage): started again with the same two, it resumes where it stopped, with
     its state, and repeats nothing. Without them both are new scratch folders
@@ -197,7 +226,7 @@ def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = No
 
     A stateful query fixes its number of state partitions at its first start
     (kept in the checkpoint). ``state_partitions`` (default: the cluster's
-    parallelism) sets it for this query only."""
+    parallelism) sets it for this query only, as ``conf`` does other settings."""
     spark = df.sparkSession
     if state_partitions is None:
         state_partitions = spark.sparkContext.defaultParallelism
@@ -209,19 +238,38 @@ def start(df: DataFrame, name: str, sink: str = "parquet", path: str | None = No
         w = w.foreachBatch(lambda b, i: foreach_batch(b, i, out))
     else:
         w = w.format(sink).option("path", out)
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    want = {"spark.sql.shuffle.partitions": str(state_partitions), **(conf or {})}
+    before = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
     try:
         q = w.start()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return q, out
 
 
 def overwrite_batch(b: DataFrame, epoch: int, out: str) -> None:
-    """foreachBatch sink for complete-mode results: replace the table."""
-    b.write.mode("overwrite").parquet(out)
+    """foreachBatch sink for complete-mode results: the table as of this epoch,
+    in a folder of its own, which replaces the one before once its manifest is
+    there (:func:`read_table`). A reader never finds the table half written."""
+    from riskframe.streaming.epochs import EpochLog
+
+    log = EpochLog(b.sparkSession, out)
+    newest, _ = log.newest()
+    if epoch > newest:
+        b.write.mode("overwrite").parquet(log.folder("table", epoch))
+        log.commit(epoch, {})
+        if newest >= 1:
+            drop_path(b.sparkSession, log.folder("table", newest - 1))
+
+
+def read_table(spark: SparkSession, out: str) -> DataFrame:
+    """The newest table that :func:`overwrite_batch` has committed."""
+    from riskframe.streaming.epochs import EpochLog
+
+    return EpochLog(spark, out).read_newest("table")
 
 
 def epoch_dir(out: str, epoch: int, name: str = "_epoch") -> str:
@@ -261,20 +309,22 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None,
-                 trigger: dict | None = None) -> DataFrame:
+                 trigger: dict | None = None, conf: dict | None = None) -> DataFrame:
     """Run a stream until the available input is consumed and return its
     result as a batch table (append: the sink; complete: the last table;
     update: the newest row per key)."""
     spark = df.sparkSession
     if mode == "complete":
-        q, out = start(df, name, mode=mode, trigger=trigger, foreach_batch=overwrite_batch)
+        q, out = start(df, name, mode=mode, trigger=trigger, foreach_batch=overwrite_batch, conf=conf)
     elif mode == "update":
-        q, out = start(df, name, mode=mode, trigger=trigger, foreach_batch=append_versioned)
+        q, out = start(df, name, mode=mode, trigger=trigger, foreach_batch=append_versioned, conf=conf)
     else:
-        q, out = start(df, name, mode=mode, trigger=trigger)
+        q, out = start(df, name, mode=mode, trigger=trigger, conf=conf)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    if mode == "complete":
+        return read_table(spark, out)
     if mode == "update":
         return latest_per_key(spark, out, keys or [])
     return spark.read.parquet(out)
@@ -327,31 +377,3 @@ def live_profiles(stream: DataFrame, key: str = "customer_id", amount: str = "Am
 def read_predictions(spark: SparkSession, path: str, limit: int = 100, order: str = "transaction_id") -> DataFrame:
     """Consume up to ``limit`` results in order."""
     return spark.read.parquet(path).orderBy(order).limit(limit)
-
-
-def start_scoring(spark: SparkSession, sf_dir: str, scorer=None, name: str = "model",
-                  trigger: dict | None = None, max_files_per_trigger: int | None = None,
-                  buffer_key: str | None = "merchant_id", buffer_size: int = 1000, base: str | None = None,
-                  drift: bool = False) -> dict:
-    """One source, its sinks: predictions (append), alerts (append),
-    running metrics (complete), the bounded last-N buffer per ``buffer_key``
-    (update) and, with ``drift``, drift alerts over the last 1000 predictions.
-    ``base``: a shared folder for all sinks and checkpoints; started again with
-    it, the queries resume. Returns the queries and their paths."""
-    from riskframe.streaming.state import last_n_buffer
-
-    base = (base or scratch_path(spark, "scoring")).rstrip("/")
-    scored = score_stream(tx_stream(spark, sf_dir, max_files_per_trigger), scorer, name)
-
-    def run(df, what, **kw):
-        return start(df, what, path=f"{base}/{what}", checkpoint=f"{base}/_checkpoints/{what}", trigger=trigger, **kw)
-
-    out = {"predictions": run(scored.select("transaction_id", "fraud_probability", "risk_level", "prediction"), "predictions"),
-           "alerts": run(alerts(scored), "alerts"),
-           "metrics": run(running_metrics(scored), "metrics", mode="complete", foreach_batch=overwrite_batch)}
-    if buffer_key:
-        out["buffer"] = run(last_n_buffer(scored, buffer_key, n=buffer_size), "buffer", mode="update",
-                            foreach_batch=append_versioned)
-    if drift:
-        out["drift"] = run(scored, "drift", foreach_batch=drift_alert_sink(f"{base}/drift-rows", f"{base}/drift"))
-    return out

@@ -407,6 +407,7 @@ def test_scoring_raw_rows_through_preprocessing_scorer(spark, sf_dir):
 
 def test_trained_model_scores_a_stream(spark, sf_dir):
     from riskframe.plans import views as V
+    from riskframe.streaming import epochs as EP
     from riskframe.streaming import stream as SS
 
     hist = V.tx(spark, sf_dir).drop("ts")
@@ -416,10 +417,9 @@ def test_trained_model_scores_a_stream(spark, sf_dir):
     lr = CL.train_logit(PP.with_weights(pm.transform(feats)), "lr", max_iter=20)
     scorer = CL.model_scorer("lr", lr, preprocessor=pm, prepare_fn=lambda d: FE.profile_features(d, hist))
     batch = CL.score_batch(hist, scorer, name="lr", required=("Time", "Amount")).select("transaction_id", "fraud_probability")
-    qs = SS.start_scoring(spark, sf_dir, scorer=scorer, name="lr", buffer_key=None)
-    for q, _ in qs.values():
-        q.awaitTermination()
-    streamed = spark.read.parquet(qs["predictions"][1])
+    q, log = EP.start_scoring(SS.score_stream(SS.tx_stream(spark, sf_dir), scorer, "lr"), buffer_key=None)
+    q.awaitTermination()
+    streamed = log.read("predictions")
     assert streamed.count() == hist.count()
     sb = {int(r.transaction_id): r.fraud_probability for r in batch.collect()}
     ss = {int(r.transaction_id): r.fraud_probability for r in streamed.collect()}
