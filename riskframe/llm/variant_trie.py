@@ -9,8 +9,9 @@ two of them and a word of any length has few levels.
 A word's search starts at the node of its first half in either trie, as the
 state (word, position, node, no edit). A level joins all states with the edges
 of their node: a label that equals the word's next characters keeps the edits;
-one that is a single edit away moves on with one edit, if the characters that
-follow its node allow for the word's next one. A state whose edit is spent joins
+one that is a single edit away moves on with one edit, if its node is
+followed by the word's next character and has a word of the near word's length
+below. A state whose edit is spent joins
 by its next character too. A state that has used up its word at a node where
 another word ends, with one edit, is a pair of neighbours. An edit in the first half of a word is
 one in the second half of its mirror image, so each pair is found in one trie or
@@ -86,69 +87,82 @@ def _start(n: int) -> int:
     return n // 2 if n > 2 else 0
 
 
-def _hashes(w: str, side: int) -> np.ndarray:
-    """Hash of every prefix of ``w``, length 0 first: a polynomial, then mixed."""
-    code = np.frombuffer(w.encode("utf-32-le"), "<u4").astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
-    power = np.cumprod(np.full(len(w) + 1, np.uint64(0x9E3779B97F4A7C15)))
-    h = np.r_[np.uint64(0), np.cumsum(code * power[:-1])] + np.uint64(side + 1) * np.uint64(0x94D049BB133111EB)
-    h = (h + np.arange(len(w) + 1, dtype=np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+def _prefix_rows(words: list[str], side: int) -> tuple[np.ndarray, ...]:
+    """Of all words, from the depth at which a word one shorter starts its search
+    to their ends: index of the word, depth, hash of the prefix (a polynomial, then
+    mixed), the next character (empty at the end), whether the word's own search
+    starts there, and the word's length."""
+    size = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(size) - size
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), "<U1")
+    code = chars.view("<u4").astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
+    power = np.cumprod(np.full(int(size.max()) + 1, np.uint64(0x9E3779B97F4A7C15)))
+    at = np.arange(len(chars)) - np.repeat(first, size)
+    upto = np.r_[np.uint64(0), np.cumsum(code * power[at])]
+    lo = np.array([_start(n - 1) for n in size.tolist()], np.int64)
+    rows = size - lo + 1
+    which = np.repeat(np.arange(len(words)), rows)
+    depth = np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows) + lo[which]
+    place = first[which] + depth
+    h = upto[place] - upto[first[which]] + np.uint64(side + 1) * np.uint64(0x94D049BB133111EB)
+    h = (h + depth.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+    end = depth == size[which]
+    following = np.where(end, "", np.r_[chars, [""]][place])
+    starts = depth == np.array([_start(n) for n in size.tolist()], np.int64)[which]
+    return which, depth.astype(np.int32), (h ^ (h >> np.uint64(32))).view(np.int64), following, starts, size[which]
 
 
 def _prefixes(words: DataFrame) -> DataFrame:
-    """(side, wid, depth, node, next, starts): the prefixes of each word and of
-    its mirror image (side 1), from the depth at which a word one shorter starts
-    its search. ``next`` is the character after it, empty at the end."""
-    types = [("side", pa.int32()), ("wid", pa.int64()), ("depth", pa.int32()), ("node", pa.int64()), ("next", pa.string()),
-             ("starts", pa.bool_())]
+    """(side, wid, depth, node, next, starts, length): the prefixes of each word
+    and of its mirror image (side 1); see :func:`_prefix_rows`."""
+    names = ["side", "wid", "depth", "node", "next", "starts", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, got = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, got = b.column(0).to_numpy(), b.column(1).to_pylist()
             for i, j in blocks([w.encode() for w in got], 100_000):
-                cols: list[list] = [[] for _ in types]
-                for wid, word in zip(ids[i:j], got[i:j], strict=True):
-                    n = len(word)
-                    lo = _start(n - 1)
-                    for side, w in enumerate((word, word[::-1])):
-                        cols[0] += [side] * (n - lo + 1)
-                        cols[1] += [wid] * (n - lo + 1)
-                        cols[2] += range(lo, n + 1)
-                        cols[3] += _hashes(w, side)[lo:].tolist()
-                        cols[4] += [*w[lo:], ""]
-                        cols[5] += [d == _start(n) for d in range(lo, n + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True)],
-                                                 [name for name, _ in types])
-
-    return words.select("wid", "word").mapInArrow(run, "side int, wid long, depth int, node long, next string, starts boolean")
+                for side in (0, 1):
+                    which, depth, node, following, starts, size = _prefix_rows([w[::-1] if side else w for w in got[i:j]], side)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(which), side, np.int32)), pa.array(ids[i:j][which]), pa.array(depth), pa.array(node),
+                         pa.array(following, pa.string()), pa.array(starts), pa.array(size.astype(np.int32))], names)
+
+    return words.select("wid", "word").mapInArrow(run, "side int, wid long, depth int, node long, next string, starts boolean, length int")
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The start states (side, word, position, node, edits) and the edge table
-    (node, label, child, ends, onward) of both tries, and the paths they are written
-    to. ``onward`` holds the characters that follow the child. ``word`` and ``ends`` (the words that end at the child: none or one, unless
-    hashes are equal) are spelt in their trie's direction."""
+    """The start states (side, word, position, node, edits, target) and the edge
+    table (node, label, child, ends, onward, lengths) of both tries, and the paths
+    they are written to. ``onward`` holds the characters that follow the child,
+    ``lengths`` the lengths modulo 64 of the words below it, as bits. ``word`` and
+    ``ends`` (the words that end at the child: none or one, unless hashes are equal)
+    are spelt in their trie's direction."""
     words, path0 = materialize(words.select("word", F.monotonically_increasing_id().alias("wid")), "trie-ids")
     pre, path1 = materialize(_prefixes(words), "trie-prefixes")
     # a node: words part or end here, or a search starts
-    nodes = (pre.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.max("starts").alias("s"))
-             .where("a <> b or a = '' or s").select("node"))
-    marks = pre.join(nodes, "node").groupBy("side", "wid").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "starts"))).alias("m"))
+    nodes = (pre.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.max("starts").alias("s"),
+                                     F.bit_or(F.expr("shiftleft(1L, length % 64)")).alias("lengths"))
+             .where("a <> b or a = '' or s").select("node", "lengths"))
+    nodes, path2 = materialize(nodes, "trie-nodes")
+    marks = (pre.join(nodes.select("node"), "node").groupBy("side", "wid")
+             .agg(F.sort_array(F.collect_list(F.struct("depth", "node", "starts"))).alias("m")))
     spelt = F.when(F.col("side") == 1, F.reverse("word")).otherwise(F.col("word"))
     marks = marks.join(words, "wid").select("side", spelt.alias("word"), "m")
-    marks, path2 = materialize(marks, "trie-marks")  # one word's nodes: no more than it has characters
+    marks, path3 = materialize(marks, "trie-marks")  # one word's nodes: no more than it has characters
     start = marks.select("side", "word", F.explode(F.filter("m", lambda x: x["starts"])).alias("x"))
-    start = start.select("side", "word", F.col("x.depth").alias("position"), F.col("x.node").alias("node"), F.lit(0).alias("edits"))
+    start = start.select("side", "word", F.col("x.depth").alias("position"), F.col("x.node").alias("node"), F.lit(0).alias("edits"),
+                         F.length("word").alias("target"))
     steps = F.expr("explode(transform(sequence(1, size(m) - 1), i -> struct(m[i - 1] as f, m[i] as t)))")
     edges = marks.where(F.size("m") > 1).select("word", steps.alias("e"))
     edges = edges.select(F.col("e.f.node").alias("node"), F.col("e.t.node").alias("child"),
                          F.expr("substring(word, e.f.depth + 1, e.t.depth - e.f.depth)").alias("label"),
                          F.when(F.col("e.t.depth") == F.length("word"), F.col("word")).alias("ends"))
-    edges, path3 = materialize(edges.groupBy("node", "child", "label").agg(F.collect_set("ends").alias("ends")), "trie-edges")
+    edges, path4 = materialize(edges.groupBy("node", "child", "label").agg(F.collect_set("ends").alias("ends")), "trie-edges")
     # the characters that may follow a child: no more than the alphabet has
     onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("onward"))
-    edges, path4 = materialize(edges.join(onward, "child", "left").withColumn("onward", F.coalesce("onward", F.lit(""))), "trie-onward")
-    return start, edges, [path0, path1, path2, path3, path4]
+    edges = edges.join(nodes.withColumnRenamed("node", "child"), "child").join(onward, "child", "left")
+    edges, path5 = materialize(edges.withColumn("onward", F.coalesce("onward", F.lit(""))), "trie-onward")
+    return start, edges, [path0, path1, path2, path3, path4, path5]
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -165,24 +179,30 @@ def near_words(words: DataFrame) -> DataFrame:
     same = F.col("label") == ahead(0)
     # lengths fix the kind of the edit: replaced (0), inserted in the near word (-1), deleted from it (1)
     kinds = {k: (F.length(ahead(k)) == size + k) & (((size == 1) & F.lit(k < 1)) | (F.levenshtein("label", ahead(k), 1) == 1)) for k in (0, -1, 1)}
+
+    def below(k: int):
+        """Whether a word of the near word's length is below the child."""
+        return F.expr(f"shiftright(lengths, (target - ({k})) % 64) & 1L") == 1
+
     while True:
         # no edit yet: every edge of the node
         fresh = frontier.where("edits = 0").join(edges, "node")
-        moves = F.when(same, F.array(F.struct(size.alias("by"), F.lit(0).alias("edits")))).otherwise(F.array_compact(F.array(
-            *[F.when(ok, F.struct((size + k).alias("by"), F.lit(1).alias("edits"))) for k, ok in kinds.items()])))
+        moves = F.when(same, F.array(F.struct(size.alias("by"), F.lit(0).alias("edits"), F.col("target")))).otherwise(F.array_compact(F.array(
+            *[F.when(below(k) & ok, F.struct((size + k).alias("by"), F.lit(1).alias("edits"), (F.col("target") - k).alias("target")))
+              for k, ok in kinds.items()])))
         fresh = fresh.select("side", "word", "position", "child", "ends", "onward", F.explode(moves).alias("m"))
         fresh = fresh.select("side", "word", (F.col("position") + F.col("m.by")).alias("position"), "child", F.col("m.edits").alias("edits"),
-                             "ends", "onward")
+                             F.col("m.target").alias("target"), "ends", "onward")
         # the edit is spent: the one edge that goes on with the word
         spent = frontier.where("edits = 1").withColumn("c", F.expr("substring(word, position + 1, 1)"))
-        spent = spent.join(edges.withColumn("c", F.substring("label", 1, 1)), ["node", "c"]).where(same)
-        spent = spent.select("side", "word", (F.col("position") + size).alias("position"), "child", "edits", "ends", "onward")
+        spent = spent.join(edges.withColumn("c", F.substring("label", 1, 1)), ["node", "c"]).where(same & below(0))
+        spent = spent.select("side", "word", (F.col("position") + size).alias("position"), "child", "edits", "target", "ends", "onward")
         step = fresh.unionByName(spent).withColumn("left", F.length("word") - F.col("position"))
         # the whole word with one edit, or all but its last character with none
         step = step.withColumn("hit", (F.size("ends") > 0) & (F.col("left") == 1 - F.col("edits")))
         alive = F.when(F.col("edits") == 0, F.col("onward") != "").otherwise(
             (F.col("left") > 0) & F.expr("instr(onward, substring(word, position + 1, 1)) > 0"))
-        step = step.select("side", "word", "position", F.col("child").alias("node"), "edits", F.when(F.col("hit"), F.col("ends")).alias("ends"),
+        step = step.select("side", "word", "position", F.col("child").alias("node"), "edits", "target", F.when(F.col("hit"), F.col("ends")).alias("ends"),
                            alive.alias("alive")).where("alive or ends is not null")
         step, path = materialize(step, "trie-level")
         paths.append(path)
