@@ -3,13 +3,14 @@
 Documents become token ids plus an end id; only longer ones than ``max_tokens``
 are cut, into full pieces after a first piece that may be shorter. Full pieces
 are sequences of their own. The others are dealt by a hash into blocks of about
-``BLOCK`` pieces, and each block's packing evolves on ISLANDS islands: a
-chromosome is a grouping of the pieces into bins; crossover injects whole
-well-filled bins of one parent into the other, removes the bins that hold
-duplicates, and best-fits the displaced pieces; mutation dissolves some bins.
-After an epoch every island gets the elite of its neighbour (a join on block
-and island). The best island's packing is taken. Blocks cost at most one
-part-filled bin each, whatever the input's size.
+``BLOCK`` pieces, and each block's packing evolves on ISLANDS islands from
+groupings in random order: a chromosome is a grouping of the pieces into bins;
+crossover injects whole well-filled bins of one parent into the other, removes the
+bins that hold duplicates, and best-fits the displaced pieces; mutation dissolves
+the emptiest and some other bins. After an epoch every island gets the elite of
+its neighbour (a join on block and island). An island rests once its best grouping
+has no more bins than the pieces' total length needs. The best island's packing is
+taken. Blocks cost at most one part-filled bin each, whatever the input's size.
 
 A null text is empty: its one piece is the end id. Repeated rows and null ids
 are pieces of their own. An empty table gives an empty result.
@@ -31,7 +32,11 @@ from riskframe.llm.tokens import byte_bpe
 from riskframe.session import materialize
 
 BLOCK, ISLANDS, EPOCHS = 8192, 2, 3
-POPULATION, CHILDREN = 5, 12
+POPULATION = 3
+#: an epoch makes at least so many children, or so many that about WORK pieces are dealt anew
+CHILDREN, WORK = 12, 100_000
+#: share of the other parent's well-filled bins that a crossover injects, and shares of a child's bins dissolved: any, and the emptiest
+INJECT, ANY, EMPTIEST = 0.2, 0.05, 0.2
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048,
@@ -117,7 +122,7 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, cap: int, rng:
     hold any of their pieces go, and what these held besides is best-fitted."""
     fill = np.bincount(b, weights=lengths)
     good = fill >= np.quantile(fill, 0.5)
-    inject = good & (rng.random(len(fill)) < 0.4)
+    inject = good & (rng.random(len(fill)) < INJECT)
     given = inject[b]
     hit = np.zeros(a.max() + 1, bool)
     hit[a[given]] = True
@@ -129,36 +134,39 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, cap: int, rng:
 def mutate(a: np.ndarray, lengths: np.ndarray, cap: int, rng: np.random.Generator) -> np.ndarray:
     """Dissolve the emptiest bins and a few others."""
     fill = np.bincount(a, weights=lengths)
-    gone = (rng.random(len(fill)) < 0.02) | (fill <= np.quantile(fill, 0.03))
+    gone = (rng.random(len(fill)) < ANY) | (fill <= np.quantile(fill, EMPTIEST))
     return _complete(lengths, np.where(gone[a], -1, a), cap)
 
 
-def evolve(lengths: np.ndarray, elites: list[np.ndarray], cap: int, seed: int) -> np.ndarray:
+def evolve(lengths: np.ndarray, elites: list[np.ndarray], cap: int, seed: int, trace: list[int] | None = None) -> np.ndarray:
     """Best grouping after one epoch on an island, from ``elites`` (its own and
-    its neighbour's) and best-fit groupings of disturbed orders. ``lengths``
-    descend. Stops early where the lower bound is met."""
+    its neighbour's) and best-fit groupings in random order. ``lengths`` descend.
+    Stops early where the lower bound is met. ``trace`` gets the number of bins of
+    the best grouping at the start and after each child."""
     rng = np.random.default_rng(seed)
     bound = -(-int(lengths.sum()) // cap)
-    pop = [_complete(lengths, np.full(len(lengths), -1), cap), *elites]
-    if len(lengths) > 1 and -fitness(lengths, pop[0], cap)[0] > bound:
-        while len(pop) < POPULATION:
-            order = np.argsort(-lengths * rng.uniform(0.8, 1.0, len(lengths)), kind="stable")
-            bins = np.empty(len(lengths), np.int64)
-            bins[order] = best_fit(lengths[order].tolist(), [], cap)
-            pop.append(bins)
-        score = [fitness(lengths, p, cap) for p in pop]
-        for _ in range(CHILDREN):
-            if -max(score)[0] <= bound:
-                break
-            i, j = rng.choice(len(pop), 2, replace=False)
-            if score[i] < score[j]:
-                i, j = j, i
-            child = mutate(crossover(pop[i], pop[j], lengths, cap, rng), lengths, cap, rng)
-            s, worst = fitness(lengths, child, cap), min(range(len(pop)), key=score.__getitem__)
-            if s > score[worst]:
-                pop[worst], score[worst] = child, s
-    best = max(pop, key=lambda p: fitness(lengths, p, cap))
-    return _complete(lengths, best, cap)
+    pop = list(elites)
+    score = [fitness(lengths, p, cap) for p in pop]
+    while len(pop) < POPULATION and (not pop or -max(score)[0] > bound):
+        order = rng.permutation(len(lengths))
+        bins = np.empty(len(lengths), np.int64)
+        bins[order] = best_fit(lengths[order].tolist(), [], cap)
+        pop.append(bins)
+        score.append(fitness(lengths, bins, cap))
+    trace = [] if trace is None else trace
+    trace.append(-max(score)[0])
+    for _ in range(max(CHILDREN, WORK // max(1, len(lengths)))):
+        if trace[-1] <= bound:
+            break
+        i, j = rng.choice(len(pop), 2, replace=False)
+        if score[i] < score[j]:
+            i, j = j, i
+        child = mutate(crossover(pop[i], pop[j], lengths, cap, rng), lengths, cap, rng)
+        s, worst = fitness(lengths, child, cap), min(range(len(pop)), key=score.__getitem__)
+        if s > score[worst]:
+            pop[worst], score[worst] = child, s
+        trace.append(-max(score)[0])
+    return _complete(lengths, pop[max(range(len(pop)), key=score.__getitem__)], cap)
 
 
 def offsets(lengths: np.ndarray, assign: np.ndarray) -> np.ndarray:
