@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from riskframe.llm import ga_packing as G
-from riskframe.llm.token_counts import count_tokens
+from riskframe.llm.token_counts import count_tokens, distinct_pre_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,6 +64,22 @@ def test_evolution_is_a_partition_and_no_worse_than_best_fit():
     assert np.bincount(child, weights=size).max() <= 2048 and len(child) == len(size)
 
 
+def test_crossover_does_the_packing(docs):
+    """On the query's own pieces: from random groupings down to the least number of bins, by children."""
+    size = [r["length"] for r in G.pieces(docs, PATH).collect() if r["length"] < 2048]
+    size = -np.sort(-np.array(size))
+    bound = -(-size.sum() // 2048)
+    elites, trace = [], []
+    for seed in range(G.EPOCHS):
+        steps = []
+        elites = [G.evolve(size, elites, 2048, seed, steps)]
+        trace += steps
+    assert trace[0] > trace[-1] >= bound and all(a >= b for a, b in zip(trace, trace[1:]))
+    fills = []
+    G.best_fit(size.tolist(), fills, 2048)
+    assert trace[-1] <= len(fills) and len(set(trace)) >= 3
+
+
 def test_blocks(spark):
     rows = [(i, 100 + i * 37 % 1900) for i in range(500)]
     packed = G.pack(spark.createDataFrame(rows, "doc_id long, length long"), block=60).collect()
@@ -84,4 +100,17 @@ def test_token_counts(docs, odd, empty):
         want.append((key(r), len((r["text"] or "").encode()), n, n > 2048))
     got = [(key(r), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in count_tokens(both, path).collect()]
     assert sorted(got) == sorted(want)
+    # all pre-tokens by the join, and all but a few
+    for hot in (0, 20):
+        got = [(key(r), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in count_tokens(both, path, hot=hot).collect()]
+        assert sorted(got) == sorted(want)
     assert count_tokens(empty, path).count() == 0
+
+
+def test_every_pre_token_is_counted_once(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.createDataFrame([(i, "one two one <|endoftext|> " * 3 + f"only{i % 5}") for i in range(40)], "doc_id long, text string").repartition(6)
+    got = {r["pre"]: (r["times"], r["n"]) for r in distinct_pre_tokens(rows, path).collect()}
+    assert {p: t for p, (t, _) in got.items()} == {"one": 240, "two": 120, "<|endoftext|>": 120, **{f"only{k}": 8 for k in range(5)}}
+    plan = count_tokens(rows, path)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and "Generate posexplode" in plan
