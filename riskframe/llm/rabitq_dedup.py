@@ -1,11 +1,10 @@
 """Operator 9: embedding near-duplicates with randomised-rotation binary codes.
 
 Equal vectors are one class. A class's unit vector is padded, rotated by a
-seeded random rotation and reduced to its signs (BITS of them, twice as many
-from MANY_K index bits on); the stored
-correction factor is the inner product of the code with the vector it stands
+seeded random rotation and reduced to its signs; the stored correction factor is
+the inner product of the code with the vector it stands
 for. Code times query over factor is an unbiased estimate of the cosine, whose
-error is below ``EPSILON * sqrt((1 - f^2) / f^2 / (BITS - 1))`` but with a
+error is below ``EPSILON * sqrt((1 - f^2) / f^2 / (size - 1))`` but with a
 probability that falls as exp(-EPSILON^2). The query side is the other vector in
 8-bit steps, whose rounding error adds to the bound.
 
@@ -13,10 +12,14 @@ Pairs to look at come from an index over all classes: ``bands`` samples of
 ``k`` code bits each, where k follows the logarithm of the number of classes
 and the number of bands is the least at which a pair at the threshold misses in
 all bands with a chance of at most MISS. As the bands read the same code bits,
-that chance is summed over the number of bits on which the pair agrees. Vectors that share a band's bits meet in
-one bucket. A pair counts in the first band that it shares only, is dropped if
-the bound from either side shows its cosine below the threshold, and is
-otherwise recomputed exactly, in double precision. Buckets above CELL rows are
+that chance is summed over the number of bits on which the pair agrees; the code
+is as long as makes the whole index smallest. Vectors that share a band's bits
+meet in one bucket. A pair counts in the first band that it shares only, and is
+dropped if the bound from either side shows its cosine below the threshold. What
+goes on from a bucket are not pairs but its vectors that are in any: their exact
+vectors are fetched once for the bucket, its pairs recomputed in double precision,
+and each vector's number of links and a spanning forest of the links written. So
+a group of n near copies costs n rows, not n^2. Buckets above CELL rows are
 cut into chunks that meet two by two, so no task gathers a large bucket and no
 pair is lost.
 
@@ -46,21 +49,20 @@ EPSILON = 4.0
 #: rows of a bucket that meet at once
 CELL = 1024
 MISS = 0.02
-#: index bits from which twice the code bits cost less than the bands they save
-MANY_K = 20
 #: unions of links of so many vector lengths are written at once
 LENGTHS = 100
 
 
-def code_size(dim: int, k: int) -> int:
-    """Code bits of vectors of length ``dim`` whose bands read k of them."""
-    return max(BITS if k < MANY_K else 2 * BITS, -(-dim // 64) * 64)
+def code_sizes(dim: int) -> list[int]:
+    """Code bits that vectors of length ``dim`` may have."""
+    least = max(BITS, -(-dim // 64) * 64)
+    return [least * m for m in (1, 2, 3, 4)]
 
 
 def rotation(dim: int, size: int | None = None) -> np.ndarray:
     """(size, dim), of BITS rows or more: the columns of a seeded random rotation that act on
     the vector's own coordinates (the padding is zero)."""
-    size = size or code_size(dim, 0)
+    size = size or code_sizes(dim)[0]
     q, r = np.linalg.qr(np.random.default_rng(20240717).standard_normal((size, size)))
     return (q * np.sign(np.diag(r)))[:, :dim]
 
@@ -83,18 +85,21 @@ def miss(bands: int, k: int, size: int, agree: float) -> float:
     return out
 
 
-def plan_bands(n: int, threshold: float, dim: int = 1) -> tuple[int, int]:
-    """(bands, k) for n classes of length ``dim``."""
-    k = min(40, max(4, round(math.log2(max(2, n)))))
+def plan_bands(n: int, threshold: float, dim: int = 1) -> tuple[int, int, int]:
+    """(bands, k, code bits) for n classes of length ``dim``: of the code sizes
+    the one whose index, a packed code for each class and band, is smallest."""
+    k = max(4, round(math.log2(max(2, n))))
     agree = min(1.0 - math.acos(threshold) / math.pi, 1.0 - 1e-9)
-    size = code_size(dim, k)
-    low, high = 0, math.ceil(math.log(1.0 / MISS) / agree ** k)
-    while miss(high, k, size, agree) > MISS:
-        low, high = high, 2 * high
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (low, mid) if miss(mid, k, size, agree) <= MISS else (mid, high)
-    return high, k
+    plans = []
+    for size in code_sizes(dim):
+        low, high = 0, math.ceil(math.log(1.0 / MISS) / agree ** k)
+        while miss(high, k, size, agree) > MISS:
+            low, high = high, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if miss(mid, k, size, agree) <= MISS else (mid, high)
+        plans.append((high * (size // 8 + 24 + dim), high, k, size))
+    return min(plans)[1:]
 
 
 def encode(vec: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,22 +161,53 @@ def bucket_pairs(codes: Codes, side: np.ndarray, masks: np.ndarray, band: int, t
     return a[new], b[new]
 
 
-def candidate_pairs(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
-    """(a, b) pairs of class ids that may reach the threshold, each once.
-    ``classes``: (rid long, vec array<float>), all of length ``dim``."""
-    bands, k = plan_bands(n, threshold, dim)
-    rot = rotation(dim, code_size(dim, k))
-    bits_of = band_bits(bands, k, rot.shape[0])
-    masks = np.zeros((bands, rot.shape[0]), bool)
+_CELL_KEY = ["band", "key", "ci", "cj"]
+
+
+def by_cell(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` on the whole rows of a cell, for sorted batches whose first four
+    columns are the cell's key and the fifth the side: ``work(key, side, rows)``
+    gives record batches. Cells with one row, or one side of two, are passed over."""
+    def cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        k4 = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+        first = np.flatnonzero(np.r_[True, (k4[1:] != k4[:-1]).any(axis=1)])
+        ends = np.r_[first[1:], len(k4)]
+        side = t.column(4).to_numpy()
+        for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
+            if k4[a, 2] == k4[a, 3] or side[a:b].min() != side[a:b].max():
+                yield from work(k4[a], side[a:b], t.slice(a, b - a))
+
+    kept = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([kept, t]) if kept is not None else t
+        if not t.num_rows:
+            continue
+        last = [t.column(i)[-1].as_py() for i in range(4)]
+        tail = np.logical_and.reduce([t.column(i).to_numpy() == last[i] for i in range(4)])
+        cut = int(np.argmax(tail))  # the last cell may go on in the next batch
+        if cut:
+            yield from cells(t.slice(0, cut))
+        kept = t.slice(cut)
+    if kept is not None and kept.num_rows:
+        yield from cells(kept)
+
+
+def band_links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
+    """Links of ``classes`` (rid long, vec array of length ``dim``, copies long),
+    as rows (a, b, n): with n, a part of the number of rows that ``a`` is linked
+    to (b null); without, a link of the spanning forest of a cell."""
+    bands, k, size = plan_bands(n, threshold, dim)
+    rot = rotation(dim, size)
+    bits_of = band_bits(bands, k, size)
+    masks = np.zeros((bands, size), bool)
     np.put_along_axis(masks, bits_of, True, axis=1)
     masks = np.packbits(masks, axis=1).view(np.uint64)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                vec = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                vec = unit(vec)
-                bits, *rest = encode(vec, rot)
+                bits, *rest = encode(matrix(b.column(1), dim), rot)
                 weight = 1 << np.arange(k, dtype=np.int64)
                 keys = [(bits[:, own] * weight).sum(axis=1) for own in bits_of]
                 yield pa.RecordBatch.from_arrays(
@@ -191,110 +227,79 @@ def candidate_pairs(classes: DataFrame, dim: int, n: int, threshold: float) -> D
                  .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
                  .select("rid", "code", "band", "key", F.least("c", "j").alias("ci"), F.greatest("c", "j").alias("cj"),
                          (F.col("c") > F.col("j")).cast("int").alias("side")))
-    key = ["band", "key", "ci", "cj"]
-    dealt = cells.repartition(*key).sortWithinPartitions(*key).select(*key, "side", "rid", "code")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        empty = pa.array([], pa.int64())
-
-        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            k4 = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
-            first = np.flatnonzero(np.r_[True, (k4[1:] != k4[:-1]).any(axis=1)])
-            ends = np.r_[first[1:], len(k4)]
-            side, rid, code_col = t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(6)
-            left, right = [], []
-            for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
-                s = side[a:b]
-                if k4[a, 2] != k4[a, 3] and s.min() == s.max():
-                    continue  # one chunk only
-                own = Codes(code_col.slice(a, b - a).to_pylist(), dim, rot)
-                i, j = bucket_pairs(own, s, masks, int(k4[a, 0]), threshold)
-                left.append(rid[a:b][i])
-                right.append(rid[a:b][j])
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            if not t.num_rows:
-                continue
-            last = [t.column(i)[-1].as_py() for i in range(4)]
-            tail = np.logical_and.reduce([t.column(i).to_numpy() == last[i] for i in range(4)])
-            cut = int(np.argmax(tail))  # the last group may go on in the next batch
-            if cut:
-                yield from work(t.slice(0, cut))
-            kept = t.slice(cut)
-        if kept is not None and kept.num_rows:
-            yield from work(kept)
-        yield pa.RecordBatch.from_arrays([empty, empty], ["a", "b"])
-
-    return dealt.mapInArrow(meet, "a long, b long")
 
+    def dealt(df: DataFrame, *cols: str) -> DataFrame:
+        return df.repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY, "rid").select(*_CELL_KEY, "side", *cols)
 
-def unit(vec: np.ndarray) -> np.ndarray:
-    """Unit vectors, in double precision and without overflow."""
-    vec = vec / np.abs(vec).max(axis=1, keepdims=True)
-    return vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(key, side, t):
+            i, j = bucket_pairs(Codes(t.column(6).to_pylist(), dim, rot), side, masks, int(key[0]), threshold - 1e-9)
+            if len(i):
+                yield t.select(range(6)).take(np.unique(np.r_[i, j])).combine_chunks().to_batches()[0]
 
+        return by_cell(batches, work)
 
-def exact_links(pairs: DataFrame, classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose cosine, in double precision, reaches the threshold, with it."""
-    va = classes.select(F.col("rid").alias("a"), F.col("vec").alias("va"))
-    vb = classes.select(F.col("rid").alias("b"), F.col("vec").alias("vb"))
+    members = dealt(cells, "rid", "code").mapInArrow(involved, "band int, key long, ci int, cj int, side int, rid long")
+    members, _ = materialize(members, "rabitq-members")
+    known = members.join(coded.select("rid", "code"), "rid").join(classes.select("rid", "vec", "copies"), "rid")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (unit(b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-                    if b.num_rows else np.zeros((0, dim)) for i in (2, 3))
-            cos = np.einsum("ij,ij->i", x, y)
-            ok = pa.array(cos >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(cos).filter(ok)],
-                                             ["a", "b", "cosine"])
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(key, side, t):
+            i, j = bucket_pairs(Codes(t.column(6).to_pylist(), dim, rot), side, masks, int(key[0]), threshold - 1e-9)
+            rid, copies = t.column(5).to_numpy(), t.column(8).to_numpy()
+            vec = matrix(t.column(7).combine_chunks(), dim)
+            ok = np.zeros(len(i), bool)
+            for s in range(0, len(i), 100_000):
+                ok[s:s + 100_000] = np.einsum("ij,ij->i", vec[i[s:s + 100_000]], vec[j[s:s + 100_000]]) >= threshold
+            i, j = i[ok], j[ok]
+            if not len(i):
+                return
+            n = np.bincount(i, weights=copies[j], minlength=len(rid)) + np.bincount(j, weights=copies[i], minlength=len(rid))
+            some = np.flatnonzero(n)
+            node, root = local_forest(rid[i], rid[j])
+            node, root = node[node != root], root[node != root]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[rid[some], root]), pa.array([None] * len(some) + node.tolist(), pa.int64()),
+                 pa.array(n[some].astype(np.int64).tolist() + [None] * len(node), pa.int64())], ["a", "b", "n"])
 
-    joined = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
-    return joined.mapInArrow(run, "a long, b long, cosine double")
+        return by_cell(batches, work)
 
+    return dealt(known, "rid", "code", "vec", "copies").mapInArrow(verify, "a long, b long, n long")
 
-def spanning(links: DataFrame) -> DataFrame:
-    """Fewer links (a, b) that connect the same classes: a spanning forest of
-    each Arrow batch, so a clique goes on as few links."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, root = local_forest(b.column(0).to_numpy(), b.column(1).to_numpy())
-            keep = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(node[keep])], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors (rows, dim) of an Arrow list column, in double precision."""
+    return unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+def unit(vec: np.ndarray) -> np.ndarray:
+    """Unit vectors, in double precision and without overflow."""
+    vec = vec / np.abs(vec).max(axis=1, keepdims=True)
+    return vec / np.linalg.norm(vec, axis=1, keepdims=True)
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of ``table``."""
     spark = table.sparkSession
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    big = float(np.finfo(np.float32).max)
-    good = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > big)) & F.exists(
+    # single precision stays as it is; everything else is compared as doubles
+    kind = "float" if table.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
+    good = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(
         "vec", lambda x: x != 0)
-    rows = rows.withColumn("vec", F.when(good, F.transform("vec", lambda x: x + F.lit(0).cast("float"))))  # -0.0 is 0.0
+    rows = rows.withColumn("vec", F.when(good, F.transform("vec", lambda x: x + F.lit(0).cast(kind))))  # -0.0 is 0.0
     classes, _ = materialize(rows.where("vec is not null").groupBy("vec").agg(F.count(F.lit(1)).alias("copies"),
                                                                               F.min("vec_id").alias("low"))
                              .withColumn("rid", F.monotonically_increasing_id()), "rabitq-classes")
     sizes = classes.groupBy(F.size("vec").alias("dim")).count().where("count > 1").collect()  # a row for each length
-    links = [spark.createDataFrame([], "a long, b long")]
+    links = [spark.createDataFrame([], "a long, b long, n long")]
     for r in sorted(sizes, key=lambda r: r["dim"]):
-        own = classes.where(F.size("vec") == r["dim"])
-        found = exact_links(candidate_pairs(own, r["dim"], r["count"], threshold), own, r["dim"], threshold)
-        links.append(found.select("a", "b"))
+        links.append(band_links(classes.where(F.size("vec") == r["dim"]), r["dim"], r["count"], threshold))
         if len(links) > LENGTHS:
             links = [materialize(reduce(DataFrame.unionByName, links), "rabitq-links")[0]]
     links, _ = materialize(reduce(DataFrame.unionByName, links), "rabitq-links")
-    copies = classes.select(F.col("rid").alias("other"), "copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(copies, both["b"] == copies["other"]).groupBy(F.col("a").alias("rid")).agg(F.sum("copies").alias("outer"))
-    roots = connected_components(spanning(links), "a", "b").select(F.col("node").alias("rid"), "root")
+    degree = links.where("n is not null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("outer"))
+    roots = connected_components(links.where("n is null"), "a", "b").select(F.col("node").alias("rid"), "root")
     named = classes.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     info = (named.join(low, "root").join(degree, "rid", "left")

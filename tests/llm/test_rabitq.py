@@ -106,8 +106,8 @@ def test_recall_holds_as_the_table_grows():
         z = R.unit(z - (z * x).sum(axis=1, keepdims=True) * x)
         y = 0.9 * x + np.sqrt(1 - 0.81) * z
         for n in (10 ** 4, 10 ** 7, 10 ** 8, 10 ** 9):
-            bands, k = R.plan_bands(n, 0.9, dim)
-            rot = R.rotation(dim, R.code_size(dim, k))
+            bands, k, size = R.plan_bands(n, 0.9, dim)
+            rot = R.rotation(dim, size)
             same = R.encode(x, rot)[0] == R.encode(y, rot)[0]
             met = np.zeros(len(x), bool)
             for own in R.band_bits(bands, k, rot.shape[0]):
@@ -118,10 +118,36 @@ def test_recall_holds_as_the_table_grows():
 def test_every_length_is_looked_at(spark, monkeypatch):
     seen = []
 
-    def links(pairs, classes, dim, threshold):
+    def links(classes, dim, n, threshold):
         seen.append(dim)
-        return spark.range(0).selectExpr("id as a", "id as b", "1.0 as cosine")
-    monkeypatch.setattr(R, "candidate_pairs", lambda *a: None)
-    monkeypatch.setattr(R, "exact_links", links)
+        return spark.range(0).selectExpr("id as a", "id as b", "id as n")
+    monkeypatch.setattr(R, "band_links", links)
     df = spark.range(2200).selectExpr("id as vec_id", "transform(sequence(0, cast(id div 2 as int)), x -> cast(x + 1 + id as float)) as embedding")
     assert R.near_duplicates(df).count() == 2200 and len(seen) == 1100
+
+
+def test_several_lengths_and_doubles(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim in (3, 16, 70):
+        for _ in range(6):
+            base = rng.standard_normal(dim)
+            rows += [base, base * 2, base + 0.02 * rng.standard_normal(dim)]
+    # two doubles that are one in single precision, and of the threshold's two sides
+    rows += [np.array([1.0, 0.0]), np.array([0.9, np.sqrt(0.19) + 1e-9]), np.array([0.9, np.sqrt(0.19) - 1e-9])]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rows)]
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in
+           R.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    vecs = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    for i, n, _ in got:
+        assert n == sum(j != i and len(v) == len(vecs[i]) and (rows[i][1] == rows[j][1] or v @ vecs[i] >= 0.9) for j, v in enumerate(vecs)), i
+
+
+def test_a_group_of_near_copies_costs_its_rows(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(32)
+    rows = [(i, [float(np.float32(x)) for x in base + 0.01 * rng.standard_normal(32)], 1) for i in range(400)]
+    classes = spark.createDataFrame(rows, "rid long, vec array<float>, copies long")
+    out = R.band_links(classes, 32, 400, 0.9).collect()
+    assert len(out) < 5 * 400
+    assert all(sum(r["n"] for r in out if r["n"] is not None and r["a"] == i) == 399 for i in range(0, 400, 37))
