@@ -34,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from riskframe.llm.common import BLOCK_BYTES, blocks, small_batches, text_bytes
+from riskframe.llm.common import BLOCK_BYTES, blocks, free_name, small_batches, text_bytes
 from riskframe.session import materialize
 
 #: random values of the gear hash, one for each byte value, from a seeded generator
 GEAR = np.random.default_rng(2024).integers(0, 2 ** 32, size=256, dtype=np.uint32)
 WINDOW, MAX_CHUNK = 16, 4096
-#: a passage's place is start << LENGTH_BITS | length: rows of three longs, and aggregates without structs, keep the shuffles small
-LENGTH_BITS = 24
+#: a passage's place is start << LENGTH_BITS | length, each below 2^31 as a text's bytes are: rows of three longs, and
+#: aggregates without structs, keep the shuffles small
+LENGTH_BITS = 32
 #: of the polynomial over the chunks' digests, modulo 2^64, that is a passage's digest
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C17)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C17, -1, 2 ** 64))
@@ -253,25 +254,33 @@ def removable(doc_id: int | None, text: bytes, dups: list[tuple[int, int, int]],
     return [(a, b, f) for a, b, f in out]
 
 
+def removed_columns(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two columns that :func:`dedup_substrings` adds to ``docs``."""
+    return free_name(docs, "removed_words"), free_name(docs, "removed_spans")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 16) -> DataFrame:
     """``docs`` with the later occurrences cut out of the text, plus
     ``removed_words`` and ``removed_spans`` (start and end in characters of
-    the old text, first_doc: the document that keeps the passage)."""
+    the old text, first_doc: the document that keeps the passage); where ``docs`` has
+    such columns, the new ones' names end in ``_``."""
     small_batches(docs)
     ch = chunks(docs, id_col, text_col, min_words)
     dups, _ = materialize(later_occurrences(ch), "cdc-dups")
-    key, cols = "__cdc_id", docs.columns
+    cols = docs.columns
+    key, found, mixed_ids = (free_name(docs, c) for c in ("__cdc_id", "__cdc_dups", "__cdc_shared"))
+    words_out, spans_out = removed_columns(docs)
     # ids that different texts share: their passages must be told apart
     hashes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"))
     shared = hashes.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("shared"))
     dups = dups.join(shared, "doc_id", "left")
     rows = docs.withColumn(key, F.col(id_col).cast("long"))
-    joined = rows.join(dups.withColumnRenamed("doc_id", key), key, "left").select(*cols, F.col("dups").alias("__dups"), key, F.col("shared").alias("__shared"))
+    dups = dups.select(F.col("doc_id").alias(key), F.col("dups").alias(found), F.col("shared").alias(mixed_ids))
+    joined = rows.join(dups, key, "left").select(*cols, found, key, mixed_ids)
     at = cols.index(text_col)
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()),
                        StructField("first_doc", LongType())])
-    schema = StructType([*docs.schema.fields, StructField("removed_words", IntegerType()),
-                         StructField("removed_spans", ArrayType(span))])
+    schema = StructType([*docs.schema.fields, StructField(words_out, IntegerType()), StructField(spans_out, ArrayType(span))])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +319,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             arrays = list(b.columns[: len(cols)])
             arrays[at] = pa.array(text, arrays[at].type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(words, pa.int32()), pa.array(spans, span_type)],
-                                             [*cols, "removed_words", "removed_spans"])
+                                             [*cols, words_out, spans_out])
 
     return joined.mapInArrow(run, schema)
