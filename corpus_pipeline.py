@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import cdc_dedup, ga_packing, language_id, simhash_ball, template_decontam
-from riskframe.llm.common import crc_bucket
+from riskframe.llm.common import crc_bucket, free_name
 from riskframe.session import materialize, ship_package
 
 #: below this probability (four languages: 0.25 is a guess) a text has no recognisable language
@@ -25,10 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned from the stage's own input, without the held-out third."""
     ship_package(spark)
     model = language_id.fit(docs.where(crc_bucket("doc_id", 3) != 1))
-    scored = language_id.predict(docs, model, label_out="__lang", score_out="__score")
+    lang, score = free_name(docs, "__lang"), free_name(docs, "__score")
+    scored = language_id.predict(docs, model, label_out=lang, score_out=score)
     # a corpus without any label teaches nothing, so nothing is rejected for its language
-    known = F.col("__lang") != "und" if model.labels else F.expr("text rlike '\\\\p{L}'")
-    return scored.where(known & (F.col("__score") >= (MIN_LANGUAGE_SCORE if model.labels else 0.0))).select(*docs.columns)
+    known = F.col(lang) != "und" if model.labels else F.expr("text rlike '\\\\p{L}'")
+    return scored.where(known & (F.col(score) >= (MIN_LANGUAGE_SCORE if model.labels else 0.0))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     but white space is left goes."""
     ship_package(spark)
     out = cdc_dedup.dedup_substrings(docs)
-    left = (F.col("removed_words") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
+    left = (F.col(cdc_dedup.removed_columns(docs)[0]) == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
     out = out.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
