@@ -136,8 +136,8 @@ def test_columns_of_any_name(spark):
     rows = [(i, f"{i} start. {passage} end {i}", i, i, i, i, i, i) for i in range(3)]
     names = ["shared", "dups", "__dups", "__cdc_dups", "removed_words", "removed_spans"]
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
-    words, spans = cdc_dedup.removed_columns(df)
-    out = cdc_dedup.dedup_substrings(df).collect()
+    words, spans = C.removed_columns(df)
+    out = C.dedup_substrings(df).collect()
     assert (words, spans) == ("removed_words_", "removed_spans_")
     assert all(r[n] == r["doc_id"] for r in out for n in names)
     assert [r[words] > 40 for r in sorted(out, key=lambda r: r["doc_id"])] == [False, True, True]
@@ -147,10 +147,10 @@ def test_very_long_white_space_in_a_passage(spark):
     a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in ("left", "right"))
     passage = a + " " * (17 << 20) + b
     rows = [(1, f"one. {passage} one"), (2, f"two other words here. {passage} two")]
-    out = {r["doc_id"]: r for r in cdc_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in C.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1]["text"] == rows[0][1]
-    # what is cut lies within the passage, and most of it goes
+    # what is cut lies within the passage (and the space before it), and most of it goes
     (_, text), spans = rows[1], out[2]["removed_spans"]
     start = text.index(passage)
-    assert spans and all(start <= s["start"] < s["end"] <= start + len(passage) for s in spans)
-    assert out[2]["removed_words"] >= 50 and out[2]["text"].startswith("two other words here.")
+    assert spans and all(start - 1 <= s["start"] < s["end"] <= start + len(passage) for s in spans)
+    assert out[2]["removed_words"] >= 50 and out[2]["text"].startswith("two other words here.") and out[2]["text"].endswith("two")
