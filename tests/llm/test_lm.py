@@ -57,7 +57,7 @@ def test_weights_by_em():
     import pandas as pd
 
     # a context class whose pair estimate is always right and one where it is never
-    cells = pd.DataFrame([(3, 0, 80, 1000), (5, -1, 40, 1000)], columns=["cls", "s2", "s1", "n"])
+    cells = pd.DataFrame([(3, 0, 5 * D.STEPS, 1000), (5, -1, 2 * D.STEPS, 1000)], columns=["cls", "s2", "s1", "n"])
     w = D.learn_weights(cells, 1000.0)
     assert w[3, 0] > 0.99 and w[5, 0] < 0.01 and w[5, 1] > 0.9
 
