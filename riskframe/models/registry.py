@@ -13,6 +13,7 @@ from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressio
                                        RandomForestClassificationModel)
 from pyspark.sql import DataFrame, SparkSession
 
+from riskframe.models import boost as BO
 from riskframe.models import iforest as IF
 from riskframe.models import recon as RC
 
@@ -25,6 +26,8 @@ def _kind(model) -> str:
         return "iforest"
     if isinstance(model, RC.ReconModel):
         return "recon"
+    if isinstance(model, BO.BoostModel):
+        return "boost"
     for k, cls in _ML.items():
         if isinstance(model, cls):
             return k
@@ -42,6 +45,8 @@ def save_models(spark: SparkSession, model_dir: str, models: dict, leaderboard:
             spark.createDataFrame([(m.features, m.components, m.means, m.lo, m.hi)],
                                   "features array<string>, components array<array<double>>, means array<double>, lo double, hi double"
                                   ).write.mode("overwrite").parquet(path)
+        elif kind == "boost":
+            spark.createDataFrame([(m.to_json(),)], "model string").write.mode("overwrite").parquet(path)
         else:
             m.write().overwrite().save(path)
         rows.append((name, kind))
@@ -59,6 +64,8 @@ def load_models(spark: SparkSession, model_dir: str) -> tuple[dict, DataFrame |
         elif kind == "recon":
             r = spark.read.parquet(path).first()
             models[name] = RC.ReconModel(list(r.features), [list(x) for x in r.components], list(r.means), r.lo, r.hi)
+        elif kind == "boost":
+            models[name] = BO.BoostModel.from_json(spark.read.parquet(path).first()["model"])
         else:
             models[name] = _ML[kind].load(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{model_dir}/leaderboard")

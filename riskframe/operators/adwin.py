@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import scalars as X
 from riskframe.operators import prefix
-from riskframe.session import materialize
 
 #: values in the smallest bucket, and buckets of one size
 GRAIN, PER_LEVEL = 32, 5
@@ -78,8 +77,7 @@ def grain_sums(df: DataFrame, value: str, order: list[str], grain: int = GRAIN)
               .agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("ds"), F.sum(d * d).alias("dss"), F.max("_t").alias("t"))
               .where(F.col("n") == grain))  # the last, unfinished grain is not tested
     summed = prefix.running(grains.select("g", "ds", "dss", "t"), ["g"], {"s": "ds", "ss": "dss"})
-    out, _ = materialize(summed.select((F.col("g") + 1).alias("c"), "s", "ss", "t"), "adwin-grains")
-    return out, base
+    return summed.select((F.col("g") + 1).alias("c"), "s", "ss", "t"), base
 
 
 def _fold(pdf: pd.DataFrame, base: float, grain: int, per_level: int, delta: float, min_window: int, every: bool) -> pd.DataFrame:

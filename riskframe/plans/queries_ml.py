@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import scalars as X
+from riskframe.models import boost as BO
 from riskframe.models import classifiers as CL
 from riskframe.models import hybrid as HY
 from riskframe.models import iforest as IF
@@ -181,6 +182,48 @@ register("M6_random_forest", sql("ml", _ML_SPLIT, body=_CHECKED))(lambda spark,
 register("M7_logistic", sql("ml", _ML_SPLIT, body=_CHECKED))(lambda spark, d: _train_one(spark, d, "logit"))
 
 
+def _auc_floors(spark, d):
+    """M5-M8: the learners on transactions, whose label follows from amount and
+    type; each has to rank the held-out rows nearly perfectly."""
+    tx = V.tx(spark, d).select("transaction_id", "Class", "Amount", "Time", F.hour("ts").alias("hour"),
+                               (F.col("transaction_type") == "error").cast("int").alias("is_error"))
+    cols = ["Amount", "Time", "hour", "is_error"]
+    split = PP.stratified_split(tx).checkpoint()
+    train, test = (split.filter(f"split = '{s}'") for s in ("train", "test"))
+    pm = PP.fit_preprocessor(train, cols, categorical=[])
+    train, test = PP.with_weights(pm.transform(train)).checkpoint(), pm.transform(test)
+    boost = BO.fit(train, cols, rounds=10, rate=0.3)
+    RG.save_models(spark, path := scratch_path(spark, "boost"), {"boost": boost})
+    out = CL.apply_models(RG.load_models(spark, path)[0]["boost"].score(test, "boost"),
+                          {"forest": CL.train_forest(train, "forest", num_trees=20), "logit": CL.train_logit(train, "logit")})
+    out = CL.ensemble(out, members=("boost", "forest", "logit")).checkpoint()
+    names = ("boost", "forest", "logit", "ensemble")
+    auc = EV.auc(EV.long_scores(out, {n: f"p_{n}" for n in names}))
+    return auc.select("model", (F.col("auc") >= 0.95).alias("reached"), F.lit(out.count()).cast("long").alias("rows"), F.lit(len(boost.trees)).alias("trees"))
+
+
+register("M5_M8_auc_floors", sql("tx", _SPLIT_SQL, body="""SELECT unnest(['boost', 'forest', 'logit', 'ensemble']) AS model, true AS reached,
+  (SELECT count(*) FROM sp WHERE split = 'test') AS rows, 10 AS trees"""))(_auc_floors)
+
+
+def _outlier_floors(spark, d):
+    """One vector in 25 made long; the anomaly scores have to rank
+    these first."""
+    cols = V.ml_columns(spark, d)
+    odd = F.col("transaction_id") % 25 == 3
+    ml = V.ml(spark, d).select("transaction_id", odd.cast("int").alias("Class"), *[F.when(odd, F.col(c) * 4.0).otherwise(F.col(c)).alias(c) for c in cols])
+    ml = ml.checkpoint()
+    clean = ml.filter("Class = 0")
+    iso, rec = IF.fit(clean, cols, trees=50), RC.fit(clean, cols, k=8)
+    s = rec.error(iso.score(ml)).select("Class", (-F.col("score_samples")).alias("iforest"), F.col("recon_error").alias("recon"))
+    auc = EV.auc(EV.long_scores(s, {"iforest": "iforest", "recon": "recon"}))
+    return auc.select("model", (F.col("auc") >= 0.95).alias("reached"), F.lit(ml.filter("Class = 1").count()).cast("long").alias("planted"))
+
+
+register("M9_M10_outlier_floors", sql("ml", body="""SELECT unnest(['iforest', 'recon']) AS model, true AS reached,
+  (SELECT count(*) FROM ml WHERE transaction_id % 25 = 3) AS planted"""))(_outlier_floors)
+
+
 def _iforest(spark, d):
     train, test = _split(spark, d)
     model = IF.fit(train, V.ml_columns(spark, d))

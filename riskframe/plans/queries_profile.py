@@ -8,14 +8,15 @@ from pyspark.sql import types as T
 from riskframe.functions import scalars as X
 from riskframe.operators import features as FE
 from riskframe.operators import profile as PR
+from riskframe.operators import sketches as SK
 from riskframe.operators import validate as VA
 from riskframe.operators import windows as WN
 from riskframe.plans import views as V
 from riskframe.plans.catalog import register
 from riskframe.plans.oracle import ML_COLUMNS, sql
+from riskframe.session import scratch_path
 from riskframe.sources import records as RC
 from riskframe.sources import tables as TB
-from riskframe.session import scratch_path
 
 TX_COLS = ["transaction_id", "Time", "Amount", "customer_id", "merchant_id", "transaction_type",
            "card_type", "region", "channel", "Class"]
@@ -289,3 +290,22 @@ register("A12_box_merchant_rate_by_class", sql(
   round(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
   count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM f JOIN q ON f."Class" = q."Class" GROUP BY f."Class", q1, med, q3"""))(_box_rate)
+
+
+def _sketch_rollup(spark, d):
+    """A month's figures from stored daily sketches, each held
+    against the exact ones: within 5 % (distinct) and 2 % of the ranks (quartiles)."""
+    tx = V.tx(spark, d).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "customer_id", "merchant_id", "Amount")
+    path = scratch_path(spark, "sketches")
+    SK.store(SK.summarise(tx, ["day"], ["customer_id", "merchant_id"], ["Amount"]), path, "1")
+    month = F.substring("day", 1, 7).alias("month")
+    est = SK.rollup(SK.stored(spark, path), [month])
+    rows = tx.withColumn("month", month).join(est.withColumnRenamed("rows", "stored_rows"), "month")
+    near = [F.abs(F.count_distinct(c) - F.first(f"distinct_{c}")) <= 0.05 * F.count_distinct(c) for c in ("customer_id", "merchant_id")]
+    ranks = [F.abs(F.count_if(F.col("Amount") <= F.col(f"q_{q}_Amount")) / F.count("Amount") - q / 100.0) <= 0.02 for q in (25, 50, 75)]
+    return rows.groupBy("month").agg(F.first("stored_rows").alias("rows"), near[0].alias("customers_near"), near[1].alias("merchants_near"),
+                                     (ranks[0] & ranks[1] & ranks[2]).alias("quartiles_near"))
+
+
+register("A5_A11_sketch_rollup", sql("tx", body="""SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows, true AS customers_near,
+  true AS merchants_near, true AS quartiles_near FROM tx GROUP BY 1"""))(_sketch_rollup)

@@ -112,3 +112,19 @@ def test_quantiles_of_infinities_and_of_nothing(spark):
     assert tuple(stats.exact_quantiles(amounts(spark, -INF, 1.0, 2.0, INF, INF), "Amount", [0.0, 0.25, 0.5, 0.9]).first()) == (-INF, 1.0, 2.0, INF)
     assert tuple(stats.exact_quantiles(amounts(spark, NAN, None), "Amount", [0.5]).first()) == (None,)
     assert tuple(stats.exact_quantiles(amounts(spark, 3.0), "Amount", [0.25]).first()) == (3.0,)
+
+
+def test_sketches_merge_like_one_pass(spark, tmp_path):
+    from riskframe.operators import sketches as SK
+
+    df = spark.range(30_000).selectExpr("id % 30 as day", "id % 7000 as customer_id", "case when id % 11 = 0 then double('NaN') else id / 3.0 end as Amount")
+    path = str(tmp_path / "s")
+    for lo in (0, 10, 20, 10):  # one batch stored twice
+        SK.store(SK.summarise(df.where(f"day >= {lo} and day < {lo + 10}"), ["day"], ["customer_id"], ["Amount"]), path, str(lo))
+    got = SK.rollup(SK.stored(spark, path), []).first()
+    assert got["rows"] == 30_000 and abs(got["distinct_customer_id"] - 7000) < 350
+    assert all(abs(got[f"q_{q}_Amount"] - 10_000 * q / 100) < 200 for q in (25, 50, 75))
+    empty = SK.rollup(SK.summarise(df.where("day < 0"), ["day"], ["customer_id"], ["Amount"]), ["day"])
+    assert empty.count() == 0
+    nan = SK.rollup(SK.summarise(df.where("isnan(Amount)"), ["day"], [], ["Amount"]), [])
+    assert nan.first()["q_50_Amount"] is None
