@@ -163,10 +163,10 @@ _BANDS = ["total_transactions", "high_risk_count", "medium_risk_count", "low_ris
 
 
 def _c5(spark, d):
-    """C5 whole: scoring, batches, roll-up and the alert log (hour of day watched)."""
-    t = V.tx(spark, d).withColumn("hour", F.hour("ts"))
+    """C5 whole: scoring, batches, roll-up and the alert log (day of the week watched)."""
+    t = V.tx(spark, d).withColumn("day", F.weekday("ts"))
     h = J.score_history(t, lambda df: df.withColumn("p_amount50", V.stand_in_probability()), "amount50",
-                        required=("Time", "Amount"), watch="hour")
+                        required=("Time", "Amount"), watch="day")
     preds = h["predictions"].groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), X.exact_sum("fraud_probability").alias("total"))
     return _long({"predictions": (preds, ["risk_level"]), "batches": (h["batches"], ["batch_id"]), "rollup": (h["rollup"], []),
                   "alerts": (h["alerts"].select("type", "severity", "old_value", "new_value"), ["type", "severity"])})

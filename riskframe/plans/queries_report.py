@@ -294,9 +294,9 @@ FROM scored, q GROUP BY 1"""))(
 
 # ---- drift -----------------------------------------------------------------
 
-# the feature watched is the hour of the day, whose mean drifts within a day; bounds of the
+# the feature watched is the day of the week, whose mean drifts within a week; bounds of the
 # histogram after e grains: level l holds the buckets from 2 * M(l + 1) to M(l), M(l) = floor((e + 4) / 2^l) - 4
-_ADWIN_SQL = ["""rr AS (SELECT hour(ts) AS v, "Time" AS t, row_number() OVER (ORDER BY "Time", transaction_id, hour(ts)) AS r FROM tx)""",
+_ADWIN_SQL = ["""rr AS (SELECT isodow(ts) - 1 AS v, "Time" AS t, row_number() OVER (ORDER BY "Time", transaction_id) AS r FROM tx)""",
               """gr AS (SELECT (r - 1) // 32 AS g, sum(v) AS ds, sum(v * v) AS dss, max(t) AS t FROM rr GROUP BY 1 HAVING count(*) = 32)""",
               """cu AS (SELECT g + 1 AS c, CAST(sum(ds) OVER o AS DOUBLE) AS s, CAST(sum(dss) OVER o AS DOUBLE) AS ss, t
   FROM gr WINDOW o AS (ORDER BY g ROWS UNBOUNDED PRECEDING))""",
@@ -312,13 +312,13 @@ _ADWIN_SQL = ["""rr AS (SELECT hour(ts) AS v, "Time" AS t, row_number() OVER (OR
               """cuts AS (SELECT *, abs(mu0 - mu1) > eps AS drift FROM ce)"""]
 
 
-def _hours(spark, d):
-    return V.tx(spark, d).select("transaction_id", "Time", F.hour("ts").alias("hour"))
+def _days(spark, d):
+    return V.tx(spark, d).select("transaction_id", "Time", F.weekday("ts").alias("day"))
 
 
 register("D1_adwin_cuts", sql("tx", *_ADWIN_SQL, body="""SELECT "end", count(*) AS cuts, count(*) FILTER (WHERE drift) AS drifting,
   min(cut) FILTER (WHERE drift) AS first_cut, round(sum(mu0 - mu1), 6) AS differences FROM cuts GROUP BY 1"""))(
-    lambda spark, d: DR.adwin_cuts(_hours(spark, d), "hour").groupBy("end").agg(
+    lambda spark, d: DR.adwin_cuts(_days(spark, d), "day").groupBy("end").agg(
         F.count(F.lit(1)).alias("cuts"), F.count_if("drift").alias("drifting"), F.min(F.when(F.col("drift"), F.col("cut"))).alias("first_cut"),
         F.round(F.sum(F.col("mu0") - F.col("mu1")), 6).alias("differences")))
 
@@ -326,7 +326,7 @@ _ADWIN_FIRST = """(SELECT * FROM cuts WHERE drift ORDER BY "end", round(abs(mu0
 register("D1_adwin_alert", sql("tx", *_ADWIN_SQL, body=f"""SELECT 'ADWIN' AS type, 'High' AS severity,
   'Significant drift detected in feature distribution' AS message, mu0 AS old_value, mu1 AS new_value,
   cut_time, end_time AS detected_time FROM {_ADWIN_FIRST}"""))(
-    lambda spark, d: DR.adwin_alert(_hours(spark, d), "hour"))
+    lambda spark, d: DR.adwin_alert(_days(spark, d), "day"))
 
 
 def _ph_stats(spark, d):
@@ -404,7 +404,7 @@ register("D3_D4_window_drift", sql("scored", *_WIN_SQL, _FL, body=_DRIFT_BODY))(
 
 
 def _alert_log(spark, d):
-    return DR.alert_log(DR.adwin_alert(_hours(spark, d), "hour").drop("cut_time", "detected_time"), DR.window_drift(_wstats(spark, d), change=0.001))
+    return DR.alert_log(DR.adwin_alert(_days(spark, d), "day").drop("cut_time", "detected_time"), DR.window_drift(_wstats(spark, d), change=0.001))
 
 
 register("D5_alert_log", sql("scored", *_ADWIN_SQL, *_WIN_SQL, _FL, """al AS (
