@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import blocks, text_bytes
 from riskframe.session import drop_path, materialize
 
-RUN = "[A-Za-zÀ-ÿ]+"
+RUN = "[A-Za-zÀ-ÿ]"
 #: a form's count is at least twice its variant's, so 2^63 rows give no longer chain than 63 forms
 DOUBLINGS = 6
 
@@ -60,7 +60,8 @@ def altered(run: str, doc: int) -> str:
 def word_counts(docs: DataFrame, min_length: int = 5, min_count: int = 3, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(word, n): the words and their occurrences overall."""
-    runs = re.compile(RUN)
+    # whole runs only: from its first letter on a run is matched to its end; a shorter one gives no word, as letters only go
+    runs = re.compile(f"{RUN}{{{max(1, min_length)},}}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
