@@ -47,6 +47,20 @@ def test_range_count_follows_size_only(spark, sf_dir):
     assert prefix.auto_partitions(ev.join(ev, "event_id")) == 1
 
 
+def test_what_a_task_holds_does_not_grow_with_a_range(spark):
+    """A range that comes out long is cut into blocks, and running sums, decayed sums and ranks carry over their ends."""
+    n = 300_000
+    df = spark.range(n).select("id", ((F.col("id") * 7919) % 101 - 50).cast("double").alias("v"))
+    r = prefix.Ranges(df, ["id"], 1)
+    assert r.rows.groupBy("_pid").count().agg(F.max("count")).first()[0] <= 1 << 17
+    v = ((np.arange(n) * 7919) % 101 - 50).astype(float)
+    got = r.running(r.rows, {"s": "v", "low": "v"}, ops={"low": "min"}).orderBy("id").toPandas()
+    assert (got["s"].to_numpy() == np.cumsum(v)).all() and (got["low"].to_numpy() == np.minimum.accumulate(v)).all()
+    decayed = prefix.decayed_running(df, ["id"], {"m": "v"}, 0.9999, partitions=1).orderBy("id").toPandas()["m"].to_numpy()
+    assert np.allclose(decayed, prefix.decayed_sums(v, 0.9999), atol=1e-6)
+    assert prefix.global_rank(df, ["id"], partitions=2).where("rank <> id + 1").count() == 0
+
+
 def test_box_and_balance_keep_null_groups(spark):
     df = spark.createDataFrame([(1, None, 5.0), (2, None, 7.0), (3, 0, 1.0), (4, 1, 2.0)], "transaction_id long, Class int, Amount double")
     got = {r["Class"]: r["median"] for r in PR.box_stats(df, "Amount", "Class").collect()}
