@@ -61,6 +61,22 @@ def test_what_a_task_holds_does_not_grow_with_a_range(spark):
     assert prefix.global_rank(df, ["id"], partitions=2).where("rank <> id + 1").count() == 0
 
 
+def test_detector_work_is_linear_in_the_values(monkeypatch):
+    """A detection starts afresh; what follows it isn't folded anew from every detection before."""
+    work = []
+    plain = ST.decayed_sums
+    monkeypatch.setattr(ST, "decayed_sums", lambda v, *a: work.append(len(v)) or plain(v, *a))
+    x = (np.arange(60_000) // 40 % 2).astype(float)
+    for alpha in (1.0, 0.99):
+        work.clear()
+        found = ST.PageHinkleyDetector(threshold=0.5, min_instances=5, alpha=alpha).update_many(x)
+        assert len(found) > 1000 and sum(work) < 40 * len(x)
+        one, many = ST.PageHinkleyDetector(threshold=0.5, min_instances=5, alpha=alpha), []
+        for i in range(0, 8000, 97):
+            many += one.update_many(x[i:min(8000, i + 97)])
+        assert many == [f for f in found if f <= 8000]
+
+
 def test_box_and_balance_keep_null_groups(spark):
     df = spark.createDataFrame([(1, None, 5.0), (2, None, 7.0), (3, 0, 1.0), (4, 1, 2.0)], "transaction_id long, Class int, Amount double")
     got = {r["Class"]: r["median"] for r in PR.box_stats(df, "Amount", "Class").collect()}
