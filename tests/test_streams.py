@@ -4,6 +4,8 @@ import datetime as dt
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from riskframe.streaming import epochs as EP
 from riskframe.streaming import profiles as PF
 from riskframe.streaming import state as ST
 from riskframe.streaming import stream as SS
-from riskframe.streaming.velocity import STATE_CONF, trailing_count_stream
+from riskframe.streaming.velocity import STATE_CONF, TrailingTimes, trailing_count_stream
 
 SCHEMA = "transaction_id long, merchant_id long, ts timestamp, Amount double, fraud_probability double, prediction int, risk_level string"
 AT = dt.datetime(2024, 1, 1)
@@ -126,6 +128,62 @@ def test_velocity_with_ties_gaps_and_null_times(spark, tmp_path):
     assert len(got) == 600 and len(cuts) > 4
 
 
+class FakeState:
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, []
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, v):
+        self.calls += 1
+        self.value = v
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self if name == "held" else FakeState()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class FakeTime:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_velocity_calls_on_the_store_do_not_grow_with_a_keys_times():
+    state, hour = FakeState(), 3_600_000
+    p = TrailingTimes("ts", 86400, "n")
+    p.init(state)
+    for k in range(3):
+        before = state.calls
+        ts = pd.Timestamp(AT) + pd.to_timedelta(np.arange(k * 400, k * 400 + 400) * 9, "min")
+        out, = p.handleInputRows(("=1",), iter([pd.DataFrame({"ts": ts})]), FakeTime(0))
+        assert out["n"].tolist() == [min(i + 1, 161) for i in range(k * 400, k * 400 + 400)]
+        assert state.calls - before <= 3
+    # the timer of the first rows finds newer ones and is set on; the next one clears the key
+    assert len(state.timers) == 1
+    list(p.handleExpiredTimer(("=1",), FakeTime(state.timers[0] + hour), FakeTime(state.timers[0])))
+    assert len(state.timers) == 2 and state.value is not None and state.timers[1] == int(ts[-1].timestamp() * 1000) + 24 * hour + 1
+    list(p.handleExpiredTimer(("=1",), FakeTime(state.timers[1] + hour), FakeTime(state.timers[1])))
+    assert len(state.timers) == 2 and state.value is None
+
+
 def test_velocity_state_expires(spark, tmp_path):
     """A silent key's ring is cleared by its timer, and it starts afresh."""
     schema = "transaction_id long, customer_id long, ts timestamp"
