@@ -1,5 +1,7 @@
 """Batch ADWIN against the sequential detector."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -53,6 +55,21 @@ def test_all_cuts_in_blocks_equal_all_cuts_in_one(spark):
     assert list(zip(a["end"], a["cut"])) == [(t, c) for t in range(1, 188) for c in A.histogram_bounds(t)]
 
 
+def test_a_block_that_drifts_throughout_is_folded_in_little_memory():
+    n = A.BLOCK
+    c = np.arange(1, n + 1)
+    up = np.cumsum(c * 32.0)  # values rise from grain to grain, so every histogram drifts
+    pdf = pd.DataFrame({"own": True, "c": c, "s": up, "ss": np.cumsum(c * c * 32.0), "t": c * 1.0})
+    every = A._fold(pdf, 0.0, 32, 5, 0.002, 5, True)
+    tracemalloc.start()
+    first = A._fold(pdf, 0.0, 32, 5, 0.002, 5, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = every[every["drift"] & (every["end"] == every.loc[every["drift"], "end"].min())]
+    pd.testing.assert_frame_equal(first.reset_index(drop=True), want.reset_index(drop=True))
+    assert len(every) < 1_000_000 and peak < 32 << 20
+
+
 def test_a_stray_timestamp_changes_nothing(spark):
     x = np.r_[np.full(2400, 10.0), np.full(1200, 100.0)] + np.arange(3600) % 3
     t = 1.7e9 + np.arange(3600) * 600.0
