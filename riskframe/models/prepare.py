@@ -139,6 +139,16 @@ def stratified_split(df: DataFrame, label: str = "Class", test_size: float = 0.2
     return keyed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_key")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as the cluster runs at once, at least a
+    MiB of input each (beyond 128 MiB a task: more). Learning passes over its rows
+    hundreds of times; in the partitions of a columnar file, which may be a single
+    row group, one core would do that work."""
+    small, large = (prefix.auto_partitions(df, mib << 20) for mib in (1, 128))
+    n = min(small, max(large, df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(n) if n > 1 else df
+
+
 def save_preprocessor(model: PipelineModel, path: str) -> None:
     """S5."""
     model.write().overwrite().save(path)

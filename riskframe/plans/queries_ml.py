@@ -149,7 +149,7 @@ _CHECKED = """SELECT transaction_id, "Class", true AS in_bounds, true AS banded
 
 
 def _split(spark, d):
-    ml = PP.stratified_split(V.ml(spark, d)).checkpoint()
+    ml = PP.spread(PP.stratified_split(V.ml(spark, d))).checkpoint()
     return ml.filter("split = 'train'"), ml.filter("split = 'test'")
 
 
@@ -188,7 +188,7 @@ def _auc_floors(spark, d):
     tx = V.tx(spark, d).select("transaction_id", "Class", "Amount", "Time", F.hour("ts").alias("hour"),
                                (F.col("transaction_type") == "error").cast("int").alias("is_error"))
     cols = ["Amount", "Time", "hour", "is_error"]
-    split = PP.stratified_split(tx).checkpoint()
+    split = PP.spread(PP.stratified_split(tx)).checkpoint()
     train, test = (split.filter(f"split = '{s}'") for s in ("train", "test"))
     pm = PP.fit_preprocessor(train, cols, categorical=[])
     train, test = PP.with_weights(pm.transform(train)).checkpoint(), pm.transform(test)

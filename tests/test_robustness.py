@@ -19,6 +19,7 @@ from riskframe.operators import features as FE
 from riskframe.operators import prefix
 from riskframe.operators import profile as PR
 from riskframe.operators import report as R
+from riskframe.plans import queries_ml as QM
 from riskframe.sources import records as RE
 from riskframe.sources import tables as TB
 from riskframe.streaming import state as ST
@@ -61,6 +62,16 @@ def test_what_a_task_holds_does_not_grow_with_a_range(spark):
     assert prefix.global_rank(df, ["id"], partitions=2).where("rank <> id + 1").count() == 0
 
 
+def test_learning_is_spread_over_the_cores(spark, tmp_path):
+    """One row group of several MiB is one task's; the rows that models learn from are dealt to all."""
+    n = 400_000
+    spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("embedding"),
+                          (F.col("id") % 10).cast("int").alias("label")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for side in QM._split(spark, str(tmp_path)):
+        sizes = [r["count"] for r in side.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.2 * min(sizes)
+
+
 def test_detector_work_is_linear_in_the_values(monkeypatch):
     """A detection starts afresh; what follows it isn't folded anew from every detection before."""
     work = []
