@@ -62,6 +62,35 @@ def test_what_a_task_holds_does_not_grow_with_a_range(spark):
     assert prefix.global_rank(df, ["id"], partitions=2).where("rank <> id + 1").count() == 0
 
 
+def test_blocks_are_not_coalesced_into_one_task(spark, monkeypatch):
+    """Adaptive execution coalesces shuffles to a size at which one task would sort all the blocks of narrow rows."""
+    monkeypatch.setattr(prefix, "BLOCK_BITS", 14)
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", 1 << 14)
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(300_000).select("id", (F.col("id") % 2).alias("g"), F.lit(1.0).alias("v"))
+        for by in (None, ["g"]):
+            out = prefix.running(df, ["id"], {"s": "v"}, partitions=2, by=by)
+            held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(held) == 300_000 and max(held) <= 6 << 14
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_group_sums_carry_over_blocks(spark, monkeypatch):
+    """A group may fill several blocks, share one with many others, or begin with one."""
+    monkeypatch.setattr(prefix, "BLOCK_BITS", 2)
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", 4)
+    rows = [(i, None if i % 11 == 0 else "a" if i % 3 else "b" if i % 2 else f"c{i}", i % 7 - 3.0) for i in range(300)]
+    got = prefix.running(spark.createDataFrame(rows, "id long, g string, v double"), ["id"], {"s": "v"}, by=["g"], partitions=3)
+    upto: dict = {}
+    for r in sorted(got.collect()):
+        upto[r["g"]] = upto.get(r["g"], 0.0) + r["v"]
+        assert r["s"] == upto[r["g"]]
+
+
 def test_learning_is_spread_over_the_cores(spark, tmp_path):
     """One row group of several MiB is one task's; the rows that models learn from are dealt to all."""
     n = 400_000
