@@ -45,6 +45,8 @@ from riskframe.session import drop_path, materialize
 RUN = "[A-Za-zÀ-ÿ]"
 #: a form's count is at least twice its variant's, so 2^63 rows give no longer chain than 63 forms
 DOUBLINGS = 6
+#: distinct words that a task counts before it hands them on
+COUNTED = 200_000
 
 
 def altered(run: str, doc: int) -> str:
@@ -63,19 +65,24 @@ def word_counts(docs: DataFrame, min_length: int = 5, min_count: int = 3, id_col
     # whole runs only: from its first letter on a run is matched to its end; a shorter one gives no word, as letters only go
     runs = re.compile(f"{RUN}{{{max(1, min_length)},}}")
 
+    def counted(total: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crc32, total = zlib.crc32, {}
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in blocks(texts):
-                total: Counter[str] = Counter()
-                for doc, text in zip(ids[i:j], texts[i:j], strict=True):
-                    start = zlib.crc32(f"{doc}:".encode())
-                    for w, n in Counter(runs.findall(text.lower().decode("utf-8", "replace"))).items():
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                start = crc32(f"{doc}:".encode())
+                for w, n in Counter(runs.findall(text.lower().decode("utf-8", "replace"))).items():
+                    if crc32(w.encode(), start) % 97 == 0:
                         w = altered(w, start)
-                        if len(w) >= min_length:
-                            total[w] += n
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
-                                                 ["word", "n"])
+                        if len(w) < min_length:
+                            continue
+                    total[w] = total.get(w, 0) + n
+                if len(total) >= COUNTED:
+                    yield counted(total)
+                    total = {}
+        yield counted(total)
 
     # bytes.lower() knows A-Z only
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text_bytes(text_col).alias("text"))
@@ -91,12 +98,12 @@ def _start(n: int) -> int:
 def _prefix_rows(words: list[str], side: int) -> tuple[np.ndarray, ...]:
     """Of all words, from the depth at which a word one shorter starts its search
     to their ends: index of the word, depth, hash of the prefix (a polynomial, then
-    mixed), the next character (empty at the end), whether the word's own search
+    mixed), the next character's code point (-1 at the end), whether the word's own search
     starts there, and the word's length."""
     size = np.array([len(w) for w in words], np.int64)
     first = np.cumsum(size) - size
-    chars = np.frombuffer("".join(words).encode("utf-32-le"), "<U1")
-    code = chars.view("<u4").astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), "<i4")
+    code = chars.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
     power = np.cumprod(np.full(int(size.max()) + 1, np.uint64(0x9E3779B97F4A7C15)))
     at = np.arange(len(chars)) - np.repeat(first, size)
     upto = np.r_[np.uint64(0), np.cumsum(code * power[at])]
@@ -108,7 +115,7 @@ def _prefix_rows(words: list[str], side: int) -> tuple[np.ndarray, ...]:
     h = upto[place] - upto[first[which]] + np.uint64(side + 1) * np.uint64(0x94D049BB133111EB)
     h = (h + depth.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
     end = depth == size[which]
-    following = np.where(end, "", np.r_[chars, [""]][place])
+    following = np.where(end, -1, np.r_[chars, [-1]][place]).astype(np.int32)
     starts = depth == np.array([_start(n) for n in size.tolist()], np.int64)[which]
     return which, depth.astype(np.int32), (h ^ (h >> np.uint64(32))).view(np.int64), following, starts, size[which]
 
@@ -126,9 +133,9 @@ def _prefixes(words: DataFrame) -> DataFrame:
                     which, depth, node, following, starts, size = _prefix_rows([w[::-1] if side else w for w in got[i:j]], side)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(which), side, np.int32)), pa.array(ids[i:j][which]), pa.array(depth), pa.array(node),
-                         pa.array(following, pa.string()), pa.array(starts), pa.array(size.astype(np.int32))], names)
+                         pa.array(following), pa.array(starts), pa.array(size.astype(np.int32))], names)
 
-    return words.select("wid", "word").mapInArrow(run, "side int, wid long, depth int, node long, next string, starts boolean, length int")
+    return words.select("wid", "word").mapInArrow(run, "side int, wid long, depth int, node long, next int, starts boolean, length int")
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -143,7 +150,7 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     # a node: words part or end here, or a search starts
     nodes = (pre.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.max("starts").alias("s"),
                                      F.bit_or(F.expr("shiftleft(1L, length % 64)")).alias("lengths"))
-             .where("a <> b or a = '' or s").select("node", "lengths"))
+             .where("a <> b or a < 0 or s").select("node", "lengths"))
     nodes, path2 = materialize(nodes, "trie-nodes")
     marks = (pre.join(nodes.select("node"), "node").groupBy("side", "wid")
              .agg(F.sort_array(F.collect_list(F.struct("depth", "node", "starts"))).alias("m")))
@@ -188,9 +195,12 @@ def near_words(words: DataFrame) -> DataFrame:
     while True:
         # no edit yet: every edge of the node
         fresh = frontier.where("edits = 0").join(edges, "node")
-        moves = F.when(same, F.array(F.struct(size.alias("by"), F.lit(0).alias("edits"), F.col("target")))).otherwise(F.array_compact(F.array(
-            *[F.when(below(k) & ok, F.struct((size + k).alias("by"), F.lit(1).alias("edits"), (F.col("target") - k).alias("target")))
-              for k, ok in kinds.items()])))
+        # most edges lead nowhere: those go before any move is made
+        bits = [F.when(below(k) & ok, F.lit(1 << i)).otherwise(0) for i, (k, ok) in enumerate(kinds.items())]
+        fresh = fresh.withColumn("kind", F.when(same, 8).otherwise(bits[0] + bits[1] + bits[2])).where("kind > 0")
+        moves = F.when(F.col("kind") == 8, F.array(F.struct(size.alias("by"), F.lit(0).alias("edits"), F.col("target")))).otherwise(F.array_compact(F.array(
+            *[F.when(F.col("kind").bitwiseAND(1 << i) > 0, F.struct((size + k).alias("by"), F.lit(1).alias("edits"), (F.col("target") - k).alias("target")))
+              for i, k in enumerate(kinds)])))
         fresh = fresh.select("side", "word", "position", "child", "ends", "onward", F.explode(moves).alias("m"))
         fresh = fresh.select("side", "word", (F.col("position") + F.col("m.by")).alias("position"), "child", F.col("m.edits").alias("edits"),
                              F.col("m.target").alias("target"), "ends", "onward")
