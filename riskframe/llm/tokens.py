@@ -1,10 +1,8 @@
-"""Byte-level BPE ids of whole texts, by chunk.
+"""Byte-level BPE ids of whole texts.
 
-A chunk is what stands between single spaces, with the space before it. The
-vocabulary's pattern never joins characters across such a space, so a text's
-ids are its chunks' ids in order, and each chunk has to be encoded once in a
-while only. Texts where this doesn't hold (white space on both sides of a
-space, or a special token's string) are encoded whole by the tokenizer.
+A text goes to the merger in one call, whatever words it holds, and its ids come
+back as one array. Texts that hold a special token's string, and white space too
+long for the merger's pattern, are encoded by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -14,16 +12,12 @@ import re
 
 import numpy as np
 
-#: chunks whose ids a worker remembers; it starts afresh beyond that
-MEMO = 400_000
-ODD_SPACE = re.compile(r"\s \s|^ | $")
-
 
 class ByteBpe:
     """Encoder for a byte-level BPE ``tokenizer.json`` whose ids are merge
     ranks. Merging is done by tiktoken over the file's own vocabulary, which
-    gives the same ids several times faster; texts that can't be cut into
-    chunks go to the tokenizers library."""
+    gives the same ids several times faster; other texts go to the tokenizers
+    library."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -32,40 +26,27 @@ class ByteBpe:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # printable stand-ins of the byte-level alphabet: bytes that print stand for themselves, the rest follow from 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
         pattern = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
-        self.memo: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray | list[int]:
+        if not (self.special and self.special.search(text)):
+            try:
+                return self.merge.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+            except ValueError:  # a million spaces or line ends in a row: the pattern's stack is full
+                pass
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            odd = not t or ODD_SPACE.search(t) or (self.special and "<|" in t and self.special.search(t))
-            split.append(None if odd else t.split(" "))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = set().union(*(p[1:] for p in split if p)) - memo.keys()
-        encode = self.merge.encode_ordinary
-        for c in new:
-            memo[c] = self._bytes(encode(" " + c))
-        out = []
-        for t, p in zip(texts, split, strict=True):
-            if p is None:
-                out.append(self._bytes(self.whole.encode(t, add_special_tokens=False).ids) if t else b"")
-            else:
-                out.append(self._bytes(encode(p[0])) + b"".join(map(memo.__getitem__, p[1:])))
-        return out
+        return [np.asarray(self._ids(t), "<u4").tobytes() for t in texts]
 
 
 _loaded: dict[str, ByteBpe] = {}

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 from riskframe.llm import ga_packing as G
 from riskframe.llm.token_counts import count_tokens, distinct_pre_tokens
+from riskframe.llm.tokens import ByteBpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,6 +44,26 @@ def test_packing(docs, odd):
     assert len(seqs) <= len(fills)
 
 
+def test_a_text_is_merged_in_one_call():
+    """Whatever its words and white space; what is too long for the merger's pattern goes to the library."""
+    enc, merge, calls = ByteBpe(PATH), ByteBpe(PATH).merge, []
+
+    class Counted:
+        def __getattr__(self, name):
+            def call(*args, **kwargs):
+                calls.append(args[0])
+                return getattr(merge, name)(*args, **kwargs)
+            return call
+
+    enc.merge = Counted()
+    texts = [" ".join(f"word{i} x{i * 7}" for i in range(500)), "a  b \n\n c\t d ", " lead", "it's 12\u00a0é", "a <|endoftext|> b", ""]
+    want = [np.array(enc.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert enc.encode(texts) == want
+    assert len(calls) <= len(texts)
+    gap = "a" + "\n" * 1_500_000 + "b"
+    assert enc.encode([gap]) == [np.array(enc.whole.encode(gap, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_sequences_hold_the_ids(odd):
     tok = Tokenizer.from_file(PATH)
     packed = G.pack_documents(odd.select("doc_id", "text"), PATH, with_ids=True)
