@@ -29,6 +29,7 @@ rows count again; other columns don't matter. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import blocks, text_bytes
@@ -152,20 +153,19 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
                                      F.bit_or(F.expr("shiftleft(1L, length % 64)")).alias("lengths"))
              .where("a <> b or a < 0 or s").select("node", "lengths"))
     nodes, path2 = materialize(nodes, "trie-nodes")
-    marks = (pre.join(nodes.select("node"), "node").groupBy("side", "wid")
-             .agg(F.sort_array(F.collect_list(F.struct("depth", "node", "starts"))).alias("m")))
     spelt = F.when(F.col("side") == 1, F.reverse("word")).otherwise(F.col("word"))
-    marks = marks.join(words, "wid").select("side", spelt.alias("word"), "m")
-    marks, path3 = materialize(marks, "trie-marks")  # one word's nodes: no more than it has characters
-    start = marks.select("side", "word", F.explode(F.filter("m", lambda x: x["starts"])).alias("x"))
-    start = start.select("side", "word", F.col("x.depth").alias("position"), F.col("x.node").alias("node"), F.lit(0).alias("edits"),
-                         F.length("word").alias("target"))
-    steps = F.expr("explode(transform(sequence(1, size(m) - 1), i -> struct(m[i - 1] as f, m[i] as t)))")
-    edges = marks.where(F.size("m") > 1).select("word", steps.alias("e"))
-    edges = edges.select(F.col("e.f.node").alias("node"), F.col("e.t.node").alias("child"),
-                         F.expr("substring(word, e.f.depth + 1, e.t.depth - e.f.depth)").alias("label"),
-                         F.when(F.col("e.t.depth") == F.length("word"), F.col("word")).alias("ends"))
-    edges, path4 = materialize(edges.groupBy("node", "child", "label").agg(F.collect_set("ends").alias("ends")), "trie-edges")
+    path = Window.partitionBy("wid", "side").orderBy("depth")  # one word's nodes: no more than it has characters
+    marks = (pre.join(nodes.select("node"), "node").select("side", "wid", "depth", "node", "starts").join(words, "wid")
+             .select("side", spelt.alias("word"), "depth", "node", "starts", F.lead("node").over(path).alias("child"),
+                     (F.lead("depth").over(path) - F.col("depth")).alias("by")))
+    marks = marks.select("side", "depth", "node", "starts", "child", F.when(F.col("starts"), F.col("word")).alias("word"),
+                         F.expr("substring(word, depth + 1, by)").alias("label"),
+                         F.when(F.col("depth") + F.col("by") == F.length("word"), F.col("word")).alias("ends"))
+    marks, path3 = materialize(marks, "trie-marks")
+    start = marks.where("starts").select("side", "word", F.col("depth").alias("position"), "node", F.lit(0).alias("edits"),
+                                         F.length("word").alias("target"))
+    edges = marks.where("child is not null").groupBy("node", "child", "label").agg(F.collect_set("ends").alias("ends"))
+    edges, path4 = materialize(edges, "trie-edges")
     # the characters that may follow a child: no more than the alphabet has
     onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("onward"))
     edges = edges.join(nodes.withColumnRenamed("node", "child"), "child").join(onward, "child", "left")
@@ -185,25 +185,31 @@ def near_words(words: DataFrame) -> DataFrame:
         return F.expr(f"substring(word, position + 1, greatest(length(label) + ({more}), 0))")
 
     same = F.col("label") == ahead(0)
+    # a node's labels start differently: but for one, an edit can only be of the first character, and the rest is compared as it is
+    first = F.substring("label", 1, 1) == F.expr("substring(word, position + 1, 1)")
+    rest = {0: F.expr("substring(label, 2) = substring(word, position + 2, length(label) - 1)"),
+            -1: F.expr("substring(label, 2) = substring(word, position + 1, length(label) - 1)"),
+            1: F.expr("label = substring(word, position + 2, length(label))")}
     # lengths fix the kind of the edit: replaced (0), inserted in the near word (-1), deleted from it (1)
-    kinds = {k: (F.length(ahead(k)) == size + k) & (((size == 1) & F.lit(k < 1)) | (F.levenshtein("label", ahead(k), 1) == 1)) for k in (0, -1, 1)}
+    kinds = {k: (F.length("word") - F.col("position") >= size + k) & (
+        ((size == 1) & F.lit(k < 1)) | F.when(first, F.levenshtein("label", ahead(k), 1) == 1).otherwise(rest[k])) for k in (0, -1, 1)}
 
     def below(k: int):
         """Whether a word of the near word's length is below the child."""
         return F.expr(f"shiftright(lengths, (target - ({k})) % 64) & 1L") == 1
 
+    table = [[(k, 1) for i, k in enumerate(kinds) if held >> i & 1] for held in range(1 << len(kinds))] + [[(0, 0)]]
+    moves = F.from_json(F.lit(json.dumps([[{"k": k, "edits": e} for k, e in some] for some in table])), "array<array<struct<k:int,edits:int>>>")
+
     while True:
         # no edit yet: every edge of the node
         fresh = frontier.where("edits = 0").join(edges, "node")
-        # most edges lead nowhere: those go before any move is made
+        # most edges lead nowhere, which is found out once: a move is looked up by the kinds that hold
         bits = [F.when(below(k) & ok, F.lit(1 << i)).otherwise(0) for i, (k, ok) in enumerate(kinds.items())]
-        fresh = fresh.withColumn("kind", F.when(same, 8).otherwise(bits[0] + bits[1] + bits[2])).where("kind > 0")
-        moves = F.when(F.col("kind") == 8, F.array(F.struct(size.alias("by"), F.lit(0).alias("edits"), F.col("target")))).otherwise(F.array_compact(F.array(
-            *[F.when(F.col("kind").bitwiseAND(1 << i) > 0, F.struct((size + k).alias("by"), F.lit(1).alias("edits"), (F.col("target") - k).alias("target")))
-              for i, k in enumerate(kinds)])))
-        fresh = fresh.select("side", "word", "position", "child", "ends", "onward", F.explode(moves).alias("m"))
-        fresh = fresh.select("side", "word", (F.col("position") + F.col("m.by")).alias("position"), "child", F.col("m.edits").alias("edits"),
-                             F.col("m.target").alias("target"), "ends", "onward")
+        held = F.when(same, len(table) - 1).otherwise(bits[0] + bits[1] + bits[2])
+        fresh = fresh.select("side", "word", "position", "target", size.alias("size"), "child", "ends", "onward", F.explode(F.get(moves, held)).alias("m"))
+        fresh = fresh.select("side", "word", (F.col("position") + F.col("size") + F.col("m.k")).alias("position"), "child", "m.edits",
+                             (F.col("target") - F.col("m.k")).alias("target"), "ends", "onward")
         # the edit is spent: the one edge that goes on with the word
         spent = frontier.where("edits = 1").withColumn("c", F.expr("substring(word, position + 1, 1)"))
         spent = spent.join(edges.withColumn("c", F.substring("label", 1, 1)), ["node", "c"]).where(same & below(0))

@@ -76,6 +76,22 @@ def test_near_words_of_all_lengths(spark):
     assert {w: v for w, v in want.items() if v} == dict(got)
 
 
+def test_an_edge_is_judged_once(spark, monkeypatch):
+    """A level finds out once whether an edge leads anywhere; a word's nodes are not gathered into lists."""
+    plans, write = {}, V.materialize
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(V, "materialize", noted)
+    words = ["abcde", "abcdf", "abcxde", "bcdea", "acde"]
+    got = V.near_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    assert {(r["word"], r["near"]) for r in got} == {(w, v) for w, vs in brute_near(words).items() for v in vs}
+    assert plans["trie-level"].count("levenshtein(") == 3
+    assert "collect_list" not in plans["trie-marks"]
+
+
 def test_chains_and_ties(spark):
     counts = {"worda": 3, "wordb": 6, "wordbb": 12, "wordbbb": 24, "xwordbbb": 48, "tiesa": 3, "tiesb": 9, "tiesc": 9, "alone": 5,
               "almost": 4, "almosu": 7}
